@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from boxlake.functions.numeric import rint
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Box(NamedTuple):
     x: Column
     y: Column
@@ -195,16 +200,16 @@ def match_box(x0: Column, y0: Column, x1: Column, y1: Column, img_w: Column, img
 
 def order_hull(hull: Column) -> Column:
     """Four corners as top-left, top-right, bottom-right, bottom-left (first wins on ties)."""
-    idx = F.sequence(F.lit(0), F.lit(3))
 
-    def pick(key, smallest: bool) -> Column:
-        vals = F.transform(hull, key)
-        best = F.array_min(vals) if smallest else F.array_max(vals)
-        return F.element_at(F.filter(idx, lambda i: F.get(vals, i) == best), 1)
+    def corner(key, smallest: bool) -> Column:
+        def pick(vals: Column) -> Column:
+            best = F.array_min(vals) if smallest else F.array_max(vals)
+            return F.element_at(hull, F.array_position(vals, best).cast("int"))
+
+        return let(F.transform(hull, key), pick)
 
     s, d = (lambda p: p[0] + p[1]), (lambda p: p[1] - p[0])
-    order = [pick(s, True), pick(d, True), pick(s, False), pick(d, False)]
-    return F.array(*[F.get(hull, i) for i in order])
+    return F.array(corner(s, True), corner(d, True), corner(s, False), corner(d, False))
 
 
 def point_distance(p: Column, q: Column) -> Column:
@@ -236,20 +241,26 @@ def line_box(line: Column, pad: float) -> Column:
 
 def line_box_tilted(line: Column, pad: float) -> Column:
     """Box aligned to the end-to-end direction: four corners, grown by ``pad`` of each side."""
-    a, b = F.element_at(line, 1), F.element_at(line, -1)
-    length = point_distance(a, b)
-    ux = F.when(length > 0, (b[0] - a[0]) / length).otherwise(F.lit(1.0))
-    uy = F.when(length > 0, (b[1] - a[1]) / length).otherwise(F.lit(0.0))
-    us = F.transform(line, lambda p: (p[0] - a[0]) * ux + (p[1] - a[1]) * uy)
-    vs = F.transform(line, lambda p: (p[1] - a[1]) * ux - (p[0] - a[0]) * uy)
-    u0, u1, v0, v1 = F.array_min(us), F.array_max(us), F.array_min(vs), F.array_max(vs)
-    pu, pv = (u1 - u0) * pad, (v1 - v0) * pad
-    u0, u1, v0, v1 = u0 - pu, u1 + pu, v0 - pv, v1 + pv
-
-    def corner(u: Column, v: Column) -> Column:
-        return F.array(a[0] + u * ux - v * uy, a[1] + u * uy + v * ux)
-
-    return F.array(corner(u0, v0), corner(u1, v0), corner(u1, v1), corner(u0, v1))
+
+    def axes(a: Column, b: Column) -> Column:
+        n = point_distance(a, b)
+        return F.struct(a[0].alias("ox"), a[1].alias("oy"),
+                        F.when(n > 0, (b[0] - a[0]) / n).otherwise(F.lit(1.0)).alias("ux"),
+                        F.when(n > 0, (b[1] - a[1]) / n).otherwise(F.lit(0.0)).alias("uy"))
+
+    def extent(t: Column) -> Column:
+        us = F.transform(line, lambda p: (p[0] - t["ox"]) * t["ux"] + (p[1] - t["oy"]) * t["uy"])
+        vs = F.transform(line, lambda p: (p[1] - t["oy"]) * t["ux"] - (p[0] - t["ox"]) * t["uy"])
+        return F.struct(t.alias("t"), F.array_min(us).alias("u0"), F.array_max(us).alias("u1"),
+                        F.array_min(vs).alias("v0"), F.array_max(vs).alias("v1"))
+
+    def corners(e: Column) -> Column:
+        t, pu, pv = e["t"], (e["u1"] - e["u0"]) * pad, (e["v1"] - e["v0"]) * pad
+        us, vs = (e["u0"] - pu, e["u1"] + pu), (e["v0"] - pv, e["v1"] + pv)
+        return F.array(*[F.array(t["ox"] + us[i] * t["ux"] - vs[j] * t["uy"],
+                                 t["oy"] + us[i] * t["uy"] + vs[j] * t["ux"]) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+
+    return let(let(axes(F.element_at(line, 1), F.element_at(line, -1)), extent), corners)
 
 
 # Fixed value: pixels per feature cell of the dense encoder.

@@ -23,7 +23,7 @@ def sweep_grid(spark, models: str, filters: str, gts: str) -> DataFrame:
     """Every (gt_mode, model, filt) from three comma lists; blanks dropped, defaults when empty."""
 
     def items(text: str, default: str) -> Column:
-        parts = F.filter(F.transform(F.split(F.lit(text), ","), F.trim), lambda v: v != "")
+        parts = F.filter(F.transform(F.split(F.lit(text), ","), lambda t: F.trim(t)), lambda t: t != "")
         return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(default)))
 
     one = spark.range(1).select(items(gts, "bboxes").alias("g"), items(models, "fastsam").alias("m"),
@@ -233,7 +233,9 @@ def boxes_to_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], id
               .groupBy(*keys, id_col).agg(F.min_by("p_pt_idx", F.struct(d, F.col("p_pt_idx"))).alias("pt_idx")))
     lost = boxes.join(inside, [*keys, id_col], "left_anti")
     near = nearest_point(lost, pts, keys, id_col)
-    return boxes.join(inside.unionByName(near), [*keys, id_col])
+    near = near.withColumnRenamed("pt_idx", "_near")
+    return (boxes.join(inside, [*keys, id_col], "left").join(near, [*keys, id_col], "left")
+            .withColumn("pt_idx", F.coalesce("pt_idx", "_near")).drop("_near").where(F.col("pt_idx").isNotNull()))
 
 
 def nearest_point(boxes: DataFrame, pts: DataFrame, keys: Sequence[str], id_col: str, reach: float = 4 * CELL) -> DataFrame:
