@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from boxlake.plans import curation_queries, detection_queries  # noqa: F401
+    from boxlake.plans import curation_queries, detection_queries, metric_queries, source_queries  # noqa: F401

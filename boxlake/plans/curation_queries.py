@@ -177,7 +177,7 @@ def _(v):
 
 
 @query("u1_pool_manifests", """SELECT concat('/lake/', source, '/', lang, '/', doc_id, '.png') AS path, lang AS name, CAST(n_chars AS DOUBLE) AS score, NULL AS zoom FROM documents
- UNION ALL SELECT url, 'page', NULL, 4.0 FROM (SELECT concat('/pages/', page_id) AS url FROM pages)""")
+ UNION ALL SELECT url, 'page', NULL, 4.0::DOUBLE FROM (SELECT concat('/pages/', page_id) AS url FROM pages)""")
 def _(v):
     d = v("documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
                               F.concat(F.lit("/lake/"), "source").alias("_base"), F.col("lang").alias("name"), F.col("n_chars").cast("double").alias("score"))

@@ -279,7 +279,7 @@ def _(v):
 
 
 @query("w15_match_tile_grid", """SELECT sheet_id, x0, y0, least(x0 + 1024, 1740) AS x1, least(y0 + 1024, 1040) AS y1
- FROM v_sheet, (SELECT unnest([0, 716]) AS x0), (SELECT unnest([0, 16]) AS y0)""", "v_sheet")
+ FROM v_sheet, (SELECT unnest([0, 716]::BIGINT[]) AS x0), (SELECT unnest([0, 16]::BIGINT[]) AS y0)""", "v_sheet")
 def _(v):
     return spatial.match_tile_grid(v("v_sheet"), 40, 40).select("sheet_id", "x0", "y0", "x1", "y1")
 

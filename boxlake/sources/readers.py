@@ -10,7 +10,7 @@ from boxlake import schemas
 from boxlake.functions import geometry as geo
 from boxlake.functions.text import is_wiring
 
-FILE = F.col("_metadata.file_path")
+FILE = "_metadata.file_path"
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
