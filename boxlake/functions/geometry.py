@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from boxlake.functions.numeric import rint
+from boxlake.functions.numeric import rint, round_exact
 
 
 def let(value: Column, body) -> Column:
@@ -98,37 +98,46 @@ def open_ring(ring: Column) -> Column:
     return F.when(closed, F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(ring)
 
 
-def ring_extent(ring: Column, sx: Column, sy: Column) -> tuple[Column, Column, Column, Column]:
-    """(x0, y0, x1, y1) of a ring in raster units; vertices with fewer than two numbers are skipped."""
-    pts = F.filter(ring, lambda p: F.size(p) >= 2)
-    xs = F.transform(pts, lambda p: p[0] * sx)
-    ys = F.transform(pts, lambda p: F.abs(p[1]) * sy)
-    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+def ring_extent(ring: Column, sx: Column, sy: Column) -> Column:
+    """Extent struct (x0, y0, x1, y1, n) of a ring in raster units; short vertices are skipped."""
+
+    def over(pts: Column) -> Column:
+        xs, ys = F.transform(pts, lambda p: p[0] * sx), F.transform(pts, lambda p: F.abs(p[1]) * sy)
+        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"),
+                        F.array_max(ys).alias("y1"), F.size(pts).alias("n"))
+
+    return let(F.filter(ring, lambda p: F.size(p) >= 2), over)
 
 
 def ring_box(ring: Column, sx: Column, sy: Column, zoom: float) -> Column:
     """Rounded box struct of a ring in zoomed pixels, null below 3 vertices or 2 px a side."""
-    r = open_ring(ring)
-    x0, y0, x1, y1 = ring_extent(r, sx, sy)
-    x0, y0, x1, y1 = x0 * zoom, y0 * zoom, x1 * zoom, y1 * zoom
-    ok = (F.size(r) >= 3) & (x1 - x0 >= 2) & (y1 - y0 >= 2)
-    return F.when(ok, F.struct(rint(x0).alias("x"), rint(y0).alias("y"),
-                               rint(x1 - x0).alias("w"), rint(y1 - y0).alias("h")))
+
+    def box(e: Column) -> Column:
+        x0, y0, w, h = e["x0"] * zoom, e["y0"] * zoom, e["x1"] * zoom - e["x0"] * zoom, e["y1"] * zoom - e["y0"] * zoom
+        return F.when((w >= 2) & (h >= 2), F.struct(
+            rint(x0).alias("x"), rint(y0).alias("y"), rint(w).alias("w"), rint(h).alias("h")))
+
+    return let(let(ring, open_ring), lambda r: F.when(F.size(r) >= 3, let(ring_extent(r, sx, sy), box)))
 
 
 def ring_box_clamped(ring: Column, sx: Column, sy: Column, img_w: Column, img_h: Column) -> Column:
     """Rounded box struct of a ring cut to the image, null when nothing is left."""
-    x0, y0, x1, y1 = ring_extent(ring, sx, sy)
-    x0, y0 = F.greatest(F.lit(0), rint(x0)), F.greatest(F.lit(0), rint(y0))
-    x1, y1 = F.least(img_w, rint(x1)), F.least(img_h, rint(y1))
-    return F.when((x1 > x0) & (y1 > y0), F.struct(
-        x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+
+    def corners(e: Column) -> Column:
+        return F.struct(F.greatest(F.lit(0), rint(e["x0"])).alias("x0"), F.greatest(F.lit(0), rint(e["y0"])).alias("y0"),
+                        F.least(img_w, rint(e["x1"])).alias("x1"), F.least(img_h, rint(e["y1"])).alias("y1"))
+
+    def box(c: Column) -> Column:
+        return F.when((c["x1"] > c["x0"]) & (c["y1"] > c["y0"]), F.struct(
+            c["x0"].alias("x"), c["y0"].alias("y"), (c["x1"] - c["x0"]).alias("w"), (c["y1"] - c["y0"]).alias("h")))
+
+    return let(let(ring_extent(ring, sx, sy), corners), box)
 
 
 def ring_pixels(ring: Column, sx: Column, sy: Column) -> Column:
     """Ring as pixel vertices at one decimal, closing vertex dropped."""
     return F.transform(open_ring(ring), lambda p: F.array(
-        F.bround(p[0] * sx, 1), F.bround(F.abs(p[1]) * sy, 1)))
+        round_exact(p[0] * sx, 1), round_exact(F.abs(p[1]) * sy, 1)))
 
 
 # --- size gates and windows ----------------------------------------------------------

@@ -28,20 +28,23 @@ def visibility(kind: Column, color: Column, fill: Column, stroke_opacity: Column
 
 def visibility_histogram(paths: DataFrame, v: str = "visibility", bins: int = 256) -> DataFrame:
     """All ``bins`` equal-width bins between the smallest and largest value: (bin, n, upper)."""
-    lo0, hi0 = paths.agg(F.min(v).cast("double")).scalar(), paths.agg(F.max(v).cast("double")).scalar()
-    flat = lo0 == hi0
-    lo, hi = F.when(flat, lo0 - 0.5).otherwise(lo0), F.when(flat, hi0 + 0.5).otherwise(hi0)
-    step = (hi - lo) / bins
-    x = F.col("v").cast("double")
-    guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))
-    low = x < guess * step + lo
-    high = (guess < bins - 1) & (x >= (guess + 1) * step + lo)
-    idx = F.when(low, guess - 1).when(high, guess + 1).otherwise(guess)
-    counts = (paths.groupBy(F.col(v).alias("v")).agg(F.count("*").alias("n"))
-              .groupBy(idx.cast("bigint").alias("bin")).agg(F.sum("n").alias("n")))
+    ends = paths.agg(F.struct(F.min(v).cast("double").alias("lo"), F.max(v).cast("double").alias("hi"))).scalar()
+
+    def limits(df: DataFrame) -> DataFrame:
+        flat = F.col("_e.lo") == F.col("_e.hi")
+        lo, hi = F.when(flat, F.col("_e.lo") - 0.5).otherwise(F.col("_e.lo")), F.when(flat, F.col("_e.hi") + 0.5).otherwise(F.col("_e.hi"))
+        return df.withColumn("_e", ends).withColumn("lo", lo).withColumn("hi", hi).withColumn("step", (F.col("hi") - F.col("lo")) / bins).drop("_e")
+
+    lo, hi, step, x = F.col("lo"), F.col("hi"), F.col("step"), F.col("v").cast("double")
+    values = limits(paths.groupBy(F.col(v).alias("v")).agg(F.count("*").alias("n"))).withColumn(
+        "guess", F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+    guess = F.col("guess")
+    idx = (F.when(x < guess * step + lo, guess - 1)
+           .when((guess < bins - 1) & (x >= (guess + 1) * step + lo), guess + 1).otherwise(guess))
+    counts = values.groupBy(idx.cast("bigint").alias("bin")).agg(F.sum("n").alias("n"))
     spine = paths.sparkSession.range(bins).withColumnRenamed("id", "bin")
     upper = F.when(F.col("bin") == bins - 1, hi).otherwise((F.col("bin") + 1) * step + lo)
-    return spine.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), upper.alias("upper"))
+    return limits(spine).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), upper.alias("upper"))
 
 
 def visibility_threshold(paths: DataFrame, v: str = "visibility", bins: int = 256) -> DataFrame:

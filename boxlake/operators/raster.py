@@ -67,11 +67,11 @@ def otsu(pixels: DataFrame, img: Sequence[str] = ("img",), v: str = "v") -> Data
     h = pixels.groupBy(*img, F.col(v).cast("int").alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*img).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*img)
-    c = h.select(*img, "v", F.sum("n").over(w).alias("q"), F.sum(F.col("n") * F.col("v")).over(w).alias("s"),
-                 F.sum("n").over(whole).alias("Q"), F.sum(F.col("n") * F.col("v")).over(whole).alias("S"))
-    q1 = F.col("q") / F.col("Q")
-    gap = F.col("s") / F.col("q") - (F.col("S") - F.col("s")) / (F.col("Q") - F.col("q"))
-    var = F.when(F.col("q") < F.col("Q"), q1 * (1 - q1) * gap * gap).otherwise(F.lit(0.0))
+    c = h.select(*img, "v", F.sum("n").over(w).alias("n1"), F.sum(F.col("n") * F.col("v")).over(w).alias("s1"),
+                 F.sum("n").over(whole).alias("n_all"), F.sum(F.col("n") * F.col("v")).over(whole).alias("s_all"))
+    q1 = F.col("n1") / F.col("n_all")
+    gap = F.col("s1") / F.col("n1") - (F.col("s_all") - F.col("s1")) / (F.col("n_all") - F.col("n1"))
+    var = F.when(F.col("n1") < F.col("n_all"), q1 * (1 - q1) * gap * gap).otherwise(F.lit(0.0))
     return (c.withColumn("var", var).groupBy(*img)
             .agg(F.max_by("v", F.struct("var", -F.col("v"))).alias("_t"), F.max("var").alias("var"))
             .select(*img, F.when(F.col("var") > 0, F.col("_t")).otherwise(F.lit(0)).alias("threshold"), "var"))
@@ -185,7 +185,9 @@ def legend(rows: DataFrame, splits: DataFrame, texts: DataFrame, img: Sequence[s
     box = F.struct(x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"),
                    (F.max(F.col("y") + F.col("h")) - y).alias("h"))
     wide = (cols.groupBy(*img, "row").pivot("col", [0, 1]).agg(box)
-            .withColumnsRenamed({"0": "symbol_box", "1": "text_box"}).join(texts, [*img, "row"], "left"))
+            .withColumn("symbol_box", F.when(F.col("0.x").isNotNull(), F.col("0")))
+            .withColumn("text_box", F.when(F.col("1.x").isNotNull(), F.col("1"))).drop("0", "1")
+            .join(texts, [*img, "row"], "left"))
     text = F.when(F.col("text_box").isNotNull(), collapse_space(F.coalesce("text", F.lit(""))))
     key = F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("Header_or_Section_Row_"), F.col("row").cast("string")))
     return (wide.withColumn("key", key).groupBy(*img, "key")

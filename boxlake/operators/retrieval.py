@@ -56,7 +56,8 @@ def similar_cells(cells: DataFrame, exemplar: Column, thr: float, vec: str = "ve
     """Cells whose cosine with the normalised mean of the exemplar cells reaches ``thr``."""
     units = cells.withColumn("_u", unit(F.col(vec), CELL_EPS))
     target = mean_vectors(units.where(exemplar), [], "_u").select(unit(F.col("mean"), CELL_EPS)).scalar()
-    return units.withColumn("sim", dot(F.col("_u"), target)).where(F.col("sim") >= thr).drop("_u")
+    sim = units.withColumn("_t", target).withColumn("sim", dot(F.col("_u"), F.col("_t")))
+    return sim.where(F.col("sim") >= thr).drop("_u", "_t")
 
 
 # --- neighbours ----------------------------------------------------------------------

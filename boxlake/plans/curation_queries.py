@@ -346,9 +346,13 @@ query("v13_gate", """SELECT false AS ok, CAST(12 AS BIGINT) AS n_checks, 'source
     lambda v: q.report_status(q.verify(**verify_inputs(v, bad=True))).withColumn("failed", F.concat_ws(",", "failed")))
 
 
-@query("s18_report_lines", """SELECT 1 AS pos, '- **PASS** `source_packs` — missing packs=0' AS line""", "v_crop")
-def _(v):
-    return q.report_markdown(q.source_packs(rids(v).select("rid"), v("v_crop").select("rid").distinct()))
+query("s18_report_lines", f"""{_HEAD} SELECT * FROM (VALUES (1, '- **PASS** `source_packs` — missing packs=0'),
+ (2, (SELECT concat('- **PASS** `bbox_layers` — features=', CAST(sum(n) AS BIGINT), ' fewest per id=', min(n)) FROM rids)), (3, '- **PASS** `crops_exported` — missing crops=0'),
+ (4, '- **PASS** `rid_overlap` — shared ids=0'), (5, '- **PASS** `val_rids_locked` — extra=0 absent=0'), (6, '- **PASS** `split_mode` — split_mode=rid_holdout'),
+ (7, (SELECT concat('- **PASS** `crop_counts` — train=', count(*) FILTER (split = 'train'), ' val=', count(*) FILTER (split = 'val')) FROM members)),
+ (8, concat('- **PASS** `class_stats` — ', {_CLASS})), (9, (SELECT concat('- **PASS** `label_sanity` — bad labels=0 of ', least(8, count(*))) FROM sizes)),
+ (10, '- **PASS** `path_leakage` — shared paths=0'), (11, '- **PASS** `wid_leakage` — shared sheets=0'), (12, '- **PASS** `zoom_sanity` — other zooms=0')) t(pos, line)""", "v_crop")(
+    lambda v: q.report_markdown(q.verify(**verify_inputs(v))))
 
 
 @query("a5_request_sizes", """SELECT rid, count(DISTINCT wid) AS n_sheets, count(*) FILTER (geometry_type = 3) AS n_boxed FROM v_feature GROUP BY rid""", "v_feature")

@@ -117,7 +117,7 @@ def _(v):
 _CAPPED = PROTO.replace("FROM v_emb WHERE split = 'train')", "FROM capped)")
 _BUNDLE = (f"WITH {KS}, capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('0|', id)), id) AS cr FROM v_emb WHERE split = 'train') WHERE cr <= 64), {_CAPPED}, "
            + CROP.format(src="v_emb WHERE split = 'val'") + ", pc AS (SELECT label, count(*) AS rel FROM proto GROUP BY label), assign AS (SELECT id, label, pl AS pred FROM near WHERE r = 1), "
-           + _ARI.replace("SELECT CASE WHEN fn", "arit AS (SELECT CASE WHEN fn") + "), pm AS (" + long_metrics("proto", "near", "pl = q.label", "(SELECT count(*) FROM proto)", "pc")
+           + _ARI.replace("SELECT CASE WHEN fn", ", arit AS (SELECT CASE WHEN fn") + "), pm AS (" + long_metrics("proto", "near", "pl = q.label", "(SELECT count(*) FROM proto)", "pc")
            + "), cm AS (" + long_metrics("crop", "loo", "gl = q.label", "(SELECT n FROM tot)", "sz") + "), bundle AS (SELECT 'ari' AS kind, CAST(0 AS BIGINT) AS k, 'ari' AS metric, round(ari, 9) AS value FROM arit "
            "UNION ALL SELECT * FROM pm UNION ALL SELECT * FROM cm UNION ALL SELECT 'acc1', k, metric, value FROM pm WHERE k = 1 AND metric = 'accuracy')")
 

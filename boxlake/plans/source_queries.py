@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxlake import schemas
-from boxlake.functions.numeric import rint
-from boxlake.operators.retrieval import top_classes
+from boxlake.functions.numeric import round_exact_sql
 from boxlake.plans.registry import query
 from boxlake.sources import readers as rd
 from boxlake.sources import writers as wr
@@ -191,7 +190,8 @@ def _(v):
     return rd.catalogue(v("pages").select(F.concat(i, F.lit(".json")).alias("file"), run.alias("r")).select("file", "r.*"))
 
 
-@query("p32_layer_polygons", """SELECT CAST(page_id AS VARCHAR) AS file, 'L' AS name, CAST(page_id % 5 AS INTEGER) AS layer_order, round(page_id * 0.75::DOUBLE, 1) AS x0, round((page_id + 7) * 0.75::DOUBLE, 1) AS x1, 3 AS n FROM pages""")
+@query("p32_layer_polygons", f"""SELECT file, name, layer_order, {round_exact_sql('a', 1)} AS x0, {round_exact_sql('b', 1)} AS x1, n FROM (SELECT CAST(page_id AS VARCHAR) AS file, 'L' AS name,
+ CAST(page_id % 5 AS INTEGER) AS layer_order, page_id * 0.75::DOUBLE AS a, (page_id + 7) * 0.75::DOUBLE AS b, 3::INTEGER AS n FROM pages)""")
 def _(v):
     p = F.col("page_id").cast("string")
     q = (F.col("page_id") + 7).cast("string")
@@ -265,5 +265,3 @@ def _(v):
     c = v("v_pred").select(F.from_json(line, schemas.CANDIDATES).alias("c")).select("c.*")
     return c.groupBy("split").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.count_distinct("wid").alias("sheets"))
 
-
-__all__ = ["documents", "features", "placed", "rint", "top_classes"]
