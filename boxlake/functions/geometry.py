@@ -46,16 +46,21 @@ class Box(NamedTuple):
 
 
 def intersection(a: Box, b: Box) -> Column:
+    """Overlap area. Kept short: it sits in join conditions, and a long one is not compiled."""
     iw = F.least(a.x1, b.x1) - F.greatest(a.x, b.x)
     ih = F.least(a.y1, b.y1) - F.greatest(a.y, b.y)
-    return F.when((iw > 0) & (ih > 0), iw * ih).otherwise(F.lit(0))
+    return F.greatest(iw, F.lit(0)) * F.greatest(ih, F.lit(0))
+
+
+def iou_of(inter: Column, a: Box, b: Box) -> Column:
+    """IoU from a known overlap area; 0 when the union is empty."""
+    union = a.w * a.h + b.w * b.h - inter
+    return F.when(union > 0, inter.cast("double") / union).otherwise(F.lit(0.0))
 
 
 def iou(a: Box, b: Box) -> Column:
     """Intersection over union; 0 when the boxes do not overlap or the union is empty."""
-    inter = intersection(a, b)
-    union = a.w * a.h + b.w * b.h - inter
-    return F.when((inter > 0) & (union > 0), inter.cast("double") / union).otherwise(F.lit(0.0))
+    return iou_of(intersection(a, b), a, b)
 
 
 def center(b: Box) -> tuple[Column, Column]:

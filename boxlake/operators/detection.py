@@ -36,41 +36,58 @@ def sweep_grid(spark, models: str, filters: str, gts: str) -> DataFrame:
 # --- per-sheet evaluation ------------------------------------------------------------
 
 
-def sheet_counts(pred: DataFrame, gt: DataFrame, keys: Sequence[str]) -> DataFrame:
+def repeat_for(df: DataFrame, combos: Column | None) -> DataFrame:
+    """One copy per swept combination: ``combos`` is a short literal array of structs."""
+    return df if combos is None else df.withColumn("_c", F.explode(combos)).select("*", "_c.*").drop("_c")
+
+
+def sheet_counts(pred: DataFrame, gt: DataFrame, keys: Sequence[str], gt_keys: Sequence[str] | None = None,
+                 combos: Column | None = None) -> DataFrame:
     """n_pred and n_gt for every key present on either side."""
-    keys = list(keys)
+    keys, gt_keys = list(keys), list(gt_keys or keys)
     p = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
-    g = gt.groupBy(*keys).agg(F.count("*").alias("n_gt"))
+    g = repeat_for(gt.groupBy(*gt_keys).agg(F.count("*").alias("n_gt")), combos)
     return p.join(g, keys, "full_outer").select(
         *keys, F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
 
 
-def center_counts(pred: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: predictions that hold a point (pred_hits) and points held (gt_found)."""
-    keys = list(keys)
-    hb, hp = containment_hits(pred, points, keys)
+def center_counts(pred: DataFrame, points: DataFrame, keys: Sequence[str], gt_keys: Sequence[str] | None = None,
+                  combos: Column | None = None) -> DataFrame:
+    """Per key: predictions that hold a point (pred_hits) and points held (gt_found).
+
+    Both sides are counted per distinct geometry first; only distinct points are repeated for
+    the swept combinations.
+    """
+    keys, gt_keys = list(keys), list(gt_keys or keys)
     n_box = pred.groupBy(*keys, *GEO).agg(F.count("*").alias("n"))
-    n_pt = points.groupBy(*keys, "px", "py").agg(F.count("*").alias("n"))
-    b = n_box.join(hb, [*keys, *GEO], "left_semi").groupBy(*keys).agg(F.sum("n").alias("pred_hits"))
-    p = n_pt.join(hp, [*keys, "px", "py"], "left_semi").groupBy(*keys).agg(F.sum("n").alias("gt_found"))
-    return b.join(p, keys, "full_outer")
+    n_pt = repeat_for(points.groupBy(*gt_keys, "px", "py").agg(F.count("*").alias("n")), combos)
+    hb, hp = containment_hits(n_box, n_pt, keys, distinct=False, carry=["n"])
+    b = hb.groupBy(*keys).agg(F.sum("n").alias("pred_hits"))
+    return b.join(hp.groupBy(*keys).agg(F.sum("n").alias("gt_found")), keys, "full_outer")
 
 
-def evaluate_sheets(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5) -> DataFrame:
-    """Raw counters per key: n_pred, n_gt, pred_hits, gt_found, matches, iou_sum."""
+def evaluate_sheets(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
+                    gt_keys: Sequence[str] | None = None, combos: Column | None = None) -> DataFrame:
+    """Raw counters per key: n_pred, n_gt, pred_hits, gt_found, matches, iou_sum.
+
+    For a sweep the predictions carry the combination in ``keys`` while the ground truth has
+    ``gt_keys`` only; ``combos`` lists the combinations.
+    """
     keys = list(keys)
-    m = (match_one_to_one(pred, gt, keys, thr).groupBy(*keys)
+    m = (match_one_to_one(pred, gt, keys, thr, gt_keys=gt_keys).groupBy(*keys)
          .agg(F.count("*").alias("matches"), F.sum("iou").alias("iou_sum")))
-    out = (sheet_counts(pred, gt, keys)
-           .join(center_counts(pred, with_center(gt), keys), keys, "left")
+    out = (sheet_counts(pred, gt, keys, gt_keys, combos)
+           .join(center_counts(pred, with_center(gt), keys, gt_keys, combos), keys, "left")
            .join(m, keys, "left"))
     return out.fillna(0, ["pred_hits", "gt_found", "matches"]).fillna(0.0, ["iou_sum"])
 
 
-def evaluate_sheets_points(pred: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+def evaluate_sheets_points(pred: DataFrame, points: DataFrame, keys: Sequence[str],
+                           gt_keys: Sequence[str] | None = None, combos: Column | None = None) -> DataFrame:
     """The same counters against points (px, py); the IoU part is zero."""
     keys = list(keys)
-    out = sheet_counts(pred, points, keys).join(center_counts(pred, points, keys), keys, "left")
+    out = (sheet_counts(pred, points, keys, gt_keys, combos)
+           .join(center_counts(pred, points, keys, gt_keys, combos), keys, "left"))
     return (out.fillna(0, ["pred_hits", "gt_found"])
             .withColumn("matches", F.lit(0).cast("bigint")).withColumn("iou_sum", F.lit(0.0)))
 

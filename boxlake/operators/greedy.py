@@ -110,18 +110,21 @@ def _greedy_rounds(nodes: DataFrame, keys: list[str], conflict: Conflict, cell:
 
 def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
                      pred_id: str = "pred_id", gt_id: str = "gt_id", cell: float = CELL,
-                     max_rounds: int = 1000) -> DataFrame:
+                     max_rounds: int = 1000, gt_keys: Sequence[str] | None = None) -> DataFrame:
     """Greedy matching over pairs with IoU >= ``thr`` in the order (iou, pred, gt) descending.
 
     Returns (keys, pred_id, gt_id, iou). A round takes every pair that is first for both of
     its sides; taking it now or in sequence gives the same set. Identical boxes form a class
     with a count, and a class pair that is strictly best for both sides is used up at once:
-    its members pair off in id order.
+    its members pair off in id order. ``gt_keys`` names the keys the ground truth has when it
+    is shared by several detectors; it is then matched once per detector without being copied.
     """
     keys = list(keys)
+    gt_keys = list(gt_keys or keys)
+    extra = [k for k in keys if k not in gt_keys]
     pc = _classes(pred, keys, pred_id, "p")
-    gc = _classes(gt, keys, gt_id, "g")
-    base = iou_pairs(pc, gc, keys, thr, cell)
+    gc = _classes(gt, gt_keys, gt_id, "g")
+    base = iou_pairs(pc, gc, gt_keys, thr, cell).withColumnsRenamed({f"a_{k}": k for k in extra})
     edges = cut(base.select(
         *keys, "iou",
         *[F.col(f"a_{c}").alias(c) for c in ("pc", "pn", "ptop")], F.lit(0).cast("bigint").alias("pused"),
@@ -129,7 +132,7 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
     multi = edges.agg(F.max((F.col("pn") > 1).cast("int")).alias("p"), F.max((F.col("gn") > 1).cast("int")).alias("g"),
                       F.max(((F.col("pn") > 1) & (F.col("gn") > 1)).cast("int")).alias("both")).first()
     p_ranks = _member_ranks(pred, pc, keys, pred_id, "p") if multi.p else None
-    g_ranks = _member_ranks(gt, gc, keys, gt_id, "g") if multi.g else None
+    g_ranks = _member_ranks(gt, gc, gt_keys, gt_id, "g") if multi.g else None
 
     parts: list[DataFrame] = []
     for _ in range(max_rounds):
@@ -138,13 +141,14 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
         marked = cut(_mark_round(edges, keys, bool(multi.both)))
         taken = marked.where(F.col("take") > 0)
         parts.append(taken.select(*keys, "iou", "pc", "gc", "pused", "gused", "take"))
-        edges = cut(_advance(marked, taken, keys, p_ranks, g_ranks))
+        edges = cut(_advance(marked, taken, keys, gt_keys, p_ranks, g_ranks))
     else:
         raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
     if not parts:
-        return pred.join(gt.select(*keys, gt_id), keys).select(
-            *keys, pred_id, gt_id, F.lit(0.0).alias("iou")).limit(0)
-    return _expand(reduce(DataFrame.unionByName, parts), keys, pred_id, gt_id, p_ranks, g_ranks)
+        none = pred.sparkSession.createDataFrame([], gt.select(gt_id).schema)
+        return pred.select(*keys, pred_id).limit(0).join(none, F.col(pred_id) == F.col(gt_id)).select(
+            *keys, pred_id, gt_id, F.lit(0.0).alias("iou"))
+    return _expand(reduce(DataFrame.unionByName, parts), keys, gt_keys, pred_id, gt_id, p_ranks, g_ranks)
 
 
 def _classes(df: DataFrame, keys: list[str], id_col: str, s: str) -> DataFrame:
@@ -177,11 +181,11 @@ def _mark_round(edges: DataFrame, keys: list[str], batch: bool) -> DataFrame:
             .withColumn("take", take).drop("bp", "bg", "tp", "tg"))
 
 
-def _advance(marked: DataFrame, taken: DataFrame, keys: list[str],
+def _advance(marked: DataFrame, taken: DataFrame, keys: list[str], gt_keys: list[str],
              p_ranks: DataFrame | None, g_ranks: DataFrame | None) -> DataFrame:
     """Edges of the classes that still have members, with their new first members."""
     e = marked.drop("take")
-    for s, ranks in (("p", p_ranks), ("g", g_ranks)):
+    for s, ranks, own in (("p", p_ranks, keys), ("g", g_ranks, gt_keys)):
         used = taken.select(*keys, f"{s}c", F.col("take").alias("_t"))
         if ranks is None:
             e = e.join(used, [*keys, f"{s}c"], "left_anti")
@@ -189,13 +193,13 @@ def _advance(marked: DataFrame, taken: DataFrame, keys: list[str],
         e = (e.join(used, [*keys, f"{s}c"], "left")
              .withColumn(f"{s}used", F.col(f"{s}used") + F.coalesce("_t", F.lit(0))).drop("_t")
              .where(F.col(f"{s}used") < F.col(f"{s}n")))
-        head = ranks.select(*keys, f"{s}c", F.col(f"{s}rank").alias(f"{s}used"), F.col(f"{s}id").alias("_top"))
-        e = (e.join(head, [*keys, f"{s}c", f"{s}used"], "left")
+        head = ranks.select(*own, f"{s}c", F.col(f"{s}rank").alias(f"{s}used"), F.col(f"{s}id").alias("_top"))
+        e = (e.join(head, [*own, f"{s}c", f"{s}used"], "left")
              .withColumn(f"{s}top", F.coalesce("_top", F.col(f"{s}c"))).drop("_top"))
     return e
 
 
-def _expand(m: DataFrame, keys: list[str], pred_id: str, gt_id: str,
+def _expand(m: DataFrame, keys: list[str], gt_keys: list[str], pred_id: str, gt_id: str,
             p_ranks: DataFrame | None, g_ranks: DataFrame | None) -> DataFrame:
     """Class matches back to member pairs by position."""
     if p_ranks is None:
@@ -210,6 +214,6 @@ def _expand(m: DataFrame, keys: list[str], pred_id: str, gt_id: str,
     if g_ranks is None:
         m = m.withColumn("_gid", F.col("gc"))
     else:
-        r = g_ranks.select(*keys, "gc", F.col("grank").alias("_gr"), F.col("gid").alias("_m"))
-        m = m.join(r, [*keys, "gc", "_gr"], "left").withColumn("_gid", F.coalesce("_m", "gc"))
+        r = g_ranks.select(*gt_keys, "gc", F.col("grank").alias("_gr"), F.col("gid").alias("_m"))
+        m = m.join(r, [*gt_keys, "gc", "_gr"], "left").withColumn("_gid", F.coalesce("_m", "gc"))
     return m.select(*keys, F.col("_pid").alias(pred_id), F.col("_gid").alias(gt_id), "iou")

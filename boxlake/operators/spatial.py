@@ -50,11 +50,10 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float =
     ca = cover_boxes(prefixed(a, "a_", keys), "a_", cell)
     cb = cover_boxes(prefixed(b, "b_", keys), "b_", cell)
     ba, bb = Box.cols("a_"), Box.cols("b_")
-    return (ca.join(cb, [*keys, "_cx", "_cy"])
-            .where((intersection(ba, bb) > 0)
-                   & (_cell(F.greatest(ba.x, bb.x), cell) == F.col("_cx"))
-                   & (_cell(F.greatest(ba.y, bb.y), cell) == F.col("_cy")))
-            .drop("_cx", "_cy"))
+    x0, y0 = F.greatest(ba.x, bb.x), F.greatest(ba.y, bb.y)
+    meet = (F.least(ba.x1, bb.x1) > x0) & (F.least(ba.y1, bb.y1) > y0)
+    own = (_cell(x0, cell) == F.col("_cx")) & (_cell(y0, cell) == F.col("_cy"))
+    return ca.join(cb, [*keys, "_cx", "_cy"]).where(meet & own).drop("_cx", "_cy")
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float, cell: float = CELL) -> DataFrame:
@@ -66,23 +65,32 @@ def iou_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float, cell:
 # --- containment ---------------------------------------------------------------------
 
 
-def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str],
-                     cell: float = CELL) -> tuple[DataFrame, DataFrame]:
-    """Distinct boxes that hold a point, and distinct points (px, py) held by a box."""
-    keys = list(keys)
-    ub = boxes.select(*keys, *GEO).distinct()
-    up = points.select(*keys, "px", "py").distinct()
+def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str], cell: float = CELL,
+                     distinct: bool = True, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct boxes that hold a point, and distinct points (px, py) held by a box.
+
+    ``distinct=False`` says the inputs hold each geometry once already; ``carry`` columns
+    (functions of the geometry) are then kept.
+    """
+    keys, carry = list(keys), list(carry)
+    ub = boxes.select(*keys, *GEO, *carry)
+    up = points.select(*keys, "px", "py", *carry)
+    if distinct:
+        ub, up = ub.distinct(), up.distinct()
+    at = [*keys, "_cx", "_cy"]
     cb = cover_boxes(ub, cell=cell)
     cp = place_points(up, "px", "py", cell)
+    inside = contains(Box.cols(), F.col("px"), F.col("py"))
 
-    def on(left: DataFrame, right: DataFrame) -> Column:
-        cond = contains(Box.cols(), F.col("px"), F.col("py"))
-        for k in [*keys, "_cx", "_cy"]:
+    def same_cell(left: DataFrame, right: DataFrame) -> Column:
+        cond = inside
+        for k in at:
             cond = cond & (left[k] == right[k])
         return cond
 
-    hit_boxes = cb.join(cp, on(cb, cp), "left_semi").select(*keys, *GEO).distinct()
-    hit_points = cp.join(cb, on(cp, cb), "left_semi").select(*keys, "px", "py")
+    spots, covers = cp.select(*at, "px", "py"), cb.select(*at, *GEO)
+    hit_boxes = cb.join(spots, same_cell(cb, spots), "left_semi").select(*keys, *GEO, *carry).distinct()
+    hit_points = cp.join(covers, same_cell(cp, covers), "left_semi").select(*keys, "px", "py", *carry)
     return hit_boxes, hit_points
 
 

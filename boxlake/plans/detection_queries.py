@@ -61,18 +61,15 @@ MODELS = ["click", "view", "purchase", "error", "signup"]
 FILTERS = ["none", "median"]
 
 
-def sweep_inputs(v: Views):
-    """Predictions, and ground truth once per swept combination (a fixed, short literal list)."""
-    grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("filt")) for m in MODELS for f in FILTERS])
-    return v("v_pred"), v("v_gt").withColumn("_c", F.explode(grid)).select("*", "_c.*").drop("_c")
+def combos():
+    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("filt")) for m in MODELS for f in FILTERS])
 
 
 def flagship(v: Views):
-    pred, gt = sweep_inputs(v)
-    keys = [*COMBO, "sheet_id"]
-    boxes = det.evaluate_sheets(pred, gt, keys).withColumn("gt_mode", F.lit("bboxes"))
-    pts = gt.select(*keys, (F.col("x") + F.floor(F.col("w") / 2)).alias("px"), (F.col("y") + F.floor(F.col("h") / 2)).alias("py"))
-    points = det.evaluate_sheets_points(pred, pts, keys).withColumn("gt_mode", F.lit("points"))
+    pred, gt, keys = v("v_pred"), v("v_gt"), [*COMBO, "sheet_id"]
+    boxes = det.evaluate_sheets(pred, gt, keys, 0.5, SHEET, combos()).withColumn("gt_mode", F.lit("bboxes"))
+    pts = v("v_point").withColumnsRenamed({"x": "px", "y": "py"})
+    points = det.evaluate_sheets_points(pred, pts, keys, SHEET, combos()).withColumn("gt_mode", F.lit("points"))
     return det.sweep(boxes.unionByName(points), ["gt_mode", *COMBO])
 
 
@@ -108,8 +105,8 @@ query("a11_sweep", _SWEEP, "v_pred", "v_gt", "v_point", "v_sheet")(flagship)
 
 @query("a11_sweep_per_sheet")
 def _(v):
-    pred, gt = sweep_inputs(v)
-    return det.sheet_metrics(det.evaluate_sheets(pred, gt, [*COMBO, "sheet_id"]), [*COMBO, "sheet_id"])
+    keys = [*COMBO, "sheet_id"]
+    return det.sheet_metrics(det.evaluate_sheets(v("v_pred"), v("v_gt"), keys, 0.5, SHEET, combos()), keys)
 
 
 @query("j19_sweep_grid", """SELECT g.gt_mode, m.model, f.filt, s.n AS n_sheets FROM (VALUES ('bboxes'), ('points')) g(gt_mode),

@@ -61,6 +61,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# tables that feed costly expressions (spatial covers, JSON, text scans)
+HEAVY = {"events", "orders", "documents"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that is a single small file; a lake table with at least as
+    many splits as cores is left alone, so this never shuffles large data."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Views:
     """Lazy access to tables and views of one data folder."""
 
@@ -69,7 +80,8 @@ class Views:
 
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")) if name in HEAVY else (
+                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         sql, deps = VIEWS[name]
         return self.spark.sql(sql.replace("{three}", "explode(sequence(0, 2))"), **{d: self(d) for d in deps})
 
