@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions.geometry import Box
 from boxlake.functions.numeric import f1, prf_columns, ratio, round_exact
 from boxlake.functions.text import draw_key
-from boxlake.operators.greedy import match_one_to_one
+from boxlake.operators.greedy import box_classes, match_one_to_one
 from boxlake.operators.ranking import exact_rank, hash_rank, top_n
 from boxlake.operators.spatial import (CELL, GEO, containment_hits, flag_hits, iou_pairs, max_iou, overlap_pairs,
                                        with_center)
+from boxlake.session import cut
 
 
 # --- sweep grid ----------------------------------------------------------------------
@@ -41,53 +42,57 @@ def repeat_for(df: DataFrame, combos: Column | None) -> DataFrame:
     return df if combos is None else df.withColumn("_c", F.explode(combos)).select("*", "_c.*").drop("_c")
 
 
-def sheet_counts(pred: DataFrame, gt: DataFrame, keys: Sequence[str], gt_keys: Sequence[str] | None = None,
+def sheet_counts(boxes: DataFrame, gt: DataFrame, keys: Sequence[str], gt_keys: Sequence[str],
                  combos: Column | None = None) -> DataFrame:
-    """n_pred and n_gt for every key present on either side."""
-    keys, gt_keys = list(keys), list(gt_keys or keys)
-    p = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
+    """n_pred and n_gt for every key present on either side; ``boxes`` are counted distinct boxes."""
+    keys = list(keys)
+    p = boxes.groupBy(*keys).agg(F.sum("pn").alias("n_pred"))
     g = repeat_for(gt.groupBy(*gt_keys).agg(F.count("*").alias("n_gt")), combos)
     return p.join(g, keys, "full_outer").select(
         *keys, F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
 
 
-def center_counts(pred: DataFrame, points: DataFrame, keys: Sequence[str], gt_keys: Sequence[str] | None = None,
+def center_counts(boxes: DataFrame, points: DataFrame, keys: Sequence[str], gt_keys: Sequence[str],
                   combos: Column | None = None) -> DataFrame:
     """Per key: predictions that hold a point (pred_hits) and points held (gt_found).
 
-    Both sides are counted per distinct geometry first; only distinct points are repeated for
-    the swept combinations.
+    Both sides are counted per distinct geometry; only distinct points are repeated for the
+    swept combinations.
     """
-    keys, gt_keys = list(keys), list(gt_keys or keys)
-    n_box = pred.groupBy(*keys, *GEO).agg(F.count("*").alias("n"))
-    n_pt = repeat_for(points.groupBy(*gt_keys, "px", "py").agg(F.count("*").alias("n")), combos)
-    hb, hp = containment_hits(n_box, n_pt, keys, distinct=False, carry=["n"])
-    b = hb.groupBy(*keys).agg(F.sum("n").alias("pred_hits"))
-    return b.join(hp.groupBy(*keys).agg(F.sum("n").alias("gt_found")), keys, "full_outer")
+    keys = list(keys)
+    n_pt = repeat_for(points.groupBy(*gt_keys, "px", "py").agg(F.count("*").alias("pn")), combos)
+    hb, hp = containment_hits(boxes, n_pt, keys, distinct=False, carry=["pn"])
+    b = hb.groupBy(*keys).agg(F.sum("pn").alias("pred_hits"))
+    return b.join(hp.groupBy(*keys).agg(F.sum("pn").alias("gt_found")), keys, "full_outer")
 
 
 def evaluate_sheets(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
-                    gt_keys: Sequence[str] | None = None, combos: Column | None = None) -> DataFrame:
+                    gt_keys: Sequence[str] | None = None, combos: Column | None = None,
+                    boxes: DataFrame | None = None) -> DataFrame:
     """Raw counters per key: n_pred, n_gt, pred_hits, gt_found, matches, iou_sum.
 
     For a sweep the predictions carry the combination in ``keys`` while the ground truth has
-    ``gt_keys`` only; ``combos`` lists the combinations.
+    ``gt_keys`` only; ``combos`` lists the combinations. Predictions are collapsed to counted
+    distinct boxes once (``boxes`` when the caller has them) and every part reads those.
     """
-    keys = list(keys)
-    m = (match_one_to_one(pred, gt, keys, thr, gt_keys=gt_keys).groupBy(*keys)
+    keys, gt_keys = list(keys), list(gt_keys or keys)
+    boxes = cut(box_classes(pred, keys)) if boxes is None else boxes
+    m = (match_one_to_one(pred, gt, keys, thr, gt_keys=gt_keys, pred_classes=boxes).groupBy(*keys)
          .agg(F.count("*").alias("matches"), F.sum("iou").alias("iou_sum")))
-    out = (sheet_counts(pred, gt, keys, gt_keys, combos)
-           .join(center_counts(pred, with_center(gt), keys, gt_keys, combos), keys, "left")
+    out = (sheet_counts(boxes, gt, keys, gt_keys, combos)
+           .join(center_counts(boxes, with_center(gt), keys, gt_keys, combos), keys, "left")
            .join(m, keys, "left"))
     return out.fillna(0, ["pred_hits", "gt_found", "matches"]).fillna(0.0, ["iou_sum"])
 
 
 def evaluate_sheets_points(pred: DataFrame, points: DataFrame, keys: Sequence[str],
-                           gt_keys: Sequence[str] | None = None, combos: Column | None = None) -> DataFrame:
+                           gt_keys: Sequence[str] | None = None, combos: Column | None = None,
+                           boxes: DataFrame | None = None) -> DataFrame:
     """The same counters against points (px, py); the IoU part is zero."""
-    keys = list(keys)
-    out = (sheet_counts(pred, points, keys, gt_keys, combos)
-           .join(center_counts(pred, points, keys, gt_keys, combos), keys, "left"))
+    keys, gt_keys = list(keys), list(gt_keys or keys)
+    boxes = box_classes(pred, keys) if boxes is None else boxes
+    out = (sheet_counts(boxes, points, keys, gt_keys, combos)
+           .join(center_counts(boxes, points, keys, gt_keys, combos), keys, "left"))
     return (out.fillna(0, ["pred_hits", "gt_found"])
             .withColumn("matches", F.lit(0).cast("bigint")).withColumn("iou_sum", F.lit(0.0)))
 
@@ -190,11 +195,12 @@ def covering_choice(masks: DataFrame, points: DataFrame, keys: Sequence[str], cr
     from boxlake.operators.spatial import cover_boxes, place_points, prefixed
 
     m = masks.where((F.col("w") * F.col("h")) <= max_box_frac * crop_area)
-    pt = place_points(prefixed(points.select(*keys, "pt_idx", "x", "y"), "p_", keys), "p_x", "p_y")
+    # points on one position share their box, so positions are joined once
+    pt = place_points(prefixed(points.select(*keys, "x", "y").distinct(), "p_", keys), "p_x", "p_y")
     hit = (cover_boxes(m).join(pt, [*keys, "_cx", "_cy"])
            .where(contains(Box.cols(), F.col("p_x"), F.col("p_y")))
            .withColumn("area", F.col("w") * F.col("h")))
-    point = [*keys, "p_pt_idx"]
+    point = [*keys, "p_x", "p_y"]
     mid = hit.groupBy(*point).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY area DESC)").alias("_med"))
     near = F.col("area") <= size_ratio * F.col("_med")
     x1, y1 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
@@ -209,9 +215,11 @@ def covering_choice(masks: DataFrame, points: DataFrame, keys: Sequence[str], cr
     def pick(core: str, union: str) -> Column:
         return F.when(big, F.col(f"core.{core}")).otherwise(F.col(union))
 
-    return agg.select(*keys, F.col("p_pt_idx").alias("pt_idx"), pick("x", "ux0").alias("x0"),
-                      pick("y", "uy0").alias("y0"), pick("x1", "ux1").alias("x1"), pick("y1", "uy1").alias("y1"),
-                      pick("score", "us").alias("score"))
+    spots = agg.select(*keys, F.col("p_x").alias("x"), F.col("p_y").alias("y"), pick("x", "ux0").alias("x0"),
+                       pick("y", "uy0").alias("y0"), pick("x1", "ux1").alias("x1"), pick("y1", "uy1").alias("y1"),
+                       pick("score", "us").alias("score"))
+    return (points.select(*keys, "pt_idx", "x", "y").join(spots, [*keys, "x", "y"])
+            .select(*keys, "pt_idx", "x0", "y0", "x1", "y1", "score"))
 
 
 def best_mask(masks: DataFrame, keys: Sequence[str], within: Column | None = None) -> DataFrame:
@@ -258,7 +266,6 @@ def boxes_to_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], id
 def nearest_point(boxes: DataFrame, pts: DataFrame, keys: Sequence[str], id_col: str, reach: float = 4 * CELL) -> DataFrame:
     """Nearest point to each box centre, widening the search only for boxes still open."""
     from boxlake.operators.spatial import place_points, prefixed
-    from boxlake.session import cut
 
     keys = list(keys)
     pts = cut(pts.select(*keys, "x", "y", "pt_idx"))

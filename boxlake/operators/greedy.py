@@ -110,7 +110,8 @@ def _greedy_rounds(nodes: DataFrame, keys: list[str], conflict: Conflict, cell:
 
 def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
                      pred_id: str = "pred_id", gt_id: str = "gt_id", cell: float = CELL,
-                     max_rounds: int = 1000, gt_keys: Sequence[str] | None = None) -> DataFrame:
+                     max_rounds: int = 1000, gt_keys: Sequence[str] | None = None,
+                     pred_classes: DataFrame | None = None) -> DataFrame:
     """Greedy matching over pairs with IoU >= ``thr`` in the order (iou, pred, gt) descending.
 
     Returns (keys, pred_id, gt_id, iou). A round takes every pair that is first for both of
@@ -118,11 +119,12 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
     with a count, and a class pair that is strictly best for both sides is used up at once:
     its members pair off in id order. ``gt_keys`` names the keys the ground truth has when it
     is shared by several detectors; it is then matched once per detector without being copied.
+    ``pred_classes`` is ``box_classes(pred)`` when the caller has it already.
     """
     keys = list(keys)
     gt_keys = list(gt_keys or keys)
     extra = [k for k in keys if k not in gt_keys]
-    pc = _classes(pred, keys, pred_id, "p")
+    pc = pred_classes if pred_classes is not None else box_classes(pred, keys, pred_id)
     gc = _classes(gt, gt_keys, gt_id, "g")
     base = iou_pairs(pc, gc, gt_keys, thr, cell).withColumnsRenamed({f"a_{k}": k for k in extra})
     edges = cut(base.select(
@@ -151,6 +153,11 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
     return _expand(reduce(DataFrame.unionByName, parts), keys, gt_keys, pred_id, gt_id, p_ranks, g_ranks)
 
 
+def box_classes(pred: DataFrame, keys: Sequence[str], pred_id: str = "pred_id") -> DataFrame:
+    """Distinct predicted boxes per key with their member count."""
+    return _classes(pred, list(keys), pred_id, "p")
+
+
 def _classes(df: DataFrame, keys: list[str], id_col: str, s: str) -> DataFrame:
     """One row per distinct box: class id = largest member id, member count."""
     return df.groupBy(*keys, *GEO).agg(

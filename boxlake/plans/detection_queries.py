@@ -11,6 +11,7 @@ from boxlake.functions.text import fingerprint
 from boxlake.operators import detection as det
 from boxlake.operators import greedy, spatial
 from boxlake.plans.registry import Views, query
+from boxlake.session import cut
 
 IOU = """CASE WHEN least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)
  THEN CAST((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS DOUBLE)
@@ -67,9 +68,10 @@ def combos():
 
 def flagship(v: Views):
     pred, gt, keys = v("v_pred"), v("v_gt"), [*COMBO, "sheet_id"]
-    boxes = det.evaluate_sheets(pred, gt, keys, 0.5, SHEET, combos()).withColumn("gt_mode", F.lit("bboxes"))
+    counted = cut(greedy.box_classes(pred, keys))
+    boxes = det.evaluate_sheets(pred, gt, keys, 0.5, SHEET, combos(), counted).withColumn("gt_mode", F.lit("bboxes"))
     pts = v("v_point").withColumnsRenamed({"x": "px", "y": "py"})
-    points = det.evaluate_sheets_points(pred, pts, keys, SHEET, combos()).withColumn("gt_mode", F.lit("points"))
+    points = det.evaluate_sheets_points(pred, pts, keys, SHEET, combos(), counted).withColumn("gt_mode", F.lit("points"))
     return det.sweep(boxes.unionByName(points), ["gt_mode", *COMBO])
 
 
