@@ -1,21 +1,29 @@
 """Every registered query against its SQL, on the smallest data set; the rest must give rows."""
 
+import os
+
 import pytest
 
 from tests.duck import ORACLES, QUERIES, connect, duck_rows, spark_rows
 
 
+# variants of a query tested beside them; TEST_FULL=1 runs these too
+VARIANTS = {"a11_sweep_per_sheet", "a23_component_boxes", "e1_match_finish", "i1_suppress_loose", "i2_match_status",
+            "p34_flat_metrics", "s18_report_lines", "v13_gate", "w12_split_column_sparse", "w8_mine_negatives", "a10_sheet_prf"}
+SKIP = set() if os.environ.get("TEST_FULL") else VARIANTS
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SKIP))
 def test_same_as_sql(spark, sf_dir, con, name):
     assert spark_rows(spark, sf_dir, name) == duck_rows(con, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SKIP))
 def test_rows_only(spark, sf_dir, name):
     assert spark_rows(spark, sf_dir, name)[1]
 
