@@ -12,8 +12,7 @@ from boxlake.functions.numeric import f1, prf_columns, ratio, round_exact
 from boxlake.functions.text import draw_key
 from boxlake.operators.greedy import box_classes, match_one_to_one
 from boxlake.operators.ranking import exact_rank, hash_rank, top_n
-from boxlake.operators.spatial import (CELL, GEO, containment_hits, flag_hits, iou_pairs, max_iou, overlap_pairs,
-                                       with_center)
+from boxlake.operators.spatial import CELL, containment_hits, max_iou, with_center
 from boxlake.session import cut
 
 
@@ -322,8 +321,3 @@ def with_fallback(points: DataFrame, model: DataFrame, components: DataFrame, po
             .select(*point, F.coalesce("_m", "_c").alias("_b")).where(F.col("_b").isNotNull())
             .select(*point, "_b.*"))
 
-
-__all__ = ["sweep_grid", "sheet_counts", "center_counts", "evaluate_sheets", "evaluate_sheets_points",
-           "sheet_metrics", "sweep", "match_status", "label_candidates", "mine_negatives", "mining_tallies",
-           "covering_choice", "best_mask", "cap_detections", "first_rows", "boxes_to_points", "nearest_point",
-           "tighter_box", "one_box_per_point", "with_fallback", "flag_hits", "iou_pairs", "overlap_pairs"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
@@ -53,5 +52,3 @@ def skip_existing(requested: DataFrame, exported: DataFrame, force: bool = False
     """Requests whose crops are not exported yet."""
     return requested if force else requested.join(exported.select("rid").distinct(), "rid", "left_anti")
 
-
-__all__ = ["pending", "stored_units", "run_pending", "run_stream", "skip_existing", "F"]

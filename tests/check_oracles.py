@@ -1,53 +1,41 @@
-import sys,time,math,duckdb,os
-sys.path.insert(0,'/root/repo')
-from boxlake.session import build_session
-import __spark_entry__ as E
-sf=sys.argv[1]; pats=sys.argv[2:]
-s=build_session("check","local[8]",**{"spark.ui.enabled":"false","spark.sql.shuffle.partitions":"8","spark.driver.memory":"8g","spark.ui.showConsoleProgress":"false"})
-s.sparkContext.setLogLevel("ERROR")
-con=duckdb.connect()
-T="region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-for t in T: con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-Q,O=E.queries(),E.oracle_sql()
-def norm(v):
-    if v is None: return None
-    if isinstance(v,bool): return v
-    if isinstance(v,float):
-        return 'nan' if math.isnan(v) else (float(f"{v:.12g}"))
-    if isinstance(v,(list,tuple)): return tuple(norm(x) for x in v)
-    if hasattr(v,'asDict'): return tuple(norm(x) for x in v)
-    if isinstance(v,dict): return tuple(norm(x) for x in v.values())
-    return v
-bad=[]
-for n,f in Q.items():
-    if pats and not any(n.startswith(p) for p in pats): continue
-    t=time.time()
-    try:
-        d=f(s,sf); cols=sorted(d.columns); rows=[tuple(norm(r[c]) for c in cols) for r in d.collect()]
-    except Exception as e:
-        print("SPARK-ERR",n,str(e)[:700].replace("\n"," ")); bad.append(n); continue
-    ts=time.time()-t
-    if n not in O: print(f"rows-only {n} {len(rows)} {ts:.1f}s"); continue
-    t=time.time()
-    try:
-        r=con.execute(O[n]); oc=[x[0] for x in r.description]; ot={x[0]:str(x[1]) for x in r.description}; orow=r.fetchall()
-    except Exception as e:
-        print("DUCK-ERR",n,str(e)[:700]); bad.append(n); continue
-    td=time.time()-t
-    if sorted(oc)!=cols: print("COLS",n,cols,sorted(oc)); bad.append(n); continue
-    ix=[oc.index(c) for c in cols]
-    orow=[tuple(norm(r[i]) for i in ix) for r in orow]
-    key=lambda r: tuple((x is None, str(type(x)) if not isinstance(x,(int,float)) else '', x if x is not None else 0) if not isinstance(x,tuple) else (False,'t',str(x)) for x in r)
-    a,b=sorted(rows,key=key),sorted(orow,key=key)
-    st={x.name:x.dataType.simpleString() for x in d.schema}
-    m={'bigint':'BIGINT','int':'INTEGER','double':'DOUBLE','string':'VARCHAR','boolean':'BOOLEAN','float':'FLOAT'}
-    ty=[(c,st[c],ot[c]) for c in cols if m.get(st[c],st[c])!=ot[c]]
-    if a!=b:
-        print("MISMATCH",n,len(a),len(b)); bad.append(n)
-        k=0
-        for x,y in zip(a,b):
-            if x!=y:
-                print("   ",cols,"\n    S",x,"\n    D",y); k+=1
-                if k>=2: break
-    else: print(f"ok {n} {len(a)} spark {ts:.1f}s duck {td:.1f}s", ("TYPES "+str(ty)) if ty else "", "EMPTY" if not a else "")
-print("BAD",bad)
+"""Compare registered queries with DuckDB on a data folder: check_oracles.py DIR [name prefix...]"""
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from boxlake.session import build_session  # noqa: E402
+from tests.duck import ORACLES, QUERIES, connect, duck_rows, spark_rows  # noqa: E402
+
+
+def main() -> int:
+    sf_dir, prefixes = sys.argv[1], tuple(sys.argv[2:]) or ("",)
+    spark = build_session("check", "local[8]", **{
+        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    con, bad = connect(sf_dir), []
+    for name in sorted(n for n in QUERIES if n.startswith(prefixes)):
+        start = time.perf_counter()
+        try:
+            got = spark_rows(spark, sf_dir, name)
+            took = time.perf_counter() - start
+            if name not in ORACLES:
+                print(f"rows {name} {len(got[1])} {took:.1f}s", flush=True)
+                continue
+            want = duck_rows(con, name)
+        except Exception as e:  # report and go on with the next query
+            bad.append(name)
+            print(f"FAIL {name} {str(e)[:300]}", flush=True)
+            continue
+        if got != want:
+            bad.append(name)
+        print(f"{'ok' if got == want else 'DIFF'} {name} {len(got[1])} {took:.1f}s", flush=True)
+    print("bad:", bad)
+    return bool(bad)
+
+
+if __name__ == "__main__":
+    sys.exit(main())
