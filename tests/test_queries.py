@@ -32,5 +32,5 @@ def test_contract(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert not [n for n in e.queries() if "pipeline" in n or n.startswith("op")]
+    assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).columns
