@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from boxlake.llm.common import slices
 
@@ -203,9 +205,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", loss: Colu
 
     ``loss``: boolean column, whether a row's tokens bear loss (all by default). ``tokenizer``: path of a
     tokenizer file that every executor can read."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = (f"`{doc_id}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-              "`offset` long" + (", ids array<long>" if with_ids else ""))
+    schema = StructType([StructField(doc_id, docs.schema[doc_id].dataType)] + [StructField(c, LongType()) for c in (
+        "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    if with_ids:
+        schema = schema.add("ids", ArrayType(LongType()))
+    names, types = schema.names, to_arrow_schema(schema).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -222,11 +226,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", loss: Colu
         def table(found: list[list]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
-        types, names, found = arrow.types, arrow.names, []
+        found = []
         for n, b in enumerate(pack_split(rows(), limits)):
             at = 0
             for p in b.pieces:
