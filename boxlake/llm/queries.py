@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import html_extract, language_id, licenses, line_quality, packing, quality_rules, url_filter
+from boxlake.llm import html_extract, language_id, licenses, line_quality, near_dup, packing, quality_rules, url_filter
 from boxlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_quality": lambda spark, d: line_quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_quality_rules": lambda spark, d: quality_rules.digest(read(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: url_filter.digest(read(spark, d, "pages")),
+    "op7_near_dup": lambda spark, d: near_dup.digest(read(spark, d, "documents")),
     "op8_extract_html": lambda spark, d: html_extract.digest(read(spark, d, "pages")),
     "op9_pack": lambda spark, d: packing.digest(read(spark, d, "documents")),
     "op10_language_id": lambda spark, d: language_id.digest(read(spark, d, "documents")),
