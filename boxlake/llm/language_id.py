@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from boxlake.llm.common import fold, slices
 
@@ -54,14 +55,12 @@ class Space:
         is_letter = np.array([chr(c).isalpha() for c in alphabet])
         place = np.where(is_letter, np.cumsum(is_letter), 0)
         letters = np.concatenate([[0], alphabet[is_letter]])
-        sym, ends = place[at], np.flatnonzero(codes == 0)
-        # a null character inside a text is a boundary as any other; count ends by lengths instead
+        sym = place[at]
         sizes = np.array([len(t.lower()) + 1 for t in texts])
         doc = np.repeat(np.arange(len(texts)), sizes)
         keep = (sym > 0) | np.concatenate([[True], sym[:-1] > 0])
         has = np.bincount(doc, sym > 0, len(texts)) > 0
         sym, doc, n = sym[keep], doc[keep], len(letters)
-        del ends
         tri = (sym[:-2] * n + sym[1:-1]) * n + sym[2:] if len(sym) > 2 else np.empty(0, np.int64)
         own = doc[:-2] == doc[2:] if len(sym) > 2 else np.empty(0, bool)
         tri, doc = tri[own], doc[:-2][own] if len(sym) > 2 else doc[:0]
@@ -116,17 +115,17 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Profiles(languages, vectors / np.where(norm > 0, norm, 1), dims, seed)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score (cosine, 0 to 1)."""
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
-    schema = StructType([chosen.schema[i] for i in range(len(keep))]).add("lang_pred", StringType()).add("score", DoubleType())
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` with the language and its score (cosine, 0 to 1), called ``names``."""
+    source = text if text in keep else "_text"
+    chosen = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    schema = StructType([chosen.schema[i] for i in range(len(keep))]).add(names[0], StringType()).add(names[1], DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(profiles.dims, profiles.seed)
-        for b in slices(batches, "_text", 1 << 20):
-            vectors, has = space.documents([t or "" for t in b.column("_text").to_pylist()])
+        for b in slices(batches, source, 1 << 20):
+            vectors, has = space.documents([t or "" for t in b.column(source).to_pylist()])
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
             langs, score = [UNDETERMINED] * len(has), np.zeros(len(has))
             if profiles.languages:
@@ -135,12 +134,17 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
                 score = np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
                 langs = [profiles.languages[k] if h else UNDETERMINED for k, h in zip(best, has, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], pa.array(langs, pa.string()), pa.array(score.astype(float))],
-                [*keep, "lang_pred", "score"])
+                [*b.columns[:len(keep)], pa.array(langs, pa.string()), pa.array(score.astype(float))], [*keep, *names])
 
     return chosen.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", min_score: float = 0.1) -> DataFrame:
+    """The rows whose language is known: a letter, and some likeness to a learned language."""
+    judged = predict(docs, profiles, text, tuple(docs.columns), ("_lang_pred", "_lang_score"))
+    return judged.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     predicted = predict(docs, learn(docs))
     return predicted.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")

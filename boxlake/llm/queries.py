@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import html_extract, language_id, licenses, line_quality, near_dup, packing, quality_rules, url_filter
+from boxlake.llm import (
+    decontaminate, html_extract, language_id, licenses, line_quality, near_dup, packing, quality_rules, suffix_dedup, url_filter)
 from boxlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": lambda spark, d: decontaminate.digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op2_suffix_dedup": lambda spark, d: suffix_dedup.digest(read(spark, d, "documents")),
     "op3_license_scan": lambda spark, d: licenses.digest(read(spark, d, "documents")),
     "op4_line_quality": lambda spark, d: line_quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_quality_rules": lambda spark, d: quality_rules.digest(read(spark, d, "documents")),

@@ -67,6 +67,8 @@ class Group:
         texts = [t or b"" for t in table.column("t").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
         self.ids, self.texts, self.span = np.array([ids[k] for k in order], np.int64), [texts[k] for k in order], span
+        marks = table.column("h").to_pylist()
+        self.marks = [marks[k] for k in order]
 
     def slices(self) -> Iterator[tuple[int, list[bytes]]]:
         first, held = 0, 0
@@ -150,40 +152,37 @@ def _shared(table: pa.Table) -> pa.Table:
 class Chosen:
     """Segments of a group whose names several documents hold, equal ones counted once.
 
-    ``segments``: per distinct segment (bucket, short name, smallest document, windows, bytes), ordered by
-    bucket and then by first place; ``places``: per occurrence (slice, start, document, number of the segment).
-    The same group and names always give the same order."""
+    Per distinct segment, in order of bucket and then of first place: ``bucket``, ``short`` name, ``ids``
+    (smallest document) and ``pieces`` (bytes). ``places`` has per slice (first document, starts, documents,
+    numbers of the segments). The same group and names always give the same order."""
 
     def __init__(self, group: Group, answers: dict[int, np.ndarray], buckets: int):
         keys = [(np.uint64(b) << np.uint64(SHORT)) | v for b, v in answers.items()]
         known = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-        found: dict[bytes, int] = {}
-        rows, self.slices, places = [], [], []
+        number: dict[bytes, int] = {}
+        pieces, facts, places = [], [], []
         for data, first, names, starts, count, doc in group.segments() if len(known) else ():
             bucket, short = _place(names, buckets)
             key = (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             hit = np.flatnonzero(known[at] == key)
-            nos = np.empty(len(hit), np.int64)
+            nos, fresh = np.empty(len(hit), np.int64), []
             for k, (s, e) in enumerate(zip(starts[hit].tolist(), (starts[hit] + count[hit] + group.span - 1).tolist(), strict=True)):
                 piece = data[s:e]
-                no = found.setdefault(piece, len(rows))
-                if no == len(rows):
-                    rows.append((piece, hit[k], len(self.slices)))
-                nos[k] = no
-            self.slices.append((bucket[hit], short[hit], group.ids[first + doc[hit]], nos))
+                nos[k] = number.setdefault(piece, len(pieces))
+                if nos[k] == len(pieces):  # documents come in order of id, so the first to hold it is the smallest
+                    pieces.append(piece)
+                    fresh.append(hit[k])
+            facts.append((bucket[fresh], short[fresh], group.ids[first + doc[fresh]]))
             places.append((first, starts[hit], first + doc[hit], nos))
-        total = len(rows)
-        bucket, short, ids = np.zeros(total, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.int64)
-        for b, s, d, nos in reversed(self.slices):  # the first occurrence is written last and has the smallest id
-            bucket[nos[::-1]], short[nos[::-1]], ids[nos[::-1]] = b[::-1], s[::-1], d[::-1]
+        bucket, short, ids = (np.concatenate(x) for x in zip(*facts, strict=True)) if pieces else [np.empty(0, np.int64)] * 3
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(total, np.int64)
-        rank[order] = np.arange(total)
+        rank = np.empty(len(pieces), np.int64)
+        rank[order] = np.arange(len(pieces))
         self.bucket, self.short, self.ids = bucket[order], short[order], ids[order]
-        self.pieces = [rows[k][0] for k in order.tolist()]
+        self.pieces = [pieces[k] for k in order.tolist()]
         self.places = [(first, start, doc, rank[nos]) for first, start, doc, nos in places]
-        self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if total else np.empty(0, np.int64)
+        self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if pieces else np.empty(0, np.int64)
 
 
 def _answers(table: pa.Table) -> dict[int, np.ndarray]:
@@ -296,7 +295,7 @@ def _removed(group: Group, answers: pa.Table, span: int, buckets: int) -> list[n
     return masks
 
 
-RESULT = StructType([StructField("id", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
+RESULT = StructType([StructField("id", LongType()), StructField("h", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
                      StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept", BinaryType())])
 
 
@@ -311,15 +310,15 @@ def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, with_text:
             n = int(m.sum())
             kept = np.frombuffer(t, np.uint8)[~m].tobytes() if n else t
             spans = int(m[0]) + int((m[1:] & ~m[:-1]).sum()) if n else 0
-            for c, v in zip(rows, (int(group.ids[first + k]), len(t), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+            for c, v in zip(rows, (int(group.ids[first + k]), group.marks[first + k], len(t), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
                 c.append(v)
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    types = [pa.int64()] * 5 + [pa.string(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=RESULT.names)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
                    with_text: bool = False) -> DataFrame:
-    """One row per document row: id (null: ``NO_ID``), n_bytes, n_removed, n_spans, kept_sha256, and the bytes
+    """One row per document row: id (null: ``NO_ID``), h (xxhash64 of the text's bytes), n_bytes, n_removed, n_spans, kept_sha256, and the bytes
     that are left in ``kept`` (null unless ``with_text``)."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8}")
@@ -327,7 +326,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a name for about every 18 bytes; 64 names or more in each message from a group to a bucket
     parts = max(1, min(1 << 18, math.isqrt(total // (18 * 64))))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("t"))
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id", "t")
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id", "t", F.xxhash64("t").alias("h"))
 
     def names_of(t: pa.Table) -> pa.Table:
         return _names_of(t, span, parts)
@@ -352,6 +351,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT)
 
 
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts; null stays null. A character of which only some
+    bytes are left goes as a whole."""
+    def decode(batches):
+        for b in batches:
+            left = [None if x is None else x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array(left, pa.string())], ["_id", "_h", "_left"])
+
+    left = (remove_repeats(docs, doc_id, text, span, True).where("n_removed > 0")
+            .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "kept")
+            .mapInArrow(decode, "_id long, _h long, _left string").dropDuplicates(["_id", "_h"]))
+    keyed = (docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+             .withColumn("_h", F.xxhash64(F.col(text).cast("binary"))))
+    whole = keyed.join(left, ["_id", "_h"], "left")
+    return whole.select(*[F.coalesce("_left", text).alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
