@@ -6,10 +6,11 @@ round every element is hashed into one place and the smallest (round, value) sta
 places are filled, and from round ``COORDINATES`` on each round serves one place with all elements, so none
 stays empty. Two sets agree in a place with about their Jaccard similarity; equal bands make candidates.
 
-Equal sets are one node. A bucket is never expanded into pairs as long as stars do: in each round one member
-of every bucket that still joins several components is compared with the members of the others, and links
-found merge components. When a round finds no link, the members outside a bucket's largest component are
-compared with all the others once, so no pair of one bucket in two components stays untested.
+Equal sets are one node. A bucket is never expanded into pairs. In ``STARS`` rounds every document that still
+shares a bucket with another component is compared with one member of such a bucket, and links found merge
+components; that settles groups of near copies at one pair per copy and round. What is left are documents that
+share buckets and yet belong to different components. All pairs among these that can be similar enough are found
+exactly, by their rarest shingles, and verified on full sets.
 
 Defined results: null and blank texts have empty sets, stand alone and are kept. Rows that share an id are one
 document, linked by any of its texts; each row keeps its own set size. A null id sorts after all others and is
@@ -35,6 +36,7 @@ SHINGLE = 3
 COORDINATES, BANDS, ROWS = 192, 32, 6
 #: links need 100 * intersection >= PERCENT * union
 PERCENT = 85
+STARS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,44 +172,64 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components over all verified links between members of one bucket: (id, root).
-
-    ``members``: (bucket, id, n). Each round ends in one small count; the loop ends when no bucket is open."""
+    """Components over all similar pairs: (id, root). ``members``: (bucket, id, n)."""
     spark = members.sparkSession
     found = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "id long, root long")
-    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
-    turn = 0
-    while True:
+    for turn in range(STARS + 1):
         rest = _open(members, roots)
-        if rest.isEmpty():
-            return roots
-        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("h"))
-                .select("bucket", F.col("h.id").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
-        star = rest.join(hubs, "bucket").where(fits).select(F.col("id").alias("u"), "v")
-        new = cut(verified(_pairs(star), sets, percent))
-        last = new.isEmpty()
-        if last:
-            new = cut(verified(_pairs(_across(rest, fits)), sets, percent))
-        found = found.unionByName(new)
-        if last and new.isEmpty():
-            return roots
-        nodes = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        roots = connected(nodes, found, [], "id").select("id", "root")
-        if last:
-            return roots
-        turn += 1
-
-
-def _across(rest: DataFrame, fits) -> DataFrame:
-    """Pairs between members outside a bucket's largest component and the members of its other components."""
-    sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("big"))
-    small = (rest.join(largest, "bucket").where("root <> big")
-             .select("bucket", F.col("id").alias("v"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), "big"))
-    pairs = rest.join(small, "bucket").where(fits & ((F.col("root") == F.col("big")) | (F.col("id") < F.col("v"))))
-    return pairs.select(F.col("id").alias("u"), "v")
+        pairs = _star(rest, turn, percent) if turn < STARS else _prefix_pairs(rest, sets, percent)
+        new = cut(verified(pairs, sets, percent))
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            nodes = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+            roots = connected(nodes, found, [], "id").select("id", "root")
+    return roots
+
+
+def _star(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One pair per open document and round: with one member of one of its buckets, from another component.
+    The first round takes the smallest ids, later ones draw anew by hash."""
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("h"))
+            .select("bucket", F.col("h.o").alias("o"), F.col("h.id").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
+    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
+    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("id").alias("u")).agg(F.min(F.struct("o", "v")).alias("h")))
+    return _pairs(met.select("u", F.col("h.v").alias("v")))
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of open documents in two components that can be similar enough, and few others.
+
+    In the order of rarest shingles first, two similar sets share one among the first n - ceil(p n) + 1 of the
+    larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100). A shingle of one document
+    or one component makes no pair, so copies that differ by their own edits meet only if they are near enough."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(s, np.int64) for s in b.column("s").to_pylist()]
+            if own:
+                count = [len(s) for s in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("id", "n", "root")] + [pa.array(np.concatenate(own))],
+                    ["id", "n", "root", "x"])
+
+    open_ = rest.select("id", "n", "root").distinct()
+    rows = cut(open_.join(sets, "id").select("id", "n", "root", "s").mapInArrow(elements, "id long, n long, root long, x long"))
+    spread = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ranked = (rows.join(spread, "x").groupBy("id", "n", "root")  # a document's own set, no more
+              .agg(F.array_sort(F.collect_list(F.struct("df", "x", (F.col("lo") != F.col("hi")).alias("apart")))).alias("xs")))
+    n, p = F.col("n"), F.lit(percent)
+    probe = n - F.ceil(n * p / 100) + 1
+    index = n - F.ceil(2 * n * p / (100 + p)) + 1
+
+    def heads(length, name: str) -> DataFrame:
+        head = ranked.select("id", "n", "root", F.explode(F.slice("xs", 1, length.cast("int"))).alias("e")).where("e.apart")
+        return head.select(F.col("e.x").alias("x"), F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"))
+
+    both = heads(index, "u").join(heads(probe, "v"), "x")
+    near = (F.col("n_u") <= F.col("n_v")) & (100 * F.col("n_u") >= p * F.col("n_v")) & (F.col("root_u") != F.col("root_v"))
+    return _pairs(both.where(near).select("u", "v"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
