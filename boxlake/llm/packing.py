@@ -13,10 +13,14 @@ the same split in the same order, so sequence ids stay the same.
 
 from __future__ import annotations
 
+import base64
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from boxlake.llm.common import slices
 
-TOKENIZER = "byte_bpe_50k.json"
+#: the tokenizer, and the same vocabulary as ranks
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SEPARATOR = b"\0\0\0\0"
 #: ids are kept as little-endian unsigned 32-bit integers
 WIDTH = 4
@@ -41,39 +46,55 @@ class Limits:
     loss_tokens: int = 1024
 
 
-class Encoder:
-    """Token ids of a text as bytes, with a bounded cache of words.
+class Encoder(dict):
+    """Token ids of a text as bytes, with a bounded cache of words (key: a word that follows a single space).
 
     The tokenizer's own pattern never joins a word to a single space after it, so a text may be cut before
-    every such space; equal pieces then need one call.
+    every such space; likewise letters are never joined to the punctuation after them. Pieces are encoded by
+    ``tiktoken`` from the same vocabulary; only a text that spells a special token goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, ranks: str, pattern: str, max_words: int = 600_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_words, self.cache = max_words, {}
-        self.cut, self.risky = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s \s?| \s| $")
-
-    def words(self, text: str) -> list[str]:
+        self.ids = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.max_words = max_words
+        self.cut, self.odd_blank = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"[^\S \n]")
+        self.ending = re.compile(r"[^\W\d_]+([.,;:!?]+)")
+
+    def piece(self, text: str) -> bytes:
+        ids = array("I", self.ids(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        m = self.ending.fullmatch(word) if word and word[-1] in ".,;:!?" else None
+        ids = self[word[:m.start(1)]] + self.piece(m[1]) if m else self.piece(" " + word)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return [text]
-        if self.risky.search(text):
-            return self.cut.split(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) > self.max_words:
+            self.clear()
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
+        if "" in rest or not first or " \n" in text or "\n " in text or self.odd_blank.search(text):
+            return b"".join([self[w[1:]] if w[:1] == " " and not w[1:2].isspace() else self.piece(w) for w in self.cut.split(text)])
+        return self.piece(first) + b"".join(map(self.__getitem__, rest))
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        new = set().union(*split) - self.cache.keys()
-        if len(self.cache) + len(new) > self.max_words:
-            self.cache.clear()
-            new = set().union(*split)
-        new = list(new)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
+@cache
+def encoder(path: str, ranks: str, pattern: str) -> Encoder:
+    """One encoder per worker process; its cache serves all tasks that run there."""
+    return Encoder(path, ranks, pattern)
 
 
 @dataclass
@@ -118,21 +139,29 @@ class Bin:
 
 
 def place(pieces: list[Piece], limits: Limits) -> list[Bin]:
-    """Dot-product heuristic; ties go to the piece that came first."""
+    """Dot-product heuristic; ties go to the piece that came first. Pieces of equal demand are one kind."""
+    kinds: dict[tuple[int, int], list[Piece]] = {}
+    for p in reversed(pieces):
+        kinds.setdefault((p.length, p.loss), []).append(p)
+    keys = sorted(kinds, reverse=True)
     caps = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-    need = np.array([[p.length, 1, p.loss] for p in pieces], float).reshape(-1, 3) / caps
-    weight, open_, bins = need.mean(axis=0) if len(pieces) else np.ones(3), np.arange(len(pieces)), []
-    while len(open_):
+    need = np.array([[n, 1, loss] for n, loss in keys], float).reshape(-1, 3) / caps
+    many = np.array([len(kinds[k]) for k in keys])
+    weight = (need * many[:, None]).sum(axis=0) / max(1, many.sum())
+    bins = []
+    while len(need):
         room, bin_ = np.ones(3), Bin()
         while True:
-            fits = np.flatnonzero((need[open_] <= room + 1e-9).all(axis=1))
-            if not len(fits):
+            fits = (need <= room + 1e-9).all(axis=1) & (many > 0)
+            if not fits.any():
                 break
-            best = fits[np.argmax(need[open_[fits]] @ (weight * room))]
-            bin_.add(pieces[open_[best]])
-            room = room - need[open_[best]]
-            open_ = np.delete(open_, best)
+            best = int(np.where(fits, need @ (weight * room), -1).argmax())
+            bin_.add(kinds[keys[best]].pop())
+            many[best] -= 1
+            room = room - need[best]
         bins.append(bin_)
+        if not many.any():
+            break
     return bins
 
 
@@ -200,11 +229,11 @@ def pack_split(rows: Iterator[tuple[object, bytes, bool]], limits: Limits, max_t
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", loss: Column | None = None,
-         limits: Limits = Limits(), tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+         limits: Limits = Limits(), tokenizer: tuple[str, str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    ``loss``: boolean column, whether a row's tokens bear loss (all by default). ``tokenizer``: path of a
-    tokenizer file that every executor can read."""
+    ``loss``: boolean column, whether a row's tokens bear loss (all by default). ``tokenizer``: paths of a
+    tokenizer file and of its ranks, which every executor can read, and the pattern of its words."""
     schema = StructType([StructField(doc_id, docs.schema[doc_id].dataType)] + [StructField(c, LongType()) for c in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     if with_ids:
@@ -214,14 +243,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", loss: Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(tokenizer or public_tokenizers.path(TOKENIZER))
+        encode = encoder(*tokenizer or (public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)).encode
         base = TaskContext.get().partitionId() << 33
 
         def rows():
             for b in slices(batches, "t", 1 << 20):
-                texts = [x or "" for x in b.column("t").to_pylist()]
-                for i, ids, y in zip(b.column("i").to_pylist(), encoder.encode(texts), b.column("l").to_pylist(), strict=True):
-                    yield i, ids + SEPARATOR, bool(y)
+                for i, t, y in zip(*(b.column(c).to_pylist() for c in "itl"), strict=True):
+                    yield i, encode(t or "") + SEPARATOR, bool(y)
 
         def table(found: list[list]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
