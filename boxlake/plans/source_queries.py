@@ -164,7 +164,10 @@ def _(v):
 
 @query("s1_requests", "SELECT DISTINCT concat('r', c_nationkey) AS rid FROM customer")
 def _(v):
-    return sheets(v).select("rid").distinct().orderBy("rid")
+    """Metadata paths, one per customer, beside paths that are none."""
+    at = F.concat(F.lit("file:/lake/"), "rid", F.when(F.col("id").cast("long") % 3 == 0, "/other.json").otherwise("/worksheets_metadata.json"))
+    both = sheets(v).select(F.explode(F.array(at, F.concat(F.lit("/lake/"), "rid", F.lit("/worksheets_metadata.json")))).alias("path"))
+    return rd.request_ids(both)
 
 
 @query("s5_u1_manifest", """SELECT concat('/lake/', rid, '/', path) AS path, name, score, zoom FROM (SELECT source AS rid, concat(lang, '/', doc_id, '.png') AS path, lang AS name, CAST(n_chars AS DOUBLE) AS score, 4.0::DOUBLE AS zoom FROM documents)""")
@@ -174,7 +177,7 @@ def _(v):
 
     line = F.to_json(F.struct(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.col("lang").alias("name"),
                               F.col("source").alias("rid"), F.col("n_chars").cast("double").alias("score"), F.lit(4.0).alias("zoom")))
-    m = v("documents").select(F.from_json(line, schemas.MANIFEST).alias("m")).select("m.*")
+    m = rd.parse_manifest(v("documents").select(F.explode(F.array(line, F.lit("  "))).alias("value")))
     return m.select(resolve_path(F.concat(F.lit("/lake/"), "rid"), F.col("path")).alias("path"), "name", "score", "zoom")
 
 
@@ -253,8 +256,15 @@ def _(v):
 def _(v):
     """Id lines with blanks and comments around them."""
     line = F.when(F.col("source") == "src3", F.concat(F.lit("# "), "source")).otherwise(F.concat(F.lit("  "), "source", F.lit(" ")))
-    t = F.trim(line)
-    return v("documents").select(t.alias("rid")).where((F.col("rid") != "") & ~F.col("rid").startswith("#")).distinct()
+    return rd.parse_ids(v("documents").select(F.explode(F.array(line, F.lit(" "))).alias("value"))).distinct()
+
+
+@query("s7_request_csv", "SELECT concat('r', c_nationkey) AS rid, CAST(c_custkey AS VARCHAR) AS wid FROM customer")
+def _(v):
+    """Request and sheet columns of CSV lines, under other names."""
+    line = F.to_csv(F.struct(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")), F.col("c_name"), F.col("c_custkey")))
+    lines = v("customer").select(line.alias("value"))
+    return rd.parse_request_lines(lines, "req string, title string, sheet string", "req", "sheet")
 
 
 @query("s11_candidates", """SELECT CASE WHEN sheet_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, CAST(sum(w * h) AS BIGINT) AS area, count(DISTINCT sheet_id) AS sheets FROM v_pred GROUP BY 1""", "v_pred")
@@ -262,6 +272,6 @@ def _(v):
     """Candidate lines as JSON, read with the candidate schema and tallied per split."""
     line = F.to_json(F.struct(F.col("sheet_id").cast("string").alias("wid"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), (F.col("w") * F.col("h")).cast("int").alias("area"),
                               F.when(F.col("sheet_id") % 5 == 0, "val").otherwise("train").alias("split")))
-    c = v("v_pred").select(F.from_json(line, schemas.CANDIDATES).alias("c")).select("c.*")
+    c = rd.parse_lines(v("v_pred").select(line.alias("value")), schemas.CANDIDATES)
     return c.groupBy("split").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.count_distinct("wid").alias("sheets"))
 

@@ -13,8 +13,15 @@ from boxlake.functions.text import is_wiring
 FILE = "_metadata.file_path"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
+    """One document per file. A broken document fails the job, so nothing is lost without a word."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
+
+
+def parse_lines(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
+    """One JSON document per line; blank lines do not count, a broken one fails the job."""
+    return (lines.where(F.trim(line) != "")
+            .select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*"))
 
 
 def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
@@ -33,8 +40,13 @@ def _rid(marker: str) -> Column:
 
 def list_requests(spark: SparkSession, root: str) -> DataFrame:
     """Request ids that own a metadata file, sorted. Reads paths only."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/worksheets_metadata.json").select("path")
-    return files.select(F.regexp_extract("path", "([^/]+)/worksheets_metadata[.]json", 1).alias("rid")).distinct().orderBy("rid")
+    return request_ids(spark.read.format("binaryFile").load(f"{root}/*/worksheets_metadata.json").select("path"))
+
+
+def request_ids(paths: DataFrame) -> DataFrame:
+    """Distinct request ids of metadata paths, sorted; other paths do not count."""
+    rid = F.regexp_extract("path", "([^/]+)/worksheets_metadata[.]json$", 1)
+    return paths.select(rid.alias("rid")).where("rid <> ''").distinct().orderBy("rid")
 
 
 def worksheets(spark: SparkSession, root: str, rid: str = "*") -> DataFrame:
@@ -147,46 +159,81 @@ def tag_dimensions(lib: DataFrame) -> tuple[DataFrame, DataFrame]:
             types.select("rid", F.col("t.id").alias("type_id"), F.col("t.name").alias("type_name")).distinct())
 
 
+def _last_of_name(pairs: DataFrame) -> DataFrame:
+    """One tag per feature and type name: a later type id of the same name wins."""
+    own = [c for c in pairs.columns if c not in ("type_id", "tag_id", "tag_name", "tag_pos")]
+    return pairs.groupBy(*own).agg(F.max_by(F.struct("tag_name"), "tag_pos").alias("_t")).select(*own, F.col("_t.tag_name").alias("tag_name"))
+
+
 def resolve_tags(features: DataFrame, tags: DataFrame, types: DataFrame) -> DataFrame:
     """One row per resolved tag of a feature: unknown types drop out, unknown tags become ''.
 
     The dimensions join without a hint: Spark broadcasts them while they are small.
     """
     keys = ["rid", "wid", "out_idx", "feat_idx"]
-    pairs = features.select(*keys, F.explode("tags_info").alias("type_id", "v")).select(*keys, "type_id", F.col("v.tagId").alias("tag_id"))
-    return (pairs.join(types.where(F.coalesce("type_name", F.lit("")) != ""), ["rid", "type_id"])
-            .join(tags, ["rid", "tag_id"], "left")
-            .select(*keys, F.col("type_name").alias("tag_type"), F.coalesce("tag_name", F.lit("")).alias("tag")))
+    pairs = (features.select(*keys, F.posexplode("tags_info").alias("tag_pos", "type_id", "v"))
+             .select(*keys, "tag_pos", "type_id", F.col("v.tagId").alias("tag_id")))
+    named = (pairs.join(types.where(F.coalesce("type_name", F.lit("")) != ""), ["rid", "type_id"])
+             .join(tags, ["rid", "tag_id"], "left"))
+    return (_last_of_name(named.withColumnRenamed("type_name", "tag_type"))
+            .select(*keys, "tag_type", F.coalesce("tag_name", F.lit("")).alias("tag")))
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Crop manifest lines; blank lines do not count, a missing file is an error."""
-    return spark.read.schema(schemas.MANIFEST).json(path).where(F.col("path").isNotNull())
+    """Crop manifest lines; a missing file is an error."""
+    return parse_manifest(spark.read.text(path))
+
+
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """Manifest rows; blank lines do not count, a broken line or one without a path fails the job."""
+    rows = parse_lines(lines, schemas.MANIFEST)
+    given = F.when(F.col("path").isNull(), F.raise_error(F.lit("manifest line without a path"))).otherwise(F.col("path"))
+    return rows.withColumn("path", given)
 
 
 def load_candidates(spark: SparkSession, path: str) -> DataFrame:
-    fmt = spark.read.schema(schemas.CANDIDATES)
-    return fmt.json(path) if path.endswith((".json", ".jsonl")) else fmt.parquet(path)
+    """Candidate table, or candidate lines; a broken line fails the job."""
+    if path.endswith((".json", ".jsonl")):
+        return parse_lines(spark.read.text(path), schemas.CANDIDATES)
+    return spark.read.schema(schemas.CANDIDATES).parquet(path)
 
 
 def load_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a text file, one per line; blank and # lines are skipped."""
-    v = F.trim("value")
-    return spark.read.text(path).select(v.alias("rid")).where((F.col("rid") != "") & ~F.col("rid").startswith("#"))
+    """Ids of a text file, one per line."""
+    return parse_ids(spark.read.text(path))
+
+
+def parse_ids(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Trimmed ids; blank and # lines are skipped."""
+    return lines.select(F.trim(line).alias("rid")).where((F.col("rid") != "") & ~F.col("rid").startswith("#"))
 
 
 def load_request_csv(spark: SparkSession, path: str, request_col: str = "request_id", worksheet_col: str = "worksheet_id") -> DataFrame:
-    df = spark.read.option("header", True).csv(path)
+    df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     return df.select(F.col(request_col).alias("rid"), F.col(worksheet_col).alias("wid"))
 
 
+def parse_request_lines(lines: DataFrame, schema: str, request_col: str = "request_id", worksheet_col: str = "worksheet_id",
+                        line: str = "value") -> DataFrame:
+    """Request and sheet ids of CSV lines without header; a broken line fails the job."""
+    rows = lines.where(F.trim(line) != "").select(F.from_csv(line, schema, {"mode": "FAILFAST"}).alias("_r"))
+    return rows.select(F.col(f"_r.{request_col}").alias("rid"), F.col(f"_r.{worksheet_col}").alias("wid"))
+
+
 def load_category_map(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CATEGORY_MAP).option("header", True).csv(path)
+    return spark.read.schema(schemas.CATEGORY_MAP).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def parse_category_map(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Category rules of CSV lines with their header; a broken line fails the job."""
+    header = schemas.CATEGORY_MAP.replace(" string", "").replace(" int", "").replace(" ", "")
+    rows = lines.where((F.trim(line) != "") & (F.trim(line) != header))
+    return rows.select(F.from_csv(line, schemas.CATEGORY_MAP, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
 
 
 def dryrun_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """File, sheet, box and layer counts of each dry run; an unreadable file keeps a row of nulls."""
-    df = _json(spark, path, schemas.DRYRUN).select(F.regexp_extract(FILE, "([^/]+)$", 1).alias("file"), "*")
+    df = _json(spark, path, schemas.DRYRUN, "PERMISSIVE").select(F.regexp_extract(FILE, "([^/]+)$", 1).alias("file"), "*")
     return catalogue(df)
 
 

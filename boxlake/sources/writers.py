@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from boxlake.functions.geometry import Box, normalized_box
 from boxlake.functions.text import fingerprint
@@ -29,14 +30,28 @@ def hits_key(*params: Column) -> Column:
     return fingerprint(F.lit("segmasks_hits"), *params)
 
 
-def write_hits(hits: DataFrame, path: str) -> None:
-    """Store scan results under their parameter key; other keys stay untouched."""
+def write_hits(hits: DataFrame, path: str, scans: DataFrame | None = None) -> None:
+    """Store scan results under their parameter key; other keys stay untouched. ``scans`` lists the keys that
+    were scanned, so that one without hits is known to be done; by default those with hits."""
     hits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_key").parquet(path)
+    counts = hits.groupBy("scan_key").agg(F.count("*").alias("n_hits"))
+    done = counts if scans is None else (scans.select("scan_key").distinct().join(counts, "scan_key", "left")
+                                         .select("scan_key", F.coalesce("n_hits", F.lit(0)).alias("n_hits")))
+    done.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{path}.scans")
+
+
+def finished_scans(spark: SparkSession, path: str) -> DataFrame:
+    """Keys that were scanned, with the number of hits of the last time."""
+    rows = spark.read.parquet(f"{path}.scans")
+    return rows.groupBy("scan_key").agg(F.max_by("n_hits", "at").alias("n_hits"))
 
 
 def read_hits(spark: SparkSession, path: str, scan_key: str, min_score: float = 0.0) -> DataFrame:
-    """Hits of one scan at or above a score: one partition, and the score reaches the scan."""
-    return spark.read.parquet(path).where((F.col("scan_key") == scan_key) & (F.col("score") >= min_score))
+    """Hits of one scan at or above a score: one partition, and the score reaches the scan. The key is read as
+    text, whatever its folder's name looks like; it comes back empty for a scan without hits."""
+    found = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, StringType() if f.name == "scan_key" else f.dataType) for f in found])
+    return spark.read.schema(typed).parquet(path).where((F.col("scan_key") == scan_key) & (F.col("score") >= min_score))
 
 
 def draw_order(hits: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -55,7 +70,7 @@ def split_tables(split_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_split(split_rows: DataFrame, stats: DataFrame, root: str) -> None:
     assign, classes = split_tables(split_rows)
     assign.write.mode("overwrite").partitionBy("split").parquet(f"{root}/assignment")
-    classes.coalesce(1).orderBy("name").write.mode("overwrite").json(f"{root}/classes")
+    classes.orderBy("name").write.mode("overwrite").json(f"{root}/classes")
     stats.coalesce(1).write.mode("overwrite").json(f"{root}/stats")
 
 
@@ -116,10 +131,13 @@ def yolo_lines(ann: DataFrame, image: Sequence[str] = ("sheet_id",)) -> DataFram
     return ann.join(cats, "name").select(*image, "ann_key", line.alias("line"))
 
 
-def write_yolo(ann: DataFrame, root: str, image: str = "sheet_id") -> None:
+def write_yolo(ann: DataFrame, root: str, image: str = "sheet_id", buckets: int = 64) -> None:
+    """Label lines with their image by hash bucket, and the class, statistics and image tables."""
     lines = yolo_lines(ann, [image]).select(image, F.col("line").alias("value"))
-    lines.repartition(image).write.mode("overwrite").partitionBy(image).text(f"{root}/labels")
-    ann.select("name").distinct().coalesce(1).orderBy("name").write.mode("overwrite").text(f"{root}/classes")
+    # a folder per hash bucket, not per image: a few files however many images there are
+    lines = lines.withColumn("bucket", F.pmod(F.xxhash64(image), F.lit(buckets)))
+    lines.write.mode("overwrite").partitionBy("bucket").option("header", True).csv(f"{root}/labels")
+    ann.select("name").distinct().orderBy("name").write.mode("overwrite").text(f"{root}/classes")
     ann.groupBy("name").agg(F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(f"{root}/category_statistics")
     ann.select(image).distinct().write.mode("overwrite").option("header", True).csv(f"{root}/image_metadata")
 
@@ -133,7 +151,7 @@ def feature_names(features: DataFrame, name: str = "name") -> DataFrame:
 
 
 def write_feature_names(features: DataFrame, path: str, name: str = "name") -> None:
-    feature_names(features, name).coalesce(1).write.mode("overwrite").text(path)
+    feature_names(features, name).write.mode("overwrite").text(path)
 
 
 def table_records(cells: DataFrame) -> DataFrame:

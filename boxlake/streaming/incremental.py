@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from boxlake.session import cut
+
 UNIT = ("sheet_id", "scan_key")
 
 
@@ -17,24 +22,57 @@ def pending(requested: DataFrame, stored: DataFrame, unit: Sequence[str] = UNIT,
     return units if force else units.join(stored.select(*unit), list(unit), "left_anti")
 
 
-def stored_units(spark: SparkSession, path: str, unit: Sequence[str] = UNIT) -> DataFrame:
-    """Units already in the store; partition columns only, so no data file is opened."""
+def _read(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """All runs below a folder, or None before the first one. Run folders are no partition columns, so an id
+    keeps the type and the spelling it was written with."""
+    reader = spark.read.option("recursiveFileLookup", True)
     try:
-        return spark.read.parquet(path).select(*unit).distinct()
+        return (reader.schema(schema) if schema else reader).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], ", ".join(f"{u} string" for u in unit))
+        return None
+
+
+def finished(spark: SparkSession, path: str, unit: Sequence[str] = UNIT, kinds: Sequence[str] | None = None) -> DataFrame:
+    """The last finished run of every unit: unit, run, n_hits. A unit without hits is finished, too."""
+    schema = ", ".join(f"`{u}` {k}" for u, k in zip(unit, kinds or ["string"] * len(unit))) + ", run long, n_hits long"
+    done = _read(spark, f"{path}/done", schema)
+    if done is None:
+        return spark.createDataFrame([], schema)
+    return (done.groupBy(*unit).agg(F.max(F.struct("run", "n_hits")).alias("_l"))
+            .select(*unit, F.col("_l.run").alias("run"), F.col("_l.n_hits").alias("n_hits")))
+
+
+def stored_units(spark: SparkSession, path: str, unit: Sequence[str] = UNIT, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Units already finished; reads the small table of finished units, not the hits."""
+    return finished(spark, path, unit, kinds).select(*unit)
+
+
+def read_store(spark: SparkSession, path: str, unit: Sequence[str] = UNIT, kinds: Sequence[str] | None = None) -> DataFrame | None:
+    """Hits of the last finished run of every unit; None before the first run."""
+    hits = _read(spark, f"{path}/hits")
+    return hits if hits is None else hits.join(finished(spark, path, unit, kinds).select(*unit, F.col("run").alias("_run")), [*unit, "_run"]).drop("_run")
 
 
 def run_pending(requested: DataFrame, path: str, detect: Callable[[DataFrame], DataFrame],
-                unit: Sequence[str] = UNIT, force: bool = False) -> None:
-    """Detect for pending units and store by unit. Rewriting a unit replaces exactly its own
-    partition, so a retry after a lost executor leaves no duplicates."""
-    spark = requested.sparkSession
-    todo = pending(requested, stored_units(spark, path, unit), unit, force)
-    (detect(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*unit).parquet(path))
+                unit: Sequence[str] = UNIT, force: bool = False, run: int | None = None) -> None:
+    """Detect for pending units and append one run: its hits, then the table of units it finished.
+
+    Hits count only once their run is in that table, so a run that broke off leaves nothing behind that is
+    read, and running a unit again replaces it. A run is one folder however many units it has.
+    """
+    spark, run = requested.sparkSession, run or time.time_ns()
+    kinds = [requested.schema[u].dataType.simpleString() for u in unit]
+    todo = cut(pending(requested, stored_units(spark, path, unit, kinds), unit, force))
+    if todo.isEmpty():
+        return
+    place = f"{path}/hits/run_{run}"
+    detect(todo).withColumn("_run", F.lit(run).cast("long")).write.mode("overwrite").parquet(place)
+    counts = spark.read.parquet(place).groupBy(*unit).agg(F.count("*").alias("n_hits"))
+    (todo.select(*unit).join(counts, list(unit), "left")
+     .select(*unit, F.lit(run).cast("long").alias("run"), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
+     .write.mode("overwrite").parquet(f"{path}/done/run_{run}"))
 
 
 def run_stream(requests: DataFrame, path: str, checkpoint: str, detect: Callable[[DataFrame], DataFrame],

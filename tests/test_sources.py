@@ -162,7 +162,7 @@ def test_exports(spark, tmp_path):
     assert a[2].segmentation == [[10, 20, 40, 20, 40, 60, 10, 60]]
     assert {r.file_name for r in spark.read.json(f"{tmp_path}/coco/images").collect()} == {"image_001.png", "image_002.png"}
     wr.write_yolo(ann, f"{tmp_path}/yolo")
-    lines = spark.read.text(f"{tmp_path}/yolo/labels").where("sheet_id = 5")
+    lines = spark.read.option("header", True).csv(f"{tmp_path}/yolo/labels").where("sheet_id = 5")
     assert {r.value for r in lines.collect()} == {"1 0.250 0.200 0.300 0.200", "0 0.050 0.025 0.100 0.050"}
     assert [r.value for r in spark.read.text(f"{tmp_path}/yolo/classes").collect()] == ["A", "B"]
     wr.write_feature_names(ann, f"{tmp_path}/names")
@@ -201,10 +201,75 @@ def test_incremental_runs_only_what_is_missing(spark, tmp_path):
     inc.run_pending(req, store, detect)
     inc.run_pending(req, store, detect)
     inc.run_pending(req.where("sheet_id = 's2'"), store, detect, force=True)
-    assert seen == [[("s1", "k")], [("s2", "k")], [], [("s2", "k")]]
-    assert spark.read.parquet(store).count() == 2
+    assert seen == [[("s1", "k")], [("s2", "k")], [("s2", "k")]]
+    assert inc.read_store(spark, store).count() == 2
     put(f"{tmp_path}/in/a.json", '{"sheet_id":"s3","scan_key":"k"}\n{"sheet_id":"s1","scan_key":"k"}\n')
     stream = spark.readStream.schema("sheet_id string, scan_key string").json(f"{tmp_path}/in")
     inc.run_stream(stream, store, f"{tmp_path}/cp", detect).awaitTermination()
-    assert seen[-1] == [("s3", "k")] and spark.read.parquet(store).count() == 3
+    assert seen[-1] == [("s3", "k")] and inc.read_store(spark, store).count() == 3
     assert inc.skip_existing(req.select(F.col("sheet_id").alias("rid")), spark.createDataFrame([("s1",)], "rid string")).collect() == [("s2",)]
+
+
+def test_units_keep_their_spelling_and_finish_without_hits(spark, tmp_path):
+    store, seen = f"{tmp_path}/units", []
+
+    def detect(todo):
+        seen.append(sorted(r.sheet_id for r in todo.collect()))
+        return todo.where("sheet_id <> 'none'").withColumn("score", F.lit(0.5))
+
+    req = spark.createDataFrame([("7", "1e3"), ("007", "1e3"), ("none", "1e3")], "sheet_id string, scan_key string")
+    inc.run_pending(req.limit(1), store, detect)
+    inc.run_pending(req, store, detect)
+    inc.run_pending(req, store, detect)
+    assert seen == [["7"], ["007", "none"]]
+    assert sorted((r.sheet_id, r.n_hits) for r in inc.finished(spark, store).collect()) == [("007", 1), ("7", 1), ("none", 0)]
+    assert sorted(r.sheet_id for r in inc.read_store(spark, store).collect()) == ["007", "7"]
+
+
+def test_a_broken_run_leaves_nothing(spark, tmp_path):
+    store = f"{tmp_path}/units"
+    req = spark.createDataFrame([("a", "k")], "sheet_id string, scan_key string")
+
+    def broken(todo):
+        todo.withColumn("_run", F.lit(1).cast("long")).write.parquet(f"{store}/hits/run_1")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        inc.run_pending(req, store, broken)
+    inc.run_pending(req, store, lambda t: t)
+    assert inc.read_store(spark, store).count() == 1
+
+
+def test_broken_input_is_an_error(spark, tmp_path):
+    put(f"{tmp_path}/m.jsonl", '{"path":"a"}\n{"path": oops\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rd.load_manifest(spark, f"{tmp_path}/m.jsonl").collect()
+    put(f"{tmp_path}/n.jsonl", '{"path":"a"}\n{"name":"x"}\n')
+    with pytest.raises(Exception, match="without a path"):
+        rd.load_manifest(spark, f"{tmp_path}/n.jsonl").collect()
+    put(f"{tmp_path}/c.jsonl", '{"rid":"a"}\nnot json\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rd.load_candidates(spark, f"{tmp_path}/c.jsonl").collect()
+    put(f"{tmp_path}/q/r1/worksheet_geometries/w1_geometries.json", '{"outputs": [')
+    put(f"{tmp_path}/q/r1/worksheets_metadata.json", "[{")
+    put(f"{tmp_path}/q/r1/tag_library.json", "{")
+    for read in (rd.geometries, rd.worksheets, lambda s, p: rd.tag_library(s, p)[1]):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read(spark, f"{tmp_path}/q").collect()
+
+
+def test_scans_without_hits_and_odd_keys(spark, tmp_path):
+    path = f"{tmp_path}/hits"
+    hits = spark.createDataFrame([("007", 1, 0.5), ("1e3", 2, 0.5)], "scan_key string, hit_id long, score double")
+    wr.write_hits(hits, path, spark.createDataFrame([("007",), ("1e3",), ("empty",)], "scan_key string"))
+    assert [r.hit_id for r in wr.read_hits(spark, path, "007").collect()] == [1]
+    assert wr.read_hits(spark, path, "7").count() == 0 and wr.read_hits(spark, path, "empty").count() == 0
+    assert {r.scan_key: r.n_hits for r in wr.finished_scans(spark, path).collect()} == {"007": 1, "1e3": 1, "empty": 0}
+
+
+def test_later_type_of_a_name_wins(spark):
+    f = spark.createDataFrame([("r", "w", 0, 0, {"t0": ("g0",), "t1": ("g1",)})],
+                              "rid string, wid string, out_idx int, feat_idx int, tags_info map<string,struct<tagId:string>>")
+    tags = spark.createDataFrame([("r", "g0", "A"), ("r", "g1", "B")], "rid string, tag_id string, tag_name string")
+    types = spark.createDataFrame([("r", "t0", "category"), ("r", "t1", "category")], "rid string, type_id string, type_name string")
+    assert [(r.tag_type, r.tag) for r in rd.resolve_tags(f, tags, types).collect()] == [("category", "B")]
