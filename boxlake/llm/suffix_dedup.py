@@ -94,7 +94,8 @@ class Group:
             count = np.diff(np.append(starts, len(names)))
             keep = inside[starts]
             starts, count = starts[keep], count[keep]
-            yield data, first, names[starts], starts, count, doc[starts]
+            # smallest hashes crowd at the low end; mixed once more they spread evenly over the buckets
+            yield data, first, mix(names[starts]), starts, count, doc[starts]
 
 
 def _place(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
