@@ -36,8 +36,7 @@ def run_edges(runs: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFra
             .where(touch & own).select(*keys, "a", "b"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "run",
-              max_rounds: int = 200) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "run") -> DataFrame:
     """Smallest node of each node's component as ``root``.
 
     Alternates two star steps on the edge list: hang larger neighbours on the smallest
@@ -48,7 +47,7 @@ def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str
     e = cut(edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .where(F.col("u") != F.col("v")).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         large = (both.join(low, [*keys, "u"]).where(F.col("v") > F.col("u"))
@@ -62,8 +61,6 @@ def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (nodes.join(e.select(*keys, F.col("u").alias(node), F.col("v").alias("root")), [*keys, node], "left")
             .withColumn("root", F.coalesce("root", node)))
 
@@ -98,12 +95,12 @@ def compact(components: DataFrame, crop_w: int, crop_h: int, max_symbol: int = 4
 
 
 def grow_from_seeds(components: DataFrame, points: DataFrame, keys: Sequence[str], search: int = 16,
-                    gap: int = 1, max_symbol: int = 48, max_rounds: int = 100) -> DataFrame:
+                    gap: int = 1, max_symbol: int = 48) -> DataFrame:
     """One box per point: seed on the component under (or nearest to) the point, then join
     components within ``gap`` px of the grown box that lie inside the point's window.
 
     Growth is a loop of joins between grown boxes and nearby components; each round extends
-    every open point at once and the loop ends when no box changes.
+    every open point at once and the loop ends when no box changes, which the window bounds.
     """
     from boxlake.functions.geometry import Box
     from boxlake.operators.spatial import cover, cover_boxes
@@ -126,7 +123,7 @@ def grow_from_seeds(components: DataFrame, points: DataFrame, keys: Sequence[str
     inside = ((b.x >= px - max_symbol) & (b.y >= py - max_symbol)
               & (b.x1 - 1 <= px + max_symbol) & (b.y1 - 1 <= py + max_symbol))
     parts = cover_boxes(comp.select(*keys, *[F.col(c).alias("b_" + c) for c in "xywh"]), "b_")
-    for _ in range(max_rounds):
+    while True:
         a = Box.cols()
         close = (b.x <= a.x1 + gap) & (a.x <= b.x1 + gap) & (b.y <= a.y1 + gap) & (a.y <= b.y1 + gap)
         reach = cover(grown, a.x - gap, a.y - gap, a.x1 + gap, a.y1 + gap)
@@ -141,4 +138,3 @@ def grow_from_seeds(components: DataFrame, points: DataFrame, keys: Sequence[str
         grown = nxt.drop("_moved")
         if not moved:
             return grown
-    raise RuntimeError(f"growth did not settle in {max_rounds} rounds")

@@ -190,15 +190,12 @@ def covering_choice(masks: DataFrame, points: DataFrame, keys: Sequence[str], cr
     union falls back to the smallest mask, with that mask's score.
     """
     keys = list(keys)
-    from boxlake.functions.geometry import contains
-    from boxlake.operators.spatial import cover_boxes, place_points, prefixed
+    from boxlake.operators.spatial import boxes_over_points, prefixed
 
     m = masks.where((F.col("w") * F.col("h")) <= max_box_frac * crop_area)
     # points on one position share their box, so positions are joined once
-    pt = place_points(prefixed(points.select(*keys, "x", "y").distinct(), "p_", keys), "p_x", "p_y")
-    hit = (cover_boxes(m).join(pt, [*keys, "_cx", "_cy"])
-           .where(contains(Box.cols(), F.col("p_x"), F.col("p_y")))
-           .withColumn("area", F.col("w") * F.col("h")))
+    pt = prefixed(points.select(*keys, "x", "y").distinct(), "p_", keys)
+    hit = boxes_over_points(m, pt, keys).withColumn("area", F.col("w") * F.col("h"))
     point = [*keys, "p_x", "p_y"]
     mid = hit.groupBy(*point).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY area DESC)").alias("_med"))
     near = F.col("area") <= size_ratio * F.col("_med")
@@ -245,15 +242,12 @@ def first_rows(rows: DataFrame, keys: Sequence[str], idx: str, n: int) -> DataFr
 
 def boxes_to_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """Point of each box: the point inside nearest its centre, else the nearest of the sheet."""
-    from boxlake.functions.geometry import contains
-    from boxlake.operators.spatial import cover_boxes, place_points, prefixed
+    from boxlake.operators.spatial import boxes_over_points, prefixed
 
     keys = list(keys)
     pts = points.groupBy(*keys, "x", "y").agg(F.min("pt_idx").alias("pt_idx"))
-    p = place_points(prefixed(pts, "p_", keys), "p_x", "p_y")
     d = (F.col("p_x") - (F.col("x") + F.col("w") / 2.0)) ** 2 + (F.col("p_y") - (F.col("y") + F.col("h") / 2.0)) ** 2
-    inside = (cover_boxes(boxes).join(p, [*keys, "_cx", "_cy"])
-              .where(contains(Box.cols(), F.col("p_x"), F.col("p_y")))
+    inside = (boxes_over_points(boxes, prefixed(pts, "p_", keys), keys)
               .groupBy(*keys, id_col).agg(F.min_by("p_pt_idx", F.struct(d, F.col("p_pt_idx"))).alias("pt_idx")))
     lost = boxes.join(inside, [*keys, id_col], "left_anti")
     near = nearest_point(lost, pts, keys, id_col)

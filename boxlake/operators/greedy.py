@@ -1,12 +1,13 @@
 """Greedy suppression and one-to-one matching as rounds of joins, equal to the sequential result.
 
-Both loops keep their state in checkpointed tables, stop when nothing is left and raise when
-they exceed ``max_rounds``. Identical boxes are collapsed first, so a stack of copies that
+Both loops keep their state in checkpointed tables and go on until nothing is left; every round
+settles at least the best pair or box of each key. ``max_rounds`` is a guard for tests. Identical boxes are collapsed first, so a stack of copies that
 holds a third of the rows is one row (suppression) or one row with a count (matching).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -22,8 +23,8 @@ Conflict = Callable[[Box, Box], Column]
 
 
 def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: str = "pred_id",
-             score: str = "score", cell: float | None = None, frontier: int = 8,
-             max_rounds: int = 1000) -> DataFrame:
+             score: str = "score", cell: float | None = None, frontier: int = 16,
+             max_rounds: int | None = None) -> DataFrame:
     """Non-maximum suppression: ``kept`` is true for boxes the score-descending greedy keeps.
 
     Order is score descending, then id ascending. A box goes when a kept box overlaps it with
@@ -40,14 +41,18 @@ def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: st
     reps = (boxes.where(~flat).groupBy(*keys, *GEO)
             .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))).alias("_b"))
             .select(*keys, *GEO, F.col("_b.s").alias("_s"), (-F.col("_b.i")).alias("_id")))
-    kept = _greedy_rounds(reps, keys, lambda a, b: iou(a, b) > thr, cell, frontier, max_rounds)
+    if cell is None:
+        cells, at = by_size(reps, min(0.9, max(thr, 0.05))), ["_g", "_cx", "_cy"]
+    else:
+        cells, at = cover_boxes(reps, cell=cell), ["_cx", "_cy"]
+    kept = _greedy_rounds(reps, cells, keys, at, lambda a, b: iou(a, b) > thr, frontier, max_rounds)
     ids = kept.select(*keys, F.col("_id").alias(id_col)).withColumn("_kept", F.lit(True))
     return (boxes.join(ids, [*keys, id_col], "left")
             .withColumn("kept", F.coalesce("_kept", F.lit(False)) | flat).drop("_kept"))
 
 
 def pick_peaks(cells: DataFrame, keys: Sequence[str], thr: float, min_dist: int, top: int,
-               id_col: str = "cell_id", max_rounds: int = 1000) -> DataFrame:
+               id_col: str = "cell_id", max_rounds: int | None = None) -> DataFrame:
     """Peaks of a score map (row, col, score): at least ``thr``, best ``top`` per key, and no
     two within ``min_dist`` cells of each other on both axes."""
     from boxlake.operators.ranking import top_n
@@ -61,14 +66,27 @@ def pick_peaks(cells: DataFrame, keys: Sequence[str], thr: float, min_dist: int,
     def near(a: Box, b: Box) -> Column:
         return (F.abs(a.x - b.x) <= d) & (F.abs(a.y - b.y) <= d)
 
-    kept = _greedy_rounds(sites, keys, near, max(4 * d, 8), 16, max_rounds)
+    kept = _greedy_rounds(sites, cover_boxes(sites, cell=max(4 * d, 8)), keys, ["_cx", "_cy"], near, 16, max_rounds)
     return best.drop("rank").join(kept.select(*keys, F.col("_id").alias(id_col)), [*keys, id_col], "left_semi")
 
 
-def _greedy_rounds(nodes: DataFrame, keys: list[str], conflict: Conflict, cell: float,
-                   frontier: int, max_rounds: int) -> DataFrame:
+def by_size(boxes: DataFrame, ratio: float) -> DataFrame:
+    """One row per cell that a box covers on the grid of its size and on the next larger one.
+
+    Sizes are classes of the longer side with steps of 1 / ``ratio``; the cells of a grid are as wide as its
+    largest box, so a box covers four of them at most. Sides that differ by less than one step share a grid."""
+    step = -math.log(ratio)
+    longer = F.greatest(F.col("w").cast("double"), F.col("h").cast("double"))
+    sized = boxes.withColumn("_s0", F.floor(F.log(longer) / step)).withColumn("_g", F.explode(F.array(F.col("_s0"), F.col("_s0") + 1))).drop("_s0")
+    side, b = F.exp((F.col("_g") + 1) * step), Box.cols()
+    return (sized.withColumn("_cx", F.explode(F.sequence(F.floor(b.x / side), F.floor(b.x1 / side))))
+            .withColumn("_cy", F.explode(F.sequence(F.floor(b.y / side), F.floor(b.y1 / side)))))
+
+
+def _greedy_rounds(nodes: DataFrame, cells: DataFrame, keys: list[str], grid: list[str], conflict: Conflict,
+                   frontier: int, max_rounds: int | None) -> DataFrame:
     """Greedy independent set by (``_s`` desc, ``_id`` asc) over boxes that conflict only when
-    they share a grid cell.
+    they share a row of ``cells`` (the nodes, once per cell of ``grid``).
 
     Each round looks at the best ``frontier`` live boxes of every cell. A box seen in all its
     cells, with no better live conflicting box there, is final: every better neighbour of it
@@ -77,34 +95,32 @@ def _greedy_rounds(nodes: DataFrame, keys: list[str], conflict: Conflict, cell:
     best live box always qualifies, so each round makes progress; the order of decisions does
     not change the outcome.
     """
-    cells = cut(cover_boxes(nodes, cell=cell))
-    at = [*keys, "_cx", "_cy"]
-    node = [*keys, "_id"]
+    at, node = [*keys, *grid], [*keys, "_id"]
+    number = cells.groupBy(*node).agg(F.count("*").alias("_cells"))
+    cells = cut(cells.join(number, node))
     kept_parts: list[DataFrame] = []
     per_cell = Window.partitionBy(*at).orderBy(F.desc("_s"), F.asc("_id"))
-    for _ in range(max_rounds):
-        if cells.isEmpty():
-            break
+    rounds = 0
+    while not cells.isEmpty():
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"suppression did not finish in {max_rounds} rounds")
         top = cells.withColumn("_r", F.row_number().over(per_cell)).where(F.col("_r") <= frontier)
         peers = F.collect_list(F.struct("_r", *GEO)).over(Window.partitionBy(*at))
         me = Box.cols()
         beaten = F.exists("_peers", lambda p: (p["_r"] < F.col("_r")) & conflict(Box.of(p), me))
-        seen = top.withColumn("_peers", peers).select(*at, *GEO, "_s", "_id", beaten.alias("_beaten"))
-        n_cells = ((F.floor((F.col("x") + F.col("w")) / float(cell)) - F.floor(F.col("x") / float(cell)) + 1)
-                   * (F.floor((F.col("y") + F.col("h")) / float(cell)) - F.floor(F.col("y") / float(cell)) + 1))
-        winners = cut(seen.groupBy(*node, *GEO, "_s")
+        seen = top.withColumn("_peers", peers).select(*at, *GEO, "_s", "_id", "_cells", beaten.alias("_beaten"))
+        winners = cut(seen.groupBy(*node, *GEO, "_s", "_cells")
                       .agg(F.count("*").alias("_n"), F.bool_or("_beaten").alias("_lost"))
-                      .where(~F.col("_lost") & (F.col("_n") == n_cells))
+                      .where(~F.col("_lost") & (F.col("_n") == F.col("_cells")))
                       .select(*node, *GEO, "_s"))
         kept_parts.append(winners)
-        marks = cover_boxes(winners, cell=cell).select(
+        marks = cells.join(winners.select(*node), node, "left_semi").select(
             *at, *[F.col(c).alias("k_" + c) for c in [*GEO, "_id"]])
         gone = (cells.join(marks, at)
                 .where((F.col("_id") == F.col("k__id")) | conflict(Box.cols(), Box.cols("k_")))
                 .select(*node).distinct())
         cells = cut(cells.join(gone, node, "left_anti"))
-    else:
-        raise RuntimeError(f"suppression did not finish in {max_rounds} rounds")
     if not kept_parts:
         return nodes.limit(0)
     return reduce(DataFrame.unionByName, kept_parts)
@@ -115,7 +131,7 @@ def _greedy_rounds(nodes: DataFrame, keys: list[str], conflict: Conflict, cell:
 
 def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
                      pred_id: str = "pred_id", gt_id: str = "gt_id", cell: float = CELL,
-                     max_rounds: int = 1000, gt_keys: Sequence[str] | None = None,
+                     max_rounds: int | None = None, gt_keys: Sequence[str] | None = None,
                      pred_classes: DataFrame | None = None) -> DataFrame:
     """Greedy matching over pairs with IoU >= ``thr`` in the order (iou, pred, gt) descending.
 
@@ -142,15 +158,15 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
     g_ranks = _member_ranks(gt, gc, gt_keys, gt_id, "g") if multi.g else None
 
     parts: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    rounds = 0
+    while not edges.isEmpty():
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
         marked = cut(_mark_round(edges, keys, bool(multi.both)))
         taken = marked.where(F.col("take") > 0)
         parts.append(taken.select(*keys, "iou", "pc", "gc", "pused", "gused", "take"))
         edges = cut(_advance(marked, taken, keys, gt_keys, p_ranks, g_ranks))
-    else:
-        raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
     if not parts:
         none = pred.sparkSession.createDataFrame([], gt.select(gt_id).schema)
         return pred.select(*keys, pred_id).limit(0).join(none, F.col(pred_id) == F.col(gt_id)).select(

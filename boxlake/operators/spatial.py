@@ -1,13 +1,16 @@
 """Tile grids and spatial joins as equi-joins on grid cells.
 
-Boxes are written once per cell they cover and joined on (keys, cell). A pair is accepted only
-in the cell that holds the top-left corner of its intersection, so no distinct is needed.
+Grids come in levels whose cells grow by ``GROWTH``. A box lies on the level that fits its longer
+side, so it covers four cells at most, however large it is; it is also listed on the levels above
+that the other side really has. Two boxes meet on the higher of their levels, and only in the cell
+that holds the top-left corner of their intersection, so no distinct is needed.
 Joins that ask "is there any" run on distinct geometry with semi joins: a spot that holds a
 third of all rows as copies becomes one row before the join, and no pair list is written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +39,57 @@ def cover_boxes(df: DataFrame, prefix: str = "", cell: float = CELL) -> DataFram
     return cover(df, b.x, b.y, b.x1, b.y1, cell)
 
 
+GROWTH = 4
+
+
+def grade(w: Column, h: Column, cell: float = CELL) -> Column:
+    """Level of a box: cells of that level are no narrower than its longer side."""
+    longer = F.greatest(w.cast("double"), h.cast("double"), F.lit(float(cell)))
+    return F.ceil(F.log(longer / float(cell)) / math.log(GROWTH)).cast("int")
+
+
+def _side(level: Column, cell: float) -> Column:
+    return F.pow(F.lit(float(GROWTH)), level) * float(cell)
+
+
+def _levels(df: DataFrame, own: Column, top: Column | None) -> DataFrame:
+    """Add ``_own`` and one row per level ``_lv`` from there up to ``top`` (its own only without)."""
+    d = df.withColumn("_own", own)
+    if top is None:
+        return d.withColumn("_lv", F.col("_own"))
+    d = d.withColumn("_top", F.greatest("_own", top))
+    return d.withColumn("_lv", F.explode(F.sequence("_own", "_top"))).drop("_top")
+
+
+def cover_graded(df: DataFrame, prefix: str = "", cell: float = CELL, top: Column | None = None) -> DataFrame:
+    """One row per level and cell; adds ``_own``, ``_lv``, ``_cx``, ``_cy``."""
+    b = Box.cols(prefix)
+    d = _levels(df, grade(b.w, b.h, cell), top)
+    s = _side(F.col("_lv"), cell)
+    return (d.withColumn("_cx", F.explode(F.sequence(F.floor(b.x / s), F.floor(b.x1 / s))))
+            .withColumn("_cy", F.explode(F.sequence(F.floor(b.y / s), F.floor(b.y1 / s)))))
+
+
+def top_level(df: DataFrame, prefix: str = "", cell: float = CELL) -> Column:
+    """Highest level of a table's boxes as a scalar subquery; null for an empty table."""
+    return df.agg(F.max(grade(F.col(f"{prefix}w"), F.col(f"{prefix}h"), cell))).scalar()
+
+
+def place_graded(df: DataFrame, x: str, y: str, top: Column, cell: float = CELL) -> DataFrame:
+    """Points on every level from the lowest to ``top``."""
+    d = _levels(df, F.lit(0), top)
+    s = _side(F.col("_lv"), cell)
+    return d.withColumn("_cx", F.floor(F.col(x) / s)).withColumn("_cy", F.floor(F.col(y) / s)).drop("_own")
+
+
+def boxes_over_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
+    """Boxes joined to the points (columns ``p_*``, among them p_x and p_y) that they hold."""
+    at = [*keys, "_lv", "_cx", "_cy"]
+    p = place_graded(points, "p_x", "p_y", top_level(boxes, cell=cell), cell)
+    return (cover_graded(boxes, cell=cell).drop("_own").join(p, at)
+            .where(contains(Box.cols(), F.col("p_x"), F.col("p_y"))).drop("_lv", "_cx", "_cy"))
+
+
 def place_points(df: DataFrame, x: str, y: str, cell: float = CELL) -> DataFrame:
     return df.withColumn("_cx", _cell(F.col(x), cell)).withColumn("_cy", _cell(F.col(y), cell))
 
@@ -47,13 +101,14 @@ def prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
     """Pairs of boxes with a positive overlap inside each key; columns come back as a_*, b_*."""
     keys = list(keys)
-    ca = cover_boxes(prefixed(a, "a_", keys), "a_", cell)
-    cb = cover_boxes(prefixed(b, "b_", keys), "b_", cell)
+    ca = cover_graded(prefixed(a, "a_", keys), "a_", cell, top_level(b, cell=cell)).withColumnRenamed("_own", "_oa")
+    cb = cover_graded(prefixed(b, "b_", keys), "b_", cell, top_level(a, cell=cell)).withColumnRenamed("_own", "_ob")
     ba, bb = Box.cols("a_"), Box.cols("b_")
     x0, y0 = F.greatest(ba.x, bb.x), F.greatest(ba.y, bb.y)
     meet = (F.least(ba.x1, bb.x1) > x0) & (F.least(ba.y1, bb.y1) > y0)
-    own = (_cell(x0, cell) == F.col("_cx")) & (_cell(y0, cell) == F.col("_cy"))
-    return ca.join(cb, [*keys, "_cx", "_cy"]).where(meet & own).drop("_cx", "_cy")
+    s = _side(F.col("_lv"), cell)
+    own = (F.floor(x0 / s) == F.col("_cx")) & (F.floor(y0 / s) == F.col("_cy")) & (F.col("_lv") == F.greatest("_oa", "_ob"))
+    return ca.join(cb, [*keys, "_lv", "_cx", "_cy"]).where(meet & own).drop("_lv", "_cx", "_cy", "_oa", "_ob")
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float, cell: float = CELL) -> DataFrame:
@@ -77,9 +132,9 @@ def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str], c
     up = points.select(*keys, "px", "py", *carry)
     if distinct:
         ub, up = ub.distinct(), up.distinct()
-    at = [*keys, "_cx", "_cy"]
-    cb = cover_boxes(ub, cell=cell)
-    cp = place_points(up, "px", "py", cell)
+    at = [*keys, "_lv", "_cx", "_cy"]
+    cb = cover_graded(ub, cell=cell).drop("_own")
+    cp = place_graded(up, "px", "py", top_level(ub, cell=cell), cell)
     inside = contains(Box.cols(), F.col("px"), F.col("py"))
 
     def same_cell(left: DataFrame, right: DataFrame) -> Column:
@@ -90,7 +145,7 @@ def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str], c
 
     spots, covers = cp.select(*at, "px", "py"), cb.select(*at, *GEO)
     hit_boxes = cb.join(spots, same_cell(cb, spots), "left_semi").select(*keys, *GEO, *carry).distinct()
-    hit_points = cp.join(covers, same_cell(cp, covers), "left_semi").select(*keys, "px", "py", *carry)
+    hit_points = cp.join(covers, same_cell(cp, covers), "left_semi").select(*keys, "px", "py", *carry).distinct()
     return hit_boxes, hit_points
 
 

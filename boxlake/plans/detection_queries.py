@@ -430,9 +430,7 @@ def _(v):
  FROM v_point p LEFT JOIN m ON p.sheet_id = m.sheet_id AND p.pt_idx = m.pt_idx LEFT JOIN c ON p.sheet_id = c.sheet_id AND p.pt_idx = c.pt_idx
  WHERE m.pt_idx IS NOT NULL OR c.pt_idx IS NOT NULL""", "v_pred", "v_point", "v_gt")
 def _(v):
-    pt = spatial.place_points(spatial.prefixed(v("v_point"), "p_", SHEET), "p_x", "p_y")
-    hit = (spatial.cover_boxes(v("v_pred")).join(pt, ["sheet_id", "_cx", "_cy"])
-           .where(geo.contains(Box.cols(), F.col("p_x"), F.col("p_y"))))
+    hit = spatial.boxes_over_points(v("v_pred"), spatial.prefixed(v("v_point"), "p_", SHEET), SHEET)
     model = hit.groupBy("sheet_id", F.col("p_pt_idx").alias("pt_idx")).agg(
         F.max_by(F.struct("x", "y", "w", "h", "score"), F.struct("score", -F.col("pred_id"))).alias("b")).select(
         "sheet_id", "pt_idx", "b.*", F.lit("model").alias("source"))
