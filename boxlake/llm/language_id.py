@@ -139,8 +139,9 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
     return chosen.mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", min_score: float = 0.1) -> DataFrame:
-    """The rows whose language is known: a letter, and some likeness to a learned language."""
+def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows whose language is known: a letter, and at least ``min_score`` likeness to a learned language.
+    Very short clean texts have little likeness to any, so by default only the first counts."""
     judged = predict(docs, profiles, text, tuple(docs.columns), ("_lang_pred", "_lang_score"))
     return judged.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
 

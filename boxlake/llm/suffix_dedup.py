@@ -31,7 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from boxlake.llm.common import NO_ID
 from boxlake.llm.near_dup import mix
@@ -67,8 +68,7 @@ class Group:
         texts = [t or b"" for t in table.column("t").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
         self.ids, self.texts, self.span = np.array([ids[k] for k in order], np.int64), [texts[k] for k in order], span
-        marks = table.column("h").to_pylist()
-        self.marks = [marks[k] for k in order]
+        self.order = pa.array(order, pa.int64())
 
     def slices(self) -> Iterator[tuple[int, list[bytes]]]:
         first, held = 0, 0
@@ -296,13 +296,14 @@ def _removed(group: Group, answers: pa.Table, span: int, buckets: int) -> list[n
     return masks
 
 
-RESULT = StructType([StructField("id", LongType()), StructField("h", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
-                     StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept", BinaryType())])
+RESULT = StructType([StructField("id", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
+                     StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
 
 
-def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, with_text: bool) -> pa.Table:
+def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, kind: pa.DataType | None) -> pa.Table:
+    """Result rows of a group; with ``kind`` (the type of ``rest``) also what is left and the other columns."""
     group = Group(docs, span) if docs.num_rows else None
-    rows: list[list] = [[] for _ in RESULT.names]
+    rows: list[list] = [[] for _ in range(6)]
     for (first, texts), gone in zip(group.slices(), _removed(group, answers, span, buckets), strict=True) if group else ():
         at = 0
         for k, t in enumerate(texts):
@@ -311,23 +312,36 @@ def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, with_text:
             n = int(m.sum())
             kept = np.frombuffer(t, np.uint8)[~m].tobytes() if n else t
             spans = int(m[0]) + int((m[1:] & ~m[:-1]).sum()) if n else 0
-            for c, v in zip(rows, (int(group.ids[first + k]), group.marks[first + k], len(t), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+            text = kept.decode("utf-8", "ignore") if kind is not None else None
+            for c, v in zip(rows, (int(group.ids[first + k]), len(t), n, spans, hashlib.sha256(kept).hexdigest(), text), strict=True):
                 c.append(v)
-    types = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=RESULT.names)
+    arrays = [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]
+    names = RESULT.names
+    if kind is None:
+        return pa.table(arrays[:5], names=names)
+    rest = docs.column("rest").take(group.order).combine_chunks() if group else pa.array([], kind)
+    return pa.table([*arrays, rest], names=[*names, "left", "rest"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
-                   with_text: bool = False) -> DataFrame:
-    """One row per document row: id (null: ``NO_ID``), h (xxhash64 of the text's bytes), n_bytes, n_removed, n_spans, kept_sha256, and the bytes
-    that are left in ``kept`` (null unless ``with_text``)."""
+                   whole: bool = False) -> DataFrame:
+    """One row per document row: id (null: ``NO_ID``), n_bytes, n_removed, n_spans, kept_sha256; with ``whole``
+    also ``left`` (text that is left; a character of which only some bytes are left goes) and ``rest`` (struct of
+    all columns of the row but the text)."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8}")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     # a name for about every 18 bytes; 64 names or more in each message from a group to a bucket
     parts = max(1, min(1 << 18, math.isqrt(total // (18 * 64))))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("t"))
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), "id", "t", F.xxhash64("t").alias("h"))
+    wanted, kind, result = [], None, RESULT
+    if whole:
+        rest = F.struct(F.col(text).isNull().alias("_null"), *[F.col(c) for c in docs.columns if c != text]).alias("rest")
+        wanted = [rest]
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("t"), *wanted)
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), *rows.columns)
+    if whole:
+        kind = to_arrow_type(rows.schema["rest"].dataType)
+        result = StructType([*RESULT.fields, StructField("left", StringType()), rows.schema["rest"]])
 
     def names_of(t: pa.Table) -> pa.Table:
         return _names_of(t, span, parts)
@@ -339,7 +353,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _resolve(t, span)
 
     def cut(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        return _cut(a, b, span, parts, with_text)
+        return _cut(a, b, span, parts, kind)
 
     names = rows.groupBy("g").applyInArrow(names_of, "b long, g long, names binary")
     shared = names.groupBy("b").applyInArrow(_shared, "g long, b long, names binary")
@@ -349,24 +363,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     none = F.lit(None).cast("binary")
     answers = (shared.select("g", "b", "names", none.alias("runs"), none.alias("lengths"), none.alias("least"))
                .unionByName(runs.select("g", "b", none.alias("names"), "runs", "lengths", "least")))
-    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT)
+    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(cut, result)
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """The rows of ``docs`` with what is left of their texts; null stays null. A character of which only some
-    bytes are left goes as a whole."""
-    def decode(batches):
-        for b in batches:
-            left = [None if x is None else x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array(left, pa.string())], ["_id", "_h", "_left"])
-
-    left = (remove_repeats(docs, doc_id, text, span, True).where("n_removed > 0")
-            .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "kept")
-            .mapInArrow(decode, "_id long, _h long, _left string").dropDuplicates(["_id", "_h"]))
-    keyed = (docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-             .withColumn("_h", F.xxhash64(F.col(text).cast("binary"))))
-    whole = keyed.join(left, ["_id", "_h"], "left")
-    return whole.select(*[F.coalesce("_left", text).alias(c) if c == text else F.col(c) for c in docs.columns])
+    """The rows of ``docs`` with what is left of their texts; null stays null."""
+    left = remove_repeats(docs, doc_id, text, span, True)
+    return left.select(*[F.when(~F.col("rest._null"), F.col("left")).alias(c) if c == text else F.col("rest")[c].alias(c)
+                         for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

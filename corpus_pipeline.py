@@ -16,7 +16,7 @@ from boxlake.session import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or unlike every language learned from the stage's own input."""
+    """Drop documents whose language cannot be told: those without a letter."""
     return language_id.keep_known(docs, language_id.learn(docs))
 
 
