@@ -21,16 +21,21 @@ from boxlake.session import cut
 
 def sweep_grid(spark, models: str, filters: str, gts: str) -> DataFrame:
     """Every (gt_mode, model, filt) from three comma lists; blanks dropped, defaults when empty."""
+    one = spark.range(1).select(F.lit(models).alias("models"), F.lit(filters).alias("filters"), F.lit(gts).alias("gts"))
+    return sweep_grids(one, [])
+
+
+def sweep_grids(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The grid of every request row (keys, models, filters, gts as comma lists)."""
 
     def items(text: str, default: str) -> Column:
-        parts = F.filter(F.transform(F.split(F.lit(text), ","), lambda t: F.trim(t)), lambda t: t != "")
+        parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
         return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(default)))
 
-    one = spark.range(1).select(items(gts, "bboxes").alias("g"), items(models, "fastsam").alias("m"),
-                                items(filters, "none").alias("f"))
-    return (one.select(F.explode("g").alias("gt_mode"), "m", "f")
-            .select("gt_mode", F.explode("m").alias("model"), "f")
-            .select("gt_mode", "model", F.explode("f").alias("filt")))
+    one = requests.select(*keys, items("gts", "bboxes").alias("g"), items("models", "fastsam").alias("m"), items("filters", "none").alias("f"))
+    return (one.select(*keys, F.explode("g").alias("gt_mode"), "m", "f")
+            .select(*keys, "gt_mode", F.explode("m").alias("model"), "f")
+            .select(*keys, "gt_mode", "model", F.explode("f").alias("filt")))
 
 
 # --- per-sheet evaluation ------------------------------------------------------------

@@ -29,14 +29,12 @@ def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: st
 
     Order is score descending, then id ascending. A box goes when a kept box overlaps it with
     IoU above ``thr``. Copies of a box always fall to their best one when ``thr`` < 1, so only
-    that one enters the rounds; boxes without area never conflict and stay. The grid cell
-    defaults to the 90th percentile of the longer side: few kept boxes then share a cell, so
-    few rounds are needed, and a typical box covers few cells.
+    that one enters the rounds; boxes without area never conflict and stay. Boxes that conflict
+    differ by at most 1 / ``thr`` in their longer sides, so each box lies on the grid of its own
+    size and on the next larger one: small boxes beside huge ones do not crowd a cell. ``cell``
+    forces one grid for all sizes.
     """
     keys = list(keys)
-    if cell is None:
-        side = boxes.agg(F.percentile_approx(F.greatest("w", "h"), F.lit(0.9))).first()[0]
-        cell = max(4.0, float(side or 0))
     flat = (F.col("w") <= 0) | (F.col("h") <= 0)
     reps = (boxes.where(~flat).groupBy(*keys, *GEO)
             .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))).alias("_b"))

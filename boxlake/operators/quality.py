@@ -74,12 +74,15 @@ def class_stats(train: DataFrame) -> DataFrame:
                 " median=", F.col("median_n"), " max=", F.col("max_n"))
 
 
-def label_sanity(train: DataFrame, first: int = 8) -> DataFrame:
-    """The first class names are non-empty and carry no layer prefix."""
-    names = train.select("name").distinct().orderBy("name").limit(first)
+def label_sanity(train: DataFrame, show: int = 8) -> DataFrame:
+    """No class name is empty or carries the layer prefix; the detail shows the first bad ones."""
     bad = F.col("name").isNull() | (F.col("name") == "") | F.col("name").startswith("bbox_")
-    a = names.agg(F.count_if(bad).alias("bad"), F.count("*").alias("n"))
-    return _row(a, 9, "label_sanity", F.col("bad") == 0, "bad labels=", F.col("bad"), " of ", F.col("n"))
+    names = train.groupBy("name").agg(F.lit(1).alias("_one"))
+    worst = names.where(bad).select(F.coalesce("name", F.lit("")).alias("name")).orderBy("name").limit(show)
+    text = worst.agg(F.array_join(F.array_sort(F.collect_list("name")), "|")).scalar()
+    a = names.agg(F.count_if(bad).alias("bad"), F.count("*").alias("n")).withColumn("shown", text)
+    return _row(a, 9, "label_sanity", F.col("bad") == 0, "bad labels=", F.col("bad"), " of ", F.col("n"),
+                F.when(F.col("bad") > 0, F.concat(F.lit(": "), F.col("shown"))).otherwise(""))
 
 
 def path_leakage(assigned: DataFrame) -> DataFrame:

@@ -9,16 +9,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.session import cut
+
 
 def correlation(tile: np.ndarray, tpl: np.ndarray) -> np.ndarray:
-    """Normalised cross-correlation of a template at every place of a tile; 0 where a window is flat."""
-    h, w = tpl.shape
-    t = tpl - tpl.mean()
-    win = np.lib.stride_tricks.sliding_window_view(tile, (h, w))
-    num = np.tensordot(win, t, axes=((2, 3), (0, 1)))
-    s, s2 = win.sum(axis=(2, 3)), (win * win).sum(axis=(2, 3))
-    den = np.sqrt(np.maximum(s2 - s * s / (h * w), 0) * (t * t).sum())
-    return np.where(den > 1e-9, num / np.where(den > 1e-9, den, 1), 0.0)
+    """Normalised cross-correlation of a template at every place of a tile; 0 where a window is flat.
+
+    Window sums come from integral images and products from one Fourier transform, so memory is a few arrays
+    of the tile's size, whatever the template's."""
+    (rows, cols), (h, w) = tile.shape, tpl.shape
+    t, a = tpl - tpl.mean(), tile.astype(float)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        c = np.zeros((rows + 1, cols + 1))
+        c[1:, 1:] = x.cumsum(axis=0).cumsum(axis=1)
+        return c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w]
+
+    centred = a - a.mean()  # the template sums to zero, so a constant changes nothing but rounding
+    num = np.fft.irfft2(np.fft.rfft2(centred) * np.conj(np.fft.rfft2(t, s=a.shape)), s=a.shape)[:rows - h + 1, :cols - w + 1]
+    s1 = sums(a)
+    den = np.sqrt(np.maximum(sums(a * a) - s1 * s1 / (h * w), 0) * (t * t).sum())
+    return np.where(den > 1e-6, num / np.where(den > 1e-6, den, 1), 0.0)
 
 
 def scale_template(tpl: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -84,6 +95,22 @@ def search(pixels: DataFrame, sizes: DataFrame, template: np.ndarray, threshold:
     return found.groupBy(img, "x", "y", "w", "h").agg(F.max("score").alias("score"))
 
 
+def match_exemplar(pixels: DataFrame, sizes: DataFrame, template: np.ndarray, threshold: float = 0.7,
+                   scales: Sequence[float] = (0.8, 0.9, 1.0, 1.1, 1.25), most: int = 4000, overlap: float = 0.3,
+                   to_base: float = 1.0, tile: int = 1024, margin: int = 16, img: str = "img") -> DataFrame:
+    """Exemplar match as one job: all scales, best ``most`` per image, suppression, boxes mapped back by ``to_base``.
+
+    Matches are numbered by their place, so ties fall alike on every run."""
+    from boxlake.operators.detection import cap_detections
+    from boxlake.operators.greedy import suppress
+
+    found = search(pixels, sizes, template, threshold, scales, tile, margin, img)
+    key = F.concat_ws(".", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in ("y", "x", "h", "w")])
+    ranked = cut(found.withColumn("pred_id", F.xxhash64(key)))
+    kept = suppress(cap_detections(ranked, [img], most), [img], overlap).where("kept")
+    return kept.select(img, *[F.rint(F.col(c) * F.lit(to_base)).cast("bigint").alias(c) for c in "xywh"], "score")
+
+
 def exemplar(pixels: DataFrame, image: int, x: int, y: int, w: int, h: int, img: str = "img") -> np.ndarray:
     """The chosen rectangle as a small array (w * h pixels, checked)."""
     if w * h > 1_000_000:

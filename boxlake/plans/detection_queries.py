@@ -105,17 +105,27 @@ _SWEEP = f"""WITH RECURSIVE {matches_sql('model, filt, sheet_id')},
 query("a11_sweep", _SWEEP, "v_pred", "v_gt", "v_point", "v_sheet")(flagship)
 
 
-@query("a11_sweep_per_sheet")
+@query("a11_sweep_per_sheet", _SWEEP[:_SWEEP.index(" per AS (")] + f""" t AS (SELECT b.*, coalesce(h.pred_hits, 0) AS pred_hits, coalesce(h.gt_found, 0) AS gt_found, coalesce(m.matches, 0) AS matches,
+   coalesce(m.mean * m.matches, 0.0) AS s FROM base b LEFT JOIN chits h USING (model, filt, sheet_id) LEFT JOIN ms m USING (model, filt, sheet_id)),
+ r AS (SELECT *, {ratio_sql('pred_hits', 'n_pred')} AS cp, {ratio_sql('pred_hits', 'n_gt')} AS cr, {ratio_sql('gt_found', 'n_gt')} AS cg,
+  {ratio_sql('matches', 'n_pred')} AS ip, {ratio_sql('matches', 'n_gt')} AS ir, {ratio_sql('s', 'matches')} AS mi FROM t),
+ f AS (SELECT *, CASE WHEN cp + cr > 0 THEN 2 * cp * cr / (cp + cr) ELSE 0.0 END AS cf, CASE WHEN ip + ir > 0 THEN 2 * ip * ir / (ip + ir) ELSE 0.0 END AS f FROM r)
+ SELECT model, filt, sheet_id, n_pred, n_gt, pred_hits, gt_found, matches, {r4('cp')} AS center_precision, {r4('cr')} AS center_recall, {r4('cf')} AS center_f1,
+  {r4('cg')} AS center_recall_gt, {r4('ip')} AS iou_precision, {r4('ir')} AS iou_recall, {r4('f')} AS iou_f1, {r4('mi')} AS mean_iou FROM f""", "v_pred", "v_gt", "v_point", "v_sheet")
 def _(v):
     keys = [*COMBO, "sheet_id"]
     return det.sheet_metrics(det.evaluate_sheets(v("v_pred"), v("v_gt"), keys, 0.5, SHEET, combos()), keys)
 
 
-@query("j19_sweep_grid", """SELECT g.gt_mode, m.model, f.filt, s.n AS n_sheets FROM (VALUES ('bboxes'), ('points')) g(gt_mode),
- (VALUES ('fastsam'), ('hqsam')) m(model), (VALUES ('none')) f(filt), (SELECT count(*) AS n FROM v_sheet) s""", "v_sheet")
+@query("j19_sweep_grid", """WITH m AS (SELECT sheet_id, unnest(list_distinct(list(model))) AS model FROM v_pred GROUP BY sheet_id),
+ f AS (SELECT sheet_id, unnest(CASE WHEN sheet_id % 3 = 0 THEN ['none'] ELSE list_distinct(list(filt)) END) AS filt FROM v_pred GROUP BY sheet_id)
+ SELECT sheet_id, unnest(['bboxes', 'points']) AS gt_mode, model, filt FROM m JOIN f USING (sheet_id)""", "v_pred")
 def _(v):
-    n = v("v_sheet").agg(F.count("*")).scalar()
-    return det.sweep_grid(v.spark, "fastsam, hqsam,", " ", "bboxes,points").withColumn("n_sheets", n)
+    """One sweep per sheet over the detectors and filters that ran on it; every third request names no filter."""
+    listed = lambda c: F.concat(F.lit(" ,"), F.array_join(F.collect_set(c), " , "), F.lit(","))
+    asked = v("v_pred").groupBy("sheet_id").agg(listed("model").alias("models"), listed("filt").alias("all"))
+    return det.sweep_grids(asked.withColumn("filters", F.when(F.col("sheet_id") % 3 != 0, F.col("all")).otherwise(" "))
+                           .withColumn("gts", F.lit("bboxes,points")), SHEET)
 
 
 # --- containment and overlap joins ---------------------------------------------------
@@ -571,7 +581,16 @@ def _(v):
     return v("v_pred").select("pred_id", fingerprint(F.col("sheet_id"), F.col("model"), F.col("filt"), F.col("w")).alias("fp"))
 
 
-@query("w17_peaks")
+@query("w17_peaks", """WITH RECURSIVE grid AS (SELECT sheet_id, CAST(floor(y / 16.0) AS BIGINT) AS row, CAST(floor(x / 16.0) AS BIGINT) AS col, max(score) AS score FROM v_pred GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, row * 1000 + col) AS rn FROM grid WHERE score >= 0.4),
+ best AS (SELECT * FROM ranked WHERE rn <= 250),
+ beat AS (SELECT b.sheet_id, b.rn, list(a.rn) AS better FROM best a JOIN best b ON a.sheet_id = b.sheet_id AND a.rn < b.rn
+   AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL),
+ seq AS (SELECT b.*, coalesce(better, CAST([] AS BIGINT[])) AS better FROM best b LEFT JOIN beat USING (sheet_id, rn)),
+ walk AS (SELECT DISTINCT sheet_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS alive, false AS kept FROM best
+  UNION ALL SELECT s.sheet_id, s.rn, CASE WHEN list_has_any(s.better, w.alive) THEN w.alive ELSE list_append(w.alive, s.rn) END,
+   NOT list_has_any(s.better, w.alive) FROM walk w JOIN seq s ON s.sheet_id = w.sheet_id AND s.rn = w.rn + 1)
+ SELECT sheet_id, row, col, score FROM walk JOIN best USING (sheet_id, rn) WHERE kept""", "v_pred")
 def _(v):
     cells = v("v_pred").select("sheet_id", F.floor(F.col("y") / 16).alias("row"), F.floor(F.col("x") / 16).alias("col"), "score")
     grid = cells.groupBy("sheet_id", "row", "col").agg(F.max("score").alias("score"))

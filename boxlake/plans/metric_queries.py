@@ -216,16 +216,16 @@ def _(v):
     return rounded(clf.roc_auc(clf.shared_scores(v("v_scored"), "y", ["score", "conf"]), ["scorer"]), "auc", digits=12)
 
 
-@query("i5_temperature", """WITH g AS (SELECT s.id, s.y, (s.score - 0.5::DOUBLE) * 8 + CASE WHEN s.y = 1 THEN 1.0::DOUBLE ELSE -1 END AS z FROM v_scored s)
- SELECT count(*) AS n, true AS optimal FROM g""", "v_scored")
+@query("i5_temperature", """WITH RECURSIVE g AS (SELECT s.y, (s.score - 0.5::DOUBLE) * 8 + CASE WHEN s.y = 1 THEN 1.0::DOUBLE ELSE -1 END AS z FROM v_scored s),
+ n AS (SELECT 0 AS k, 0.0::DOUBLE AS u UNION ALL
+  SELECT k + 1, u - (SELECT greatest(-1.0, least(1.0, avg(-(p - y) * a) / avg((p - y) * a + p * (1 - p) * a * a)))
+    FROM (SELECT y, z * exp(-u) AS a, 1 / (1 + exp(-z * exp(-u))) AS p FROM g)) FROM n WHERE k < 40)
+ SELECT (SELECT count(*) FROM g) AS n, round(exp(u), 6) AS temperature FROM n WHERE k = 40""", "v_scored")
 def _(v):
-    """The fitted temperature, checked in the query: the loss slope is zero there."""
+    """The fitted temperature."""
     z = (F.col("score") - 0.5) * 8 + F.when(F.col("y") == 1, 1.0).otherwise(-1.0)
     rows = v("v_scored").select("y", z.alias("logit"))
-    t = clf.fit_temperature(rows)
-    a = F.col("logit") / t
-    slope = F.avg((clf.sigmoid(a) - F.col("y")) * a)
-    return rows.agg(F.count("*").alias("n"), (F.abs(slope) < 1e-6).alias("optimal"))
+    return rows.agg(F.count("*").alias("n")).withColumn("temperature", F.round(F.lit(clf.fit_temperature(rows)), 6))
 
 
 @query("r2_model_scores", "SELECT id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-((score * 2 - conf) / 1.5::DOUBLE))), 9) AS p FROM v_scored", "v_scored")
@@ -320,12 +320,21 @@ def components(v, level=60):
     return cc.component_boxes(runs, ["img"])
 
 
-@query("i3_components")
+COMPONENTS = """WITH RECURSIVE ink AS (SELECT img, y, x FROM v_pixel WHERE v <= 60), g AS (SELECT *, x - row_number() OVER (PARTITION BY img, y ORDER BY x) AS k FROM ink),
+ run AS (SELECT img, y, min(x) AS xa, max(x) AS xb FROM g GROUP BY img, y, k),
+ edge AS (SELECT a.img, a.y * 1000 + a.xa AS s, b.y * 1000 + b.xa AS t FROM run a JOIN run b ON a.img = b.img AND abs(a.y - b.y) = 1 AND a.xa - 1 <= b.xb AND b.xa - 1 <= a.xb),
+ low(img, id, root) USING KEY (img, id) AS (SELECT img, y * 1000 + xa, y * 1000 + xa FROM run UNION
+  SELECT e.img, e.t, min(l.root) FROM low l JOIN edge e ON e.img = l.img AND e.s = l.id JOIN recurring.low r ON r.img = e.img AND r.id = e.t WHERE l.root < r.root GROUP BY e.img, e.t),
+ comp AS (SELECT r.img, root // 1000 AS root_y, root % 1000 AS root_x, min(xa) AS x, min(y) AS y, max(xb) - min(xa) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(sum(xb - xa + 1) AS BIGINT) AS pixels
+   FROM run r JOIN low l ON l.img = r.img AND l.id = r.y * 1000 + r.xa GROUP BY r.img, root)"""
+
+
+@query("i3_components", f"{COMPONENTS} SELECT * FROM comp", "v_pixel")
 def _(v):
     return components(v)
 
 
-@query("a23_component_boxes")
+@query("a23_component_boxes", f"{COMPONENTS} SELECT * FROM comp WHERE w >= 2 AND h >= 2 AND w <= 160 * 0.98::DOUBLE", "v_pixel")
 def _(v):
     return cc.sizeable(components(v).withColumn("width", F.lit(160))).drop("width")
 

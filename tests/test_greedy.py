@@ -111,3 +111,12 @@ def test_empty_inputs(spark):
     g = spark.createDataFrame([], BOX.format("gt_id"))
     assert suppress(p, ["sheet_id"]).count() == 0
     assert match_one_to_one(p.drop("score"), g, ["sheet_id"]).count() == 0
+
+
+def test_suppress_small_boxes_beside_huge_ones(spark):
+    """Thousands of disjoint small boxes under huge ones finish in a few rounds."""
+    small = [(0, i, float(i % 100 * 30), float(i // 100 * 30), 20., 20., .5) for i in range(5000)]
+    huge = [(0, 10_000 + i, float(i % 40), float(i // 40), 3000., 1600., .4 + i / 10_000) for i in range(1200)]
+    df = spark.createDataFrame(small + huge, BOX.format("pred_id") + ", score double")
+    got = {r.pred_id for r in suppress(df, ["sheet_id"], 0.3, max_rounds=12).where("kept").collect()}
+    assert got == set(range(5000)) | {11_199}
