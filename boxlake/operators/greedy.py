@@ -151,19 +151,23 @@ def match_one_to_one(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: f
         *[F.col(f"a_{c}").alias(c) for c in ("pc", "pn", "ptop")], F.lit(0).cast("bigint").alias("pused"),
         *[F.col(f"b_{c}").alias(c) for c in ("gc", "gn", "gtop")], F.lit(0).cast("bigint").alias("gused")))
     multi = edges.agg(F.max((F.col("pn") > 1).cast("int")).alias("p"), F.max((F.col("gn") > 1).cast("int")).alias("g"),
-                      F.max(((F.col("pn") > 1) & (F.col("gn") > 1)).cast("int")).alias("both")).first()
+                      F.count("*").alias("n")).first()
     p_ranks = _member_ranks(pred, pc, keys, pred_id, "p") if multi.p else None
     g_ranks = _member_ranks(gt, gc, gt_keys, gt_id, "g") if multi.g else None
 
+    batch = bool(multi.p or multi.g)
     parts: list[DataFrame] = []
     rounds = 0
     while not edges.isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
-        marked = cut(_mark_round(edges, keys, bool(multi.both)))
-        taken = marked.where(F.col("take") > 0)
-        parts.append(taken.select(*keys, "iou", "pc", "gc", "pused", "gused", "take"))
+        marked = cut(_mark_round(edges, keys, batch))
+        taken = marked.where(F.col("take") > 0).select(*keys, "iou", "pc", "gc", "pused", "gused", "take")
+        tied = marked.where(F.col("tie").isNotNull()) if batch else None
+        if tied is not None and not tied.isEmpty():
+            taken = cut(taken.unionByName(_zip_ties(tied, keys, gt_keys, p_ranks, g_ranks)))
+        parts.append(taken)
         edges = cut(_advance(marked, taken, keys, gt_keys, p_ranks, g_ranks))
     if not parts:
         none = pred.sparkSession.createDataFrame([], gt.select(gt_id).schema)
@@ -191,7 +195,11 @@ def _member_ranks(df: DataFrame, classes: DataFrame, keys: list[str], id_col: st
 
 
 def _mark_round(edges: DataFrame, keys: list[str], batch: bool) -> DataFrame:
-    """Add ``take``: how many members of the pair are matched in this round."""
+    """Add ``take``: how many members of the pair are matched in this round, and (``batch``) ``tie``.
+
+    Edges that are best for both their classes by IoU form tie groups. Where every class of a group meets the
+    same classes, its members on both sides pair off in id order whatever class they are in: such edges get
+    the group as ``tie`` and leave ``take`` at 0."""
     best_p = edges.groupBy(*keys, "pc").agg(F.max(F.struct("iou", "gtop")).alias("bp"))
     best_g = edges.groupBy(*keys, "gc").agg(F.max(F.struct("iou", "ptop")).alias("bg"))
     e = edges.join(best_p, [*keys, "pc"]).join(best_g, [*keys, "gc"])
@@ -199,20 +207,51 @@ def _mark_round(edges: DataFrame, keys: list[str], batch: bool) -> DataFrame:
     left = F.least(F.col("pn") - F.col("pused"), F.col("gn") - F.col("gused"))
     if not batch:
         return e.withColumn("take", F.when(mutual, F.lit(1)).otherwise(F.lit(0)).cast("bigint")).drop("bp", "bg")
-    ties_p = (e.where(F.col("iou") == F.col("bp.iou")).groupBy(*keys, "pc").agg(F.count("*").alias("tp")))
-    ties_g = (e.where(F.col("iou") == F.col("bg.iou")).groupBy(*keys, "gc").agg(F.count("*").alias("tg")))
-    alone = (F.col("tp") == 1) & (F.col("tg") == 1)
-    take = F.when(mutual & alone, left).when(mutual, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    return (e.join(ties_p, [*keys, "pc"]).join(ties_g, [*keys, "gc"])
-            .withColumn("take", take).drop("bp", "bg", "tp", "tg"))
+    top = e.where((F.col("iou") == F.col("bp.iou")) | (F.col("iou") == F.col("bg.iou")))
+    both = (F.col("iou") == F.col("bp.iou")) & (F.col("iou") == F.col("bg.iou"))
+    mark = lambda c: F.xxhash64(c).cast("decimal(38,0)")
+    of_p = (top.where(F.col("iou") == F.col("bp.iou")).groupBy(*keys, "pc")
+            .agg(F.count("*").alias("tp"), F.bool_and(both).alias("whole_p"), F.sum(mark("gc")).alias("sp")))
+    of_g = (top.where(F.col("iou") == F.col("bg.iou")).groupBy(*keys, "gc")
+            .agg(F.count("*").alias("tg"), F.bool_and(both).alias("whole_g"), F.sum(mark("pc")).alias("sg")))
+    t = cut(top.join(of_p, [*keys, "pc"]).join(of_g, [*keys, "gc"]).where(both))
+    same_p = t.groupBy(*keys, "gc").agg((F.min("sp") == F.max("sp")).alias("one_p"), F.bool_and("whole_p").alias("ok_p"))
+    same_g = t.groupBy(*keys, "pc").agg((F.min("sg") == F.max("sg")).alias("one_g"), F.bool_and("whole_g").alias("ok_g"))
+    closed = F.col("one_p") & F.col("one_g") & F.col("ok_p") & F.col("ok_g") & F.col("whole_p") & F.col("whole_g")
+    groups = (t.join(same_p, [*keys, "gc"]).join(same_g, [*keys, "pc"])
+              .select(*keys, "pc", "gc", ((F.col("tp") == 1) & (F.col("tg") == 1)).alias("alone"),
+                      F.when(closed & ((F.col("tp") > 1) | (F.col("tg") > 1)), F.struct("sp", "sg")).alias("tie")))
+    m = e.withColumn("mutual", mutual).join(groups, [*keys, "pc", "gc"], "left")
+    take = F.when(~F.col("mutual") | F.col("tie").isNotNull(), F.lit(0)).when(F.col("alone"), left).otherwise(F.lit(1)).cast("bigint")
+    return m.withColumn("take", take).drop("bp", "bg", "mutual", "alone")
+
+
+def _zip_ties(tied: DataFrame, keys: list[str], gt_keys: list[str], p_ranks: DataFrame | None, g_ranks: DataFrame | None) -> DataFrame:
+    """Members of closed tie groups, paired by their place in id order; one row per pair with ``take`` 1."""
+    at = [*keys, "iou", "tie"]
+
+    def line_up(s: str, ranks: DataFrame | None, own: list[str]) -> DataFrame:
+        c, used = f"{s}c", f"{s}used"
+        classes = tied.select(*at, c, used, f"{s}n").distinct()
+        if ranks is None:
+            rows = classes.select(*at, c, F.col(c).alias("id"), F.col(used).alias("pos"))
+        else:
+            r = ranks.select(*own, c, F.col(f"{s}id").alias("_m"), F.col(f"{s}rank").alias("_r"))
+            rows = (classes.join(r, [*own, c], "left").where(F.col("_r").isNull() | (F.col("_r") >= F.col(used)))
+                    .select(*at, c, F.coalesce("_m", c).alias("id"), F.coalesce("_r", used).alias("pos")))
+        flat = rows.select(*keys, "iou", F.xxhash64("tie").alias("tie"), c, F.col("pos").alias(used), "id")
+        return exact_rank(flat, [*keys, "iou", "tie"], [F.desc("id")], "place").drop("id")
+
+    p, g = line_up("p", p_ranks, keys), line_up("g", g_ranks, gt_keys)
+    return p.join(g, [*keys, "iou", "tie", "place"]).select(*keys, "iou", "pc", "gc", "pused", "gused", F.lit(1).cast("bigint").alias("take"))
 
 
 def _advance(marked: DataFrame, taken: DataFrame, keys: list[str], gt_keys: list[str],
              p_ranks: DataFrame | None, g_ranks: DataFrame | None) -> DataFrame:
     """Edges of the classes that still have members, with their new first members."""
-    e = marked.drop("take")
+    e = marked.drop("take", "tie")
     for s, ranks, own in (("p", p_ranks, keys), ("g", g_ranks, gt_keys)):
-        used = taken.select(*keys, f"{s}c", F.col("take").alias("_t"))
+        used = taken.groupBy(*keys, f"{s}c").agg(F.sum("take").alias("_t"))
         if ranks is None:
             e = e.join(used, [*keys, f"{s}c"], "left_anti")
             continue

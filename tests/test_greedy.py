@@ -120,3 +120,28 @@ def test_suppress_small_boxes_beside_huge_ones(spark):
     df = spark.createDataFrame(small + huge, BOX.format("pred_id") + ", score double")
     got = {r.pred_id for r in suppress(df, ["sheet_id"], 0.3, max_rounds=12).where("kept").collect()}
     assert got == set(range(5000)) | {11_199}
+
+
+@pytest.mark.parametrize("copies,left,right", [(300, 200, 180), (40, 300, 1), (1, 30, 40), (500, 100, 100)])
+def test_match_copies_tied_to_two_stacks(spark, copies, left, right):
+    """Copies that overlap two stacks equally pair off with both in id order, in a few rounds."""
+    rnd = random.Random(copies)
+    ids = rnd.sample(range(5000), left + right)
+    p = [(0, i, 100., 10., 20., 20.) for i in rnd.sample(range(5000), copies)]
+    g = [(0, i, 98., 10., 20., 20.) for i in ids[:left]] + [(0, i, 102., 10., 20., 20.) for i in ids[left:]]
+    got = match_one_to_one(spark.createDataFrame(p, BOX.format("pred_id")), spark.createDataFrame(g, BOX.format("gt_id")),
+                           ["sheet_id"], 0.5, max_rounds=4)
+    assert {(r.pred_id, r.gt_id) for r in got.collect()} == sequential_match(p, g, 0.5)
+
+
+def test_match_random_stacks(spark):
+    """Stacks at few places: ties of every kind, copies on both sides."""
+    rnd = random.Random(12)
+    p = [(s, i, rnd.choice([0., 2., 4.]), rnd.choice([0., 2.]), 10., 10.) for s in range(4) for i in range(s * 100, s * 100 + 40)]
+    g = [(s, i, rnd.choice([0., 2., 4., 6.]), rnd.choice([0., 2.]), 10., 10.) for s in range(4) for i in range(s * 100, s * 100 + 35)]
+    got = {(r.pred_id, r.gt_id) for r in match_one_to_one(
+        spark.createDataFrame(p, BOX.format("pred_id")), spark.createDataFrame(g, BOX.format("gt_id")), ["sheet_id"], 0.3).collect()}
+    want = set()
+    for s in range(4):
+        want |= sequential_match([r for r in p if r[0] == s], [r for r in g if r[0] == s], 0.3)
+    assert got == want
