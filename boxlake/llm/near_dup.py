@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """Pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "sa"):
             ids, others, keep = b.column("a"), b.column("b"), []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -206,7 +206,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     or one component makes no pair, so copies that differ by their own edits meet only if they are near enough."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "s"):
             own = [np.frombuffer(s, np.int64) for s in b.column("s").to_pylist()]
             if own:
                 count = [len(s) for s in own]
