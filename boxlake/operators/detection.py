@@ -166,7 +166,7 @@ def mine_negatives(labelled: DataFrame, keys: Sequence[str], per_pos: int = 4, s
     """All positives of a sheet plus ``per_pos`` negatives for each: the harder half by IoU,
     the rest drawn by key. Few negatives are all kept; a sheet without positives gives nothing.
     """
-    keys = list(keys)
+    keys, labelled = list(keys), cut(labelled)  # read for the counts, the kept rows and the ranks
     n = labelled.groupBy(*keys).agg(F.sum("label").alias("_pos"), F.count("*").alias("_all"))
     rows = (labelled.join(n.where(F.col("_pos") > 0), keys)
             .withColumn("_budget", F.col("_pos") * per_pos).withColumn("_neg", F.col("_all") - F.col("_pos")))

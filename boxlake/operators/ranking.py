@@ -18,7 +18,7 @@ _RUNNING = (Window.unboundedPreceding, -1)
 
 
 def hash_rank(df: DataFrame, groups: Sequence[str], key: str, out: str = "rank",
-              digits: int = 2) -> DataFrame:
+              digits: int = 3) -> DataFrame:
     """1-based rank by a hexadecimal hash column inside each group; exact and lazy.
 
     Leading hex digits are spread evenly and order like the key itself, so each group
@@ -86,18 +86,15 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
 
 
 def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int,
-          salts: int = 32, out: str = "rank") -> DataFrame:
+          out: str = "rank") -> DataFrame:
     """First ``n`` rows of each group in a total order.
 
-    Up to a thousand rows Spark already cuts each map task to its own best ``n``. Above that
-    a first round over salted groups does the same: the overall best ``n`` are always among
-    the best ``n`` of their salt, so nothing is lost.
+    Up to a thousand rows Spark already cuts each map task to its own best ``n``. Above that the
+    rank comes from range pieces, so a hot group is cut like any other and none is sorted whole.
     """
     groups = list(groups)
     if n > 1000:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        w0 = Window.partitionBy(*groups, "_salt").orderBy(*order)
-        df = salted.withColumn("_r", F.row_number().over(w0)).where(F.col("_r") <= n).drop("_r", "_salt")
+        return exact_rank(df, groups, order, out).where(F.col(out) <= n)
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
 

@@ -155,7 +155,9 @@ def nearest_prototype(queries: DataFrame, protos: DataFrame) -> DataFrame:
 
 def adjusted_rand(rows: DataFrame, truth: str = "label", pred: str = "pred") -> DataFrame:
     """Adjusted Rand index from pair counts; 1 for identical partitions, 0 for no rows."""
-    cells = rows.groupBy(truth, pred).agg(F.count("*").alias("n"))
+    from boxlake.session import cut
+
+    cells = cut(rows.groupBy(truth, pred).agg(F.count("*").alias("n")))  # one product, four sums
 
     def squares(by: Sequence[str]) -> Column:
         return (cells.groupBy(*by).agg(F.sum("n").alias("n"))

@@ -107,13 +107,18 @@ def with_dimensions(features: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def reference_points(features: DataFrame) -> DataFrame:
     """Type 1 features as raster points inside the image, numbered in document order."""
-    c = F.from_json("coordinates", schemas.POINT)
     sx, sy = geo.axis_scale(F.col("img_w"), F.col("fe_w")), geo.axis_scale(F.col("img_h"), F.col("fe_h"))
-    p = features.where(F.col("geometry_type") == 1).withColumn("_c", c).where(
-        (F.size("_c") == 2) & F.get("_c", F.lit(0)).isNotNull())
-    x, y = geo.to_raster(F.get("_c", F.lit(0)), F.get("_c", F.lit(1)), sx, sy)
-    p = p.withColumn("x", F.rint(x).cast("bigint")).withColumn("y", F.rint(y).cast("bigint"))
-    return p.where(geo.in_image(F.col("x"), F.col("y"), F.col("img_w"), F.col("img_h"))).drop("_c")
+
+    def place(c: Column) -> Column:
+        x, y = geo.to_raster(F.get(c, F.lit(0)), F.get(c, F.lit(1)), sx, sy)
+        p = F.struct(F.rint(x).cast("bigint").alias("x"), F.rint(y).cast("bigint").alias("y"))
+        return F.when((F.size(c) == 2) & F.get(c, F.lit(0)).isNotNull(), p)
+
+    # the generator keeps the parsed point a column of its own, so filters do not parse it again
+    point = geo.let(F.from_json("coordinates", schemas.POINT), place)
+    rows = features.where(F.col("geometry_type") == 1).select("*", F.explode(F.array(point)).alias("_p"))
+    p = rows.where(F.col("_p").isNotNull()).withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p")
+    return p.where(geo.in_image(F.col("x"), F.col("y"), F.col("img_w"), F.col("img_h")))
 
 
 def layer_boxes(features: DataFrame, zoom: float = 4.0) -> DataFrame:
