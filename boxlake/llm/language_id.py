@@ -23,6 +23,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from boxlake.llm.common import fold, slices
 
 UNDETERMINED = "und"
+#: a column of languages has no more values; each costs the driver one vector
+MAX_LANGUAGES = 2000
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,12 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     learning rows (the bound of the sample). Only one vector per language reaches the driver."""
     rows = (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y"))
             .where((fold(F.col("i")) != 0) & F.col("y").isNotNull() & F.col("t").isNotNull()))
-    share = rows.groupBy("y").agg((F.lit(float(max_per_lang)) / F.count("*")).alias("share"))
+    counts = rows.groupBy("y").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang}: not a column of languages")
+    # at most MAX_LANGUAGES rows, so the texts are not shuffled for it
+    share = F.broadcast(docs.sparkSession.createDataFrame(
+        [(r["y"], max_per_lang / r["count"]) for r in counts], "y string, share double"))
     draw = (F.xxhash64(F.col("i"), F.lit(seed)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     sample = rows.join(share, "y").where(draw < F.col("share")).select("t", "y")
 
