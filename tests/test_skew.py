@@ -72,3 +72,24 @@ def test_mining_hot_sheet(spark):
     per = det.mine_negatives(rows, ["sheet_id"]).groupBy("sheet_id").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
     have = {r.sheet_id: (r.p, r.n) for r in rows.groupBy("sheet_id").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}
     assert {r.sheet_id: (r.p, r.n) for r in per} == {s: (p, min(n, 5 * p)) for s, (p, n) in have.items() if p}
+
+
+def test_sheet_sized_boxes_cost_few_rows(spark):
+    """A box of a whole sheet covers four cells of its own level; small boxes still meet it exactly once."""
+    big = spark.createDataFrame([(0, 1, 0., 0., 28_000., 21_000.), (0, 2, 27_000., 20_000., 900., 900.)], "sheet_id long, id long, x double, y double, w double, h double")
+    assert sp.cover_graded(big).groupBy("id").count().agg(F.max("count")).first()[0] <= 4
+    small = spark.range(2000).selectExpr("0L AS sheet_id", "id", "(id % 50) * 560.0D AS x", "floor(id / 50) * 525.0D AS y", "20.0D AS w", "20.0D AS h")
+    pairs = sp.overlap_pairs(small, big, ["sheet_id"])
+    rows = [(r.a_id, r.b_id) for r in pairs.select("a_id", "b_id").collect()]
+    want = [(i, 1) for i in range(2000)] + [(i, 2) for i in range(2000) if 26_980 < i % 50 * 560 < 27_900 and 19_980 < i // 50 * 525 < 20_900]
+    assert sorted(rows) == sorted(want)
+    points = small.select("sheet_id", "id", F.col("x").alias("px"), F.col("y").alias("py"))
+    assert sp.flag_hits(big, points, ["sheet_id"])[1].where("hit").count() == 2000
+
+
+def test_retrieval_copies_of_boxes_over_one_point(spark):
+    """100 000 near copies of a mask over one point are joined once per position."""
+    masks = spark.range(100_000).selectExpr("0L AS sheet_id", "id AS mask_id", "10.0D + id % 3 AS x", "10.0D AS y", "20.0D AS w", "20.0D AS h", "0.5D AS score")
+    points = spark.range(300).selectExpr("0L AS sheet_id", "id AS pt_idx", "20.0D AS x", "20.0D AS y")
+    got = det.covering_choice(masks, points, ["sheet_id"], 1e6)
+    assert got.count() == 300 and got.select("x0", "x1").distinct().count() == 1
