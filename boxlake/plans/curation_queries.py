@@ -474,8 +474,10 @@ def _(v):
 def _(v):
     from boxlake.operators.templates import class_categories
 
-    rules = v.spark.createDataFrame([(".*LOW.*", "LOW", 2), ("[1-3]-.*", "HIGH", 1), (".*URGENT.*", "URGENT", 0)],
-                                    "layer_name_regex string, category_name string, category_id int")
+    from boxlake.sources.readers import parse_category_map
+
+    lines = ["layer_name_regex,category_name,category_id", ".*LOW.*,LOW,2", "[1-3]-.*,HIGH,1", "", ".*URGENT.*,URGENT,0"]
+    rules = parse_category_map(v.spark.createDataFrame([(x,) for x in lines], "value string"))
     return class_categories(v("v_feature"), rules, exclude=["LOW"])
 
 

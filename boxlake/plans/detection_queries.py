@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions import geometry as geo
@@ -612,10 +613,19 @@ def _(v):
 
 @query("s12_hits_by_score", """SELECT scan_key, count(*) AS n, min(score) AS lowest FROM (SELECT *, substring(sha1(concat_ws('|', 'segmasks_hits', model, filt, '1024')), 1, 20) AS scan_key FROM v_pred) WHERE score >= 0.25 GROUP BY scan_key""", "v_pred")
 def _(v):
-    from boxlake.sources.writers import hits_key
+    """Hits of ten scans, written to a store and read back key by key at a least score."""
+    from functools import reduce
 
-    h = v("v_pred").withColumn("scan_key", hits_key(F.col("model"), F.col("filt"), F.lit(1024)))
-    return h.where("score >= 0.25").groupBy("scan_key").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
+    from boxlake.session import scratch
+    from boxlake.sources import writers as wr
+
+    h = v("v_pred").withColumn("scan_key", wr.hits_key(F.col("model"), F.col("filt"), F.lit(1024)))
+    path = scratch(v.spark, "hits")
+    wr.write_hits(h.where("score < 0.9"), path)
+    wr.write_hits(h, path)  # a scan that is stored again replaces its own hits
+    keys = sorted(r.scan_key for r in wr.finished_scans(v.spark, path).collect())  # one per detector and filter
+    back = reduce(DataFrame.unionByName, [wr.read_hits(v.spark, path, k, 0.25) for k in keys])
+    return back.groupBy("scan_key").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
 
 
 @query("r5_pending_units", """SELECT DISTINCT sheet_id, model AS scan_key FROM v_pred ANTI JOIN (SELECT DISTINCT sheet_id, model FROM v_pred WHERE score > 0.9) s USING (sheet_id, model)""", "v_pred")
