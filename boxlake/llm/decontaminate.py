@@ -41,7 +41,7 @@ WORD = re.compile(r"\w+")
 BLOCK = 2000
 MIN_WORDS = 5
 #: sampled places per key; independent walks
-PLACES, WALKS = 5, 2
+PLACES, WALKS = 6, 2
 SIZES = (4, 8, 16, 32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 1 << 22
@@ -109,7 +109,7 @@ def build_index(items: list[tuple], recall: float = 0.95, seed: int = 5) -> Inde
     some = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(x, len(vocabulary) + 2) for x in words[k]], np.int32) for k in some]
-    layers, n_keys = [], samples_needed(recall)
+    layers = []
     for size in SIZES:
         own = [n for n, w in enumerate(coded) if window_size(len(w)) == size]
         if not own:
@@ -118,7 +118,8 @@ def build_index(items: list[tuple], recall: float = 0.95, seed: int = 5) -> Inde
         # word 0 ends a window, word 1 stands for all that no item holds
         bits = r.integers(0, 2, (WALKS, 2 * size, len(vocabulary) + 2)).astype(np.int8)
         # late steps may lie behind the end of a window, so places are drawn from the first three quarters
-        places = np.stack([np.sort(r.choice(max(PLACES, 2 * size * 3 // 4), PLACES, replace=False)) for _ in range(n_keys)])
+        each = min(PLACES, size)
+        places = np.stack([np.sort(r.choice(2 * size * 3 // 4, each, replace=False)) for _ in range(samples_needed(recall, places=each))])
         text = np.concatenate([coded[n] for n in own])
         begin = np.cumsum([0] + [len(coded[n]) for n in own[:-1]])
         counts = np.array([len(coded[n]) - size + 1 for n in own])
