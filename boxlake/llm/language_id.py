@@ -106,7 +106,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dims, seed), {}
-        for b in slices(batches, "t", 1 << 20):
+        for b in slices(batches, "t", 1 << 19):
             vectors, _ = space.documents(b.column("t").to_pylist())
             langs = np.array(b.column("y").to_pylist(), object)
             for y in set(langs):
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(profiles.dims, profiles.seed)
-        for b in slices(batches, source, 1 << 20):
+        for b in slices(batches, source, 1 << 19):
             vectors, has = space.documents([t or "" for t in b.column(source).to_pylist()])
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
             langs, score = [UNDETERMINED] * len(has), np.zeros(len(has))

@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit shingle hashes; word hashes are cached up to a bound."""
 
-    def __init__(self, max_words: int = 500_000):
+    def __init__(self, max_words: int = 150_000):
         self.known, self.max_words = {}, max_words
 
     def words(self, text: str) -> np.ndarray:

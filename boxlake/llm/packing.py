@@ -54,7 +54,7 @@ class Encoder(dict):
     ``tiktoken`` from the same vocabulary; only a text that spells a special token goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str, max_words: int = 600_000):
+    def __init__(self, path: str, ranks: str, pattern: str, max_words: int = 250_000):
         import tiktoken
         from tokenizers import Tokenizer
 
