@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """Values of the driver as a local relation: its size is known, so Spark sends it to the tasks while small."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once per row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -220,11 +220,11 @@ def with_leaks(docs: DataFrame, index: Index, item_type, text: str = "text", sim
                       StructField("first_word", LongType()), StructField("n_words", LongType())])
     schema = StructType([*docs.schema.fields, StructField(out, ArrayType(one))])
     names, kind = one.names, to_arrow_type(ArrayType(one))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK items
+    # the index of at most BLOCK items goes along with the function
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 1 << 20):
-            found = leaks([t or "" for t in b.column(text).to_pylist()], shared.value, similarity)
+            found = leaks([t or "" for t in b.column(text).to_pylist()], index, similarity)
             rows = pa.array([[dict(zip(names, x, strict=True)) for x in r] for r in found], kind)
             yield pa.RecordBatch.from_arrays([*b.columns, rows], [*b.schema.names, out])
 

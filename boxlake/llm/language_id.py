@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from boxlake.llm.common import fold, slices
+from boxlake.llm.common import fold, slices, small_table
 
 UNDETERMINED = "und"
 #: a column of languages has no more values; each costs the driver one vector
@@ -98,9 +98,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     counts = rows.groupBy("y").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of {lang}: not a column of languages")
-    # at most MAX_LANGUAGES rows, so the texts are not shuffled for it
-    share = F.broadcast(docs.sparkSession.createDataFrame(
-        [(r["y"], max_per_lang / r["count"]) for r in counts], "y string, share double"))
+    # at most MAX_LANGUAGES rows in a table of known size: Spark sends it to the tasks and leaves the texts in place
+    share = small_table(docs.sparkSession, y=pa.array([r["y"] for r in counts], pa.string()),
+                        share=pa.array([max_per_lang / r["count"] for r in counts], pa.float64()))
     draw = (F.xxhash64(F.col("i"), F.lit(seed)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     sample = rows.join(share, "y").where(draw < F.col("share")).select("t", "y")
 
@@ -115,9 +115,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_pydict({"y": [y] * dims, "d": np.arange(dims), "v": v})
 
     parts = sample.mapInArrow(bundle, "y string, d long, v double").groupBy("y", "d").agg(F.sum("v").alias("v"))
-    found = parts.toPandas().sort_values(["y", "d"])
-    languages = sorted(found["y"].unique())
-    vectors = found["v"].to_numpy(float).reshape(len(languages), dims)
+    found = sorted(parts.collect())
+    languages = sorted({r["y"] for r in found})
+    vectors = np.array([r["v"] for r in found], float).reshape(len(languages), dims)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Profiles(languages, vectors / np.where(norm > 0, norm, 1), dims, seed)
 

@@ -90,8 +90,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
              .where((fold(F.col("i")) != 0) & F.col("y").isin(0, 1))
              .groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
              .orderBy(F.xxhash64("i"), "i").limit(max_docs))
-    # at most max_docs rows of two numbers
-    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i")
+    # at most max_docs rows of two numbers: Spark knows that limit and sends them to the tasks
+    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(known, "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):

@@ -18,10 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import LOWER, UPPER, let
-
-#: above so many rules the index is no longer sent to every executor, and Spark picks the join
-MAX_BROADCAST_RULES = 200_000
+from boxlake.llm.common import LOWER, UPPER, let, small_table
 
 
 @dataclass(frozen=True)
@@ -84,12 +81,14 @@ def _tokens(host: Column, path: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, rules: Sequence[UrlRule]) -> DataFrame:
-    """One row per rule under its rarest literal. The counts collected are one per literal of the rules."""
+    """One row per rule under its rarest literal. The counts collected are one per literal of the rules; the
+    index has a known size, so Spark sends it to the executors while it is small."""
     spark, names = urls.sparkSession, sorted({t for r in rules for t in r.literals})
     seen = dict(urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
                 .where(F.col("token").isin(names)).groupBy("token").count().collect()) if names else {}
-    rows = [(min(r.literals, key=lambda t: (seen.get(t, 0), t)), r.name, r.action, r.pattern, r.rank) for r in rules]
-    return spark.createDataFrame(rows, "token string, rule string, action string, pattern string, rank int")
+    return small_table(
+        spark, token=[min(r.literals, key=lambda t: (seen.get(t, 0), t)) for r in rules], rule=[r.name for r in rules],
+        action=[r.action for r in rules], pattern=[r.pattern for r in rules], rank=[r.rank for r in rules])
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[UrlRule] = RULES) -> DataFrame:
@@ -104,8 +103,6 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[UrlRule] = RULES)
     urls = cut.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct()
     index = rule_index(urls, rules)
     held = [r["token"] for r in index.select("token").distinct().collect()]
-    if len(rules) <= MAX_BROADCAST_RULES:
-        index = F.broadcast(index)
     fits = (urls.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
             .where(F.col("token").isin(held)).join(index, "token")
             .where(F.expr("concat(host, path) rlike pattern"))
