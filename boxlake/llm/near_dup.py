@@ -202,7 +202,8 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of open documents in two components that can be similar enough, and few others.
 
     In the order of rarest shingles first, two similar sets share one among the first n - ceil(p n) + 1 of the
-    larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100). A shingle of one document
+    larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100), and the first one they share
+    leaves enough of both behind it. A shingle of one document
     or one component makes no pair, so copies that differ by their own edits meet only if they are near enough."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +225,14 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     index = n - F.ceil(2 * n * p / (100 + p)) + 1
 
     def heads(length, name: str) -> DataFrame:
-        head = ranked.select("id", "n", "root", F.explode(F.slice("xs", 1, length.cast("int"))).alias("e")).where("e.apart")
-        return head.select(F.col("e.x").alias("x"), F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"))
+        head = ranked.select("id", "n", "root", F.posexplode(F.slice("xs", 1, length.cast("int"))).alias("at", "e")).where("e.apart")
+        return head.select(F.col("e.x").alias("x"), F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"),
+                           (F.col("n") - F.col("at")).alias(f"left_{name}"))
 
     both = heads(index, "u").join(heads(probe, "v"), "x")
-    near = (F.col("n_u") <= F.col("n_v")) & (100 * F.col("n_u") >= p * F.col("n_v")) & (F.col("root_u") != F.col("root_v"))
+    # all that two sets share lies at or behind the first shingle they share
+    enough = (100 + p) * F.least("left_u", "left_v") >= p * (F.col("n_u") + F.col("n_v"))
+    near = (F.col("n_u") <= F.col("n_v")) & (100 * F.col("n_u") >= p * F.col("n_v")) & (F.col("root_u") != F.col("root_v")) & enough
     return _pairs(both.where(near).select("u", "v"))
 
 
