@@ -1,30 +1,33 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to edits.
 
-Items and documents are sequences of words (runs of word characters, lower-cased). Windows of a document and
-windows of the items are embedded by a random walk: at step j the current word is written out and the walk
-moves on or stays by a random bit of (j, word), so that few edits between two windows leave most of the output
-equal place by place. Sampled places of the output form keys; equal keys make candidates. The number of
-samples follows from the recall wanted. A candidate counts when the edit distance between the item and the
-nearest stretch of the document is at most (1 - ``similarity``) of the item's characters; that check is exact.
+Items and documents are sequences of words (runs of word characters, lower-cased) joined by single spaces. A
+document holds an item when the edit distance between the item and the nearest stretch of the document is at
+most (1 - ``similarity``) of the item's characters; that check is exact and looks at candidates only.
 
-The window size goes with the item: the largest power of two for which an item always holds a whole window of a
-document (windows begin at every half window). Item windows begin at every word, so the two line up.
+Candidates are found by seeds: runs of characters that edits have left whole. The length of an item's seeds is
+the largest at which, with as many edits as the limit allows at random places, some run of that length stays
+whole with probability ``recall`` or more (``seed_length``, counted exactly). Every such run of the item is
+looked up at every character of the documents, so where words begin is of no matter and a letter changed in
+each word is found like a word changed. A candidate whose stretch keeps far fewer of the item's ``GRAM``-character
+strings than edits at the limit leave goes without the exact check; that takes part of what ``recall`` lets go.
 
 The index of items is built in blocks of ``BLOCK`` items, so what is broadcast is bounded for any benchmark;
 every block is one pass over the documents. Documents are never shuffled.
 
-Defined results: null and empty texts hold nothing. Items that are null or have fewer than ``MIN_WORDS`` words
-are too short to tell a leak from chance and are skipped. Rows never meet, so repeated documents are each
-reported and null ids pass through; of items with equal ids the nearest counts. Extra columns pass through
-``remove_leaks``; empty tables give no leaks.
+Defined results: null and empty texts hold nothing. An item of fewer than ``MIN_WORDS`` words is held only as
+it is, word for word: with edits it is too short to tell from chance. Items of one word or none are skipped.
+Rows never meet, so repeated documents are each reported and null ids pass through; of items with equal ids the
+nearest counts. Extra columns pass through ``remove_leaks``; empty tables give no leaks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -35,113 +38,143 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from boxlake.llm.common import slices
-from boxlake.llm.near_dup import mix
 
 WORD = re.compile(r"\w+")
 BLOCK = 2000
 MIN_WORDS = 5
-#: sampled places per key; independent walks
-PLACES, WALKS = 6, 2
-SIZES = (4, 8, 16, 32)
+#: seeds are no longer than this; items count as no longer than ``LONG`` when their seeds are measured
+LONGEST, LONG = 16, 600
+#: a stretch is looked at when it keeps this share of the strings of GRAM characters that edits at the limit leave
+GRAM, SHARE, BITS = 6, 0.65, 13
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_TABLE = 1 << 22
+_BASE = 0xD6E8FEB86659FD93
 
 
-def samples_needed(recall: float, agreement: float = 0.6, places: int = PLACES) -> int:
-    """Keys needed so that one of them is all equal with probability ``recall``, when embedded places agree with
-    probability ``agreement``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** places))
-
-
-def window_size(words: int) -> int:
-    """Largest size whose half-step windows always fit into a passage of so many words."""
-    return max((w for w in SIZES if w + w // 2 - 1 <= words), default=SIZES[0])
+@cache
+def seed_length(chars: int, edits: int, recall: float) -> int:
+    """Longest run that is left whole somewhere in ``chars`` characters with probability ``recall``, when
+    ``edits`` of them, at random, are changed or gone. Inserted characters leave longer runs."""
+    if chars > LONG:
+        chars, edits = LONG, math.ceil(edits * LONG / chars)
+    for q in range(min(chars, LONGEST), 1, -1):
+        # arrangements in which each of the edits + 1 runs is shorter than q
+        short = sum((-1) ** j * math.comb(edits + 1, j) * math.comb(chars - j * q, edits)
+                    for j in range(edits + 2) if chars - j * q >= edits)
+        if short <= (1 - recall) * math.comb(chars, edits):
+            return q
+    return 1
 
 
 @dataclass
 class Layer:
-    """Index of the item windows of one size."""
+    """Seeds of one length."""
 
     size: int
-    bits: np.ndarray  # [walk, step, word]: whether the walk moves on
-    places: np.ndarray  # [key, sampled step]
     keys: np.ndarray  # sorted
     items: np.ndarray  # item of each key
-    offsets: np.ndarray  # where its window begins in the item
+    offsets: np.ndarray  # where the seed begins in the item
     table: np.ndarray  # quick test of a key
+    shift: np.uint64
 
 
 @dataclass
 class Index:
     ids: list
     texts: list[str]  # words joined by single spaces
-    n_words: list[int]
-    vocabulary: dict[str, int]
+    edits: np.ndarray  # most edits of each item; 0 of items that count only as they are
+    whole: list[bool]
+    least: np.ndarray  # strings of GRAM characters that a stretch must share with the item
+    grams: np.ndarray  # [item, hash]: whether the item has such a string
+    masks: list[dict[str, int]]
     layers: list[Layer]
 
 
-def embed(words: np.ndarray, starts: np.ndarray, size: int, bits: np.ndarray) -> np.ndarray:
-    """[step, window]: output of the random walk over each window, two steps per word; 0 is the end."""
-    steps = 2 * size
-    out, at, end = np.empty((steps, len(starts)), np.int32), starts.copy(), starts + size
-    for j in range(steps):
-        w = np.where(at < end, words[np.minimum(at, len(words) - 1)], 0)
-        out[j] = w
-        at += bits[j][w]
-    return out
-
-
-def window_keys(words: np.ndarray, starts: np.ndarray, size: int, bits: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
-    """Keys of all windows, one array per sample; the number of the sample is part of the key."""
-    per_walk = -(-len(places) // len(bits))
-    for walk, own in enumerate(bits):
-        out = embed(words, starts, size, own).astype(np.uint64)
-        for r in range(walk * per_walk, min(len(places), (walk + 1) * per_walk)):
-            h = np.full(len(starts), r + 1, np.uint64)
-            for p in places[r]:
-                h = h * _ODD + out[p]
-            yield mix(h)
-
-
-def build_index(items: list[tuple], recall: float = 0.95, seed: int = 5) -> Index:
+@cache
+def _word_characters() -> np.ndarray:
+    """Which code points ``WORD`` takes."""
+    return np.frombuffer(bytes(c.isalnum() or c == "_" for c in map(chr, range(sys.maxunicode + 1))), bool)
+
+
+def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, where each begins): words of a text joined by single spaces, with a 0 behind it."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\0".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in low]) - 1
+    word = _word_characters()[codes]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # of what is between two words the first character stays
+    keep[ends] = True
+    out = np.where(word, codes, np.uint32(32))
+    out[ends] = 0
+    out = out[keep]
+    out = out[~np.append((out[:-1] == 32) & (out[1:] == 0), False)]
+    return out, np.append(0, np.flatnonzero(out == 0)[:-1] + 1)
+
+
+class Runs:
+    """Hashes of all strings of one length: sums over powers of a base, shifted to the same power."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes) + 1
+        power = np.full(n, _BASE, np.uint64)
+        power[0] = 1
+        self.back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        self.back[0] = 1
+        power, self.back = np.cumprod(power), np.cumprod(self.back)
+        self.sums = np.zeros(n, np.uint64)
+        spread = (codes.astype(np.uint64) + np.uint64(1)) * _ODD
+        np.cumsum((spread ^ (spread >> np.uint64(29))) * power[:-1], out=self.sums[1:])
+
+    def of(self, size: int) -> np.ndarray:
+        n = max(0, len(self.sums) - size)
+        return (self.sums[size:] - self.sums[:n]) * self.back[:n] * _ODD if n else np.empty(0, np.uint64)
+
+
+def build_index(items: list[tuple], recall: float = 0.95, similarity: float = 0.8) -> Index:
     """Index of (id, text) pairs."""
     words = [WORD.findall((t or "").lower()) for _, t in items]
-    some = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
-    vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(x, len(vocabulary) + 2) for x in words[k]], np.int32) for k in some]
+    some = [k for k, w in enumerate(words) if len(w) > 1]
+    texts, whole = [" ".join(words[k]) for k in some], [len(words[k]) < MIN_WORDS for k in some]
+    length = np.array([len(t) for t in texts], np.int64)
+    edits = np.array([0 if w else int((1 - similarity) * n + 1e-9) for n, w in zip(length, whole, strict=True)], np.int64)
+    # half of what recall lets go is for the seeds
+    sizes = np.array([seed_length(int(n), int(e), (1 + recall) / 2) for n, e in zip(length, edits, strict=True)], np.int64)
+    left = (length - GRAM + 1) * (1 - edits / np.maximum(length, 1)) ** GRAM
+    least = np.where(left >= 20, (SHARE * left).astype(np.int64), 0)  # a few strings more or less decide nothing
+    runs = [Runs(np.array([ord(c) for c in t], np.uint32)) for t in texts]
+    grams = np.zeros((len(texts), 1 << BITS), bool)
+    for k, r in enumerate(runs):
+        grams[k, (r.of(GRAM) >> np.uint64(64 - BITS)).astype(np.int64)] = True
     layers = []
-    for size in SIZES:
-        own = [n for n, w in enumerate(coded) if window_size(len(w)) == size]
-        if not own:
-            continue
-        r = np.random.default_rng([seed, size])
-        # word 0 ends a window, word 1 stands for all that no item holds
-        bits = r.integers(0, 2, (WALKS, 2 * size, len(vocabulary) + 2)).astype(np.int8)
-        # late steps may lie behind the end of a window, so places are drawn from the first three quarters
-        each = min(PLACES, size)
-        places = np.stack([np.sort(r.choice(2 * size * 3 // 4, each, replace=False)) for _ in range(samples_needed(recall, places=each))])
-        text = np.concatenate([coded[n] for n in own])
-        begin = np.cumsum([0] + [len(coded[n]) for n in own[:-1]])
-        counts = np.array([len(coded[n]) - size + 1 for n in own])
-        item = np.repeat(own, counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        keys = np.stack(list(window_keys(text, np.repeat(begin, counts) + offset, size, bits, places)))
-        order = np.argsort(keys.ravel(), kind="stable")
-        flat, tiled = keys.ravel()[order], order % len(item)
-        table = np.zeros(_TABLE, bool)
-        table[(flat & np.uint64(_TABLE - 1)).astype(np.int64)] = True
-        layers.append(Layer(size, bits, places, flat, item[tiled].astype(np.int32), offset[tiled].astype(np.int32), table))
-    return Index([items[k][0] for k in some], [" ".join(words[k]) for k in some], [len(w) for w in coded], vocabulary, layers)
-
-
-def nearest(pattern: str, text: str) -> tuple[int, int]:
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        keys = [runs[k].of(size) for k in own]
+        item, offset = np.repeat(own, [len(x) for x in keys]), np.concatenate([np.arange(len(x)) for x in keys])
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        bits = max(16, (32 * len(flat)).bit_length())
+        shift = np.uint64(64 - bits)
+        table = np.zeros(1 << bits, bool)
+        table[(flat >> shift).astype(np.int64)] = True
+        layers.append(Layer(size, flat[order], item[order], offset[order], table, shift))
+    masks = []
+    for t in texts:
+        eq: dict[str, int] = {}
+        for i, c in enumerate(t):
+            eq[c] = eq.get(c, 0) | 1 << i
+        masks.append(eq)
+    return Index([items[k][0] for k in some], texts, edits, whole, least, grams, masks, layers)
+
+
+def nearest(pattern: str, text: str, eq: dict[str, int] | None = None) -> tuple[int, int]:
     """(edit distance between the pattern and the nearest substring of the text, end of that substring); the
-    bit-parallel form of the usual table, one integer per column."""
+    bit-parallel form of the usual table, one integer per column. ``eq``: places of each character of the pattern."""
     m = len(pattern)
     mask, high = (1 << m) - 1, 1 << (m - 1)
-    eq: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        eq[c] = eq.get(c, 0) | 1 << i
+    if eq is None:
+        eq = {}
+        for i, c in enumerate(pattern):
+            eq[c] = eq.get(c, 0) | 1 << i
     plus, minus, score, best = mask, 0, m, (m, 0)
     for j, c in enumerate(text, 1):
         e = eq.get(c, 0)
@@ -161,57 +194,61 @@ def nearest(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
-def candidates(coded: np.ndarray, lengths: np.ndarray, index: Index, block: int = 40_000) -> set[tuple[int, int, int]]:
-    """(document, item, word at which the item would begin) of all key matches. A window with fewer than half of
-    its words known to the items is passed over: its sampled places cannot all agree but by chance."""
-    found: set[tuple[int, int, int]] = set()
-    doc_end = np.cumsum(lengths)
-    known = np.concatenate([[0], np.cumsum(coded > 1)])
+def candidates(codes: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first character, end) of the stretches that may hold an item, in order of the first two.
+    An item that stands in a document in full lies inside one of them with all its edits."""
+    runs, length, ends = Runs(codes), np.array([len(t) for t in index.texts]), np.append(starts[1:], len(codes)) - 1
+    slack = length // 4 + 2
+    found = []
     for layer in index.layers:
-        size, half = layer.size, layer.size // 2
-        per_doc = np.where(lengths >= size, (lengths - size) // half + 1, 0)
-        doc = np.repeat(np.arange(len(lengths)), per_doc)
-        nth = np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        start = (doc_end - lengths)[doc] + nth * half
-        tail = np.flatnonzero((lengths >= size) & ((lengths - size) % half > 0))  # the last window ends with the text
-        start, doc = np.concatenate([start, doc_end[tail] - size]), np.concatenate([doc, tail])
-        good = known[start + size] - known[start] >= half
-        start, doc = start[good], doc[good]
-        for lo in range(0, len(start), block):
-            s, d = start[lo:lo + block], doc[lo:lo + block]
-            for keys in window_keys(coded, s, size, layer.bits, layer.places):
-                hit = np.flatnonzero(layer.table[(keys & np.uint64(_TABLE - 1)).astype(np.int64)])
-                left = np.searchsorted(layer.keys, keys[hit])
-                right = np.searchsorted(layer.keys, keys[hit], side="right")
-                for h, a, b in zip(hit[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                    first = int(s[h] - (doc_end - lengths)[d[h]])
-                    for item, offset in set(zip(layer.items[a:b].tolist(), layer.offsets[a:b].tolist(), strict=True)):
-                        found.add((int(d[h]), item, first - offset))
-    return found
+        keys = runs.of(layer.size)
+        at = np.flatnonzero(layer.table[(keys >> layer.shift).astype(np.int64)])
+        left, right = (np.searchsorted(layer.keys, keys[at], side=x) for x in ("left", "right"))
+        many = right - left
+        k = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item, at = layer.items[k], np.repeat(at, many)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        # neighbouring beginnings share one look
+        found.append(np.stack([doc, item, (at - layer.offsets[k] - starts[doc]) // slack[item]], axis=1))
+    stretches = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+    doc, item, near = stretches.T
+    lo = np.maximum(starts[doc], starts[doc] + near * slack[item] - index.edits[item])
+    hi = np.minimum(ends[doc], starts[doc] + (near + 1) * slack[item] + length[item] + index.edits[item])
+    short = (runs.of(GRAM) >> np.uint64(64 - BITS)).astype(np.int64)
+    for d, n, a, b, least in zip(doc.tolist(), item.tolist(), lo.tolist(), hi.tolist(), index.least[item].tolist(), strict=True):
+        if not least or np.count_nonzero(index.grams[n].take(short[a:max(a, b - GRAM + 1)])) >= least:
+            yield d, n, a, b
+
+
+def _stands(plain: str, text: str, lo: int, hi: int) -> bool:
+    """Whether the words of ``text`` stand in ``plain[lo:hi]``; texts end with a 0."""
+    at = plain.find(text, lo, hi)
+    while at >= 0:
+        if (not at or plain[at - 1] in " \0") and plain[at + len(text)] in " \0":
+            return True
+        at = plain.find(text, at + 1, hi)
+    return False
 
 
 def leaks(texts: list[str], index: Index, similarity: float) -> list[list[tuple]]:
     """Per text: (item id, distance, similarity, first word, words looked at) of each item it holds."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    get = index.vocabulary.get
-    coded = np.fromiter((get(x, 1) for w in words for x in w), np.int32, int(lengths.sum()))
     best: list[dict] = [{} for _ in texts]
-    seen: set[tuple[int, int, int]] = set()
-    for d, item, at in sorted(candidates(coded, lengths, index)) if len(coded) else ():
-        n, text = index.n_words[item], index.texts[item]
-        slack = n // 4 + 2
-        region = (at // slack) * slack  # neighbouring beginnings share one look
-        if (d, item, region) in seen:
-            continue
-        seen.add((d, item, region))
-        lo, hi = max(0, region - slack), min(len(words[d]), region + 2 * slack + n)
-        distance, _ = nearest(text, " ".join(words[d][lo:hi]))
+    if not texts or not index.layers:
+        return [[] for _ in texts]
+    codes, starts = normal(texts)
+    plain = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    for d, item, lo, hi in candidates(codes, starts, index):
+        text = index.texts[item]
+        if index.whole[item]:
+            distance = 0 if _stands(plain, text, lo, hi) else len(text)
+        else:
+            distance, _ = nearest(text, plain[lo:hi], index.masks[item])
         share = 1 - distance / len(text)
-        key = index.ids[item]
-        if share >= similarity and (key not in best[d] or (distance, lo) < (best[d][key][0], best[d][key][2])):
-            best[d][key] = (distance, share, lo, hi - lo)
-    return [[(k, *v) for k, v in b.items()] for b in best]
+        key, at = index.ids[item], int(lo)
+        if share >= similarity and (key not in best[d] or (distance, at) < (best[d][key][0], best[d][key][2])):
+            best[d][key] = (distance, share, at, int(hi))
+    return [[(k, n, share, plain.count(" ", int(start), lo), plain.count(" ", lo, hi) + 1) for k, (n, share, lo, hi) in b.items()]
+            for b, start in zip(best, starts, strict=True)]
 
 
 def with_leaks(docs: DataFrame, index: Index, item_type, text: str = "text", similarity: float = 0.8, out: str = "_leaks") -> DataFrame:
@@ -231,10 +268,10 @@ def with_leaks(docs: DataFrame, index: Index, item_type, text: str = "text", sim
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, recall: float) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, recall: float, similarity: float) -> Iterator[Index]:
     rows = ((r[0], r[1]) for r in benchmark.select(item_id, text).toLocalIterator())
     while block := list(islice(rows, BLOCK)):
-        yield build_index(block, recall)
+        yield build_index(block, recall, similarity)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -242,7 +279,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row per document row and item that it holds: ids, distance, similarity, and the words looked at."""
     kind, chosen = benchmark.schema[item_id].dataType, docs.select(doc_id, F.col(text).alias("_text"))
     found = None
-    for index in _blocks(benchmark, item_id, item_text, recall):
+    for index in _blocks(benchmark, item_id, item_text, recall, similarity):
         rows = (with_leaks(chosen, index, kind, "_text", similarity).select(doc_id, F.explode("_leaks").alias("_leak"))
                 .select(doc_id, "_leak.*"))
         found = rows if found is None else found.unionByName(rows)
@@ -254,7 +291,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                  similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     columns = docs.columns
-    for index in _blocks(benchmark, item_id, item_text, recall):
+    for index in _blocks(benchmark, item_id, item_text, recall, similarity):
         docs = with_leaks(docs, index, benchmark.schema[item_id].dataType, text, similarity).where(F.size("_leaks") == 0).select(*columns)
     return docs
 

@@ -361,3 +361,37 @@ def test_quality_rules_are_native(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert quality_rules.judge(spark.createDataFrame([("x", 1)], "text string, quality int")).columns == ["text", "quality"]
+
+
+def test_planted_character_edits(spark, sf_dir, docs):
+    """Copies with characters changed, gone or added anywhere, up to the limit of 20%."""
+    items = [(r.item_id, " ".join(decontaminate.WORD.findall(r.text.lower()))) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    index, r = decontaminate.build_index(items), random.Random(11)
+    hosts = [x.text for x in docs.where("lang = 'en'").limit(30).collect()]
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        texts, want = [], []
+        for i, t in items * 5:
+            w = list(t)
+            for p in sorted(r.sample(range(len(w)), int(rate * len(w))), reverse=True):
+                w[p:p + 1] = r.choice([["q"], [], [w[p], "q"]])
+            h = r.choice(hosts)
+            at = r.randint(0, len(h))
+            texts.append(f"{h[:at]} {''.join(w)} {h[at:]}")
+            want.append(i)
+        found = decontaminate.leaks(texts, index, 0.8)
+        assert np.mean([i in {x[0] for x in f} for i, f in zip(want, found)]) >= 0.95, rate
+
+
+def test_short_items_as_they_are():
+    index = decontaminate.build_index([(1, "Two words"), (2, "x"), (3, "..."), (4, "né à l'été")])  # one word is skipped
+    texts = ["has two, WORDS here", "two wordsmiths", "two other words", "x", "two words", "né à l été!", "né à l ete", ""]
+    assert [[x[0] for x in f] for f in decontaminate.leaks(texts, index, 0.8)] == [[1], [], [], [], [1], [4], [], []]
+
+
+def test_seed_length_by_counting():
+    from itertools import combinations
+
+    for n, k in ((8, 2), (10, 3), (12, 2)):
+        runs = [max(b - a - 1 for a, b in zip((-1, *c), (*c, n))) for c in combinations(range(n), k)]
+        for recall in (0.5, 0.9, 0.99):
+            assert decontaminate.seed_length(n, k, recall) == max(q for q in range(1, n) if np.mean([x >= q for x in runs]) >= recall)
