@@ -6,15 +6,19 @@ together first:
 
 1. Every window of ``SPAN`` bytes is named by the smallest hash of the ``GRAM``-byte strings inside it; equal
    windows have equal names. Neighbouring windows with one name form a segment. Each group of documents sends
-   its names (short hashes) to buckets, and a bucket answers which names occur in several documents.
-2. Segments with such names go to their bucket, equal ones of a group once. Each bucket sorts the suffixes of
+   its names (short hashes) to buckets, and a bucket answers which names occur in several documents and which
+   are hot: held by more than a quarter of the groups.
+2. Segments with such names go to their bucket, equal ones of a group once. Segments of hot names are cut into
+   single windows first, and each window goes to the bucket of a hash of all its bytes. Each bucket sorts the suffixes of
    its segments in two stages, computes adjacent common prefixes and reads from runs of at least ``SPAN``
    bytes the smallest document of every window.
 3. The groups mark and cut the bytes of windows whose smallest document is smaller than their own.
 
 Groups and buckets are both as many as the square root of the expected names allows, so the rows between them
-and the size of each grow as the square root of the input. A passage that a third of all documents share is
-one entry per group. All three visits to the texts use one shuffle of them.
+and the size of each grow as the square root of the input. A segment at the edge of a shared passage also holds
+up to ``SPAN`` - ``GRAM`` bytes of its document's own, so a passage that a third of all documents share has about as
+many different segments of one name as documents. Its name is hot: what the documents have in common is then one
+entry per group and window, and the windows with bytes of their own are spread over all buckets. All three visits to the texts use one shuffle of them.
 
 Null text is empty. Rows with one id are one document: they never match each other. A null id sorts last, is
 returned as null, and such rows count as one document. Extra columns are ignored; an empty table gives an
@@ -43,6 +47,8 @@ SPAN, GRAM = 50, 16
 SHORT = 45
 _MASK = np.uint64((1 << SHORT) - 1)
 _SLICE = 4 << 20
+#: a name is hot in more than this many groups and more than a quarter of them
+HOT = 16
 
 
 def _windows(text: np.ndarray, span: int) -> np.ndarray:
@@ -103,6 +109,16 @@ def _place(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), names & _MASK
 
 
+def _window_names(data: bytes, at: np.ndarray, span: int) -> np.ndarray:
+    """Hash of all bytes of the windows at some places."""
+    text = np.frombuffer(data, np.uint8)
+    words = np.ndarray(max(0, len(text) - 7), "<u8", text.data, strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for w in (*range(0, span - 7, 8), span - 8):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ words[at + w])
+    return h
+
+
 def _six(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -133,17 +149,20 @@ def _names_of(table: pa.Table, span: int, buckets: int) -> pa.Table:
     return pa.table({"b": pa.array(bucket[cut], pa.int64()), "g": pa.array([g] * len(cut), pa.int64()), "names": pa.array(blobs, pa.binary())})
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of each group's names in a bucket, those that several documents hold."""
+def _shared(table: pa.Table, hot: int) -> pa.Table:
+    """Of each group's names in a bucket, those that several documents hold; the lowest bit says "in more than
+    ``hot`` groups"."""
     blobs = [_from_six(x) for x in table.column("names").to_pylist()]
     values, sizes = np.concatenate(blobs), np.array([len(x) for x in blobs])
     order = np.argsort(values >> np.uint64(1), kind="stable")
     name = values[order] >> np.uint64(1)
     run = np.cumsum(np.concatenate([[False], name[1:] != name[:-1]]))
     hits = np.bincount(run, 1 + (values[order] & np.uint64(1)))
-    keep = np.zeros(len(values), bool)
+    keep, many = np.zeros(len(values), bool), np.zeros(len(values), np.uint64)
     keep[order] = (hits > 1)[run]
-    parts = [_six((v >> np.uint64(1))[k]) for v, k in zip(blobs, np.split(keep, np.cumsum(sizes)[:-1]), strict=True)]
+    many[order] = (np.bincount(run) > hot)[run]  # a group names it once
+    answer, cuts = values >> np.uint64(1) << np.uint64(1) | many, np.cumsum(sizes)[:-1]
+    parts = [_six(v[k]) for v, k in zip(np.split(answer, cuts), np.split(keep, cuts), strict=True)]
     g, b = table.column("g").to_pylist(), table.column("b").to_pylist()
     rows = [(x, y, p) for x, y, p in zip(g, b, parts, strict=True) if p]
     return pa.table({"g": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()),
@@ -151,15 +170,16 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 class Chosen:
-    """Segments of a group whose names several documents hold, equal ones counted once.
+    """Segments of a group whose names several documents hold, equal ones counted once; of hot names their windows.
 
     Per distinct segment, in order of bucket and then of first place: ``bucket``, ``short`` name, ``ids``
     (smallest document) and ``pieces`` (bytes). ``places`` has per slice (first document, starts, documents,
     numbers of the segments). The same group and names always give the same order."""
 
     def __init__(self, group: Group, answers: dict[int, np.ndarray], buckets: int):
-        keys = [(np.uint64(b) << np.uint64(SHORT)) | v for b, v in answers.items()]
+        keys = [(np.uint64(b) << np.uint64(SHORT + 1)) | v for b, v in answers.items()]
         known = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+        known, hot = known >> np.uint64(1), (known & np.uint64(1)).astype(bool)
         number: dict[bytes, int] = {}
         pieces, facts, places = [], [], []
         for data, first, names, starts, count, doc in group.segments() if len(known) else ():
@@ -167,15 +187,23 @@ class Chosen:
             key = (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             hit = np.flatnonzero(known[at] == key)
-            nos, fresh = np.empty(len(hit), np.int64), []
-            for k, (s, e) in enumerate(zip(starts[hit].tolist(), (starts[hit] + count[hit] + group.span - 1).tolist(), strict=True)):
+            starts, count, doc, bucket, short, split = starts[hit], count[hit], doc[hit], bucket[hit], short[hit], hot[at[hit]]
+            if split.any():
+                pieces_of = np.where(split, count, 1)
+                own = np.repeat(np.arange(len(hit)), pieces_of)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+                starts, doc, bucket, short, split = starts[own] + nth, doc[own], bucket[own], short[own], split[own]
+                count = np.where(split, 1, count[own])
+                bucket[split], short[split] = _place(_window_names(data, starts[split], group.span), buckets)
+            nos, fresh = np.empty(len(starts), np.int64), []
+            for k, (s, e) in enumerate(zip(starts.tolist(), (starts + count + group.span - 1).tolist(), strict=True)):
                 piece = data[s:e]
                 nos[k] = number.setdefault(piece, len(pieces))
                 if nos[k] == len(pieces):  # documents come in order of id, so the first to hold it is the smallest
                     pieces.append(piece)
-                    fresh.append(hit[k])
+                    fresh.append(k)
             facts.append((bucket[fresh], short[fresh], group.ids[first + doc[fresh]]))
-            places.append((first, starts[hit], first + doc[hit], nos))
+            places.append((first, starts, first + doc, nos))
         bucket, short, ids = (np.concatenate(x) for x in zip(*facts, strict=True)) if pieces else [np.empty(0, np.int64)] * 3
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(pieces), np.int64)
@@ -346,6 +374,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def names_of(t: pa.Table) -> pa.Table:
         return _names_of(t, span, parts)
 
+    def shared_of(t: pa.Table) -> pa.Table:
+        return _shared(t, max(HOT, parts // 4))
+
     def segments_of(_, a: pa.Table, b: pa.Table) -> pa.Table:
         return _segments_of(a, b, span, parts)
 
@@ -356,7 +387,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _cut(a, b, span, parts, kind)
 
     names = rows.groupBy("g").applyInArrow(names_of, "b long, g long, names binary")
-    shared = names.groupBy("b").applyInArrow(_shared, "g long, b long, names binary")
+    shared = names.groupBy("b").applyInArrow(shared_of, "g long, b long, names binary")
     segments = (rows.groupBy("g").cogroup(shared.groupBy("g"))
                 .applyInArrow(segments_of, "b long, g long, ids binary, sub binary, sizes binary, data binary"))
     runs = segments.groupBy("b").applyInArrow(resolve, "g long, b long, runs binary, lengths binary, least binary")

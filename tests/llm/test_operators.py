@@ -395,3 +395,28 @@ def test_seed_length_by_counting():
         runs = [max(b - a - 1 for a, b in zip((-1, *c), (*c, n))) for c in combinations(range(n), k)]
         for recall in (0.5, 0.9, 0.99):
             assert decontaminate.seed_length(n, k, recall) == max(q for q in range(1, n) if np.mean([x >= q for x in runs]) >= recall)
+
+
+def test_hot_passage_is_spread_over_buckets(spark):
+    """A passage in every document, each with its own context: results by force, and no bucket gets a piece of each."""
+    import pyarrow as pa
+
+    r = random.Random(12)
+    own = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = own(300)
+    data = [(i, own(150) + passage[r.choice((0, 0, 7)):] + own(150)) for i in range(1500)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)
+           for x in suffix_dedup.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == repeats_by_force([(i, t.encode()) for i, t in data])
+    parts, groups = 30, defaultdict(list)
+    for i, t in data:
+        groups[i % 30].append((i, t.encode()))
+    tables = {g: pa.table({"g": [g] * len(v), "id": [i for i, _ in v], "t": [t for _, t in v]}) for g, v in groups.items()}
+    names = pa.concat_tables([suffix_dedup._names_of(t, 50, parts) for t in tables.values()])
+    pick = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+    shared = pa.concat_tables([suffix_dedup._shared(pick(names, "b", b), 16) for b in set(names.column("b").to_pylist())])
+    sent = Counter()
+    for g, t in tables.items():
+        for row in suffix_dedup._segments_of(t, pick(shared, "g", g), 50, parts).to_pylist():
+            sent[row["b"]] += len(row["data"])
+    assert max(sent.values()) < 3 * sum(sent.values()) / parts
