@@ -1,8 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text becomes its words (A-Z lower-cased; runs of digits, lower-case letters and characters beyond ASCII)
-joined by single spaces. Each rule is a regular expression over that form and is filed under one word that it
-cannot do without; a text runs only the rules of words it holds. Every match is an interval of words. Matches
+joined by single spaces. Each rule is a regular expression over that form and is filed under words one of which it
+cannot do without, spellings joined with a version (``agplv3``) among them; a text runs only the rules of words
+it holds. Every match is an interval of words. Matches
 are taken in order of priority, and a match that lies inside one of a better priority, or inside a longer one
 of its own, is suppressed; of equal intervals the first label stays.
 
@@ -100,9 +101,16 @@ _TEXTS = [  # sentences from license bodies and notices
 
 
 def _keywords(pattern: str, fixed: str | None) -> list[str]:
-    """Words one of which any match holds: the given one, or one literal word of each alternative."""
-    if fixed:
-        return [fixed]
+    """Words one of which any match holds: the given one, or one literal word of each alternative, and each of
+    them joined with a version where the pattern takes that."""
+    words, name = [fixed] if fixed else _literals(pattern), re.compile(f"(?:{pattern})")
+    tails = ["", *(f" {d}" for d in range(10))]
+    return words + [f"{w}{v}{d}" for w in dict.fromkeys(words) for v in ("", "v") for d in range(10)
+                    if any(name.fullmatch(f"{w}{v}{d}{t}") for t in tails)]
+
+
+def _literals(pattern: str) -> list[str]:
+    """One literal word of each alternative."""
     body = pattern
     inner = re.match(r"^(?:\(\?:gnu \)\?)?\(\?:(.*?)\)(?=$| |\(|\?)", pattern)
     if inner and "|" in inner[1]:
@@ -136,8 +144,9 @@ class Scanner:
 
     def __init__(self, rules: Sequence[Rule] = RULES):
         self.by_word: dict[str, list[tuple[Rule, re.Pattern]]] = {}
+        compiled = {p: re.compile(f"(?<![^ ])(?:{p})(?![^ ])") for p in dict.fromkeys(r.pattern for r in rules)}
         for r in rules:
-            self.by_word.setdefault(r.keyword, []).append((r, re.compile(f"(?<![^ ])(?:{r.pattern})(?![^ ])")))
+            self.by_word.setdefault(r.keyword, []).append((r, compiled[r.pattern]))
         self.phrases = [(f" {p} ", label) for p, label in BASE_PHRASES.items()]
 
     def base(self, words: list[str]) -> list[tuple[int, str]]:

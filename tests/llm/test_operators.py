@@ -420,3 +420,23 @@ def test_hot_passage_is_spread_over_buckets(spark):
         for row in suffix_dedup._segments_of(t, pick(shared, "g", g), 50, parts).to_pylist():
             sent[row["b"]] += len(row["data"])
     assert max(sent.values()) < 3 * sum(sent.values()) / parts
+
+
+def test_license_gate_hides_nothing():
+    """Scanning behind keywords equals running every rule, for names in many spellings."""
+    gated, every = licenses.Scanner(), licenses.Scanner()
+    every.by_word = {"text": [x for own in gated.by_word.values() for x in own]}
+    names = ["apache", "apache license", "apache software license", "gpl", "gnu gpl", "gnu general public license", "agpl", "gnu affero general public license",
+             "lgpl", "gnu lesser general public license", "gnu library general public license", "mpl", "mozilla public license", "epl", "eclipse public license",
+             "cddl", "eupl", "gfdl", "gnu free documentation license", "bsl", "ofl", "odbl", "artistic", "php license", "osl", "cc0", "zlib", "psf license"]
+    labels = {}
+    for name in names:
+        for join in ("", " ", "v", " v", " version "):
+            for version in ("0", "1", "1.0", "1.1", "1.2", "1.3", "2", "2.0", "2.1", "3", "3.0"):
+                for text in (f"text licensed under the {name}{join}{version}", f"text {name}{join}{version} license"):
+                    w = licenses.words_of(text)
+                    key = lambda found: [(a, b, r.label, r.kind) for a, b, r in found]
+                    assert key(gated.detect(w)) == key(every.detect(["text", *w[1:]])), text
+                    labels[text] = {r.label for _, _, r in gated.detect(w)}
+    for name, label in {"agplv3": "agpl-3", "lgplv2.1": "lgpl-2.1", "mplv2.0": "mpl-2", "eplv2": "epl-2", "gpl3": "gpl-3", "gpl2": "gpl-2", "apache2": "apache-2"}.items():
+        assert labels[f"text licensed under the {name}"] == {label}
