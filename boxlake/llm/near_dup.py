@@ -1,6 +1,6 @@
 """Near-duplicate documents: fast similarity sketching, banding, exact verification, components.
 
-A document's set holds the distinct 3-word shingles of its text (A-Z lower-cased, words split at ASCII white
+A document's set holds the distinct shingles (``SHINGLE`` words, or a caller's number) of its text (A-Z lower-cased, words split at ASCII white
 space); with fewer words the whole sequence is the one shingle. A sketch has ``COORDINATES`` places. In each
 round every element is hashed into one place and the smallest (round, value) stays; rounds go on until all
 places are filled, and from round ``COORDINATES`` on each round serves one place with all elements, so none
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from boxlake.operators.components import connected
 from boxlake.session import cut
 
 SHINGLE = 3
-COORDINATES, BANDS, ROWS = 192, 32, 6
-#: links need 100 * intersection >= PERCENT * union
-PERCENT = 85
+COORDINATES = 192
+#: links need 100 * intersection >= PERCENT * union; banding misses one at the threshold with at most this probability
+PERCENT, MISS = 85, 1e-6
 STARS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,26 +94,34 @@ def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of each): the most rows at which a link at the threshold is missed with at most ``MISS``."""
+    fits = [r for r in range(1, COORDINATES + 1) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISS]
+    rows = max(fits, default=1)
+    return COORDINATES // rows, rows
+
+
+def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """[documents, bands] keys; the number of the band is part of the key."""
-    s = sketches.reshape(len(sketches), bands, rows)
+    s = sketches[:, :bands * rows].reshape(len(sketches), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), s.shape[:2])
     for r in range(rows):
         h = mix(h * _ODD + s[:, :, r])
     return h
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per document row: id (null: ``NO_ID``), n (set size), key (digest of the set), bands."""
+    count, rows_of = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, "t"):
-            sets = [shingler.sets(t) for t in b.column("t").to_pylist()]
+            sets = [shingler.sets(t, size) for t in b.column("t").to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             if full:
-                keys = band_keys(np.stack([sketch(sets[k]) for k in full])).view(np.int64)
+                keys = band_keys(np.stack([sketch(sets[k]) for k in full]), count, rows_of).view(np.int64)
                 for k, row in zip(full, keys, strict=True):
                     bands[k] = row
             yield pa.RecordBatch.from_arrays([
@@ -124,13 +133,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "id long, n long, key binary, bands array<long>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def set_table(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, key, set as bytes) of the rows whose id is in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, "t"):
-            blobs = [shingler.sets(t).tobytes() for t in b.column("t").to_pylist()]
+            blobs = [shingler.sets(t, size).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(blobs, pa.binary())], ["id", "s"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
@@ -236,9 +245,9 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs(both.where(near).select("u", "v"))
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per document row: id (null: ``NO_ID``), n, component (smallest id reachable)."""
-    prints = cut(fingerprints(docs, doc_id, text))
+    prints = cut(fingerprints(docs, doc_id, text, percent, size))
     alone = prints.where("n = 0").select("id", "n", F.col("id").alias("component"))
     full = prints.where("n > 0")
     # one node per distinct set, named by its smallest id; sets that share that id are one document
@@ -247,7 +256,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
     busy = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = cut(rows.join(busy, "bucket", "left_semi").select("bucket", "id", "n"))
-    sets = cut(set_table(docs, members.select("id").distinct(), doc_id, text).where(F.length("s") > 0))
+    sets = cut(set_table(docs, members.select("id").distinct(), doc_id, text, size).where(F.length("s") > 0))
     roots = links(members, sets, percent)
     placed = (full.select("id", "n", "key").join(reps.select("key", "rep"), "key")
               .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
@@ -262,8 +271,23 @@ def digest(docs: DataFrame) -> DataFrame:
                         (F.col("id") == F.col("component")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component; equal rows of one id are kept once."""
-    kept = components(docs, doc_id, text).where("id = component").select(F.col("id").alias("_id")).distinct()
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """(id, component) over the links of all parts, each (id, component)."""
+    if len(parts) == 1:
+        return parts[0].select("id", "component")
+    ids = parts[0].select("id").distinct()
+    edges = reduce(DataFrame.unionByName, [p.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")) for p in parts])
+    edges = cut(edges.distinct())
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    roots = connected(nodes, edges, [], "id").select("id", "root")
+    return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                rules: tuple[tuple[int, int], ...] = ((SHINGLE, PERCENT),)) -> DataFrame:
+    """The documents that are the smallest id of their component; equal rows of one id are kept once. Each rule is
+    (words of a shingle, percent); documents are linked when any rule links them."""
+    found = joined([components(docs, doc_id, text, percent, size) for size, percent in rules])
+    kept = found.where("id = component").select(F.col("id").alias("_id")).distinct()
     keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
     return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id", text]).drop("_id")
