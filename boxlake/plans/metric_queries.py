@@ -395,6 +395,14 @@ def _(v):
     return tp.search(px, sizes, tpl, 0.6, scales=(1.0,), tile=64, margin=4).withColumn("score", F.round("score", 6))
 
 
+@query("r1_match_exemplar")
+def _(v):
+    """The whole job: default scales, tile, cap and suppression, boxes mapped back to a base of twice the size."""
+    px = v("v_pixel")
+    sizes = px.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return tp.match_exemplar(px, sizes, tp.exemplar(px, 3, 25, 33, 10, 8), 0.15, to_base=2.0)
+
+
 # --- vector paths --------------------------------------------------------------------
 
 

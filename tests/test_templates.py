@@ -57,3 +57,58 @@ def test_match_job_over_all_scales(spark):
     assert {(r.x, r.y): (r.w, r.h) for r in got} == {(2 * x, 2 * y): (2 * w, 2 * h) for (x, y), (w, h) in places.items()}
     few = tp.match_exemplar(px, sizes, tpl, 0.95, most=1, tile=64, margin=4)
     assert few.count() == 1
+
+
+def test_registered_match_by_force(spark, sf_dir):
+    """``r1_match_exemplar`` on all of ``v_pixel``: every scale at every place, cap, greedy suppression, map back."""
+    import xxhash
+
+    from boxlake.plans import load_all
+    from boxlake.plans.registry import QUERIES, Views
+
+    load_all()
+    sheets = {}
+    for r in Views(spark, sf_dir)("v_pixel").collect():
+        sheets.setdefault(r.img, {})[r.y, r.x] = r.v
+    arrays = {}
+    for img, own in sheets.items():
+        arrays[img] = np.zeros((max(y for y, _ in own) + 1, max(x for _, x in own) + 1))
+        for at, value in own.items():
+            arrays[img][at] = value
+    tpl, everything = arrays[3][33:41, 25:35], {}
+    for img, a in arrays.items():
+        found = []
+        for w, h in sorted(set(tp.template_sizes(10, 8, (0.8, 0.9, 1.0, 1.1, 1.25)))):
+            t = tp.scale_template(tpl, w, h)
+            t = t - t.mean()
+            win = np.lib.stride_tricks.sliding_window_view(a, (h, w))
+            win = win - win.mean(axis=(2, 3), keepdims=True)
+            den = np.sqrt((win * win).sum(axis=(2, 3)) * (t * t).sum())
+            score = np.where(den > 1e-6, (win * t).sum(axis=(2, 3)) / np.where(den > 1e-6, den, 1), 0)
+            found += [(-round(float(score[y, x]), 9), x, y, w, h) for y, x in zip(*(v.tolist() for v in np.nonzero(score >= 0.15)))]
+        number = lambda f: int(np.uint64(xxhash.xxh64_intdigest(".".join(f"{k:09d}" for k in (f[2], f[1], f[4], f[3])), 42)).view(np.int64))
+        found.sort(key=lambda f: (f[0], number(f)))
+        everything[img] = found
+
+    def greedy(most):
+        want = set()
+        for img, found in everything.items():
+            kept = np.empty((0, 4))
+            for s, x, y, w, h in found[:most]:
+                iw = np.minimum(kept[:, 0] + kept[:, 2], x + w) - np.maximum(kept[:, 0], x)
+                ih = np.minimum(kept[:, 1] + kept[:, 3], y + h) - np.maximum(kept[:, 1], y)
+                inter = np.maximum(iw, 0) * np.maximum(ih, 0)
+                if not (inter / (kept[:, 2] * kept[:, 3] + w * h - inter) > 0.3).any():
+                    kept = np.vstack([kept, (x, y, w, h)])
+                    want.add((img, 2 * x, 2 * y, 2 * w, 2 * h, -s))
+        return want
+
+    px = Views(spark, sf_dir)("v_pixel")
+    sizes = spark.createDataFrame([(img, a.shape[1], a.shape[0]) for img, a in arrays.items()], "img long, width long, height long")
+    few = tp.match_exemplar(px, sizes, tpl, 0.15, most=20, to_base=2.0)  # a cap that binds
+    for rows, want in ((QUERIES["r1_match_exemplar"](spark, sf_dir), greedy(4000)), (few, greedy(20))):
+        got = rows.collect()
+        assert {(r.img, r.x, r.y, r.w, r.h) for r in got} == {x[:5] for x in want} and len(got) == len(want)
+        assert np.allclose([r.score for r in sorted(got)], [x[5] for x in sorted(want)], atol=1e-8)
+    assert any(len(found) > 20 for found in everything.values()), {k: len(v) for k, v in everything.items()}
+    assert len({x[3:5] for x in greedy(4000)}) > 1
