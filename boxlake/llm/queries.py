@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boxlake.llm import (
-    decontaminate, html_extract, language_id, licenses, line_quality, merkle, near_dup, packing, quality_rules, spelling, suffix_dedup, url_filter)
+    cover_tree, decontaminate, html_extract, language_id, licenses, line_quality, merkle, near_dup, packing, quality_rules, spelling,
+    suffix_dedup, url_filter)
 from boxlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract_html": lambda spark, d: html_extract.digest(read(spark, d, "pages")),
     "op9_pack": lambda spark, d: packing.digest(read(spark, d, "documents")),
     "op10_language_id": lambda spark, d: language_id.digest(read(spark, d, "documents")),
+    "op11_embedding_near_dup": lambda spark, d: cover_tree.digest(read(spark, d, "embeddings")),
     "op12_merkle_manifest": lambda spark, d: merkle.digest(read(spark, d, "documents")),
     "op13_spelling_variants": lambda spark, d: spelling.digest(read(spark, d, "documents")),
 }
