@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions.numeric import round_exact_sql
 from boxlake.operators import classifier as clf
 from boxlake.operators import components as cc
 from boxlake.operators import drawing as dr
+from boxlake.operators import masks as mk
 from boxlake.operators import raster as ra
 from boxlake.operators import retrieval as ret
 from boxlake.operators import templates as tp
@@ -315,6 +319,71 @@ def _(v):
     return ra.ink_in_masks(mask_runs, ink_runs, 40, 0.01).select("img", "mask_id", "x", "y", "w", "h", F.col("ink"))
 
 
+# every pixel lies in the masks of its gray band and of the band below, so masks overlap in pairs
+def band_masks(v):
+    px = v("v_pixel").select("img", "x", "y", F.explode(F.array(F.expr("v div 25"), F.expr("v div 25 - 1"))).alias("mask_id"))
+    return mk.pack(cc.ink_runs(px, ["img", "mask_id"]).drop("run"), ["img", "mask_id"])
+
+
+BANDS = "px AS (SELECT img, x, y, unnest([v // 25, v // 25 - 1]) AS mask_id FROM v_pixel)"
+
+
+@query("a28_mask_algebra", f"""WITH {BANDS}, ids AS (SELECT DISTINCT img, mask_id FROM px), pair AS (SELECT a.img, a.mask_id, b.mask_id AS other FROM ids a JOIN ids b
+  ON a.img = b.img AND b.mask_id IN (a.mask_id + 1, a.mask_id + 2)),
+ u AS (SELECT p.img, p.mask_id, p.other, m.x, m.y, bool_or(m.mask_id = p.mask_id) AS a, bool_or(m.mask_id = p.other) AS b FROM pair p JOIN px m
+   ON m.img = p.img AND m.mask_id IN (p.mask_id, p.other) GROUP BY ALL)
+ SELECT img, mask_id, other, count(*) AS n_union, count_if(a AND b) AS n_common, count_if(a AND NOT b) AS n_only, min(x) AS ux0, min(y) AS uy0, max(x) AS ux1, max(y) AS uy1,
+   min(CASE WHEN a AND b THEN x END) AS cx0, min(CASE WHEN a AND b THEN y END) AS cy0, max(CASE WHEN a AND NOT b THEN x END) AS ox1, max(CASE WHEN a AND NOT b THEN y END) AS oy1,
+   count_if(a AND b)::DOUBLE / count(*) AS iou FROM u GROUP BY ALL""", "v_pixel")
+def _(v):
+    m = band_masks(v)
+    a, b = F.col("mask"), F.col("with")
+    near = m.select("img", F.col("mask_id").alias("other"), F.col("mask").alias("with"))
+    lower = m.withColumn("other", F.explode(F.array(F.col("mask_id") + 1, F.col("mask_id") + 2)))
+    pair = lower.join(near, ["img", "other"]).select(
+        "img", "mask_id", "other", mk.union(a, b).alias("u"), mk.intersection(a, b).alias("c"), mk.difference(a, b).alias("o"), mk.mask_iou(a, b).alias("iou"))
+    ends = pair.select("*", mk.extent(F.col("u")).alias("ue"), mk.extent(F.col("c")).alias("ce"), mk.extent(F.col("o")).alias("oe"))
+    return ends.select("img", "mask_id", "other", mk.area(F.col("u")).alias("n_union"), mk.area(F.col("c")).alias("n_common"), mk.area(F.col("o")).alias("n_only"),
+                       F.col("ue.x0").alias("ux0"), F.col("ue.y0").alias("uy0"), F.col("ue.x1").alias("ux1"), F.col("ue.y1").alias("uy1"),
+                       F.col("ce.x0").alias("cx0"), F.col("ce.y0").alias("cy0"), F.col("oe.x1").alias("ox1"), F.col("oe.y1").alias("oy1"), "iou")
+
+
+@query("a28_mask_choice", f"""WITH {BANDS}, size AS (SELECT img, mask_id, count(*) AS area, (mask_id * 7 + 3) % 10 / 10.0::DOUBLE AS score FROM px GROUP BY img, mask_id),
+ hit AS (SELECT p.img, p.y * 160 + p.x AS pt_idx, s.* EXCLUDE (img), row_number() OVER (PARTITION BY p.img, p.x, p.y ORDER BY area, s.mask_id) - 1 AS i, count(*) OVER (PARTITION BY p.img, p.x, p.y) AS n
+   FROM v_pixel p JOIN px m ON m.img = p.img AND m.x = p.x AND m.y = p.y JOIN size s ON s.img = m.img AND s.mask_id = m.mask_id WHERE area <= 0.5 * 160 * 120 AND (p.x + p.y) % 5 = 0),
+ near AS (SELECT h.* FROM hit h JOIN hit o ON o.img = h.img AND o.pt_idx = h.pt_idx AND o.i = h.n // 2 WHERE h.area <= 1.1 * o.area),
+ boxed AS (SELECT h.img, h.pt_idx, h.i, h.score, m.x, m.y, min(m.x) OVER w AS x0, max(m.x) OVER w AS x1, min(m.y) OVER w AS y0, max(m.y) OVER w AS y1, max(h.score) OVER w AS best
+   FROM near h JOIN px m ON m.img = h.img AND m.mask_id = h.mask_id WINDOW w AS (PARTITION BY h.img, h.pt_idx)),
+ kept AS (SELECT *, x1 - x0 > 158 OR y1 - y0 > 118 AS big FROM boxed WHERE i = 0 OR NOT (x1 - x0 > 158 OR y1 - y0 > 118))
+ SELECT img, pt_idx, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, max(CASE WHEN big THEN score ELSE best END) AS score, count(DISTINCT y * 160 + x) AS pixels
+ FROM kept GROUP BY img, pt_idx""", "v_pixel")
+def _(v):
+    m = band_masks(v).withColumn("score", (F.col("mask_id") * 7 + 3) % 10 / 10)
+    pts = v("v_pixel").where((F.col("x") + F.col("y")) % 5 == 0).select("img", (F.col("y") * 160 + F.col("x")).alias("pt_idx"), "x", "y")
+    got = mk.covering_masks(m, pts, ["img"], 160.0 * 120, 0.5, 1.1, 158)
+    return got.select("img", "pt_idx", "x0", "y0", "x1", "y1", "score", mk.area(F.col("mask")).alias("pixels"))
+
+
+@query("s12_hit_masks", f"""WITH {BANDS} SELECT img::VARCHAR AS scan_key, mask_id AS hit_id, count(*) AS pixels, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1,
+ sum(x * 7 + y * 13) AS placed FROM px WHERE mask_id >= 3 GROUP BY ALL""", "v_pixel")
+def _(v):
+    """Masks of five scans written beside their hits, and read back for the hits at or above a score."""
+    from boxlake.session import cut, scratch
+    from boxlake.sources import writers as wr
+
+    m = cut(band_masks(v).select(F.col("img").cast("string").alias("scan_key"), F.col("mask_id").alias("hit_id"), (F.col("mask_id") / 10).alias("score"), "mask"))
+    path = scratch(v.spark, "hits")
+    wr.write_hits(m.drop("mask"), path)
+    wr.write_hit_masks(m, path)
+    keys = sorted(r.scan_key for r in wr.finished_scans(v.spark, path).collect())
+    hits = reduce(DataFrame.unionByName, [wr.read_hits(v.spark, path, k, 0.3) for k in keys])
+    back = wr.read_hit_masks(v.spark, path, hits)
+    placed = mk.unpack(back, ["scan_key", "hit_id"]).groupBy("scan_key", "hit_id").agg(F.sum(
+        (F.col("xb") - F.col("xa") + 1) * (F.col("y") * 13 + (F.col("xa") + F.col("xb")) * 7 / 2)).cast("bigint").alias("placed"))
+    return back.select("scan_key", "hit_id", mk.area(F.col("mask")).alias("pixels"), mk.extent(F.col("mask")).alias("e")).join(
+        placed, ["scan_key", "hit_id"]).select("scan_key", "hit_id", "pixels", "e.x0", "e.y0", "e.x1", "e.y1", "placed")
+
+
 def components(v, level=60):
     runs = cc.label_ink(v("v_pixel").where(F.col("v") <= level), ["img"])
     return cc.component_boxes(runs, ["img"])

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from boxlake.functions.geometry import Box, normalized_box
 from boxlake.functions.text import fingerprint
+from boxlake.operators.masks import mask, pack, unpack
 from boxlake.operators.ranking import exact_rank
 
 
@@ -54,6 +55,23 @@ def read_hits(spark: SparkSession, path: str, scan_key: str, min_score: float =
     return spark.read.schema(typed).parquet(path).where((F.col("scan_key") == scan_key) & (F.col("score") >= min_score))
 
 
+def write_hit_masks(masks: DataFrame, path: str) -> None:
+    """Masks of hits (scan_key, hit_id, mask) as a child table of the store, one row per run: an overlay filtered anew
+    by score or size reads the runs of its hits and scans no image again. Other keys stay untouched."""
+    runs = unpack(masks, ["scan_key", "hit_id"])
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_key").parquet(f"{path}.masks")
+
+
+def read_hit_masks(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
+    """``hits`` (scan_key, hit_id, ...) with their stored masks; a hit whose mask has no pixels has an empty one."""
+    found = spark.read.parquet(f"{path}.masks").schema
+    typed = StructType([StructField(f.name, StringType() if f.name == "scan_key" else f.dataType) for f in found])
+    key = ["scan_key", "hit_id"]
+    runs = spark.read.schema(typed).parquet(f"{path}.masks").join(hits.select(*key), key, "left_semi")
+    empty = mask(F.lit(0), F.array().cast("array<array<struct<xa:int,xb:int>>>"))
+    return hits.join(pack(runs, key), key, "left").withColumn("mask", F.coalesce("mask", empty))
+
+
 def draw_order(hits: DataFrame, min_score: float = 0.0) -> DataFrame:
     """Visible hits, weakest first; ``colour`` keeps the position in the stored order."""
     return hits.where(F.col("score") >= min_score).withColumn("colour", F.col("hit_id")).orderBy("score", "hit_id")

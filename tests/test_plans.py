@@ -14,6 +14,12 @@ LAZY = ["j6_center_hits", "j7_point_hits", "j8_iou_pairs", "j9_label_candidates"
         "w7_cap_per_class", "w4_sheet_split", "j20_positive_pairs", "a25_visible_paths", "a30_otsu", "w11_jumps", "w13_group_rows", "j1_resolve_tags", "p8_electrical_filter"]
 
 
+@pytest.fixture(autouse=True)
+def nothing_cached(spark):
+    """A table that another test has cached would stand in for its scan."""
+    spark.catalog.clearCache()
+
+
 def plan(spark, sf_dir, name):
     return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
