@@ -1,32 +1,38 @@
 """Near-duplicate documents: fast similarity sketching, banding, exact verification, components.
 
-A document's set holds the distinct shingles (``SHINGLE`` words, or a caller's number) of its text (A-Z lower-cased, words split at ASCII white
-space); with fewer words the whole sequence is the one shingle. A sketch has ``COORDINATES`` places. In each
+A rule is (words of a shingle, percent): a document's set holds the distinct shingles of its text (A-Z lower-cased,
+words split at ASCII white space; with fewer words the whole sequence is the one shingle), and documents are linked when
+any rule finds 100 * intersection >= percent * union. A sketch has ``COORDINATES`` places. In each
 round every element is hashed into one place and the smallest (round, value) stays; rounds go on until all
 places are filled, and from round ``COORDINATES`` on each round serves one place with all elements, so none
-stays empty. Two sets agree in a place with about their Jaccard similarity; equal bands make candidates.
+stays empty. Two sets agree in a place with about their Jaccard similarity; equal bands make candidates. All rules share
+one pass over the texts, one table of buckets, one verification and one graph.
 
-Equal sets are one node. A bucket is never expanded into pairs. In ``STARS`` rounds every document that still
+Documents with equal sets are one node. A bucket is never expanded into pairs. In ``STARS`` rounds every node that still
 shares a bucket with another component is compared with one member of such a bucket, and links found merge
-components; that settles groups of near copies at one pair per copy and round. What is left are documents that
-share buckets and yet belong to different components. All pairs among these that can be similar enough are found
-exactly, by their rarest shingles, and verified on full sets.
+components; that settles groups of near copies at one pair per copy and round. What is left are nodes that
+share buckets and yet belong to different components: in buckets of at most ``SMALL`` of them sketches are compared
+within the bucket, in larger ones all pairs that can be similar enough are found exactly, by their rarest shingles.
+Pairs whose first ``COMPARED`` places agree less than a link's would with probability ``MISS`` go without a look at
+their sets; every other pair is verified on full sets.
 
 Defined results: null and blank texts have empty sets, stand alone and are kept. Rows that share an id are one
 document, linked by any of its texts; each row keeps its own set size. A null id sorts after all others and is
-returned as null. Extra columns are ignored; an empty table gives an empty result.
+returned as null. Extra columns are ignored, whatever their names; an empty table gives an empty result. A very long
+text costs its words in one worker, eight bytes each.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import NO_ID, slices
@@ -38,6 +44,9 @@ COORDINATES = 192
 #: links need 100 * intersection >= PERCENT * union; banding misses one at the threshold with at most this probability
 PERCENT, MISS = 85, 1e-6
 STARS = 3
+#: places that are compared before sets are; nodes of a bucket whose sketches are compared with each other
+COMPARED, SMALL = 64, 256
+Rules = tuple[tuple[int, int], ...]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,13 +57,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of 64-bit shingle hashes; word hashes are cached up to a bound."""
+class Words:
+    """64-bit hashes of the words of texts, cached up to a bound."""
 
     def __init__(self, max_words: int = 150_000):
         self.known, self.max_words = {}, max_words
 
-    def words(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         known = self.known
         if len(known) > self.max_words:
@@ -64,15 +73,21 @@ class Shingler:
                 known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
-    def sets(self, text: str | None, size: int = SHINGLE) -> np.ndarray:
-        w = self.words(text or "")
-        if not len(w):
-            return w
-        k = min(size, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for i in range(k):
-            h = mix(h * _ODD + w[i:len(w) - k + 1 + i])
-        return np.unique(h)
+
+def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Set of a sequence of word hashes."""
+    if not len(w):
+        return w
+    k = min(size, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = mix(h * _ODD + w[i:len(w) - k + 1 + i])
+    return np.unique(h)
+
+
+def key_of(sets: list[np.ndarray]) -> bytes | None:
+    """Digest of a document's sets under all rules; null without words."""
+    return hashlib.blake2b(b"".join(s.tobytes() for s in sets), digest_size=16).digest() if len(sets[0]) else None
 
 
 def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -101,72 +116,111 @@ def banding(percent: int) -> tuple[int, int]:
     return COORDINATES // rows, rows
 
 
-def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """[documents, bands] keys; the number of the band is part of the key."""
+def band_keys(sketches: np.ndarray, bands: int, rows: int, rule: int = 0) -> np.ndarray:
+    """[documents, bands] keys; the number of the band is part of the key, the rule stands in the lowest three bits."""
     s = sketches[:, :bands * rows].reshape(len(sketches), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), s.shape[:2])
     for r in range(rows):
         h = mix(h * _ODD + s[:, :, r])
-    return h
+    return h & ~np.uint64(7) | np.uint64(rule)
+
+
+@cache
+def least_agreement(percent: int) -> int:
+    """Places of ``COMPARED`` that agree at a link, but with probability ``MISS``."""
+    p, below, k = percent / 100, 0.0, 0
+    while True:
+        below += comb(COMPARED, k) * p ** k * (1 - p) ** (COMPARED - k)
+        if below > MISS:
+            return k
+        k += 1
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """One row per document row: id (null: ``NO_ID``), n (set size), key (digest of the set), bands."""
-    count, rows_of = banding(percent)
+def fingerprints(docs: DataFrame, doc_id: str, text: str, rules: Rules) -> DataFrame:
+    """One row per document row: id (null: ``NO_ID``), key (digest of the sets), and per rule n (set size), bands, and
+    one byte of each of the first ``COMPARED`` places of the sketch."""
+    shapes = [banding(percent) for _, percent in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        words = Words()
         for b in slices(batches, "t"):
-            sets = [shingler.sets(t, size) for t in b.column("t").to_pylist()]
-            full = [k for k, s in enumerate(sets) if len(s)]
+            sets = [[shingles(w, size) for size, _ in rules] for w in (words.of(t or "") for t in b.column("t").to_pylist())]
+            full = [k for k, s in enumerate(sets) if len(s[0])]
             bands: list = [None] * len(sets)
+            places: list = [None] * len(sets)
             if full:
-                keys = band_keys(np.stack([sketch(sets[k]) for k in full]), count, rows_of).view(np.int64)
-                for k, row in zip(full, keys, strict=True):
-                    bands[k] = row
+                sketches = [np.stack([sketch(sets[k][r]) for k in full]) for r in range(len(rules))]
+                keys = np.concatenate([band_keys(s, *shape, r) for r, (s, shape) in enumerate(zip(sketches, shapes, strict=True))], axis=1)
+                low = np.concatenate([mix(s[:, :COMPARED]).astype(np.uint8) for s in sketches], axis=1)
+                for k, row, own in zip(full, keys.view(np.int64), low, strict=True):
+                    bands[k], places[k] = row, own.tobytes()
             yield pa.RecordBatch.from_arrays([
-                b.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", "bands"])
+                b.column("id"), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([[len(x) for x in s] for s in sets], pa.list_(pa.int64())),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary())], ["id", "key", "n", "bands", "places"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "id long, n long, key binary, bands array<long>")
+    return rows.mapInArrow(run, "id long, key binary, n array<long>, bands array<long>, places binary")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, key, set as bytes) of the rows whose id is in ``ids``."""
+def word_table(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, rules: Rules) -> DataFrame:
+    """(node, w): word hashes as bytes of the nodes of (node, id, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        words = Words()
         for b in slices(batches, "t"):
-            blobs = [shingler.sets(t, size).tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(blobs, pa.binary())], ["id", "s"])
+            own = [words.of(t or "") for t in b.column("t").to_pylist()]
+            keys = pa.array([key_of([shingles(w, size) for size, _ in rules]) for w in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), keys, pa.array([w.tobytes() for w in own], pa.binary())], ["id", "key", "w"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary")
+    some = rows.join(nodes.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, key binary, w binary")
+    # rows of one id and one text are one node
+    return some.join(nodes.select("node", "id", "key"), ["id", "key"]).groupBy("node").agg(F.first("w").alias("w"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough under some rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "sa"):
-            ids, others, keep = b.column("a"), b.column("b"), []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([ids.filter(mask), others.filter(mask)], ["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+        for b in slices(batches, "wa"):
+            both = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                    for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True))
+            mask = pa.array([any(similar(shingles(x, size), shingles(y, size), percent) for size, percent in rules) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+
+    left = words.select(F.col("node").alias("a"), F.col("w").alias("wa"))
+    right = words.select(F.col("node").alias("b"), F.col("w").alias("wb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def alike(pairs: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs (a, b) whose set sizes and sketches some rule allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, len(rules), COMPARED) for c in ("pa", "pb"))
+            m, n = (np.array(b.column(c).to_pylist()) for c in ("na", "nb"))
+            keep = np.zeros(b.num_rows, bool)
+            for r, (_, percent) in enumerate(rules):
+                sizes = 100 * np.minimum(m[:, r], n[:, r]) >= percent * np.maximum(m[:, r], n[:, r])
+                keep |= sizes & ((x[:, r] == y[:, r]).sum(axis=1) >= least_agreement(percent))
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+
+    side = lambda s: facts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("places").alias(f"p{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _pairs(x: DataFrame) -> DataFrame:
@@ -175,67 +229,119 @@ def _pairs(x: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their root, of buckets that join several components."""
-    m = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    m = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     return cut(m.join(several, "bucket", "left_semi"))
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components over all similar pairs: (id, root). ``members``: (bucket, id, n)."""
-    spark = members.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "id long, root long")
+def links(members: DataFrame, facts: DataFrame, words: DataFrame, found: DataFrame, rules: Rules) -> DataFrame:
+    """Components over all similar pairs and those ``found`` before: (node, root). ``members``: (bucket, node, n);
+    ``facts``: (node, n, places); ``words``: (node, w)."""
+    roots, rest = _roots(found), members
     for turn in range(STARS + 1):
-        rest = _open(members, roots)
-        pairs = _star(rest, turn, percent) if turn < STARS else _prefix_pairs(rest, sets, percent)
-        new = cut(verified(pairs, sets, percent))
+        rest = _open(rest, roots)  # what is settled stays settled
+        if turn < STARS:
+            pairs = alike(_star(rest, turn, rules), facts, rules)
+        else:
+            sizes = cut(rest.groupBy("bucket").agg(F.count("*").alias("many")))
+            few = _in_buckets(rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi"), facts, rules)
+            many = rest.join(sizes.where(F.col("many") > SMALL).select("bucket"), "bucket", "left_semi")
+            for r, rule in enumerate(rules):
+                own = many.where(F.col("bucket").bitwiseAND(7) == r)
+                few = few.unionByName(alike(_prefix_pairs(own, words, *rule), facts, rules))
+            pairs = few.distinct()
+        new = cut(verified(pairs, words, rules))
         if not new.isEmpty():
-            found = found.unionByName(new)
-            nodes = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-            roots = connected(nodes, found, [], "id").select("id", "root")
+            found = new if found.isEmpty() else found.unionByName(new)
+            roots = _roots(found)
     return roots
 
 
-def _star(rest: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair per open document and round: with one member of one of its buckets, from another component.
-    The first round takes the smallest ids, later ones draw anew by hash."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("h"))
-            .select("bucket", F.col("h.o").alias("o"), F.col("h.id").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
-    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
-    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("id").alias("u")).agg(F.min(F.struct("o", "v")).alias("h")))
+def _roots(edges: DataFrame) -> DataFrame:
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    return connected(nodes, edges, [], "node").select("node", "root")
+
+
+def _percent(rules: Rules) -> Column:
+    """Percent of a bucket's rule."""
+    return F.element_at(F.array(*[F.lit(p) for _, p in rules]), (F.col("bucket").bitwiseAND(7) + 1).cast("int"))
+
+
+def _star(rest: DataFrame, turn: int, rules: Rules) -> DataFrame:
+    """One pair per open node and round: with one member of one of its buckets, from another component.
+    The first round takes the smallest nodes, later ones draw anew by hash."""
+    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h"))
+            .select("bucket", F.col("h.o").alias("o"), F.col("h.node").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
+    fits = (100 * F.least("n", "hub_n") >= _percent(rules) * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
+    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("u")).agg(F.min(F.struct("o", "v")).alias("h")))
     return _pairs(met.select("u", F.col("h.v").alias("v")))
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of open documents in two components that can be similar enough, and few others.
+def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs of two components that share a bucket of at most ``SMALL`` open nodes and have similar sketches."""
+
+    def compare(rows: list[dict]) -> list[tuple[int, int]]:
+        r = rows[0]["bucket"] & 7
+        percent = rules[r][1]
+        x = np.frombuffer(b"".join(k["places"] for k in rows), np.uint8).reshape(len(rows), len(rules), COMPARED)[:, r]
+        n, root = np.array([k["n"] for k in rows]), np.array([k["root"] for k in rows])
+        agree = (x[:, None] == x).sum(axis=2) >= least_agreement(percent)
+        sizes = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+        i, j = np.nonzero(np.triu(agree & sizes & (root[:, None] != root), 1))
+        return [(min(a, b), max(a, b)) for a, b in ((rows[p]["node"], rows[q]["node"]) for p, q in zip(i.tolist(), j.tolist(), strict=True))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets stream through sorted partitions; many are pairs."""
+        held: list[dict] = []
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    out += compare(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if held and (out := compare(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    rows = rest.select("bucket", "node", "n", "root").join(facts.select("node", "places"), "node")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs of open nodes in two components that can be similar enough, and few others.
 
     In the order of rarest shingles first, two similar sets share one among the first n - ceil(p n) + 1 of the
     larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100), and the first one they share
-    leaves enough of both behind it. A shingle of one document
+    leaves enough of both behind it. A shingle of one node
     or one component makes no pair, so copies that differ by their own edits meet only if they are near enough."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "s"):
-            own = [np.frombuffer(s, np.int64) for s in b.column("s").to_pylist()]
+        for b in slices(batches, "w"):
+            own = [shingles(np.frombuffer(w, np.uint64), size).view(np.int64) for w in b.column("w").to_pylist()]
             if own:
                 count = [len(s) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("id", "n", "root")] + [pa.array(np.concatenate(own))],
-                    ["id", "n", "root", "x"])
+                    [pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("node", "root")]
+                    + [pa.array(np.repeat(count, count)), pa.array(np.concatenate(own))], ["node", "root", "n", "x"])
 
-    open_ = rest.select("id", "n", "root").distinct()
-    rows = cut(open_.join(sets, "id").select("id", "n", "root", "s").mapInArrow(elements, "id long, n long, root long, x long"))
+    open_ = rest.select("node", "root").distinct()
+    rows = cut(open_.join(words, "node").select("node", "root", "w").mapInArrow(elements, "node long, root long, n long, x long"))
     spread = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = (rows.join(spread, "x").groupBy("id", "n", "root")  # a document's own set, no more
+    ranked = (rows.join(spread, "x").groupBy("node", "n", "root")  # a node's own set, no more
               .agg(F.array_sort(F.collect_list(F.struct("df", "x", (F.col("lo") != F.col("hi")).alias("apart")))).alias("xs")))
     n, p = F.col("n"), F.lit(percent)
     probe = n - F.ceil(n * p / 100) + 1
     index = n - F.ceil(2 * n * p / (100 + p)) + 1
 
     def heads(length, name: str) -> DataFrame:
-        head = ranked.select("id", "n", "root", F.posexplode(F.slice("xs", 1, length.cast("int"))).alias("at", "e")).where("e.apart")
-        return head.select(F.col("e.x").alias("x"), F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"),
+        head = ranked.select("node", "n", "root", F.posexplode(F.slice("xs", 1, length.cast("int"))).alias("at", "e")).where("e.apart")
+        return head.select(F.col("e.x").alias("x"), F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"),
                            (F.col("n") - F.col("at")).alias(f"left_{name}"))
 
     both = heads(index, "u").join(heads(probe, "v"), "x")
@@ -245,23 +351,30 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs(both.where(near).select("u", "v"))
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """One row per document row: id (null: ``NO_ID``), n, component (smallest id reachable)."""
-    prints = cut(fingerprints(docs, doc_id, text, percent, size))
-    alone = prints.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    full = prints.where("n > 0")
-    # one node per distinct set, named by its smallest id; sets that share that id are one document
-    reps = full.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"))
-    reps = cut(reps.select("key", "rep", "n", "bands"))
-    rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    busy = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = cut(rows.join(busy, "bucket", "left_semi").select("bucket", "id", "n"))
-    sets = cut(set_table(docs, members.select("id").distinct(), doc_id, text, size).where(F.length("s") > 0))
-    roots = links(members, sets, percent)
-    placed = (full.select("id", "n", "key").join(reps.select("key", "rep"), "key")
-              .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-              .select("id", "n", F.coalesce("root", "rep").alias("component")))
-    return placed.unionByName(alone)
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = ((SHINGLE, PERCENT),)) -> DataFrame:
+    """One row per document row: id (null: ``NO_ID``), n (set size under the first rule), component (smallest id reachable)."""
+    prints = cut(fingerprints(docs, doc_id, text, rules))
+    alone = prints.where("key is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    full = prints.where("key is not null")
+    # one node per distinct text, numbered in order of its smallest id, so that smallest nodes are smallest ids
+    reps = full.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    reps = cut(reps.repartitionByRange("id", "key").sortWithinPartitions("id", "key").withColumn("node", F.monotonically_increasing_id()))
+    at = F.element_at("n", (F.col("bucket").bitwiseAND(7) + 1).cast("int"))
+    rows = reps.select("node", "n", F.explode("bands").alias("bucket")).select("bucket", "node", at.alias("n"))
+    busy = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    members = cut(rows.join(busy, "bucket", "left_semi"))
+    facts = cut(reps.select("node", "id", "key", "n", "places").join(members.select("node").distinct(), "node", "left_semi"))
+    words = cut(word_table(docs, facts, doc_id, text, rules))
+    # texts of one id are one document: all hang on its smallest node
+    named = full.select("id", "key").distinct()
+    twice = named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    texts = cut(named.join(twice, "id", "left_semi").join(reps.select("key", "node"), "key").select("id", "node"))
+    same = texts.join(texts.groupBy("id").agg(F.min("node").alias("a")), "id").where("a <> node").select("a", F.col("node").alias("b"))
+    roots = links(members, facts, words, cut(same), rules)
+    lowest = roots.join(reps.select("node", F.col("id").alias("own")), "node").groupBy("root").agg(F.min("own").alias("low"))
+    known = (reps.select("key", "node", F.col("id").alias("own")).join(roots.join(lowest, "root").select("node", "low"), "node", "left")
+             .select("key", F.coalesce("low", "own").alias("component")))
+    return full.select("id", F.get("n", F.lit(0)).alias("n"), "key").join(known, "key").select("id", "n", "component").unionByName(alone)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -271,23 +384,11 @@ def digest(docs: DataFrame) -> DataFrame:
                         (F.col("id") == F.col("component")).alias("kept"))
 
 
-def joined(parts: list[DataFrame]) -> DataFrame:
-    """(id, component) over the links of all parts, each (id, component)."""
-    if len(parts) == 1:
-        return parts[0].select("id", "component")
-    ids = parts[0].select("id").distinct()
-    edges = reduce(DataFrame.unionByName, [p.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")) for p in parts])
-    edges = cut(edges.distinct())
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    roots = connected(nodes, edges, [], "id").select("id", "root")
-    return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                rules: tuple[tuple[int, int], ...] = ((SHINGLE, PERCENT),)) -> DataFrame:
-    """The documents that are the smallest id of their component; equal rows of one id are kept once. Each rule is
-    (words of a shingle, percent); documents are linked when any rule links them."""
-    found = joined([components(docs, doc_id, text, percent, size) for size, percent in rules])
-    kept = found.where("id = component").select(F.col("id").alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id", text]).drop("_id")
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = ((SHINGLE, PERCENT),)) -> DataFrame:
+    """The documents that are the smallest id of their component; of rows with equal id and text one is kept, the first in
+    order of all columns. Documents are linked when any rule links them."""
+    kept = components(docs, doc_id, text, rules).where("id = component").select("id").distinct()
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.md5(F.col(text).cast("binary")).alias("t"), whole.alias("row"))
+    first = keyed.join(kept, "id", "left_semi").groupBy("id", "t").agg(F.min("row").alias("row"))
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
