@@ -369,7 +369,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     named = full.select("id", "key").distinct()
     twice = named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     texts = cut(named.join(twice, "id", "left_semi").join(reps.select("key", "node"), "key").select("id", "node"))
-    same = texts.join(texts.groupBy("id").agg(F.min("node").alias("a")), "id").where("a <> node").select("a", F.col("node").alias("b"))
+    same = texts.join(texts.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
+    # through Arrow, as other links are: what the planner infers of joined columns breaks its union of checkpoints
+    same = same.mapInArrow(lambda batches: batches, "a long, b long")
     roots = links(members, facts, words, cut(same), rules)
     lowest = roots.join(reps.select("node", F.col("id").alias("own")), "node").groupBy("root").agg(F.min("own").alias("low"))
     known = (reps.select("key", "node", F.col("id").alias("own")).join(roots.join(lowest, "root").select("node", "low"), "node", "left")

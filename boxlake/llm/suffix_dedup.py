@@ -8,17 +8,18 @@ together first:
    windows have equal names. Neighbouring windows with one name form a segment. Each group of documents sends
    its names (short hashes) to buckets, and a bucket answers which names occur in several documents and which
    are hot: held by more than a quarter of the groups.
-2. Segments with such names go to their bucket, equal ones of a group once. Segments of hot names are cut into
-   single windows first, and each window goes to the bucket of a hash of all its bytes. Each bucket sorts the suffixes of
+2. A segment at the edge of a shared passage also holds bytes of its document's own, so a hot name would bring one
+   bucket a segment from every document. Segments of hot names are cut into single windows first; the groups send the
+   hashes of these windows to buckets, which answer those that several documents hold. All others can match nothing.
+3. Segments of other shared names go to their bucket, and windows of hot names that several documents hold to the
+   bucket of their hash, equal ones of a group once. Each bucket sorts the suffixes of
    its segments in two stages, computes adjacent common prefixes and reads from runs of at least ``SPAN``
    bytes the smallest document of every window.
-3. The groups mark and cut the bytes of windows whose smallest document is smaller than their own.
+4. The groups mark and cut the bytes of windows whose smallest document is smaller than their own.
 
 Groups and buckets are both as many as the square root of the expected names allows, so the rows between them
-and the size of each grow as the square root of the input. A segment at the edge of a shared passage also holds
-up to ``SPAN`` - ``GRAM`` bytes of its document's own, so a passage that a third of all documents share has about as
-many different segments of one name as documents. Its name is hot: what the documents have in common is then one
-entry per group and window, and the windows with bytes of their own are spread over all buckets. All three visits to the texts use one shuffle of them.
+and the size of each grow as the square root of the input. What many documents have in common is one entry per group
+and window. All visits to the texts use one shuffle of them.
 
 Null text is empty. Rows with one id are one document: they never match each other. A null id sorts last, is
 returned as null, and such rows count as one document. Extra columns are ignored; an empty table gives an
@@ -129,13 +130,10 @@ def _from_six(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _names_of(table: pa.Table, span: int, buckets: int) -> pa.Table:
-    """Distinct names of a group by bucket."""
-    group, own = Group(table, span), []
-    for _, first, names, _, _, doc in group.segments():
-        own.append((names, group.ids[first + doc]))
-    names = np.concatenate([x for x, _ in own]) if own else np.empty(0, np.uint64)
-    ids = np.concatenate([y for _, y in own]) if own else np.empty(0, np.int64)
+def _by_bucket(found: list[tuple[np.ndarray, np.ndarray]], g: int, buckets: int) -> pa.Table:
+    """Distinct names of a group by bucket, from (names, ids) in order of id; the lowest bit says "in several documents"."""
+    names = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
+    ids = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
     order = np.argsort(names, kind="stable")  # ids of a name stay in order
     names, ids = names[order], ids[order]
     new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, np.int64)
@@ -145,10 +143,56 @@ def _names_of(table: pa.Table, span: int, buckets: int) -> pa.Table:
     value = short << np.uint64(1) | several.astype(np.uint64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     blobs = [_six(v) for v in np.split(value, cut[1:])] if len(cut) else []
-    g = table.column("g")[0].as_py()
     return pa.table({"b": pa.array(bucket[cut], pa.int64()), "g": pa.array([g] * len(cut), pa.int64()), "names": pa.array(blobs, pa.binary())})
 
 
+def _names_of(table: pa.Table, span: int, buckets: int) -> pa.Table:
+    """Distinct names of a group by bucket."""
+    group = Group(table, span)
+    own = [(names, group.ids[first + doc]) for _, first, names, _, _, doc in group.segments()]
+    return _by_bucket(own, table.column("g")[0].as_py(), buckets)
+
+
+class Known:
+    """Answers of the buckets to a group: shared names, which of them are hot, shared windows of hot names."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        self.buckets = buckets
+        names, windows = [], []
+        for kind, b, blob in zip(*[table.column(c).to_pylist() for c in ("kind", "b", "names")], strict=True):
+            (names if kind == 0 else windows).append((np.uint64(b) << np.uint64(SHORT + 1)) | _from_six(blob))
+        all_names = np.sort(np.concatenate(names)) if names else np.empty(0, np.uint64)
+        self.names, self.hot = all_names >> np.uint64(1), (all_names & np.uint64(1)).astype(bool)
+        self.windows = np.sort(np.concatenate(windows)) >> np.uint64(1) if windows else np.empty(0, np.uint64)
+
+    def find(self, among: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the names are there, their places in ``among``, buckets, short names)."""
+        bucket, short = _place(names, self.buckets)
+        key = (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
+        at = np.minimum(np.searchsorted(among, key), len(among) - 1) if len(among) else np.zeros(len(key), np.int64)
+        hit = np.flatnonzero(among[at] == key) if len(among) else np.empty(0, np.int64)
+        return hit, at[hit], bucket[hit], short[hit]
+
+
+def _spread(starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of every window of the segments."""
+    own = np.repeat(np.arange(len(starts)), count)
+    return own, starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _hot_windows(docs: pa.Table, answers: pa.Table, span: int, buckets: int) -> pa.Table:
+    """Distinct windows of hot names of a group by bucket."""
+    found, g = [], docs.column("g")[0].as_py() if docs.num_rows else 0
+    if docs.num_rows and answers.num_rows:
+        group, known = Group(docs, span), Known(answers, buckets)
+        for data, first, names, starts, count, doc in group.segments() if known.hot.any() else ():
+            hit, at, _, _ = known.find(known.names, names)
+            hit = hit[known.hot[at]]
+            own, places = _spread(starts[hit], count[hit])
+            found.append((_window_names(data, places, span), group.ids[first + doc[hit][own]]))
+    return _by_bucket(found, g, buckets)
+
+
 def _shared(table: pa.Table, hot: int) -> pa.Table:
     """Of each group's names in a bucket, those that several documents hold; the lowest bit says "in more than
     ``hot`` groups"."""
@@ -170,31 +214,28 @@ def _shared(table: pa.Table, hot: int) -> pa.Table:
 
 
 class Chosen:
-    """Segments of a group whose names several documents hold, equal ones counted once; of hot names their windows.
+    """Segments of a group whose names several documents hold, equal ones counted once; of hot names those windows that
+    several documents hold.
 
     Per distinct segment, in order of bucket and then of first place: ``bucket``, ``short`` name, ``ids``
     (smallest document) and ``pieces`` (bytes). ``places`` has per slice (first document, starts, documents,
-    numbers of the segments). The same group and names always give the same order."""
+    numbers of the segments). The same group and answers always give the same order."""
 
-    def __init__(self, group: Group, answers: dict[int, np.ndarray], buckets: int):
-        keys = [(np.uint64(b) << np.uint64(SHORT + 1)) | v for b, v in answers.items()]
-        known = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-        known, hot = known >> np.uint64(1), (known & np.uint64(1)).astype(bool)
+    def __init__(self, group: Group, known: Known):
         number: dict[bytes, int] = {}
         pieces, facts, places = [], [], []
-        for data, first, names, starts, count, doc in group.segments() if len(known) else ():
-            bucket, short = _place(names, buckets)
-            key = (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = np.flatnonzero(known[at] == key)
-            starts, count, doc, bucket, short, split = starts[hit], count[hit], doc[hit], bucket[hit], short[hit], hot[at[hit]]
+        for data, first, names, starts, count, doc in group.segments() if len(known.names) else ():
+            hit, at, bucket, short = known.find(known.names, names)
+            split = known.hot[at]
+            starts, count, doc = starts[hit], count[hit], doc[hit]
             if split.any():
-                pieces_of = np.where(split, count, 1)
-                own = np.repeat(np.arange(len(hit)), pieces_of)
-                nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
-                starts, doc, bucket, short, split = starts[own] + nth, doc[own], bucket[own], short[own], split[own]
-                count = np.where(split, 1, count[own])
-                bucket[split], short[split] = _place(_window_names(data, starts[split], group.span), buckets)
+                own, single = _spread(starts[split], count[split])
+                good, _, b, s = known.find(known.windows, _window_names(data, single, group.span))
+                rest, own = ~split, np.flatnonzero(split)[own[good]]
+                order = np.argsort(np.concatenate([np.flatnonzero(rest), own]), kind="stable")  # places in order
+                starts, count, doc, bucket, short = (np.concatenate([x, y])[order] for x, y in (
+                    (starts[rest], single[good]), (count[rest], np.ones(len(good), np.int64)), (doc[rest], doc[own]),
+                    (bucket[rest], b), (short[rest], s)))
             nos, fresh = np.empty(len(starts), np.int64), []
             for k, (s, e) in enumerate(zip(starts.tolist(), (starts + count + group.span - 1).tolist(), strict=True)):
                 piece = data[s:e]
@@ -214,13 +255,9 @@ class Chosen:
         self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if pieces else np.empty(0, np.int64)
 
 
-def _answers(table: pa.Table) -> dict[int, np.ndarray]:
-    return {b: _from_six(x) for b, x in zip(table.column("b").to_pylist(), table.column("names").to_pylist(), strict=True)}
-
-
 def _segments_of(docs: pa.Table, names: pa.Table, span: int, buckets: int) -> pa.Table:
     """Distinct shared segments of a group, one row per bucket."""
-    chosen = Chosen(Group(docs, span), _answers(names), buckets) if docs.num_rows and names.num_rows else None
+    chosen = Chosen(Group(docs, span), Known(names, buckets)) if docs.num_rows and names.num_rows else None
     g = docs.column("g")[0].as_py() if docs.num_rows else None
     rows: dict[str, list] = {"b": [], "g": [], "ids": [], "sub": [], "sizes": [], "data": []}
     for lo, hi in zip(chosen.cuts, np.append(chosen.cuts[1:], len(chosen.pieces)), strict=True) if chosen else ():
@@ -303,7 +340,7 @@ def _removed(group: Group, answers: pa.Table, span: int, buckets: int) -> list[n
     runs = answers.filter(pa.array([not k for k in kinds], pa.bool_())).sort_by("b") if kinds else answers
     if not runs.num_rows:
         return masks
-    chosen = Chosen(group, _answers(names), buckets)
+    chosen = Chosen(group, Known(names, buckets))
     number = np.concatenate([np.frombuffer(x, "<u4") for x in runs.column("runs").to_pylist()]).astype(np.int64)
     length = np.concatenate([np.frombuffer(x, "<u4") for x in runs.column("lengths").to_pylist()]).astype(np.int64)
     least = np.concatenate([np.frombuffer(x, "<i8") for x in runs.column("least").to_pylist()])
@@ -354,8 +391,8 @@ def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, kind: pa.Da
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
                    whole: bool = False) -> DataFrame:
     """One row per document row: id (null: ``NO_ID``), n_bytes, n_removed, n_spans, kept_sha256; with ``whole``
-    also ``left`` (text that is left; a character of which only some bytes are left goes) and ``rest`` (struct of
-    all columns of the row but the text)."""
+    also ``left`` (text that is left; a character of which only some bytes are left goes) and ``rest`` (whether the text
+    is null, and a struct of all columns of the row but the text)."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8}")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -363,7 +400,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = max(1, min(1 << 18, math.isqrt(total // (18 * 64))))
     wanted, kind, result = [], None, RESULT
     if whole:
-        rest = F.struct(F.col(text).isNull().alias("_null"), *[F.col(c) for c in docs.columns if c != text]).alias("rest")
+        rest = F.struct(F.col(text).isNull().alias("null"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")).alias("rest")
         wanted = [rest]
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("t"), *wanted)
     rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"), *rows.columns)
@@ -386,21 +423,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def cut(_, a: pa.Table, b: pa.Table) -> pa.Table:
         return _cut(a, b, span, parts, kind)
 
-    names = rows.groupBy("g").applyInArrow(names_of, "b long, g long, names binary")
-    shared = names.groupBy("b").applyInArrow(shared_of, "g long, b long, names binary")
+    def hot_windows(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        return _hot_windows(a, b, span, parts)
+
+    def shared_windows(t: pa.Table) -> pa.Table:
+        return _shared(t, t.num_rows)
+
+    sent, told = "b long, g long, names binary", "g long, b long, names binary"
+    names = rows.groupBy("g").applyInArrow(names_of, sent)
+    shared = names.groupBy("b").applyInArrow(shared_of, told).withColumn("kind", F.lit(0))
+    windows = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(hot_windows, sent)
+    shared = shared.unionByName(windows.groupBy("b").applyInArrow(shared_windows, told).withColumn("kind", F.lit(1)))
     segments = (rows.groupBy("g").cogroup(shared.groupBy("g"))
                 .applyInArrow(segments_of, "b long, g long, ids binary, sub binary, sizes binary, data binary"))
     runs = segments.groupBy("b").applyInArrow(resolve, "g long, b long, runs binary, lengths binary, least binary")
     none = F.lit(None).cast("binary")
-    answers = (shared.select("g", "b", "names", none.alias("runs"), none.alias("lengths"), none.alias("least"))
-               .unionByName(runs.select("g", "b", none.alias("names"), "runs", "lengths", "least")))
+    answers = (shared.select("g", "b", "kind", "names", none.alias("runs"), none.alias("lengths"), none.alias("least"))
+               .unionByName(runs.select("g", "b", F.lit(2).alias("kind"), none.alias("names"), "runs", "lengths", "least")))
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(cut, result)
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts; null stays null."""
     left = remove_repeats(docs, doc_id, text, span, True)
-    return left.select(*[F.when(~F.col("rest._null"), F.col("left")).alias(c) if c == text else F.col("rest")[c].alias(c)
+    return left.select(*[F.when(~F.col("rest.null"), F.col("left")).alias(c) if c == text else F.col("rest.row")[c].alias(c)
                          for c in docs.columns])
 
 

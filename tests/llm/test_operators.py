@@ -86,6 +86,19 @@ def test_near_duplicates_chains_and_hot_groups(spark):
     assert got == want
 
 
+def test_texts_of_one_id_and_any_column_name(spark):
+    """Each text of an id links it, also when its texts have equal size; other columns may be called anything."""
+    word = lambda k, n: " ".join(f"w{k + i}" for i in range(n))
+    rows = [(7, word(0, 60)), (7, word(1000, 60)), (3, word(1000, 60) + " more"), (9, word(0, 60) + " else"), (9, word(2000, 60)), (12, word(3000, 60)), (9, word(2000, 60))]
+    docs = spark.createDataFrame([(i, t, k, 0, 1, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id int, node long, root int, key string")
+    got = sorted((x.doc_id, x.component_id) for x in near_dup.digest(docs).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (9, 3), (9, 3), (9, 3), (12, 12)]
+    left = near_dup.deduplicate(docs)
+    assert left.columns == docs.columns and sorted((x.doc_id, x._id) for x in left.collect()) == [(3, 2), (12, 5)]
+    cut = suffix_dedup.cut_repeats(docs.withColumn("_null", docs["key"]).withColumn("rest", docs["root"]))
+    assert cut.columns == [*docs.columns, "_null", "rest"] and cut.count() == 7
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     for n, share in ((1, 1.0), (3, 1.0), (40, 0.5), (500, 0.8)):
@@ -414,12 +427,18 @@ def test_hot_passage_is_spread_over_buckets(spark):
     tables = {g: pa.table({"g": [g] * len(v), "id": [i for i, _ in v], "t": [t for _, t in v]}) for g, v in groups.items()}
     names = pa.concat_tables([suffix_dedup._names_of(t, 50, parts) for t in tables.values()])
     pick = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
-    shared = pa.concat_tables([suffix_dedup._shared(pick(names, "b", b), 16) for b in set(names.column("b").to_pylist())])
+    kind = lambda t, k: t.append_column("kind", pa.array([k] * len(t), pa.int32()))
+    answer = lambda t, hot, k: kind(pa.concat_tables([suffix_dedup._shared(pick(t, "b", b), hot) for b in set(t.column("b").to_pylist())]), k)
+    shared = answer(names, 16, 0)
+    windows = pa.concat_tables([suffix_dedup._hot_windows(t, pick(shared, "g", g), 50, parts) for g, t in tables.items()])
+    shared = pa.concat_tables([shared, answer(windows, 1 << 30, 1)])
     sent = Counter()
     for g, t in tables.items():
         for row in suffix_dedup._segments_of(t, pick(shared, "g", g), 50, parts).to_pylist():
             sent[row["b"]] += len(row["data"])
     assert max(sent.values()) < 3 * sum(sent.values()) / parts
+    # the passage once per group and window, not the context of every document
+    assert sum(sent.values()) < 2 * 50 * len(passage) * parts
 
 
 def test_license_gate_hides_nothing():
