@@ -188,23 +188,27 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+#: two nodes, the smaller one first, and their labels
+PAIR, LINK = ["a", "b", "ra", "rb"], "a long, b long, ra long, rb long"
+
+
 def verified(pairs: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough under some rule."""
+    """Pairs whose full sets are similar enough under some rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "wa"):
             both = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
                     for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True))
             mask = pa.array([any(similar(shingles(x, size), shingles(y, size), percent) for size, percent in rules) for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in PAIR], PAIR)
 
     left = words.select(F.col("node").alias("a"), F.col("w").alias("wa"))
     right = words.select(F.col("node").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select(*PAIR, "wa", "wb").mapInArrow(run, LINK)
 
 
 def alike(pairs: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs (a, b) whose set sizes and sketches some rule allows."""
+    """Pairs whose set sizes and sketches some rule allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,51 +221,57 @@ def alike(pairs: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
                 sizes = 100 * np.minimum(m[:, r], n[:, r]) >= percent * np.maximum(m[:, r], n[:, r])
                 keep |= sizes & ((x[:, r] == y[:, r]).sum(axis=1) >= least_agreement(percent))
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in PAIR], PAIR)
 
     side = lambda s: facts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("places").alias(f"p{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, LINK)
 
 
 def _pairs(x: DataFrame) -> DataFrame:
-    return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    """Pairs of (u, v, root_u, root_v)."""
+    first = F.col("u") < F.col("v")
+    return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(first, F.col("root_u")).otherwise(F.col("root_v")).alias("ra"),
+                    F.when(first, F.col("root_v")).otherwise(F.col("root_u")).alias("rb")).distinct()
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their root, of buckets that join several components."""
-    m = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return cut(m.join(several, "bucket", "left_semi"))
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several labels."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return cut(members.join(several, "bucket", "left_semi"))
 
 
 def links(members: DataFrame, facts: DataFrame, words: DataFrame, found: DataFrame, rules: Rules) -> DataFrame:
     """Components over all similar pairs and those ``found`` before: (node, root). ``members``: (bucket, node, n);
-    ``facts``: (node, n, places); ``words``: (node, w)."""
-    roots, rest = _roots(found), members
+    ``facts``: (node, n, places); ``words``: (node, w).
+
+    Between rounds nodes carry labels: a link gives the members of the larger label the smaller one. Labels spare
+    comparisons within a component and may lag behind it; the components are found once, from all links."""
+    rest = members.withColumn("root", F.col("node"))
     for turn in range(STARS + 1):
-        rest = _open(rest, roots)  # what is settled stays settled
+        rest = _open(rest)  # what is settled stays settled
         if turn < STARS:
             pairs = alike(_star(rest, turn, rules), facts, rules)
         else:
             sizes = cut(rest.groupBy("bucket").agg(F.count("*").alias("many")))
-            few = _in_buckets(rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi"), facts, rules)
-            many = rest.join(sizes.where(F.col("many") > SMALL).select("bucket"), "bucket", "left_semi")
-            for r, rule in enumerate(rules):
-                own = many.where(F.col("bucket").bitwiseAND(7) == r)
-                few = few.unionByName(alike(_prefix_pairs(own, words, *rule), facts, rules))
-            pairs = few.distinct()
+            pairs = _in_buckets(rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi"), facts, rules)
+            hot = sizes.where(F.col("many") > SMALL).select("bucket")
+            if not hot.isEmpty():
+                many = rest.join(hot, "bucket", "left_semi")
+                for r, rule in enumerate(rules):
+                    own = many.where(F.col("bucket").bitwiseAND(7) == r)
+                    pairs = pairs.unionByName(alike(_prefix_pairs(own, words, *rule), facts, rules))
+                pairs = pairs.distinct()
         new = cut(verified(pairs, words, rules))
-        if not new.isEmpty():
-            found = new if found.isEmpty() else found.unionByName(new)
-            roots = _roots(found)
-    return roots
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return connected(nodes, edges, [], "node").select("node", "root")
+        if new.isEmpty():
+            continue
+        found = new.select("a", "b") if found.isEmpty() else found.unionByName(new.select("a", "b"))
+        if turn < STARS:
+            merged = new.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to"))
+            rest = rest.join(merged, "root", "left").select("bucket", "node", "n", F.coalesce("to", "root").alias("root"))
+    if found.isEmpty():
+        return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    return connected(nodes, found, [], "node").select("node", "root")
 
 
 def _percent(rules: Rules) -> Column:
@@ -270,20 +280,21 @@ def _percent(rules: Rules) -> Column:
 
 
 def _star(rest: DataFrame, turn: int, rules: Rules) -> DataFrame:
-    """One pair per open node and round: with one member of one of its buckets, from another component.
+    """One pair per open node and round: with one member of one of its buckets, of another label.
     The first round takes the smallest nodes, later ones draw anew by hash."""
     order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
     hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h"))
             .select("bucket", F.col("h.o").alias("o"), F.col("h.node").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
     fits = (100 * F.least("n", "hub_n") >= _percent(rules) * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
-    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("u")).agg(F.min(F.struct("o", "v")).alias("h")))
-    return _pairs(met.select("u", F.col("h.v").alias("v")))
+    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("u"))
+           .agg(F.min(F.struct("o", "v", F.col("hub_root").alias("root_v"), F.col("root").alias("root_u"))).alias("h")))
+    return _pairs(met.select("u", "h.v", "h.root_u", "h.root_v"))
 
 
 def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs of two components that share a bucket of at most ``SMALL`` open nodes and have similar sketches."""
+    """Pairs of two labels that share a bucket of at most ``SMALL`` open nodes and have similar sketches."""
 
-    def compare(rows: list[dict]) -> list[tuple[int, int]]:
+    def compare(rows: list[dict]) -> list[tuple]:
         r = rows[0]["bucket"] & 7
         percent = rules[r][1]
         x = np.frombuffer(b"".join(k["places"] for k in rows), np.uint8).reshape(len(rows), len(rules), COMPARED)[:, r]
@@ -291,12 +302,13 @@ def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
         agree = (x[:, None] == x).sum(axis=2) >= least_agreement(percent)
         sizes = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
         i, j = np.nonzero(np.triu(agree & sizes & (root[:, None] != root), 1))
-        return [(min(a, b), max(a, b)) for a, b in ((rows[p]["node"], rows[q]["node"]) for p, q in zip(i.tolist(), j.tolist(), strict=True))]
+        ends = ([rows[k] for k in sorted(pair, key=lambda k: rows[k]["node"])] for pair in zip(i.tolist(), j.tolist(), strict=True))
+        return [(x["node"], y["node"], x["root"], y["root"]) for x, y in ends]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets stream through sorted partitions; many are pairs."""
         held: list[dict] = []
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for b in batches:
             for row in b.to_pylist():
                 if held and held[0]["bucket"] != row["bucket"]:
@@ -304,22 +316,22 @@ def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], PAIR)
                 out = []
         if held and (out := compare(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], PAIR)
 
     rows = rest.select("bucket", "node", "n", "root").join(facts.select("node", "places"), "node")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINK).distinct()
 
 
 def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) -> DataFrame:
-    """All pairs of open nodes in two components that can be similar enough, and few others.
+    """All pairs of open nodes of two labels that can be similar enough, and few others.
 
     In the order of rarest shingles first, two similar sets share one among the first n - ceil(p n) + 1 of the
     larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100), and the first one they share
     leaves enough of both behind it. A shingle of one node
-    or one component makes no pair, so copies that differ by their own edits meet only if they are near enough."""
+    or one label makes no pair, so copies that differ by their own edits meet only if they are near enough."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "w"):
@@ -348,7 +360,7 @@ def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) ->
     # all that two sets share lies at or behind the first shingle they share
     enough = (100 + p) * F.least("left_u", "left_v") >= p * (F.col("n_u") + F.col("n_v"))
     near = (F.col("n_u") <= F.col("n_v")) & (100 * F.col("n_u") >= p * F.col("n_v")) & (F.col("root_u") != F.col("root_v")) & enough
-    return _pairs(both.where(near).select("u", "v"))
+    return _pairs(both.where(near).select("u", "v", "root_u", "root_v"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = ((SHINGLE, PERCENT),)) -> DataFrame:

@@ -17,7 +17,7 @@ together first:
    bytes the smallest document of every window.
 4. The groups mark and cut the bytes of windows whose smallest document is smaller than their own.
 
-Groups and buckets are both as many as the square root of the expected names allows, so the rows between them
+Groups and buckets are both as many as the square root of the expected names allows (and no smaller than a slice), so the rows between them
 and the size of each grow as the square root of the input. What many documents have in common is one entry per group
 and window. All visits to the texts use one shuffle of them.
 
@@ -389,15 +389,16 @@ def _cut(docs: pa.Table, answers: pa.Table, span: int, buckets: int, kind: pa.Da
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
-                   whole: bool = False) -> DataFrame:
+                   whole: bool = False, parts: int | None = None) -> DataFrame:
     """One row per document row: id (null: ``NO_ID``), n_bytes, n_removed, n_spans, kept_sha256; with ``whole``
     also ``left`` (text that is left; a character of which only some bytes are left goes) and ``rest`` (whether the text
-    is null, and a struct of all columns of the row but the text)."""
+    is null, and a struct of all columns of the row but the text). ``parts`` forces the number of groups."""
     if span < GRAM + 8:
         raise ValueError(f"span must be at least {GRAM + 8}")
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    # a name for about every 18 bytes; 64 names or more in each message from a group to a bucket
-    parts = max(1, min(1 << 18, math.isqrt(total // (18 * 64))))
+    total = 0 if parts else docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    # a name for about every 18 bytes; 64 names or more in each message from a group to a bucket. What groups have in
+    # common is sent by each, so a group holds no less than a slice
+    parts = parts or max(1, min(1 << 18, math.isqrt(total // (18 * 64)), total // _SLICE))
     wanted, kind, result = [], None, RESULT
     if whole:
         rest = F.struct(F.col(text).isNull().alias("null"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")).alias("rest")
@@ -450,6 +451,6 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
                          for c in docs.columns])
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select(
+def digest(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    return remove_repeats(docs, parts=parts).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

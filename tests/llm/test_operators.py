@@ -18,7 +18,9 @@ from boxlake.llm.queries import ORACLES, QUERIES
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    yield table
+    table.unpersist()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -130,7 +132,7 @@ def repeats_by_force(rows, span=50):
 
 def test_repeats(docs):
     want = repeats_by_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs, 20).collect()}
     assert got == want
 
 
@@ -138,9 +140,10 @@ def test_repeats_of_odd_texts(spark):
     r = random.Random(2)
     parts = ["".join(r.choice("abé🙂\n ") for _ in range(n)) for n in (10, 30, 49, 50, 51, 120, 300)] + ["a" * 400, "ab" * 100]
     data = [(i, "".join(r.choice(parts)[r.randint(0, 8):] for _ in range(r.randint(0, 6)))) for i in r.sample(range(1000), 120)]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)
-           for x in suffix_dedup.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert got == repeats_by_force([(i, t.encode()) for i, t in data])
+    for groups in (None, 9):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)
+               for x in suffix_dedup.digest(spark.createDataFrame(data, "doc_id long, text string"), groups).collect()}
+        assert got == repeats_by_force([(i, t.encode()) for i, t in data])
 
 
 def test_two_stage_sort():
@@ -419,7 +422,7 @@ def test_hot_passage_is_spread_over_buckets(spark):
     passage = own(300)
     data = [(i, own(150) + passage[r.choice((0, 0, 7)):] + own(150)) for i in range(1500)]
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)
-           for x in suffix_dedup.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+           for x in suffix_dedup.digest(spark.createDataFrame(data, "doc_id long, text string"), parts=24).collect()}
     assert got == repeats_by_force([(i, t.encode()) for i, t in data])
     parts, groups = 30, defaultdict(list)
     for i, t in data:
