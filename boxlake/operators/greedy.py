@@ -31,18 +31,18 @@ def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: st
     IoU above ``thr``. Copies of a box always fall to their best one when ``thr`` < 1, so only
     that one enters the rounds; boxes without area never conflict and stay. Boxes that conflict
     differ by at most 1 / ``thr`` in their longer sides, so each box lies on the grid of its own
-    size and on the next larger one: small boxes beside huge ones do not crowd a cell. ``cell``
-    forces one grid for all sizes.
+    size and on the next larger one: small boxes beside huge ones do not crowd a cell. Below 0.05
+    boxes of nearly any two sizes may conflict, and one grid serves all; ``cell`` forces that.
     """
     keys = list(keys)
     flat = (F.col("w") <= 0) | (F.col("h") <= 0)
     reps = (boxes.where(~flat).groupBy(*keys, *GEO)
             .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))).alias("_b"))
             .select(*keys, *GEO, F.col("_b.s").alias("_s"), (-F.col("_b.i")).alias("_id")))
-    if cell is None:
-        cells, at = by_size(reps, min(0.9, max(thr, 0.05))), ["_g", "_cx", "_cy"]
+    if cell is None and thr >= 0.05:
+        cells, at = by_size(reps, min(0.9, thr)), ["_g", "_cx", "_cy"]
     else:
-        cells, at = cover_boxes(reps, cell=cell), ["_cx", "_cy"]
+        cells, at = cover_boxes(reps, cell=cell or CELL), ["_cx", "_cy"]
     kept = _greedy_rounds(reps, cells, keys, at, lambda a, b: iou(a, b) > thr, frontier, max_rounds)
     ids = kept.select(*keys, F.col("_id").alias(id_col)).withColumn("_kept", F.lit(True))
     return (boxes.join(ids, [*keys, id_col], "left")

@@ -145,3 +145,11 @@ def test_match_random_stacks(spark):
     for s in range(4):
         want |= sequential_match([r for r in p if r[0] == s], [r for r in g if r[0] == s], 0.3)
     assert got == want
+
+
+def test_suppression_below_five_hundredths(spark):
+    """Boxes whose sides differ by more than 20 to 1 conflict at a low threshold, with and without a forced grid."""
+    rows = [(1, 0, 0.0, 0.0, 401.0, 10.0, 0.9), (1, 1, 100.0, 0.0, 19.0, 10.0, 0.8), (1, 2, 900.0, 0.0, 19.0, 10.0, 0.7)]
+    b = spark.createDataFrame(rows, "sheet_id long, pred_id long, x double, y double, w double, h double, score double")
+    for cell in (None, 64):
+        assert {r.pred_id for r in suppress(b, ["sheet_id"], thr=0.04, cell=cell).where("kept").collect()} == {0, 2}
