@@ -6,10 +6,11 @@ together first:
 
 1. Every window of ``SPAN`` bytes is named by the smallest hash of the ``GRAM``-byte strings inside it; equal
    windows have equal names. Neighbouring windows with one name form a segment. Each group of documents sends
-   its names (short hashes) to buckets, and a bucket answers which names occur in several documents and which
-   are hot: held by more than a quarter of the groups.
+   its names (short hashes, with the order of magnitude of its distinct segments) to buckets, and a bucket answers
+   which names occur in several documents and which are hot: of more than ``HOT`` distinct segments a group. What
+   many documents hold alike is no load, since a group sends it once.
 2. A segment at the edge of a shared passage also holds bytes of its document's own, so a hot name would bring one
-   bucket a segment from every document. Segments of hot names are cut into single windows first; the groups send the
+   bucket a segment from every document. Segments of hot names are cut into single windows; the groups send the
    hashes of these windows to buckets, which answer those that several documents hold. All others can match nothing.
 3. Segments of other shared names go to their bucket, and windows of hot names that several documents hold to the
    bucket of their hash, equal ones of a group once. Each bucket sorts the suffixes of
@@ -44,11 +45,14 @@ from boxlake.llm.near_dup import mix
 from boxlake.llm.suffix_array import common_prefixes, join, two_stage
 
 SPAN, GRAM = 50, 16
-#: bits of a name that travel beside its bucket, the lowest of six bytes says "in several documents"
+#: bits of a name that travel beside its bucket; the three lowest of six bytes say how many segments it has in its
+#: group (``LOADS``) and whether it is in several documents
 SHORT = 45
 _MASK = np.uint64((1 << SHORT) - 1)
 _SLICE = 4 << 20
-#: a name is hot in more than this many groups and more than a quarter of them
+#: steps of the number of distinct segments, and what a name of each step counts for
+STEPS, LOADS = np.array([4, 32, 256]), np.array([2, 12, 96, 1024])
+#: a name is hot if it counts for more than this per group
 HOT = 16
 
 
@@ -130,17 +134,22 @@ def _from_six(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _by_bucket(found: list[tuple[np.ndarray, np.ndarray]], g: int, buckets: int) -> pa.Table:
-    """Distinct names of a group by bucket, from (names, ids) in order of id; the lowest bit says "in several documents"."""
-    names = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
-    ids = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
-    order = np.argsort(names, kind="stable")  # ids of a name stay in order
-    names, ids = names[order], ids[order]
-    new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, np.int64)
-    last = np.append(new[1:], len(names)) - 1
-    several = ids[new] != ids[last] if len(new) else np.empty(0, bool)
+def _by_bucket(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], g: int, buckets: int) -> pa.Table:
+    """Distinct names of a group by bucket, from (names, ids, contents); the lowest bit says "in several documents",
+    the two above it give the step of the number of distinct contents."""
+    names, contents = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.uint64) for k in (0, 2))
+    ids = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
+    order = np.lexsort((contents, names))
+    names, ids, contents = names[order], ids[order], contents[order]
+    fresh = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.empty(0, bool)
+    new = np.flatnonzero(fresh)
+    several, step = np.empty(0, bool), np.empty(0, np.int64)
+    if len(new):
+        several = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
+        other = fresh | np.concatenate([[True], contents[1:] != contents[:-1]])
+        step = np.searchsorted(STEPS, np.add.reduceat(other.astype(np.int64), new))
     bucket, short = _place(names[new], buckets)
-    value = short << np.uint64(1) | several.astype(np.uint64)
+    value = short << np.uint64(3) | step.astype(np.uint64) << np.uint64(1) | several.astype(np.uint64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     blobs = [_six(v) for v in np.split(value, cut[1:])] if len(cut) else []
     return pa.table({"b": pa.array(bucket[cut], pa.int64()), "g": pa.array([g] * len(cut), pa.int64()), "names": pa.array(blobs, pa.binary())})
@@ -149,7 +158,11 @@ def _by_bucket(found: list[tuple[np.ndarray, np.ndarray]], g: int, buckets: int)
 def _names_of(table: pa.Table, span: int, buckets: int) -> pa.Table:
     """Distinct names of a group by bucket."""
     group = Group(table, span)
-    own = [(names, group.ids[first + doc]) for _, first, names, _, _, doc in group.segments()]
+    own = []
+    for data, first, names, starts, count, doc in group.segments():
+        # a segment is told by its number of windows, the first and the last of them: it rarely has bytes outside both
+        content = _window_names(data, starts, span) ^ mix(_window_names(data, starts + count - 1, span) + count.astype(np.uint64))
+        own.append((names, group.ids[first + doc], content))
     return _by_bucket(own, table.column("g")[0].as_py(), buckets)
 
 
@@ -189,23 +202,25 @@ def _hot_windows(docs: pa.Table, answers: pa.Table, span: int, buckets: int) ->
             hit, at, _, _ = known.find(known.names, names)
             hit = hit[known.hot[at]]
             own, places = _spread(starts[hit], count[hit])
-            found.append((_window_names(data, places, span), group.ids[first + doc[hit][own]]))
+            windows = _window_names(data, places, span)
+            found.append((windows, group.ids[first + doc[hit][own]], windows))
     return _by_bucket(found, g, buckets)
 
 
 def _shared(table: pa.Table, hot: int) -> pa.Table:
-    """Of each group's names in a bucket, those that several documents hold; the lowest bit says "in more than
-    ``hot`` groups"."""
+    """Of each group's names in a bucket, those that several documents hold; the lowest bit says "counts for more
+    than ``hot``"."""
     blobs = [_from_six(x) for x in table.column("names").to_pylist()]
     values, sizes = np.concatenate(blobs), np.array([len(x) for x in blobs])
-    order = np.argsort(values >> np.uint64(1), kind="stable")
-    name = values[order] >> np.uint64(1)
+    order = np.argsort(values >> np.uint64(3), kind="stable")
+    name = values[order] >> np.uint64(3)
     run = np.cumsum(np.concatenate([[False], name[1:] != name[:-1]]))
     hits = np.bincount(run, 1 + (values[order] & np.uint64(1)))
     keep, many = np.zeros(len(values), bool), np.zeros(len(values), np.uint64)
     keep[order] = (hits > 1)[run]
-    many[order] = (np.bincount(run) > hot)[run]  # a group names it once
-    answer, cuts = values >> np.uint64(1) << np.uint64(1) | many, np.cumsum(sizes)[:-1]
+    load = LOADS[(values[order] >> np.uint64(1) & np.uint64(3)).astype(np.int64)]  # a group names it once
+    many[order] = (np.bincount(run, load) > hot)[run]
+    answer, cuts = values >> np.uint64(3) << np.uint64(1) | many, np.cumsum(sizes)[:-1]
     parts = [_six(v[k]) for v, k in zip(np.split(answer, cuts), np.split(keep, cuts), strict=True)]
     g, b = table.column("g").to_pylist(), table.column("b").to_pylist()
     rows = [(x, y, p) for x, y, p in zip(g, b, parts, strict=True) if p]
@@ -413,7 +428,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _names_of(t, span, parts)
 
     def shared_of(t: pa.Table) -> pa.Table:
-        return _shared(t, max(HOT, parts // 4))
+        return _shared(t, HOT * parts)
 
     def segments_of(_, a: pa.Table, b: pa.Table) -> pa.Table:
         return _segments_of(a, b, span, parts)
@@ -428,7 +443,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _hot_windows(a, b, span, parts)
 
     def shared_windows(t: pa.Table) -> pa.Table:
-        return _shared(t, t.num_rows)
+        return _shared(t, 4 * t.num_rows)  # every window has one content: none is hot
 
     sent, told = "b long, g long, names binary", "g long, b long, names binary"
     names = rows.groupBy("g").applyInArrow(names_of, sent)
