@@ -128,6 +128,15 @@ def _six(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers byte place by byte place: the high places are alike, so a shuffle compresses them."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _from_six(blob: bytes) -> np.ndarray:
     out = np.zeros((len(blob) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
@@ -178,13 +187,13 @@ class Known:
         self.names, self.hot = all_names >> np.uint64(1), (all_names & np.uint64(1)).astype(bool)
         self.windows = np.sort(np.concatenate(windows)) >> np.uint64(1) if windows else np.empty(0, np.uint64)
 
-    def find(self, among: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(which of the names are there, their places in ``among``, buckets, short names)."""
+    def find(self, among: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the names are there, their places in ``among``, buckets)."""
         bucket, short = _place(names, self.buckets)
         key = (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
         at = np.minimum(np.searchsorted(among, key), len(among) - 1) if len(among) else np.zeros(len(key), np.int64)
         hit = np.flatnonzero(among[at] == key) if len(among) else np.empty(0, np.int64)
-        return hit, at[hit], bucket[hit], short[hit]
+        return hit, at[hit], bucket[hit]
 
 
 def _spread(starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +208,7 @@ def _hot_windows(docs: pa.Table, answers: pa.Table, span: int, buckets: int) ->
     if docs.num_rows and answers.num_rows:
         group, known = Group(docs, span), Known(answers, buckets)
         for data, first, names, starts, count, doc in group.segments() if known.hot.any() else ():
-            hit, at, _, _ = known.find(known.names, names)
+            hit, at, _ = known.find(known.names, names)
             hit = hit[known.hot[at]]
             own, places = _spread(starts[hit], count[hit])
             windows = _window_names(data, places, span)
@@ -232,25 +241,25 @@ class Chosen:
     """Segments of a group whose names several documents hold, equal ones counted once; of hot names those windows that
     several documents hold.
 
-    Per distinct segment, in order of bucket and then of first place: ``bucket``, ``short`` name, ``ids``
-    (smallest document) and ``pieces`` (bytes). ``places`` has per slice (first document, starts, documents,
+    Per distinct segment, in order of bucket and then of first place: ``bucket``, ``ids`` (smallest document) and
+    ``pieces`` (bytes). ``places`` has per slice (first document, starts, documents,
     numbers of the segments). The same group and answers always give the same order."""
 
     def __init__(self, group: Group, known: Known):
         number: dict[bytes, int] = {}
         pieces, facts, places = [], [], []
         for data, first, names, starts, count, doc in group.segments() if len(known.names) else ():
-            hit, at, bucket, short = known.find(known.names, names)
+            hit, at, bucket = known.find(known.names, names)
             split = known.hot[at]
             starts, count, doc = starts[hit], count[hit], doc[hit]
             if split.any():
                 own, single = _spread(starts[split], count[split])
-                good, _, b, s = known.find(known.windows, _window_names(data, single, group.span))
+                good, _, b = known.find(known.windows, _window_names(data, single, group.span))
                 rest, own = ~split, np.flatnonzero(split)[own[good]]
                 order = np.argsort(np.concatenate([np.flatnonzero(rest), own]), kind="stable")  # places in order
-                starts, count, doc, bucket, short = (np.concatenate([x, y])[order] for x, y in (
+                starts, count, doc, bucket = (np.concatenate([x, y])[order] for x, y in (
                     (starts[rest], single[good]), (count[rest], np.ones(len(good), np.int64)), (doc[rest], doc[own]),
-                    (bucket[rest], b), (short[rest], s)))
+                    (bucket[rest], b)))
             nos, fresh = np.empty(len(starts), np.int64), []
             for k, (s, e) in enumerate(zip(starts.tolist(), (starts + count + group.span - 1).tolist(), strict=True)):
                 piece = data[s:e]
@@ -258,13 +267,13 @@ class Chosen:
                 if nos[k] == len(pieces):  # documents come in order of id, so the first to hold it is the smallest
                     pieces.append(piece)
                     fresh.append(k)
-            facts.append((bucket[fresh], short[fresh], group.ids[first + doc[fresh]]))
+            facts.append((bucket[fresh], group.ids[first + doc[fresh]]))
             places.append((first, starts, first + doc, nos))
-        bucket, short, ids = (np.concatenate(x) for x in zip(*facts, strict=True)) if pieces else [np.empty(0, np.int64)] * 3
+        bucket, ids = (np.concatenate(x) for x in zip(*facts, strict=True)) if pieces else [np.empty(0, np.int64)] * 2
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(pieces), np.int64)
         rank[order] = np.arange(len(pieces))
-        self.bucket, self.short, self.ids = bucket[order], short[order], ids[order]
+        self.bucket, self.ids = bucket[order], ids[order]
         self.pieces = [pieces[k] for k in order.tolist()]
         self.places = [(first, start, doc, rank[nos]) for first, start, doc, nos in places]
         self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if pieces else np.empty(0, np.int64)
@@ -274,20 +283,19 @@ def _segments_of(docs: pa.Table, names: pa.Table, span: int, buckets: int) -> pa
     """Distinct shared segments of a group, one row per bucket."""
     chosen = Chosen(Group(docs, span), Known(names, buckets)) if docs.num_rows and names.num_rows else None
     g = docs.column("g")[0].as_py() if docs.num_rows else None
-    rows: dict[str, list] = {"b": [], "g": [], "ids": [], "sub": [], "sizes": [], "data": []}
+    rows: dict[str, list] = {"b": [], "g": [], "ids": [], "sizes": [], "data": []}
     for lo, hi in zip(chosen.cuts, np.append(chosen.cuts[1:], len(chosen.pieces)), strict=True) if chosen else ():
         pieces = chosen.pieces[lo:hi]
         rows["b"].append(int(chosen.bucket[lo]))
         rows["g"].append(g)
-        rows["ids"].append(chosen.ids[lo:hi].tobytes())
-        rows["sub"].append((chosen.short[lo:hi] & np.uint64(0xFFFF)).astype("<u2").tobytes())
-        rows["sizes"].append(np.array([len(p) for p in pieces], "<u4").tobytes())
+        rows["ids"].append(_planes(chosen.ids[lo:hi], "<i8"))
+        rows["sizes"].append(_planes(np.array([len(p) for p in pieces]), "<u4"))
         rows["data"].append(b"".join(pieces))
     return pa.table({k: pa.array(v, pa.int64() if k in "bg" else pa.binary()) for k, v in rows.items()})
 
 
-def smallest_documents(pieces: list[bytes], ids: np.ndarray, span: int) -> list[np.ndarray]:
-    """Smallest document of every window of every piece, over all windows equal to it."""
+def smallest_documents(pieces: list[bytes], ids: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, smallest document over all windows equal to it) of every window of the pieces, in order of place."""
     text, starts = join(pieces)
     windows = np.array([len(p) - span + 1 for p in pieces])
     n = int(starts[-1]) + len(pieces[-1]) + 1
@@ -301,49 +309,79 @@ def smallest_documents(pieces: list[bytes], ids: np.ndarray, span: int) -> list[
     low = np.minimum.reduceat(who[order], run)
     best = np.empty(n, np.int64)
     best[order] = np.repeat(low, np.diff(np.append(run, len(order))))
-    return np.split(best[at], np.cumsum(windows)[:-1])
+    return owner, best[at]
+
+
+def _piece_names(pieces: list[bytes], sizes: np.ndarray, span: int) -> np.ndarray:
+    """Names of segments, from their first windows; about a slice of text at a time."""
+    ends, out = np.cumsum(sizes), []
+    cuts = np.flatnonzero(np.diff(ends // _SLICE, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pieces)], strict=True):
+        starts = ends[lo:hi] - sizes[lo:hi]
+        out.append(_windows(np.frombuffer(b"".join(pieces[lo:hi]), np.uint8), span)[starts - starts[0]])
+    return np.concatenate(out)
+
+
+def _gather(which: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of the entries of some lists, which start at ``first`` and have ``count`` entries."""
+    many = count[which]
+    return np.repeat(first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 def _resolve(table: pa.Table, span: int) -> pa.Table:
     """Per group and bucket: runs (length, smallest document) over the windows of its segments, in their order."""
-    sizes = [np.frombuffer(x, "<u4") for x in table.column("sizes").to_pylist()]
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-    sub = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("sub").to_pylist()])
-    pieces: list[bytes] = []
-    for data, own in zip(table.column("data").to_pylist(), sizes, strict=True):
-        ends = np.cumsum(own)
-        pieces += [data[e - s:e] for s, e in zip(own.tolist(), ends.tolist(), strict=True)]
-    # equal segments of several groups are sorted once, under their smallest document
+    sizes = [_from_planes(x, "<u4").astype(np.int64) for x in table.column("sizes").to_pylist()]
+    ids = np.concatenate([_from_planes(x, "<i8") for x in table.column("ids").to_pylist()])
+    # equal segments of several groups are one, under their smallest document
     number: dict[bytes, int] = {}
-    nos = np.array([number.setdefault(p, len(number)) for p in pieces])
+    nos = np.empty(len(ids), np.int64)
+    at = 0
+    for data, own in zip(table.column("data").to_pylist(), sizes, strict=True):
+        lo = 0
+        for hi in np.cumsum(own).tolist():
+            nos[at] = number.setdefault(data[lo:hi], len(number))
+            at, lo = at + 1, hi
     distinct = list(number)
+    number.clear()
     least = np.full(len(distinct), NO_ID)
     np.minimum.at(least, nos, ids)
-    kind = np.zeros(len(distinct), np.int64)
-    kind[nos] = sub
-    found: list = [None] * len(distinct)
-    order = np.argsort(kind, kind="stable")
+    size = np.array([len(p) for p in distinct])
+    names = _piece_names(distinct, size, span)
+    order = np.argsort(names, kind="stable")
+    kind = names[order]
+    # a segment alone under its name has no other to share windows with
+    alone = np.concatenate([[True], kind[1:] != kind[:-1]]) & np.concatenate([kind[1:] != kind[:-1], [True]])
+    single, order, kind = order[alone], order[~alone], kind[~alone]
+    owners, lengths, leasts = [single], [size[single] - span + 1], [least[single]]
     lo = 0
     while lo < len(order):  # whole names together, about a slice at a time
         hi, held = lo, 0
-        while hi < len(order) and (held < _SLICE or kind[order[hi]] == kind[order[hi - 1]]):
+        while hi < len(order) and (held < _SLICE or kind[hi] == kind[hi - 1]):
             held += len(distinct[order[hi]])
             hi += 1
         some = order[lo:hi]
-        for k, best in zip(some.tolist(), smallest_documents([distinct[k] for k in some], least[some], span), strict=True):
-            cut = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-            found[k] = (len(cut), np.diff(np.append(cut, len(best))), best[cut])
+        owner, best = smallest_documents([distinct[k] for k in some.tolist()], least[some], span)
+        cut = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
+        owners.append(some[owner[cut]])
+        lengths.append(np.diff(np.append(cut, len(best))))
+        leasts.append(best[cut])
         lo = hi
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    length, low = np.concatenate(lengths)[order], np.concatenate(leasts)[order]
+    count = np.bincount(owner, minlength=len(distinct))
+    first = np.cumsum(count) - count
     rows: dict[str, list] = {"g": [], "b": [], "runs": [], "lengths": [], "least": []}
     at = 0
     for g, b, own in zip(table.column("g").to_pylist(), table.column("b").to_pylist(), sizes, strict=True):
-        mine = [found[k] for k in nos[at:at + len(own)].tolist()]
+        mine = nos[at:at + len(own)]
         at += len(own)
+        where = _gather(mine, first, count)
         rows["g"].append(g)
         rows["b"].append(b)
-        rows["runs"].append(np.array([m[0] for m in mine], "<u4").tobytes())
-        rows["lengths"].append(np.concatenate([m[1] for m in mine]).astype("<u4").tobytes())
-        rows["least"].append(np.concatenate([m[2] for m in mine]).astype("<i8").tobytes())
+        rows["runs"].append(_planes(count[mine], "<u4"))
+        rows["lengths"].append(_planes(length[where], "<u4"))
+        rows["least"].append(_planes(low[where], "<i8"))
     return pa.table({k: pa.array(v, pa.int64() if k in "gb" else pa.binary()) for k, v in rows.items()})
 
 
@@ -356,9 +394,8 @@ def _removed(group: Group, answers: pa.Table, span: int, buckets: int) -> list[n
     if not runs.num_rows:
         return masks
     chosen = Chosen(group, Known(names, buckets))
-    number = np.concatenate([np.frombuffer(x, "<u4") for x in runs.column("runs").to_pylist()]).astype(np.int64)
-    length = np.concatenate([np.frombuffer(x, "<u4") for x in runs.column("lengths").to_pylist()]).astype(np.int64)
-    least = np.concatenate([np.frombuffer(x, "<i8") for x in runs.column("least").to_pylist()])
+    number, length, least = (np.concatenate([_from_planes(x, kind) for x in runs.column(c).to_pylist()]).astype(np.int64)
+                             for c, kind in (("runs", "<u4"), ("lengths", "<u4"), ("least", "<i8")))
     before = np.cumsum(number) - number
     offset = np.cumsum(length) - length
     offset = offset - np.repeat(offset[before], number)  # of a run inside its segment
@@ -451,7 +488,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     windows = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(hot_windows, sent)
     shared = shared.unionByName(windows.groupBy("b").applyInArrow(shared_windows, told).withColumn("kind", F.lit(1)))
     segments = (rows.groupBy("g").cogroup(shared.groupBy("g"))
-                .applyInArrow(segments_of, "b long, g long, ids binary, sub binary, sizes binary, data binary"))
+                .applyInArrow(segments_of, "b long, g long, ids binary, sizes binary, data binary"))
     runs = segments.groupBy("b").applyInArrow(resolve, "g long, b long, runs binary, lengths binary, least binary")
     none = F.lit(None).cast("binary")
     answers = (shared.select("g", "b", "kind", "names", none.alias("runs"), none.alias("lengths"), none.alias("least"))
