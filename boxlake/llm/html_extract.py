@@ -6,7 +6,8 @@ is trained on labelled pages (``labelled_pages``: pages put together by rule, ea
 decoded by Viterbi.
 
 Null and empty html has no blocks and gives an empty text. Rows never meet: repeated rows get equal texts and
-null ids pass through; extra columns are ignored; an empty table gives an empty result.
+null ids pass through; extra columns are ignored; an empty table gives an empty result. Time and memory are linear in
+the page, however deep its tags nest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -35,9 +37,13 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
                   "section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"button", "label", "body", "html", "head"}
 OWN_CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CLOSERS = frozenset(OWN_CLOSERS)
 SCOPE = frozenset("ul ol table td th dl article section div body html blockquote aside nav main footer header form".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: a tag with a quote that nothing closes ends at its first ``>``
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
+DIGIT = re.compile(r"\d")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
 
@@ -55,35 +61,73 @@ LEAVES = ("p", "h1", "h2", "h3", "h4", "li", "td", "th", "div", "pre", "dd", "fi
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
-    tags: tuple[str, ...] = ()
-    names: frozenset[str] = frozenset()
+    ancestors: frozenset[str] = frozenset()
+    leaf: str = "span"
+    depth: int = 0
+    good: bool = False
+    bad: bool = False
     linked: int = 0
     text: str = ""
 
 
+class Open:
+    """Open tags of a page, with counts by kind, so that a text or tag costs the same at every depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.count: Counter[str] = Counter()
+        self.good = self.bad = 0
+        self.leaves: list[str] = []  # block-level tags
+        self.marks: list[str] = []  # tags that close their like, and tags that bound them
+
+    def push(self, name: str, names: frozenset[str]) -> None:
+        good, bad = bool(names & GOOD_NAMES), bool(names & BAD_NAMES)
+        self.stack.append((name, good, bad))
+        self.count[name] += 1
+        self.good += good
+        self.bad += bad
+        if name in BLOCK:
+            self.leaves.append(name)
+        if name in CLOSERS or name in SCOPE:
+            self.marks.append(name)
+
+    def close(self, name: str) -> None:
+        while self.count[name]:
+            last, good, bad = self.stack.pop()
+            self.count[last] -= 1
+            self.good -= good
+            self.bad -= bad
+            if last in BLOCK:
+                self.leaves.pop()
+            if last in CLOSERS or last in SCOPE:
+                self.marks.pop()
+            if last == name:
+                break
+
+    def block(self) -> Block:
+        return Block(ancestors=frozenset(t for t in ANCESTORS if self.count[t]), leaf=self.leaves[-1] if self.leaves else "span",
+                     depth=len(self.stack), good=self.good > 0, bad=self.bad > 0)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Content of scripts, styles and the like is no text."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    tags = Open()
     blocks, now, pos = [], None, 0
 
-    def close(name: str) -> None:
-        while stack.pop()[0] != name:
-            pass
-
     def text(s: str) -> None:
         nonlocal now
         if not s or (now is None and s.isspace()):
             return
         if now is None:
-            now = Block(tags=tuple(t for t, _ in stack), names=frozenset().union(*(n for _, n in stack)))
+            now = tags.block()
             blocks.append(now)
         now.parts.append(s)
-        if any(t == "a" for t, _ in stack):
+        if tags.count["a"]:
             now.linked += len(s)
 
     while True:
         at = page.find("<", pos)
-        m = TOKEN.match(page, at) if at >= 0 else None
+        m = (TOKEN.match(page, at) or BROKEN.match(page, at)) if at >= 0 else None
         if at < 0:
             text(page[pos:])
             break
@@ -99,19 +143,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 now = None
-            if any(t == name for t, _ in stack):
-                close(name)
+            tags.close(name)
             continue
         if name == "br":
             text(" ") if now else None
             continue
         if name in BLOCK:
             now = None
-            if name in CLOSES_P and any(t == "p" for t, _ in stack):
-                close("p")
-            for t, _ in reversed(stack):
-                if t in OWN_CLOSERS.get(name, ()):
-                    close(t)
+            if name in CLOSES_P:
+                tags.close("p")
+            for t in reversed(tags.marks if name in CLOSERS else ()):
+                if t in OWN_CLOSERS[name]:
+                    tags.close(t)
                     break
                 if t in SCOPE:
                     break
@@ -122,8 +165,7 @@ def leaf_blocks(page: str) -> list[Block]:
             pos = end.end() if end else len(page)
             continue
         names = frozenset(w for a in ATTRIBUTE.finditer(m[3]) for w in SPLIT_NAME.split((a[2] or a[3] or a[4] or "").lower()) if w)
-        if len(stack) < 2000:
-            stack.append((name, names))
+        tags.push(name, names)
     for b in blocks:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
     return [b for b in blocks if b.text]
@@ -135,14 +177,13 @@ def features(blocks: list[Block]) -> np.ndarray:
         return np.zeros((0, len(ANCESTORS) + len(LEAVES) + 4 + 3 * 9))
     where, shape = [], []
     for k, b in enumerate(blocks):
-        tags, text = set(b.tags), b.text
-        leaf = next((t for t in reversed(b.tags) if t in BLOCK), "span")
-        where.append([t in tags for t in ANCESTORS] + [leaf == t for t in LEAVES]
-                     + [bool(b.names & GOOD_NAMES), bool(b.names & BAD_NAMES), k / len(blocks), len(b.tags) / 10])
+        text = b.text
+        where.append([t in b.ancestors for t in ANCESTORS] + [b.leaf == t for t in LEAVES]
+                     + [b.good, b.bad, k / len(blocks), b.depth / 10])
         n, words = len(text), text.count(" ") + 1
         shape.append([np.log1p(n), np.log1p(words), min(1.0, b.linked / n), sum(map(text.count, ".,;:!?")) / words,
                       text[-1] in ".!?…\"'»”", text[0].isupper(), "©" in text or "·" in text or "|" in text,
-                      sum(c.isdigit() for c in text[:200]) / min(n, 200), bool(b.names & BAD_NAMES)])
+                      len(DIGIT.findall(text)) / n, b.bad])
     s = np.array(shape, float)
     zero = np.zeros((1, s.shape[1]))
     return np.column_stack([np.array(where, float), s, np.vstack([zero, s[:-1]]), np.vstack([s[1:], zero])])

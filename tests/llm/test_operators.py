@@ -462,3 +462,11 @@ def test_license_gate_hides_nothing():
                     labels[text] = {r.label for _, _, r in gated.detect(w)}
     for name, label in {"agplv3": "agpl-3", "lgplv2.1": "lgpl-2.1", "mplv2.0": "mpl-2", "eplv2": "epl-2", "gpl3": "gpl-3", "gpl2": "gpl-2", "apache2": "apache-2"}.items():
         assert labels[f"text licensed under the {name}"] == {label}
+
+
+def test_deep_and_broken_pages():
+    """Tags nested beyond any bound count, and a tag with an open quote is no text."""
+    texts = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert texts('<p>one <a title="x>link</a></p>') == ["one link"]
+    deep = html_extract.leaf_blocks("<div>" * 20_000 + "<nav><p>x<dt>a</dt>" + "<span>" * 20_000 + "<dt>y</dt>" * 5_000)
+    assert [b.text for b in deep[:2]] == ["x", "a"] and "nav" in deep[0].ancestors and deep[0].depth == 20_002 and len(deep) == 5_002
