@@ -327,9 +327,12 @@ def edit_distance_inside(pattern, text):
 def test_nearest_substring():
     r = random.Random(9)
     for _ in range(200):
-        p = "".join(r.choice("abc") for _ in range(r.randint(1, 80)))
+        p = "".join(r.choice("abc") for _ in range(r.randint(1, 200)))
         t = "".join(r.choice("abc") for _ in range(r.randint(0, 60)))
-        assert decontaminate.nearest(p, t)[0] == edit_distance_inside(p, t)
+        index = decontaminate.index_of([decontaminate.Item(0, "b", 0, False, 1), decontaminate.Item(1, p, 9, False, 1)])
+        codes = np.array([ord(c) for c in t + "#"], np.uint32)
+        got = decontaminate.distances(codes, np.array([1, 1]), np.array([0, 0]), np.array([len(t), 0]), index)
+        assert got.tolist() == [edit_distance_inside(p, t), len(p)]
 
 
 def test_planted_leaks(spark, sf_dir, docs):
@@ -346,7 +349,7 @@ def test_planted_leaks(spark, sf_dir, docs):
             text = " ".join(h[:at] + w + h[at:])
             words = decontaminate.WORD.findall
             pattern = " ".join(words(t.lower()))
-            if decontaminate.nearest(pattern, " ".join(words(text.lower())))[0] <= 0.2 * len(pattern):
+            if edit_distance_inside(pattern, " ".join(words(text.lower()))) <= 0.2 * len(pattern):
                 texts.append(text)
                 want.append((rate, i))
     found = decontaminate.leaks(texts, index, 0.8)
@@ -404,13 +407,55 @@ def test_short_items_as_they_are():
     assert [[x[0] for x in f] for f in decontaminate.leaks(texts, index, 0.8)] == [[1], [], [], [], [1], [4], [], []]
 
 
-def test_seed_length_by_counting():
-    from itertools import combinations
+def test_walk_lengths_are_measured():
+    """Walks of the chosen length find what they should in texts they were not measured on; longer items walk further."""
+    lengths = [decontaminate.walk_length(n, n // 5, 0.975) for n in (40, 100, 250, 600)]
+    assert lengths == sorted(lengths) and lengths[0] < lengths[-1] <= decontaminate.STEPS
+    assert decontaminate.walk_length(200, 10, 0.975) >= decontaminate.walk_length(200, 40, 0.975)
+    r = random.Random(3)
+    items = [(k, " ".join("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(n)))
+             for k, n in enumerate([6, 9, 14, 25, 60] * 30)]
+    index, texts = decontaminate.build_index(items), []
+    for _, t in items:
+        w = list(t)
+        for p in sorted(r.sample(range(len(w)), len(w) // 5), reverse=True):
+            w[p:p + 1] = r.choice([["z"], [], [w[p], "z"]])
+        texts.append("".join(w))
+    found = decontaminate.leaks(texts, index, 0.8)
+    hit = [k in {x[0] for x in f} for k, f in enumerate(found)]
+    assert np.mean(hit) >= 0.95 and min(np.mean(hit[k::5]) for k in range(5)) >= 0.85
+
 
-    for n, k in ((8, 2), (10, 3), (12, 2)):
-        runs = [max(b - a - 1 for a, b in zip((-1, *c), (*c, n))) for c in combinations(range(n), k)]
-        for recall in (0.5, 0.9, 0.99):
-            assert decontaminate.seed_length(n, k, recall) == max(q for q in range(1, n) if np.mean([x >= q for x in runs]) >= recall)
+def test_unedited_items_are_always_found():
+    r = random.Random(8)
+    items = [(k, " ".join(r.choice(["ab", "c", "déf", "ghij", "k2"]) for _ in range(r.randint(2, 12)))) for k in range(60)]
+    index = decontaminate.build_index(items)
+    texts = [" ".join([*["xy"] * r.randint(0, 5), t.upper(), "z"]) for _, t in items]
+    assert all(k in {x[0] for x in f} for k, f in enumerate(decontaminate.leaks(texts, index, 0.8)))
+
+
+def test_leaks_against_all_pairs(spark, docs):
+    """Every text against every item by the plain edit distance: nothing beyond it, nearly nothing less."""
+    items = {r.item_id: " ".join(decontaminate.WORD.findall(r.text.lower())) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+    texts = {r.doc_id: " ".join(decontaminate.WORD.findall((r.text or "").lower())) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    index = decontaminate.index_of([decontaminate.Item(i, x, 0, False, 1) for i, x in items.items()])
+    codes = np.array([ord(c) for t in texts.values() for c in t + "#"], np.uint32)
+    size = np.array([len(t) + 1 for t in texts.values()])
+    lo, n = np.repeat(np.cumsum(size) - size, len(items)), len(texts)
+    far = decontaminate.distances(codes, np.tile(np.arange(len(items)), n), lo, lo + np.repeat(size, len(items)) - 1, index)
+    pairs = [(d, i, x) for d in texts for i, x in items.items()]
+    want = {(d, i) for (d, i, x), k in zip(pairs, far.tolist()) if k <= 0.2 * len(x) + 1e-9}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontaminate"](spark, "/root/testdata/sf0.001").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_leaks_with_clashing_columns(spark):
+    item = "the dog lay by the door of the house near the old mill"
+    docs = spark.createDataFrame([(1, f"so {item} now", "a", 5), (2, "clean", "b", None), (None, None, None, 6)], "doc_id long, text string, _leaks string, id int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.remove_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(r["id"] or 0 for r in left.collect()) == [0, 6]
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 1, 0)]
 
 
 def test_hot_passage_is_spread_over_buckets(spark):
