@@ -52,8 +52,8 @@ REPEATS, STEPS, SAMPLE = 4, 40, 0.7
 GATES = (10, 16)
 #: equal keys that a window of an item with edits needs, and into how many strips an item's length is cut to count them
 HITS, STRIPS = 6, 24
-#: windows that are checked together
-WINDOWS = 1024
+#: windows that are checked together; walks that go together, few enough for the processor's cache
+WINDOWS, WALKS = 1024, 1 << 14
 #: random texts per length when walks are measured, their letters, and the length beyond which items count as no longer
 TRIALS, LETTERS, LONG = 120, 20, 600
 
@@ -363,10 +363,12 @@ def candidates(codes: np.ndarray, starts: np.ndarray, index: Index) -> tuple[np.
     turn = ((place - np.repeat(starts, ends - starts + 1)) % REPEATS).astype(np.int8)
     groups, strips = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for r in range(REPEATS):
-        for at, item, offset in _meetings(letters, np.flatnonzero(turn == r), index.layers[r], index.gates[r], r):
-            doc = np.searchsorted(starts, at, side="right") - 1
-            groups.append(doc * total + item)
-            strips.append((at - offset - starts[doc]) // width[item])
+        own = np.flatnonzero(turn == r)
+        for piece in range(0, len(own), WALKS):
+            for at, item, offset in _meetings(letters, own[piece:piece + WALKS], index.layers[r], index.gates[r], r):
+                doc = np.searchsorted(starts, at, side="right") - 1
+                groups.append(doc * total + item)
+                strips.append((at - offset - starts[doc]) // width[item])
     group, near = crowded(np.concatenate(groups), np.concatenate(strips), lambda g: index.need[g % total])
     doc, item = np.divmod(group, total)
     lo = np.maximum(starts[doc], starts[doc] + near * width[item] - index.edits[item])
