@@ -54,6 +54,8 @@ GATES = (10, 16)
 HITS, STRIPS = 6, 24
 #: windows that are checked together; walks that go together, few enough for the processor's cache
 WINDOWS, WALKS = 1024, 1 << 14
+#: items of more words of 64 bits are checked window by window
+LONG_WORDS = 16
 #: random texts per length when walks are measured, their letters, and the length beyond which items count as no longer
 TRIALS, LETTERS, LONG = 120, 20, 600
 
@@ -276,8 +278,10 @@ def index_of(items: list[Item]) -> Index:
     own = np.repeat(np.arange(len(items)), length)
     codes = np.array([ord(c) for x in items for c in x.text], np.int64)
     at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-    known, row = np.unique((own << 21) + codes, return_inverse=True)
-    masks = np.zeros((len(known) + 1, int(length.max(initial=1) + 63) // 64), np.uint64)
+    short = (length <= 64 * LONG_WORDS)[own]
+    known, row = np.unique(((own << 21) + codes)[short], return_inverse=True)
+    at = at[short]
+    masks = np.zeros((len(known) + 1, int(at.max(initial=0)) // 64 + 1), np.uint64)
     np.bitwise_or.at(masks, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
     return Index(items, length, np.array([x.edits for x in items], np.int64),
                  np.array([1 if x.whole else HITS for x in items], np.int64), known, masks, layers, gates)
@@ -294,6 +298,32 @@ def shared_index(rows: tuple) -> Index:
     return index_of([Item(*x) for x in rows])
 
 
+def nearest(pattern: str, text: str) -> int:
+    """Edit distance between the pattern and the nearest substring of the text; one integer per column of the table."""
+    mask, high = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(pattern):
+        places.setdefault(c, []).append(i)
+    eq = {}
+    for c, at in places.items():
+        bits = bytearray(len(pattern) // 8 + 1)
+        for i in at:
+            bits[i // 8] |= 1 << i % 8
+        eq[c] = int.from_bytes(bits, "little")
+    plus, minus, score = mask, 0, len(pattern)
+    best = score
+    for c in text:
+        e = eq.get(c, 0)
+        xv = e | minus
+        xh = (((e & plus) + plus) ^ plus) | e
+        ph, mh = (minus | ~(xh | plus)) & mask, plus & xh
+        score += bool(ph & high) - bool(mh & high)
+        best = min(best, score)
+        ph, mh = ph << 1, mh << 1
+        plus, minus = (mh | ~(xv | ph)) & mask, ph & xv
+    return best
+
+
 def distances(codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: Index) -> np.ndarray:
     """Edit distance between each item and the nearest stretch of ``codes[lo:hi]``: the bit-parallel form of the usual
     table, one column of many windows at a time, ``words`` words of 64 bits each."""
@@ -302,6 +332,10 @@ def distances(codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarra
     for words in np.unique(size).tolist():
         group = np.flatnonzero(size == words)
         group = group[np.argsort(hi[group] - lo[group], kind="stable")]
+        if words > LONG_WORDS:  # one window keeps the processor busy by itself
+            for k in group.tolist():
+                out[k] = nearest(index.items[item[k]].text, codes[lo[k]:hi[k]].tobytes().decode("utf-32-le", "surrogatepass"))
+            continue
         for start in range(0, len(group), WINDOWS):
             some = group[start:start + WINDOWS]
             out[some] = _columns(codes, item[some], lo[some], hi[some], words, index)

@@ -449,6 +449,18 @@ def test_leaks_against_all_pairs(spark, docs):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_leaks_of_long_items():
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((30, 140, 170, 700))]
+    index = decontaminate.build_index(items)
+    texts = [" ".join(["start", *(word() if r.random() < 0.1 else w for w in t.split()), "end"]) for _, t in items] + ["nothing here"]
+    found = decontaminate.leaks(texts, index, 0.8)
+    assert [[x[0] for x in f] for f in found] == [[0], [1], [2], [3], []]
+    for p, t in ((items[2][1], texts[2]), (items[0][1], texts[0]), (items[0][1], "")):
+        assert decontaminate.nearest(p, t) == edit_distance_inside(p, t)
+
+
 def test_leaks_with_clashing_columns(spark):
     item = "the dog lay by the door of the house near the old mill"
     docs = spark.createDataFrame([(1, f"so {item} now", "a", 5), (2, "clean", "b", None), (None, None, None, 6)], "doc_id long, text string, _leaks string, id int")
