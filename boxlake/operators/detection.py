@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,28 +47,39 @@ def repeat_for(df: DataFrame, combos: Column | None) -> DataFrame:
     return df if combos is None else df.withColumn("_c", F.explode(combos)).select("*", "_c.*").drop("_c")
 
 
+def tally(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key from tables of partial counters, missing ones 0.
+
+    The tables are stacked and summed, not joined: each has a row per key, and joins of that many would
+    all be broadcast at once while they look small."""
+    keys, names = list(keys), dict.fromkeys(c for p in parts for c in p.columns if c not in keys)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    zero = {c: F.lit(0.0 if c == "iou_sum" else 0) for c in names}
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), zero[c]).alias(c) for c in names])
+
+
 def sheet_counts(boxes: DataFrame, gt: DataFrame, keys: Sequence[str], gt_keys: Sequence[str],
-                 combos: Column | None = None) -> DataFrame:
+                 combos: Column | None = None) -> list[DataFrame]:
     """n_pred and n_gt for every key present on either side; ``boxes`` are counted distinct boxes."""
     keys = list(keys)
-    p = boxes.groupBy(*keys).agg(F.sum("pn").alias("n_pred"))
     g = repeat_for(gt.groupBy(*gt_keys).agg(F.count("*").alias("n_gt")), combos)
-    return p.join(g, keys, "full_outer").select(
-        *keys, F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
+    return [boxes.groupBy(*keys).agg(F.sum("pn").alias("n_pred")), g.select(*keys, "n_gt")]
 
 
 def center_counts(boxes: DataFrame, points: DataFrame, keys: Sequence[str], gt_keys: Sequence[str],
-                  combos: Column | None = None) -> DataFrame:
+                  combos: Column | None = None) -> list[DataFrame]:
     """Per key: predictions that hold a point (pred_hits) and points held (gt_found).
 
-    Both sides are counted per distinct geometry; only distinct points are repeated for the
-    swept combinations.
+    Both sides are counted per distinct geometry; points are shared by the swept combinations, and only
+    boxes of those count.
     """
     keys = list(keys)
-    n_pt = repeat_for(points.groupBy(*gt_keys, "px", "py").agg(F.count("*").alias("pn")), combos)
-    hb, hp = containment_hits(boxes, n_pt, keys, distinct=False, carry=["pn"])
-    b = hb.groupBy(*keys).agg(F.sum("pn").alias("pred_hits"))
-    return b.join(hp.groupBy(*keys).agg(F.sum("pn").alias("gt_found")), keys, "full_outer")
+    n_pt = points.groupBy(*gt_keys, "px", "py").agg(F.count("*").alias("pn"))
+    if combos is not None:
+        own = [k for k in keys if k not in gt_keys]
+        boxes = boxes.where(F.exists(combos, lambda c: reduce(Column.__and__, [c[k] == F.col(k) for k in own])))
+    hb, hp = containment_hits(boxes, n_pt, keys, distinct=False, carry=["pn"], point_keys=gt_keys)
+    return [hb.groupBy(*keys).agg(F.sum("pn").alias("pred_hits")), hp.groupBy(*keys).agg(F.sum("pn").alias("gt_found"))]
 
 
 def evaluate_sheets(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: float = 0.5,
@@ -83,10 +95,8 @@ def evaluate_sheets(pred: DataFrame, gt: DataFrame, keys: Sequence[str], thr: fl
     boxes = cut(box_classes(pred, keys)) if boxes is None else boxes
     m = (match_one_to_one(pred, gt, keys, thr, gt_keys=gt_keys, pred_classes=boxes).groupBy(*keys)
          .agg(F.count("*").alias("matches"), F.sum("iou").alias("iou_sum")))
-    out = (sheet_counts(boxes, gt, keys, gt_keys, combos)
-           .join(center_counts(boxes, with_center(gt), keys, gt_keys, combos), keys, "left")
-           .join(m, keys, "left"))
-    return out.fillna(0, ["pred_hits", "gt_found", "matches"]).fillna(0.0, ["iou_sum"])
+    return tally([*sheet_counts(boxes, gt, keys, gt_keys, combos),
+                  *center_counts(boxes, with_center(gt), keys, gt_keys, combos), m], keys)
 
 
 def evaluate_sheets_points(pred: DataFrame, points: DataFrame, keys: Sequence[str],
@@ -95,10 +105,9 @@ def evaluate_sheets_points(pred: DataFrame, points: DataFrame, keys: Sequence[st
     """The same counters against points (px, py); the IoU part is zero."""
     keys, gt_keys = list(keys), list(gt_keys or keys)
     boxes = box_classes(pred, keys) if boxes is None else boxes
-    out = (sheet_counts(boxes, points, keys, gt_keys, combos)
-           .join(center_counts(boxes, points, keys, gt_keys, combos), keys, "left"))
-    return (out.fillna(0, ["pred_hits", "gt_found"])
-            .withColumn("matches", F.lit(0).cast("bigint")).withColumn("iou_sum", F.lit(0.0)))
+    out = tally([*sheet_counts(boxes, points, keys, gt_keys, combos),
+                 *center_counts(boxes, points, keys, gt_keys, combos)], keys)
+    return (out.withColumn("matches", F.lit(0).cast("bigint")).withColumn("iou_sum", F.lit(0.0)))
 
 
 def sheet_metrics(counters: DataFrame, keys: Sequence[str], gt_recall: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from boxlake.functions.geometry import Box, iou
 from boxlake.operators.ranking import exact_rank
 from boxlake.operators.spatial import CELL, GEO, cover_boxes, iou_pairs
-from boxlake.session import cut
+from boxlake.session import cut, dealt
 
 Conflict = Callable[[Box, Box], Column]
 
@@ -189,7 +189,7 @@ def _classes(df: DataFrame, keys: list[str], id_col: str, s: str) -> DataFrame:
 
 def _member_ranks(df: DataFrame, classes: DataFrame, keys: list[str], id_col: str, s: str) -> DataFrame:
     """0-based position of each member in its class, largest id first."""
-    many = df.join(classes.where(F.col(f"{s}n") > 1).select(*keys, *GEO, f"{s}c"), [*keys, *GEO])
+    many = df.join(dealt(classes.where(F.col(f"{s}n") > 1).select(*keys, *GEO, f"{s}c")), [*keys, *GEO])
     r = exact_rank(many.select(*keys, f"{s}c", id_col), [*keys, f"{s}c"], [F.desc(id_col)])
     return cut(r.select(*keys, f"{s}c", F.col(id_col).alias(f"{s}id"), (F.col("rank") - 1).alias(f"{s}rank")))
 
@@ -202,7 +202,7 @@ def _mark_round(edges: DataFrame, keys: list[str], batch: bool) -> DataFrame:
     the group as ``tie`` and leave ``take`` at 0."""
     best_p = edges.groupBy(*keys, "pc").agg(F.max(F.struct("iou", "gtop")).alias("bp"))
     best_g = edges.groupBy(*keys, "gc").agg(F.max(F.struct("iou", "ptop")).alias("bg"))
-    e = edges.join(best_p, [*keys, "pc"]).join(best_g, [*keys, "gc"])
+    e = edges.join(dealt(best_p), [*keys, "pc"]).join(dealt(best_g), [*keys, "gc"])
     mutual = (F.struct("iou", "gtop") == F.col("bp")) & (F.struct("iou", "ptop") == F.col("bg"))
     left = F.least(F.col("pn") - F.col("pused"), F.col("gn") - F.col("gused"))
     if not batch:
@@ -214,14 +214,14 @@ def _mark_round(edges: DataFrame, keys: list[str], batch: bool) -> DataFrame:
             .agg(F.count("*").alias("tp"), F.bool_and(both).alias("whole_p"), F.sum(mark("gc")).alias("sp")))
     of_g = (top.where(F.col("iou") == F.col("bg.iou")).groupBy(*keys, "gc")
             .agg(F.count("*").alias("tg"), F.bool_and(both).alias("whole_g"), F.sum(mark("pc")).alias("sg")))
-    t = cut(top.join(of_p, [*keys, "pc"]).join(of_g, [*keys, "gc"]).where(both))
+    t = cut(top.join(dealt(of_p), [*keys, "pc"]).join(dealt(of_g), [*keys, "gc"]).where(both))
     same_p = t.groupBy(*keys, "gc").agg((F.min("sp") == F.max("sp")).alias("one_p"), F.bool_and("whole_p").alias("ok_p"))
     same_g = t.groupBy(*keys, "pc").agg((F.min("sg") == F.max("sg")).alias("one_g"), F.bool_and("whole_g").alias("ok_g"))
     closed = F.col("one_p") & F.col("one_g") & F.col("ok_p") & F.col("ok_g") & F.col("whole_p") & F.col("whole_g")
-    groups = (t.join(same_p, [*keys, "gc"]).join(same_g, [*keys, "pc"])
+    groups = (t.join(dealt(same_p), [*keys, "gc"]).join(dealt(same_g), [*keys, "pc"])
               .select(*keys, "pc", "gc", ((F.col("tp") == 1) & (F.col("tg") == 1)).alias("alone"),
                       F.when(closed & ((F.col("tp") > 1) | (F.col("tg") > 1)), F.struct("sp", "sg")).alias("tie")))
-    m = e.withColumn("mutual", mutual).join(groups, [*keys, "pc", "gc"], "left")
+    m = e.withColumn("mutual", mutual).join(dealt(groups), [*keys, "pc", "gc"], "left")
     take = F.when(~F.col("mutual") | F.col("tie").isNotNull(), F.lit(0)).when(F.col("alone"), left).otherwise(F.lit(1)).cast("bigint")
     return m.withColumn("take", take).drop("bp", "bg", "mutual", "alone")
 
@@ -253,13 +253,13 @@ def _advance(marked: DataFrame, taken: DataFrame, keys: list[str], gt_keys: list
     for s, ranks, own in (("p", p_ranks, keys), ("g", g_ranks, gt_keys)):
         used = taken.groupBy(*keys, f"{s}c").agg(F.sum("take").alias("_t"))
         if ranks is None:
-            e = e.join(used, [*keys, f"{s}c"], "left_anti")
+            e = e.join(dealt(used), [*keys, f"{s}c"], "left_anti")
             continue
-        e = (e.join(used, [*keys, f"{s}c"], "left")
+        e = (e.join(dealt(used), [*keys, f"{s}c"], "left")
              .withColumn(f"{s}used", F.col(f"{s}used") + F.coalesce("_t", F.lit(0))).drop("_t")
              .where(F.col(f"{s}used") < F.col(f"{s}n")))
         head = ranks.select(*own, f"{s}c", F.col(f"{s}rank").alias(f"{s}used"), F.col(f"{s}id").alias("_top"))
-        e = (e.join(head, [*own, f"{s}c", f"{s}used"], "left")
+        e = (e.join(dealt(head), [*own, f"{s}c", f"{s}used"], "left")
              .withColumn(f"{s}top", F.coalesce("_top", F.col(f"{s}c"))).drop("_top"))
     return e
 
@@ -272,7 +272,7 @@ def _expand(m: DataFrame, keys: list[str], gt_keys: list[str], pred_id: str, gt_
     else:
         r = p_ranks.withColumnRenamed("pid", "_m").withColumnRenamed("prank", "_r")
         inside = F.col("_r").isNull() | ((F.col("_r") >= F.col("pused")) & (F.col("_r") < F.col("pused") + F.col("take")))
-        m = (m.join(r, [*keys, "pc"], "left").where(inside)
+        m = (m.join(dealt(r), [*keys, "pc"], "left").where(inside)
              .withColumn("_pid", F.coalesce("_m", "pc"))
              .withColumn("_shift", F.coalesce(F.col("_r") - F.col("pused"), F.lit(0))).drop("_m", "_r"))
     m = m.withColumn("_gr", F.col("gused") + F.col("_shift"))
@@ -280,5 +280,5 @@ def _expand(m: DataFrame, keys: list[str], gt_keys: list[str], pred_id: str, gt_
         m = m.withColumn("_gid", F.col("gc"))
     else:
         r = g_ranks.select(*gt_keys, "gc", F.col("grank").alias("_gr"), F.col("gid").alias("_m"))
-        m = m.join(r, [*gt_keys, "gc", "_gr"], "left").withColumn("_gid", F.coalesce("_m", "gc"))
+        m = m.join(dealt(r), [*gt_keys, "gc", "_gr"], "left").withColumn("_gid", F.coalesce("_m", "gc"))
     return m.select(*keys, F.col("_pid").alias(pred_id), F.col("_gid").alias(gt_id), "iou")

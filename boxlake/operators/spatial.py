@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions.geometry import Box, center, contains, intersection, iou
-from boxlake.session import cut
+from boxlake.session import cut, dealt
 
 # Fixed value: default cell side, above the usual 18-31 px side of an annotated box.
 CELL = 64
@@ -86,7 +86,7 @@ def boxes_over_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str],
     """Boxes joined to the points (columns ``p_*``, among them p_x and p_y) that they hold."""
     at = [*keys, "_lv", "_cx", "_cy"]
     p = place_graded(points, "p_x", "p_y", top_level(boxes, cell=cell), cell)
-    return (cover_graded(boxes, cell=cell).drop("_own").join(p, at)
+    return (cover_graded(boxes, cell=cell).drop("_own").join(dealt(p), at)
             .where(contains(Box.cols(), F.col("p_x"), F.col("p_y"))).drop("_lv", "_cx", "_cy"))
 
 
@@ -108,7 +108,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float =
     meet = (F.least(ba.x1, bb.x1) > x0) & (F.least(ba.y1, bb.y1) > y0)
     s = _side(F.col("_lv"), cell)
     own = (F.floor(x0 / s) == F.col("_cx")) & (F.floor(y0 / s) == F.col("_cy")) & (F.col("_lv") == F.greatest("_oa", "_ob"))
-    return ca.join(cb, [*keys, "_lv", "_cx", "_cy"]).where(meet & own).drop("_lv", "_cx", "_cy", "_oa", "_ob")
+    return ca.join(dealt(cb), [*keys, "_lv", "_cx", "_cy"]).where(meet & own).drop("_lv", "_cx", "_cy", "_oa", "_ob")
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float, cell: float = CELL) -> DataFrame:
@@ -121,18 +121,20 @@ def iou_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float, cell:
 
 
 def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str], cell: float = CELL,
-                     distinct: bool = True, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                     distinct: bool = True, carry: Sequence[str] = (), point_keys: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct boxes that hold a point, and distinct points (px, py) held by a box.
 
     ``distinct=False`` says the inputs hold each geometry once already; ``carry`` columns
-    (functions of the geometry) are then kept.
+    (functions of the geometry) are then kept. ``point_keys`` are the keys of points that several
+    groups of boxes share; held points then come back once per group, and no point is copied before.
     """
-    keys, carry = list(keys), list(carry)
+    keys, carry, point_keys = list(keys), list(carry), list(point_keys or keys)
     ub = boxes.select(*keys, *GEO, *carry)
-    up = points.select(*keys, "px", "py", *carry)
+    up = points.select(*point_keys, "px", "py", *carry)
     if distinct:
         ub, up = ub.distinct(), up.distinct()
-    at = [*keys, "_lv", "_cx", "_cy"]
+    at = [*point_keys, "_lv", "_cx", "_cy"]
+    own = [k for k in keys if k not in point_keys]
     cb = cover_graded(ub, cell=cell).drop("_own")
     cp = place_graded(up, "px", "py", top_level(ub, cell=cell), cell)
     inside = contains(Box.cols(), F.col("px"), F.col("py"))
@@ -143,10 +145,10 @@ def containment_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str], c
             cond = cond & (left[k] == right[k])
         return cond
 
-    spots, covers = cp.select(*at, "px", "py"), cb.select(*at, *GEO)
+    spots, covers = dealt(cp.select(*at, "px", "py")), dealt(cb.select(*at, *own, *GEO))
     hit_boxes = cb.join(spots, same_cell(cb, spots), "left_semi").select(*keys, *GEO, *carry).distinct()
-    hit_points = cp.join(covers, same_cell(cp, covers), "left_semi").select(*keys, "px", "py", *carry).distinct()
-    return hit_boxes, hit_points
+    held = cp.join(covers, at).where(inside) if own else cp.join(covers, same_cell(cp, covers), "left_semi")
+    return hit_boxes, held.select(*keys, "px", "py", *carry).distinct()
 
 
 def flag_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str],
@@ -154,8 +156,8 @@ def flag_hits(boxes: DataFrame, points: DataFrame, keys: Sequence[str],
     """Both inputs with a ``hit`` flag: box holds a point / point is held by a box."""
     keys = list(keys)
     hb, hp = containment_hits(boxes, points, keys, cell)
-    b = boxes.join(hb.withColumn("_hit", F.lit(True)), [*keys, *GEO], "left")
-    p = points.join(hp.withColumn("_hit", F.lit(True)), [*keys, "px", "py"], "left")
+    b = boxes.join(dealt(hb.withColumn("_hit", F.lit(True))), [*keys, *GEO], "left")
+    p = points.join(dealt(hp.withColumn("_hit", F.lit(True))), [*keys, "px", "py"], "left")
     done = F.coalesce("_hit", F.lit(False))
     return b.withColumn("hit", done).drop("_hit"), p.withColumn("hit", done).drop("_hit")
 
@@ -173,7 +175,7 @@ def max_iou(cands: DataFrame, gt: DataFrame, keys: Sequence[str], cell: float =
     a, b = Box.cols("a_"), Box.cols("b_")
     best = (pairs.groupBy(*keys, *[F.col("a_" + c).alias(c) for c in GEO])
             .agg(F.max(iou(a, b)).alias("_best")))
-    return (cands.join(best, [*keys, *GEO], "left")
+    return (cands.join(dealt(best), [*keys, *GEO], "left")
             .withColumn("iou", F.coalesce("_best", F.lit(0.0))).drop("_best"))
 
 

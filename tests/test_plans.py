@@ -42,6 +42,12 @@ def test_scan_reads_only_what_it_needs(spark, sf_dir):
     assert "text" not in schema and "n_chars" in schema
 
 
+@pytest.mark.parametrize("name", ["a11_sweep", "a11_sweep_per_sheet"])
+def test_sweeps_broadcast_nothing(spark, sf_dir, name):
+    """Joins of tables with a row per sheet and detector, or per box, went through the driver while they looked small."""
+    assert "BroadcastHashJoin" not in plan(spark, sf_dir, name)
+
+
 def test_code_rules():
     """No local checkpoints, broadcast hints, cross joins or row-wise Python UDFs in the library."""
     for f in glob.glob(f"{ROOT}/boxlake/**/*.py", recursive=True):
