@@ -209,10 +209,12 @@ def pool_manifests(manifests: Sequence[tuple[DataFrame, Column]]) -> DataFrame:
     return out
 
 
-def resolve_holdout(train: DataFrame, val: DataFrame) -> DataFrame:
-    """Id lists as (rid, split): ids on both lists belong to val; an empty side is an error."""
+def resolve_holdout(train: DataFrame, val: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """Id lists as (rid, split): ids on both lists belong to val; an empty side is an error unless it is allowed."""
     t = train.select("rid").distinct().join(val.select("rid"), "rid", "left_anti")
     out = t.withColumn("split", F.lit("train")).unionByName(val.select("rid").distinct().withColumn("split", F.lit("val")))
+    if allow_empty:
+        return out
     n = F.count_if(F.col("split") == "train"), F.count_if(F.col("split") == "val")
     guard = out.agg(F.when(n[0] == 0, F.raise_error(F.lit("no train ids left beside the val ids")))
                     .when(n[1] == 0, F.raise_error(F.lit("no val ids"))).otherwise(F.lit(True))).scalar()

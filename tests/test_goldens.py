@@ -93,6 +93,8 @@ def test_holdout_needs_both_sides(spark):
     ids = spark.createDataFrame([("a",)], "rid string")
     with pytest.raises(Exception, match="no train ids"):
         cur.resolve_holdout(ids, ids).collect()
+    both = cur.resolve_holdout(ids, ids, allow_empty=True)
+    assert {r.split for r in both.collect()} == {"val"} and both.count() == ids.select("rid").distinct().count()
 
 
 def test_auc_ties_and_single_class(spark):
