@@ -455,7 +455,7 @@ def _(v):
  tpl AS (SELECT dx, dy, coalesce(t, 0.0) - (SELECT sum(t) FROM t) / 30 AS t FROM (SELECT unnest(range(0, 6)) AS dx) JOIN (SELECT unnest(range(0, 5)) AS dy) ON true LEFT JOIN t USING (dx, dy)),
  size AS (SELECT img, max(x) + 1 AS width, max(y) + 1 AS height FROM v_pixel GROUP BY img),
  s AS (SELECT p.img, p.x - dx AS x, p.y - dy AS y, sum(p.v * t) AS num, sum(p.v)::DOUBLE AS s1, sum(p.v * p.v)::DOUBLE AS s2 FROM v_pixel p, tpl GROUP BY ALL),
- r AS (SELECT s.img, s.x, s.y, num / sqrt((s2 - s1 * s1 / 30) * (SELECT sum(t * t) FROM tpl)) AS score FROM s JOIN size z ON z.img = s.img WHERE x >= 0 AND y >= 0 AND x + 6 <= width AND y + 5 <= height AND s2 - s1 * s1 / 30 > 1e-9)
+ r AS (SELECT s.img, s.x, s.y, num / sqrt((s2 - s1 * s1 / 30) * (SELECT sum(t * t) FROM tpl)) AS score FROM s JOIN size z ON z.img = s.img WHERE x >= 0 AND y >= 0 AND x + 6 <= width AND y + 5 <= height AND sqrt(greatest(s2 - s1 * s1 / 30, 0) * (SELECT sum(t * t) FROM tpl)) > 1e-6)
  SELECT img, x, y, CAST(6 AS BIGINT) AS w, CAST(5 AS BIGINT) AS h, round(score, 6) AS score FROM r WHERE score >= 0.6""", "v_pixel")
 def _(v):
     px = v("v_pixel")

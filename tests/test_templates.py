@@ -112,3 +112,17 @@ def test_registered_match_by_force(spark, sf_dir):
         assert np.allclose([r.score for r in sorted(got)], [x[5] for x in sorted(want)], atol=1e-8)
     assert any(len(found) > 20 for found in everything.values()), {k: len(v) for k, v in everything.items()}
     assert len({x[3:5] for x in greedy(4000)}) > 1
+
+
+def test_flat_exemplar_finds_nothing_as_its_sql_says(spark, tmp_path):
+    """On large tables nearly every pixel reaches the highest value; a flat exemplar correlates with nothing."""
+    import duckdb
+
+    from tests.duck import duck_rows, spark_rows
+
+    duckdb.sql("""SELECT x AS l_partkey, y AS l_orderkey, img AS l_suppkey, CASE WHEN x = 100 AND y = 50 THEN 49.0 ELSE 50.0 END AS l_quantity
+      FROM range(160) a(x), range(120) b(y), range(5) c(img)""").write_parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = spark_rows(spark, str(tmp_path), "r1_exemplar_search")
+    assert got == duck_rows(con, "r1_exemplar_search") and not got[1]
