@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters a file-safe class name keeps, and the fallback name.
@@ -51,9 +51,23 @@ def electrical_vocabulary() -> Column:
     return F.transform(F.array_distinct(F.flatten(F.array(*groups))), F.lower)
 
 
+def electrical_terms() -> list[str]:
+    """The same union as a sorted list."""
+    return sorted({t.lower() for g in ELECTRICAL_GROUPS.values() for t in g})
+
+
+def term_counts(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """Rows (term, n): how many texts hold each lower-case term, without those that none holds.
+
+    Terms are picked inside the row, so no text is copied per term and each is lower-cased once."""
+    lower = rows.select(F.explode(F.array(F.lower(F.col(text)))).alias("_t"))  # a generator keeps it a column of its own
+    held = F.filter(F.array(*[F.lit(w) for w in terms]), lambda w: F.contains(F.col("_t"), w))
+    return lower.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def minimal_terms() -> list[str]:
     """Lower-case terms that contain no other term: any hit implies a hit of one of these."""
-    terms = sorted({t.lower() for g in ELECTRICAL_GROUPS.values() for t in g})
+    terms = electrical_terms()
     return [t for t in terms if not any(o != t and o in t for o in terms)]
 
 

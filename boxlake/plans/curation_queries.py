@@ -276,8 +276,7 @@ def _(v):
        + "]) AS term, lower(text) AS t FROM documents) WHERE contains(t, term) GROUP BY term")
 def _(v):
     """How many texts hold each term of the joined vocabulary."""
-    rows = v("documents").select(F.lower("text").alias("t"), F.explode(tx.electrical_vocabulary()).alias("term"))
-    return rows.where(F.contains("t", "term")).groupBy("term").agg(F.count("*").alias("n"))
+    return tx.term_counts(v("documents"), "text", tx.electrical_terms())
 
 
 @query("p9_wiring_filter", "SELECT doc_id, contains(lower(concat(lang, CASE WHEN n_chars % 3 = 0 THEN '_WIRING_DEVICES' ELSE '_LIGHTING' END)), 'wiring') AS keep FROM documents")

@@ -48,6 +48,12 @@ def test_sweeps_broadcast_nothing(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in plan(spark, sf_dir, name)
 
 
+def test_vocabulary_copies_no_text_per_term(spark, sf_dir):
+    """Terms are picked by a filter inside the row; a generator over all terms would copy each text 129 times."""
+    p = QUERIES["u6_vocabulary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(filter(" in p and "Filter Contains" not in p
+
+
 def test_code_rules():
     """No local checkpoints, broadcast hints, cross joins or row-wise Python UDFs in the library."""
     for f in glob.glob(f"{ROOT}/boxlake/**/*.py", recursive=True):
