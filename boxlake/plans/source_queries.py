@@ -43,8 +43,9 @@ def documents(v):
         output(F.col("o_orderstatus"), 1, feature("Point", coords[1]), feature("Point", coords[2])),
         output(F.lit("wire"), 2, feature("LineString", coords[3]))), F.lit("]}"))
     rid = F.concat(F.lit("r"), (F.col("o_custkey") % 7).cast("string"))
+    # a generator keeps the parsed outputs a column of their own: the filter that Spark infers for exploding them would parse again
     return v("orders").select(rid.alias("rid"), F.col("o_orderkey").cast("string").alias("wid"),
-                              F.from_json(text, schemas.GEOMETRIES)["outputs"].alias("outputs"))
+                              F.explode(F.array(F.from_json(text, schemas.GEOMETRIES)["outputs"])).alias("outputs"))
 
 
 DIMS = {"fe_w": 1400, "fe_h": 1000, "img_w": 1050, "img_h": 750}

@@ -142,7 +142,8 @@ def reference_polygons(features: DataFrame, wiring_only: DataFrame | None = None
         rows = rows.join(keep.select(*keys).distinct(), keys, "left_semi")
     ring = F.get(F.from_json("coordinates", schemas.POLYGON), F.lit(0))
     box = geo.ring_box_clamped(ring, sx, sy, F.col("img_w"), F.col("img_h"))
-    return rows.withColumn("box", box).where(F.col("box").isNotNull())
+    # a generator keeps the box a column of its own, so the filter does not parse the ring again
+    return rows.select("*", F.explode(F.array(box)).alias("box")).where(F.col("box").isNotNull())
 
 
 def sheets_with_patches(polygons: DataFrame) -> DataFrame:

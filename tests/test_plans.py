@@ -54,6 +54,12 @@ def test_vocabulary_copies_no_text_per_term(spark, sf_dir):
     assert "Generate explode(filter(" in p and "Filter Contains" not in p
 
 
+def test_wiring_boxes_are_parsed_once(spark, sf_dir):
+    """The box is a column of a generator, so the filter on it does not parse the ring again."""
+    p = QUERIES["p7b_reference_polygons"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("JsonToStructs") + p.count("from_json(") <= 2
+
+
 def test_code_rules():
     """No local checkpoints, broadcast hints, cross joins or row-wise Python UDFs in the library."""
     for f in glob.glob(f"{ROOT}/boxlake/**/*.py", recursive=True):
