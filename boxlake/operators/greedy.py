@@ -22,9 +22,13 @@ from boxlake.session import cut, dealt
 Conflict = Callable[[Box, Box], Column]
 
 
+#: most boxes of a cell that are compared all with all; fuller cells go through rounds first
+CROWD = 64
+
+
 def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: str = "pred_id",
              score: str = "score", cell: float | None = None, frontier: int = 16,
-             max_rounds: int | None = None) -> DataFrame:
+             max_rounds: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Non-maximum suppression: ``kept`` is true for boxes the score-descending greedy keeps.
 
     Order is score descending, then id ascending. A box goes when a kept box overlaps it with
@@ -40,12 +44,13 @@ def suppress(boxes: DataFrame, keys: Sequence[str], thr: float = 0.3, id_col: st
             .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))).alias("_b"))
             .select(*keys, *GEO, F.col("_b.s").alias("_s"), (-F.col("_b.i")).alias("_id")))
     if cell is None and thr >= 0.05:
-        cells, at = by_size(reps, min(0.9, thr)), ["_g", "_cx", "_cy"]
+        cells, at, side = by_size(reps, min(0.9, thr)), ["_g", "_cx", "_cy"], _size_side(min(0.9, thr))
     else:
-        cells, at = cover_boxes(reps, cell=cell or CELL), ["_cx", "_cy"]
-    kept = _greedy_rounds(reps, cells, keys, at, lambda a, b: iou(a, b) > thr, frontier, max_rounds)
+        cells = cover_boxes(reps, cell=cell or CELL).withColumn("_home", F.lit(True))
+        at, side = ["_cx", "_cy"], F.lit(float(cell or CELL))
+    kept = _greedy_rounds(reps, cells, keys, at, side, lambda a, b: iou(a, b) > thr, frontier, max_rounds, crowd)
     ids = kept.select(*keys, F.col("_id").alias(id_col)).withColumn("_kept", F.lit(True))
-    return (boxes.join(ids, [*keys, id_col], "left")
+    return (boxes.join(dealt(ids), [*keys, id_col], "left")
             .withColumn("kept", F.coalesce("_kept", F.lit(False)) | flat).drop("_kept"))
 
 
@@ -64,64 +69,126 @@ def pick_peaks(cells: DataFrame, keys: Sequence[str], thr: float, min_dist: int,
     def near(a: Box, b: Box) -> Column:
         return (F.abs(a.x - b.x) <= d) & (F.abs(a.y - b.y) <= d)
 
-    kept = _greedy_rounds(sites, cover_boxes(sites, cell=max(4 * d, 8)), keys, ["_cx", "_cy"], near, 16, max_rounds)
+    wide = max(4 * d, 8)
+    cover = cover_boxes(sites, cell=wide).withColumn("_home", F.lit(True))
+    kept = _greedy_rounds(sites, cover, keys, ["_cx", "_cy"], F.lit(float(wide)), near, 16, max_rounds)
     return best.drop("rank").join(kept.select(*keys, F.col("_id").alias(id_col)), [*keys, id_col], "left_semi")
 
 
+def _size_side(ratio: float) -> Column:
+    """Width of the cells of grid ``_g`` of ``by_size``."""
+    return F.exp((F.col("_g") + 1) * -math.log(ratio))
+
+
 def by_size(boxes: DataFrame, ratio: float) -> DataFrame:
-    """One row per cell that a box covers on the grid of its size and on the next larger one.
+    """One row per cell of a box on the grid of its size (``_home``) and on the next larger one.
 
     Sizes are classes of the longer side with steps of 1 / ``ratio``; the cells of a grid are as wide as its
-    largest box, so a box covers four of them at most. Sides that differ by less than one step share a grid."""
-    step = -math.log(ratio)
+    largest box, so a box covers four of them at most. Sides that differ by less than one step share a grid.
+    A box lies in the cells of its first 1 - ``ratio`` on each axis (and a hundredth for rounding): an IoU above
+    ``ratio`` shares more than ``ratio`` of either box's sides, so those parts of the two boxes meet."""
+    step, part = -math.log(ratio), 1 - ratio + 0.01
     longer = F.greatest(F.col("w").cast("double"), F.col("h").cast("double"))
-    sized = boxes.withColumn("_s0", F.floor(F.log(longer) / step)).withColumn("_g", F.explode(F.array(F.col("_s0"), F.col("_s0") + 1))).drop("_s0")
-    side, b = F.exp((F.col("_g") + 1) * step), Box.cols()
-    return (sized.withColumn("_cx", F.explode(F.sequence(F.floor(b.x / side), F.floor(b.x1 / side))))
-            .withColumn("_cy", F.explode(F.sequence(F.floor(b.y / side), F.floor(b.y1 / side)))))
+    sized = (boxes.withColumn("_s0", F.floor(F.log(longer) / step)).withColumn("_g", F.explode(F.array(F.col("_s0"), F.col("_s0") + 1)))
+             .withColumn("_home", F.col("_g") == F.col("_s0")).drop("_s0"))
+    side, b = _size_side(ratio), Box.cols()
+    return (sized.withColumn("_cx", F.explode(F.sequence(F.floor(b.x / side), F.floor((b.x + b.w * part) / side))))
+            .withColumn("_cy", F.explode(F.sequence(F.floor(b.y / side), F.floor((b.y + b.h * part) / side)))))
 
 
-def _greedy_rounds(nodes: DataFrame, cells: DataFrame, keys: list[str], grid: list[str], conflict: Conflict,
-                   frontier: int, max_rounds: int | None) -> DataFrame:
-    """Greedy independent set by (``_s`` desc, ``_id`` asc) over boxes that conflict only when
-    they share a row of ``cells`` (the nodes, once per cell of ``grid``).
+def _greedy_rounds(nodes: DataFrame, cells: DataFrame, keys: list[str], grid: list[str], side: Column, conflict: Conflict,
+                   frontier: int, max_rounds: int | None, crowd: int = CROWD) -> DataFrame:
+    """Greedy independent set by (``_s`` desc, ``_id`` asc) over boxes that conflict only when they share a
+    row of ``cells`` (the nodes, once per cell of ``grid``, whose width is ``side``).
 
-    Each round looks at the best ``frontier`` live boxes of every cell. A box seen in all its
+    Boxes are compared once, inside cells of at most ``crowd`` live ones, and rounds run on the pairs of ids that
+    conflict. While a cell holds more, rounds on the best of every cell come first: they list no pairs.
+    """
+    at, node = [*keys, *grid], [*keys, "_id"]
+    pairs = cut(_conflicts(cells, at, keys, side, conflict, crowd))
+    rounds, stayed = 0, None
+    if not pairs.where(F.col("_win").isNull()).isEmpty():
+        number = cells.groupBy(*node).agg(F.count("*").alias("_cells"))
+        cells, stayed = cut(cells.join(dealt(number), node)), []
+        while not pairs.where(F.col("_win").isNull()).isEmpty():
+            rounds = _next_round(rounds, max_rounds)
+            winners, cells = _frontier_round(cells, at, node, conflict, frontier)
+            stayed.append(winners)
+            crowded = cells.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd)
+            if crowded.isEmpty():
+                pairs = cut(_conflicts(cells, at, keys, side, conflict, crowd))
+    lost: list[DataFrame] = []
+    while not pairs.isEmpty():
+        rounds = _next_round(rounds, max_rounds)
+        firm = (pairs.select(*keys, F.col("_win").alias("_id")).join(dealt(pairs.select(*node)), node, "left_anti")
+                .distinct().withColumnRenamed("_id", "_win"))
+        gone = cut(pairs.join(dealt(firm), [*keys, "_win"], "left_semi").select(*node).distinct())
+        lost.append(gone)
+        pairs = cut(pairs.join(dealt(gone), node, "left_anti")
+                    .join(dealt(gone.withColumnRenamed("_id", "_win")), [*keys, "_win"], "left_anti"))
+    live = nodes.select(*node) if stayed is None else cells.select(*node).distinct()
+    if lost:
+        live = live.join(dealt(reduce(DataFrame.unionByName, lost)), node, "left_anti")
+    return live if stayed is None else reduce(DataFrame.unionByName, [w.select(*node) for w in stayed], live)
+
+
+def _next_round(rounds: int, max_rounds: int | None) -> int:
+    if max_rounds is not None and rounds >= max_rounds:
+        raise RuntimeError(f"suppression did not finish in {max_rounds} rounds")
+    return rounds + 1
+
+
+def _conflicts(cells: DataFrame, at: list[str], keys: list[str], side: Column, conflict: Conflict, crowd: int) -> DataFrame:
+    """Conflicting pairs: ``_win`` comes before ``_id`` in greedy order. A cell of more than ``crowd`` boxes gives one
+    row with neither instead.
+
+    A pair counts in the cell that holds the larger left and upper edge, on the grid where one of the two is
+    at home, so it comes once."""
+    whole = Window.partitionBy(*at)
+    me = Box.cols()
+
+    def beats(p: Column) -> Column:
+        b = Box.of(p)
+        corner = (F.floor(F.greatest(b.x, me.x) / side) == F.col("_cx")) & (F.floor(F.greatest(b.y, me.y) / side) == F.col("_cy"))
+        before = ((p["_s"] > F.col("_s")) | (p["_s"].isNotNull() & F.col("_s").isNull())
+                  | (p["_s"].eqNullSafe(F.col("_s")) & (p["_id"] < F.col("_id"))))
+        return before & (p["_home"] | F.col("_home")) & corner & conflict(b, me)
+
+    few = F.when(F.col("_n") <= crowd, F.struct(*GEO, "_s", "_id", "_home"))
+    seen = (cells.withColumn("_n", F.count("*").over(whole)).withColumn("_first", F.min("_id").over(whole) == F.col("_id"))
+            .withColumn("_peers", F.collect_list(few).over(whole)))
+    wins = F.transform(F.filter("_peers", beats), lambda p: p["_id"])
+    mark = F.when(F.col("_first"), F.array(F.lit(None).cast(cells.schema["_id"].dataType)))
+    return (seen.withColumn("_win", F.explode(F.when(F.col("_n") <= crowd, wins).otherwise(mark)))
+            .select(*keys, "_win", F.when(F.col("_win").isNotNull(), F.col("_id")).alias("_id")))
+
+
+def _frontier_round(cells: DataFrame, at: list[str], node: list[str], conflict: Conflict, frontier: int) -> tuple[DataFrame, DataFrame]:
+    """Boxes that stay, and the cells of the boxes still open.
+
+    A round looks at the best ``frontier`` live boxes of every cell. A box seen in all its
     cells, with no better live conflicting box there, is final: every better neighbour of it
     shares a cell and ranks before it in that cell. Kept boxes then remove their conflicts,
     which costs at most ``frontier`` comparisons per live row and cell, never all pairs. The
     best live box always qualifies, so each round makes progress; the order of decisions does
     not change the outcome.
     """
-    at, node = [*keys, *grid], [*keys, "_id"]
-    number = cells.groupBy(*node).agg(F.count("*").alias("_cells"))
-    cells = cut(cells.join(number, node))
-    kept_parts: list[DataFrame] = []
     per_cell = Window.partitionBy(*at).orderBy(F.desc("_s"), F.asc("_id"))
-    rounds = 0
-    while not cells.isEmpty():
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"suppression did not finish in {max_rounds} rounds")
-        top = cells.withColumn("_r", F.row_number().over(per_cell)).where(F.col("_r") <= frontier)
-        peers = F.collect_list(F.struct("_r", *GEO)).over(Window.partitionBy(*at))
-        me = Box.cols()
-        beaten = F.exists("_peers", lambda p: (p["_r"] < F.col("_r")) & conflict(Box.of(p), me))
-        seen = top.withColumn("_peers", peers).select(*at, *GEO, "_s", "_id", "_cells", beaten.alias("_beaten"))
-        winners = cut(seen.groupBy(*node, *GEO, "_s", "_cells")
-                      .agg(F.count("*").alias("_n"), F.bool_or("_beaten").alias("_lost"))
-                      .where(~F.col("_lost") & (F.col("_n") == F.col("_cells")))
-                      .select(*node, *GEO, "_s"))
-        kept_parts.append(winners)
-        marks = cells.join(winners.select(*node), node, "left_semi").select(
-            *at, *[F.col(c).alias("k_" + c) for c in [*GEO, "_id"]])
-        gone = (cells.join(marks, at)
-                .where((F.col("_id") == F.col("k__id")) | conflict(Box.cols(), Box.cols("k_")))
-                .select(*node).distinct())
-        cells = cut(cells.join(gone, node, "left_anti"))
-    if not kept_parts:
-        return nodes.limit(0)
-    return reduce(DataFrame.unionByName, kept_parts)
+    top = cells.withColumn("_r", F.row_number().over(per_cell)).where(F.col("_r") <= frontier)
+    peers = F.collect_list(F.struct("_r", *GEO)).over(Window.partitionBy(*at))
+    me = Box.cols()
+    beaten = F.exists("_peers", lambda p: (p["_r"] < F.col("_r")) & conflict(Box.of(p), me))
+    seen = top.withColumn("_peers", peers).select(*at, *GEO, "_s", "_id", "_cells", beaten.alias("_beaten"))
+    winners = cut(seen.groupBy(*node, *GEO, "_s", "_cells")
+                  .agg(F.count("*").alias("_n"), F.bool_or("_beaten").alias("_lost"))
+                  .where(~F.col("_lost") & (F.col("_n") == F.col("_cells")))
+                  .select(*node, *GEO, "_s"))
+    marks = cells.join(winners.select(*node), node, "left_semi").select(
+        *at, *[F.col(c).alias("k_" + c) for c in [*GEO, "_id"]])
+    gone = (cells.join(marks, at)
+            .where((F.col("_id") == F.col("k__id")) | conflict(Box.cols(), Box.cols("k_")))
+            .select(*node).distinct())
+    return winners, cut(cells.join(gone, node, "left_anti"))
 
 
 # --- one-to-one matching -------------------------------------------------------------

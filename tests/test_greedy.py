@@ -153,3 +153,27 @@ def test_suppression_below_five_hundredths(spark):
     b = spark.createDataFrame(rows, "sheet_id long, pred_id long, x double, y double, w double, h double, score double")
     for cell in (None, 64):
         assert {r.pred_id for r in suppress(b, ["sheet_id"], thr=0.04, cell=cell).where("kept").collect()} == {0, 2}
+
+
+@pytest.mark.parametrize("thr,crowd", [(0.3, 64), (0.3, 3), (0.5, 8), (0.02, 5)])
+def test_suppress_crowded_cells_first(spark, thr, crowd):
+    """Cells above ``crowd`` go through rounds, the others are compared at once: one result."""
+    rows = [(*r[:4], r[4] + i % 7, r[5] + i % 3, None if i % 11 == 0 else r[6]) for i, r in enumerate(scenes(6, 60, 7, 3))]
+    df = spark.createDataFrame(rows, BOX.format("pred_id") + ", score double")
+    got = {r.pred_id for r in suppress(df, ["sheet_id"], thr, frontier=4, crowd=crowd).where("kept").collect()}
+    want = set()
+    for s in range(6):
+        want |= sequential_nms([(*r[:6], -1.0 if r[6] is None else r[6]) for r in rows if r[0] == s], thr)
+    assert got == want
+
+
+@pytest.mark.parametrize("thr", [0.3, 0.5])
+def test_suppress_shuffles_ids_in_rounds(spark, thr):
+    """Three detections per object: boxes are dealt to their cells once, later rounds move ids only."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr(
+        "id DIV 225 AS sheet_id", "id AS pred_id", "(id DIV 3) * 7919 % 1400 + id * 5 % 13 AS x", "(id DIV 3) * 104729 % 990 + id * 3 % 11 AS y",
+        "18 + id * 31 % 14 AS w", "18 + id * 17 % 14 AS h", "(id * 7919 % 7501) / 7501D AS score")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert suppress(df, ["sheet_id"], thr).groupBy("kept").count().count() == 2
+    assert (written() - before) / 60_000 < 260
