@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.functions.geometry import Box
+from boxlake.functions.geometry import Box, contains
 from boxlake.functions.numeric import f1, prf_columns, ratio, round_exact
 from boxlake.functions.text import draw_key
 from boxlake.operators.greedy import box_classes, match_one_to_one
 from boxlake.operators.ranking import exact_rank, hash_rank, top_n
 from boxlake.operators.spatial import CELL, containment_hits, max_iou, with_center
-from boxlake.session import cut
+from boxlake.session import cut, dealt
 
 
 # --- sweep grid ----------------------------------------------------------------------
@@ -255,60 +255,78 @@ def first_rows(rows: DataFrame, keys: Sequence[str], idx: str, n: int) -> DataFr
 
 
 def boxes_to_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
-    """Point of each box: the point inside nearest its centre, else the nearest of the sheet."""
-    from boxlake.operators.spatial import boxes_over_points, prefixed
+    """Point of each box: the point inside nearest its centre, else the nearest of the sheet.
+
+    Boxes travel once, to the cell of their corner, with all their columns; points go to the cells whose boxes can reach
+    them. So the best point is known where the box lies, and only boxes without one go on."""
+    from boxlake.operators.spatial import grade, home_graded, prefixed, reach_graded
 
     keys = list(keys)
-    pts = points.groupBy(*keys, "x", "y").agg(F.min("pt_idx").alias("pt_idx"))
+    pts = cut(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys, "x", "y").agg(F.min("pt_idx").alias("pt_idx")))
+    at = [*keys, "_lv", "_cx", "_cy"]
+    top = boxes.agg(F.max(grade(F.col("w"), F.col("h")))).first()[0]
+    near_by = reach_graded(prefixed(pts, "p_", keys), "p_x", "p_y", F.lit(top).cast("int"))
     d = (F.col("p_x") - (F.col("x") + F.col("w") / 2.0)) ** 2 + (F.col("p_y") - (F.col("y") + F.col("h") / 2.0)) ** 2
-    inside = (boxes_over_points(boxes, prefixed(pts, "p_", keys), keys)
-              .groupBy(*keys, id_col).agg(F.min_by("p_pt_idx", F.struct(d, F.col("p_pt_idx"))).alias("pt_idx")))
-    lost = boxes.join(inside, [*keys, id_col], "left_anti")
+    inside = contains(Box.cols(), F.col("p_x"), F.col("p_y"))
+    best = (home_graded(boxes).join(dealt(near_by), at, "left")
+            .groupBy(*at, *[c for c in boxes.columns if c not in keys])
+            .agg(F.min(F.when(inside, F.struct(d.alias("d"), F.col("p_pt_idx").alias("p")))).alias("_b"))
+            .select(*boxes.columns, F.col("_b.p").alias("pt_idx")))
+    lost = cut(best.where(F.col("pt_idx").isNull()).drop("pt_idx"))
     near = nearest_point(lost, pts, keys, id_col)
-    near = near.withColumnRenamed("pt_idx", "_near")
-    return (boxes.join(inside, [*keys, id_col], "left").join(near, [*keys, id_col], "left")
-            .withColumn("pt_idx", F.coalesce("pt_idx", "_near")).drop("_near").where(F.col("pt_idx").isNotNull()))
+    return best.where(F.col("pt_idx").isNotNull()).unionByName(lost.join(dealt(near), [*keys, id_col]).select(*boxes.columns, "pt_idx"))
 
 
-def nearest_point(boxes: DataFrame, pts: DataFrame, keys: Sequence[str], id_col: str, reach: float = 4 * CELL) -> DataFrame:
-    """Nearest point to each box centre, widening the search only for boxes still open."""
-    from boxlake.operators.spatial import place_points, prefixed
+def nearest_point(boxes: DataFrame, pts: DataFrame, keys: Sequence[str], id_col: str, reach: float = 2 * CELL) -> DataFrame:
+    """Nearest point to each box centre, widening the search only for boxes still open.
+
+    Cells are four times as wide as the reach, so a centre visits two or three of them."""
+    from boxlake.operators.spatial import cover, place_points, prefixed
 
     keys = list(keys)
-    pts = cut(pts.select(*keys, "x", "y", "pt_idx"))
     q = cut(boxes.select(*keys, id_col, (F.col("x") + F.col("w") / 2.0).alias("qx"),
-                         (F.col("y") + F.col("h") / 2.0).alias("qy")).join(pts.select(*keys).distinct(), keys, "left_semi"))
+                         (F.col("y") + F.col("h") / 2.0).alias("qy")).where(F.col("qx").isNotNull() & F.col("qy").isNotNull())
+            .join(dealt(pts.select(*keys).distinct()), keys, "left_semi"))
     ext = pts.select("x", "y").unionByName(q.select(F.col("qx").alias("x"), F.col("qy").alias("y"))).agg(
         F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
     widest = 0 if ext[0] is None else max(ext[0] - ext[1], ext[2] - ext[3])
     out = None
     while not q.isEmpty():
-        ring = F.sequence(F.lit(-1), F.lit(1))
-        a = place_points(q, "qx", "qy", reach)
-        a = (a.withColumn("_cx", F.explode(F.transform(ring, lambda d: F.col("_cx") + d)))
-             .withColumn("_cy", F.explode(F.transform(ring, lambda d: F.col("_cy") + d))))
-        b = place_points(prefixed(pts, "p_", keys), "p_x", "p_y", reach)
+        x, y = F.col("qx"), F.col("qy")
+        a = cover(q, x - reach, y - reach, x + reach, y + reach, 4 * reach)
+        b = place_points(prefixed(pts, "p_", keys), "p_x", "p_y", 4 * reach)
         d = (F.col("p_x") - F.col("qx")) ** 2 + (F.col("p_y") - F.col("qy")) ** 2
-        best = a.join(b, [*keys, "_cx", "_cy"]).groupBy(*keys, id_col).agg(
+        best = a.join(dealt(b), [*keys, "_cx", "_cy"]).groupBy(*keys, id_col).agg(
             F.min(F.struct(d.alias("d"), F.col("p_pt_idx").alias("p"))).alias("b"))
         if reach <= widest:
             best = best.where(F.col("b.d") <= float(reach) * float(reach))
         found = cut(best.select(*keys, id_col, F.col("b.p").alias("pt_idx")))
         out = found if out is None else out.unionByName(found)
-        q = cut(q.join(found, [*keys, id_col], "left_anti"))
+        q = cut(q.join(dealt(found), [*keys, id_col], "left_anti"))
         reach *= 8
     return out if out is not None else boxes.select(*keys, id_col, F.lit(None).cast("bigint").alias("pt_idx")).limit(0)
 
 
+def tighter_per_point(boxes: DataFrame, point: Sequence[str], by: str, first: str, second: str) -> DataFrame:
+    """``tighter_box`` of the ``one_box_per_point`` of two detectors, ``by`` naming the detector, in one grouping."""
+    box = F.struct("x", "y", "w", "h", "score", "source")
+    last = lambda name: F.max_by(box, F.when(F.col(by) == name, F.col("pred_id")))
+    m = boxes.where(F.col(by).isin(first, second)).groupBy(*point).agg(last(first).alias("_a"), last(second).alias("_b"))
+    return m.select(*point, _tighter().alias("_m")).select(*point, "_m.*")
+
+
 def tighter_box(a: DataFrame, b: DataFrame, point: Sequence[str]) -> DataFrame:
     """Per point the box with the smaller area (``a`` on ties), or the only one."""
     point = list(point)
     sa = a.select(*point, F.struct("x", "y", "w", "h", "score", "source").alias("_a"))
     sb = b.select(*point, F.struct("x", "y", "w", "h", "score", "source").alias("_b"))
+    return sa.join(sb, point, "full_outer").select(*point, _tighter().alias("_m")).select(*point, "_m.*")
+
+
+def _tighter() -> Column:
     area_a, area_b = F.col("_a.w") * F.col("_a.h"), F.col("_b.w") * F.col("_b.h")
     use_b = F.col("_a").isNull() | (F.col("_b").isNotNull() & (area_b < area_a))
-    return (sa.join(sb, point, "full_outer")
-            .select(*point, F.when(use_b, F.col("_b")).otherwise(F.col("_a")).alias("_m")).select(*point, "_m.*"))
+    return F.when(use_b, F.col("_b")).otherwise(F.col("_a"))
 
 
 def one_box_per_point(boxes: DataFrame, point: Sequence[str]) -> DataFrame:

@@ -82,6 +82,22 @@ def place_graded(df: DataFrame, x: str, y: str, top: Column, cell: float = CELL)
     return d.withColumn("_cx", F.floor(F.col(x) / s)).withColumn("_cy", F.floor(F.col(y) / s)).drop("_own")
 
 
+def home_graded(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Every box once, in the cell of its corner; cells are twice as wide as the largest box of the level."""
+    s = _side(F.col("_lv"), cell) * 2
+    return (boxes.withColumn("_lv", grade(F.col("w"), F.col("h"), cell))
+            .withColumn("_cx", F.floor(F.col("x") / s)).withColumn("_cy", F.floor(F.col("y") / s)))
+
+
+def reach_graded(points: DataFrame, x: str, y: str, top: Column, cell: float = CELL) -> DataFrame:
+    """Points on every level up to ``top``, in the cells of ``home_graded`` whose boxes can hold them: one or two per axis.
+    A hundredth more than the largest box is looked back, for rounding."""
+    d = _levels(points, F.lit(0), top).drop("_own")
+    s = _side(F.col("_lv"), cell)
+    back = lambda c: F.explode(F.sequence(F.floor((F.col(c) - s * 1.01) / (s * 2)), F.floor(F.col(c) / (s * 2))))
+    return d.withColumn("_cx", back(x)).withColumn("_cy", back(y))
+
+
 def boxes_over_points(boxes: DataFrame, points: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
     """Boxes joined to the points (columns ``p_*``, among them p_x and p_y) that they hold."""
     at = [*keys, "_lv", "_cx", "_cy"]

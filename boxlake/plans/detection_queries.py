@@ -427,10 +427,9 @@ MIX_SQL = """c AS (SELECT m.sheet_id, m.pred_id, p.pt_idx, (p.x - (m.x + m.w / 2
   CASE WHEN a.pt_idx IS NULL OR b.w * b.h < a.w * a.h THEN 'median' ELSE 'none' END AS source
  FROM a FULL JOIN b ON a.sheet_id = b.sheet_id AND a.pt_idx = b.pt_idx""", "v_pred", "v_point")
 def _(v):
-    own = det.boxes_to_points(v("v_pred").withColumn("source", F.col("filt")), v("v_point"), SHEET, "pred_id")
-    point = ["sheet_id", "pt_idx"]
-    a, b = (det.one_box_per_point(own.where(F.col("filt") == f), point) for f in ("none", "median"))
-    return det.tighter_box(a, b, point)
+    pred = v("v_pred").select("sheet_id", "pred_id", "x", "y", "w", "h", "score", F.col("filt").alias("source"))
+    own = det.boxes_to_points(pred, v("v_point"), SHEET, "pred_id")
+    return det.tighter_per_point(own, ["sheet_id", "pt_idx"], "source", "none", "median")
 
 
 @query("r4_fallback_box", """WITH m AS (SELECT sheet_id, pt_idx, x, y, w, h, score FROM (SELECT p.pt_idx, q.*, row_number() OVER (PARTITION BY p.sheet_id, p.pt_idx ORDER BY q.score DESC, q.pred_id) AS r
