@@ -227,11 +227,16 @@ def alike(pairs: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, LINK)
 
 
-def _pairs(x: DataFrame) -> DataFrame:
-    """Pairs of (u, v, root_u, root_v)."""
+def _ordered(x: DataFrame) -> DataFrame:
+    """(u, v, root_u, root_v) with the smaller node first."""
     first = F.col("u") < F.col("v")
     return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(first, F.col("root_u")).otherwise(F.col("root_v")).alias("ra"),
-                    F.when(first, F.col("root_v")).otherwise(F.col("root_u")).alias("rb")).distinct()
+                    F.when(first, F.col("root_v")).otherwise(F.col("root_u")).alias("rb"))
+
+
+def _pairs(x: DataFrame) -> DataFrame:
+    """Distinct pairs of (u, v, root_u, root_v)."""
+    return _ordered(x).distinct()
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -248,10 +253,12 @@ def links(members: DataFrame, facts: DataFrame, words: DataFrame, found: DataFra
     comparisons within a component and may lag behind it; the components are found once, from all links."""
     rest = members.withColumn("root", F.col("node"))
     for turn in range(STARS + 1):
-        rest = _open(rest)  # what is settled stays settled
+        # what is settled stays settled
         if turn < STARS:
-            pairs = alike(_star(rest, turn, rules), facts, rules)
+            met = _meet(rest, turn)
+            rest, pairs = met.select("bucket", "node", "n", "root"), alike(_star(met, rules), facts, rules)
         else:
+            rest = _open(rest)
             sizes = cut(rest.groupBy("bucket").agg(F.count("*").alias("many")))
             pairs = _in_buckets(rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi"), facts, rules)
             hot = sizes.where(F.col("many") > SMALL).select("bucket")
@@ -279,16 +286,22 @@ def _percent(rules: Rules) -> Column:
     return F.element_at(F.array(*[F.lit(p) for _, p in rules]), (F.col("bucket").bitwiseAND(7) + 1).cast("int"))
 
 
-def _star(rest: DataFrame, turn: int, rules: Rules) -> DataFrame:
-    """One pair per open node and round: with one member of one of its buckets, of another label.
+def _meet(rest: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several labels, each with one node of its bucket (o, v, hub_n, hub_root).
     The first round takes the smallest nodes, later ones draw anew by hash."""
     order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h"))
-            .select("bucket", F.col("h.o").alias("o"), F.col("h.node").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
+    hubs = (rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo <> hi").select("bucket", F.col("h.o").alias("o"), F.col("h.node").alias("v"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")))
+    return cut(rest.join(hubs, "bucket"))
+
+
+def _star(met: DataFrame, rules: Rules) -> DataFrame:
+    """One pair per open node and round: with one member of one of its buckets, of another label. The member
+    comes before the node in the round's order, so no pair comes twice."""
     fits = (100 * F.least("n", "hub_n") >= _percent(rules) * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
-    met = (rest.join(hubs, "bucket").where(fits).groupBy(F.col("node").alias("u"))
-           .agg(F.min(F.struct("o", "v", F.col("hub_root").alias("root_v"), F.col("root").alias("root_u"))).alias("h")))
-    return _pairs(met.select("u", "h.v", "h.root_u", "h.root_v"))
+    best = (met.where(fits).groupBy(F.col("node").alias("u"))
+            .agg(F.min(F.struct("o", "v", F.col("hub_root").alias("root_v"), F.col("root").alias("root_u"))).alias("h")))
+    return _ordered(best.select("u", "h.v", "h.root_u", "h.root_v"))
 
 
 def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
@@ -381,11 +394,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     named = full.select("id", "key").distinct()
     twice = named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     texts = cut(named.join(twice, "id", "left_semi").join(reps.select("key", "node"), "key").select("id", "node"))
-    same = texts.join(texts.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
+    same = texts.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if not texts.isEmpty():
+        same = texts.join(texts.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
     # through Arrow, as other links are: what the planner infers of joined columns breaks its union of checkpoints
     same = same.mapInArrow(lambda batches: batches, "a long, b long")
     roots = links(members, facts, words, cut(same), rules)
-    lowest = roots.join(reps.select("node", F.col("id").alias("own")), "node").groupBy("root").agg(F.min("own").alias("low"))
+    # a root is the smallest node of its component, and the smallest node has the smallest id
+    lowest = reps.select(F.col("node").alias("root"), F.col("id").alias("low"))
     known = (reps.select("key", "node", F.col("id").alias("own")).join(roots.join(lowest, "root").select("node", "low"), "node", "left")
              .select("key", F.coalesce("low", "own").alias("component")))
     return full.select("id", F.get("n", F.lit(0)).alias("n"), "key").join(known, "key").select("id", "n", "component").unionByName(alone)
