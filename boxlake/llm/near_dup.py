@@ -11,8 +11,8 @@ one pass over the texts, one table of buckets, one verification and one graph.
 Documents with equal sets are one node. A bucket is never expanded into pairs. In ``STARS`` rounds every node that still
 shares a bucket with another component is compared with one member of such a bucket, and links found merge
 components; that settles groups of near copies at one pair per copy and round. What is left are nodes that
-share buckets and yet belong to different components: in buckets of at most ``SMALL`` of them sketches are compared
-within the bucket, in larger ones all pairs that can be similar enough are found exactly, by their rarest shingles.
+share buckets and yet belong to different components: of them all pairs that can be similar enough are found exactly, by their
+rarest shingles, so that a group of copies that are no links of each other costs its shingles and not its pairs.
 Pairs whose first ``COMPARED`` places agree less than a link's would with probability ``MISS`` go without a look at
 their sets; every other pair is verified on full sets.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from boxlake.llm.common import NO_ID, slices
 from boxlake.operators.components import connected
-from boxlake.session import cut
+from boxlake.session import cut, release
 
 SHINGLE = 3
 COORDINATES = 192
 #: links need 100 * intersection >= PERCENT * union; banding misses one at the threshold with at most this probability
 PERCENT, MISS = 85, 1e-6
 STARS = 3
-#: places that are compared before sets are; nodes of a bucket whose sketches are compared with each other
-COMPARED, SMALL = 64, 256
+#: places that are compared before sets are
+COMPARED = 64
 Rules = tuple[tuple[int, int], ...]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -259,16 +259,9 @@ def links(members: DataFrame, facts: DataFrame, words: DataFrame, found: DataFra
             rest, pairs = met.select("bucket", "node", "n", "root"), alike(_star(met, rules), facts, rules)
         else:
             rest = _open(rest)
-            sizes = cut(rest.groupBy("bucket").agg(F.count("*").alias("many")))
-            pairs = _in_buckets(rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi"), facts, rules)
-            hot = sizes.where(F.col("many") > SMALL).select("bucket")
-            if not hot.isEmpty():
-                many = rest.join(hot, "bucket", "left_semi")
-                for r, rule in enumerate(rules):
-                    own = many.where(F.col("bucket").bitwiseAND(7) == r)
-                    pairs = pairs.unionByName(alike(_prefix_pairs(own, words, *rule), facts, rules))
-                pairs = pairs.distinct()
+            pairs = alike(_rare_pairs(rest, words, rules), facts, rules)
         new = cut(verified(pairs, words, rules))
+        release(words.sparkSession)
         if new.isEmpty():
             continue
         found = new.select("a", "b") if found.isEmpty() else found.unionByName(new.select("a", "b"))
@@ -304,38 +297,10 @@ def _star(met: DataFrame, rules: Rules) -> DataFrame:
     return _ordered(best.select("u", "h.v", "h.root_u", "h.root_v"))
 
 
-def _in_buckets(rest: DataFrame, facts: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs of two labels that share a bucket of at most ``SMALL`` open nodes and have similar sketches."""
-
-    def compare(rows: list[dict]) -> list[tuple]:
-        r = rows[0]["bucket"] & 7
-        percent = rules[r][1]
-        x = np.frombuffer(b"".join(k["places"] for k in rows), np.uint8).reshape(len(rows), len(rules), COMPARED)[:, r]
-        n, root = np.array([k["n"] for k in rows]), np.array([k["root"] for k in rows])
-        agree = (x[:, None] == x).sum(axis=2) >= least_agreement(percent)
-        sizes = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-        i, j = np.nonzero(np.triu(agree & sizes & (root[:, None] != root), 1))
-        ends = ([rows[k] for k in sorted(pair, key=lambda k: rows[k]["node"])] for pair in zip(i.tolist(), j.tolist(), strict=True))
-        return [(x["node"], y["node"], x["root"], y["root"]) for x, y in ends]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets stream through sorted partitions; many are pairs."""
-        held: list[dict] = []
-        out: list[tuple] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    out += compare(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], PAIR)
-                out = []
-        if held and (out := compare(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], PAIR)
-
-    rows = rest.select("bucket", "node", "n", "root").join(facts.select("node", "places"), "node")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINK).distinct()
+def _rare_pairs(rest: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
+    """Distinct pairs of open nodes that some rule's rarest shingles bring together."""
+    found = [_prefix_pairs(rest.where(F.col("bucket").bitwiseAND(7) == r), words, *rule) for r, rule in enumerate(rules)]
+    return reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
 
 
 def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) -> DataFrame:
@@ -343,31 +308,30 @@ def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) ->
 
     In the order of rarest shingles first, two similar sets share one among the first n - ceil(p n) + 1 of the
     larger and the first n - ceil(2p / (1 + p) n) + 1 of the smaller (p = percent / 100), and the first one they share
-    leaves enough of both behind it. A shingle of one node
-    or one label makes no pair, so copies that differ by their own edits meet only if they are near enough."""
+    leaves enough of both behind it. Shingles of one node or one label make no pair; they come before all others and are
+    only counted, so copies that differ by their own edits meet only if they are near enough."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "w"):
             own = [shingles(np.frombuffer(w, np.uint64), size).view(np.int64) for w in b.column("w").to_pylist()]
             if own:
                 count = [len(s) for s in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("node", "root")]
-                    + [pa.array(np.repeat(count, count)), pa.array(np.concatenate(own))], ["node", "root", "n", "x"])
-
-    open_ = rest.select("node", "root").distinct()
-    rows = cut(open_.join(words, "node").select("node", "root", "w").mapInArrow(elements, "node long, root long, n long, x long"))
-    spread = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = (rows.join(spread, "x").groupBy("node", "n", "root")  # a node's own set, no more
-              .agg(F.array_sort(F.collect_list(F.struct("df", "x", (F.col("lo") != F.col("hi")).alias("apart")))).alias("xs")))
-    n, p = F.col("n"), F.lit(percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("node", "root")]
+                                                 + [pa.array(np.concatenate(own))], ["node", "root", "x"])
+
+    open_ = cut(rest.select("node", "n", "root").distinct())
+    rows = cut(open_.join(words, "node").select("node", "root", "w").mapInArrow(elements, "node long, root long, x long"))
+    spread = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x", "df")
+    shared = rows.select("node", "x").join(spread, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # a node's own set, no more
+    ranked = cut(shared.join(open_, "node"))
+    n, p, alone = F.col("n"), F.lit(percent), F.col("n") - F.size("xs")
     probe = n - F.ceil(n * p / 100) + 1
     index = n - F.ceil(2 * n * p / (100 + p)) + 1
 
     def heads(length, name: str) -> DataFrame:
-        head = ranked.select("node", "n", "root", F.posexplode(F.slice("xs", 1, length.cast("int"))).alias("at", "e")).where("e.apart")
+        head = ranked.select("node", "n", "root", alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "e"))
         return head.select(F.col("e.x").alias("x"), F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"),
-                           (F.col("n") - F.col("at")).alias(f"left_{name}"))
+                           (F.col("n") - F.col("alone") - F.col("at")).alias(f"left_{name}"))
 
     both = heads(index, "u").join(heads(probe, "v"), "x")
     # all that two sets share lies at or behind the first shingle they share
@@ -390,6 +354,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     members = cut(rows.join(busy, "bucket", "left_semi"))
     facts = cut(reps.select("node", "id", "key", "n", "places").join(members.select("node").distinct(), "node", "left_semi"))
     words = cut(word_table(docs, facts, doc_id, text, rules))
+    release(docs.sparkSession)
     # texts of one id are one document: all hang on its smallest node
     named = full.select("id", "key").distinct()
     twice = named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
@@ -417,7 +382,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = ((SHINGLE, PERCENT),)) -> DataFrame:
     """The documents that are the smallest id of their component; of rows with equal id and text one is kept, the first in
     order of all columns. Documents are linked when any rule links them."""
-    kept = components(docs, doc_id, text, rules).where("id = component").select("id").distinct()
+    kept = cut(components(docs, doc_id, text, rules).where("id = component").select("id").distinct())
+    release(docs.sparkSession)  # before the documents themselves travel
     whole = F.struct(*[F.col(c) for c in docs.columns])
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.md5(F.col(text).cast("binary")).alias("t"), whole.alias("row"))
     first = keyed.join(kept, "id", "left_semi").groupBy("id", "t").agg(F.min("row").alias("row"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, upon which Spark deletes shuffle files and checkpoints that nothing refers to any more.
+
+    Else they stay on disk until the driver's heap happens to fill. For jobs of many steps that each move about as much as the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` as a join side that is shuffled and sorted, never broadcast.
 

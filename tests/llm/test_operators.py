@@ -88,6 +88,24 @@ def test_near_duplicates_chains_and_hot_groups(spark):
     assert got == want
 
 
+def test_copies_that_are_no_links_cost_no_pairs(spark, monkeypatch):
+    """200 copies of one text with five words of their own are alike and not linked: few of their pairs are looked at."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for _ in range(200):
+        w = list(base)
+        for k in r.sample(range(150), 5):
+            w[k] = word()
+        rows.append(w)
+    data = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    looked, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *a: (looked.append(pairs.count()), verified(pairs, *a))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == near_by_force(data)
+    assert sum(looked) <= 6 * len(data)
+
+
 def test_texts_of_one_id_and_any_column_name(spark):
     """Each text of an id links it, also when its texts have equal size; other columns may be called anything."""
     word = lambda k, n: " ".join(f"w{k + i}" for i in range(n))
