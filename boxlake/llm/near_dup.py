@@ -11,8 +11,8 @@ one pass over the texts, one table of buckets, one verification and one graph.
 Documents with equal sets are one node. A bucket is never expanded into pairs. In ``STARS`` rounds every node that still
 shares a bucket with another component is compared with one member of such a bucket, and links found merge
 components; that settles groups of near copies at one pair per copy and round. What is left are nodes that
-share buckets and yet belong to different components: of them all pairs that can be similar enough are found exactly, by their
-rarest shingles, so that a group of copies that are no links of each other costs its shingles and not its pairs.
+share buckets and yet belong to different components: in buckets of at most ``SMALL`` of them all pairs are looked at, a fixed
+number per node; in larger ones all pairs that can be similar enough are found exactly, by their rarest shingles.
 Pairs whose first ``COMPARED`` places agree less than a link's would with probability ``MISS`` go without a look at
 their sets; every other pair is verified on full sets.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -44,8 +44,8 @@ COORDINATES = 192
 #: links need 100 * intersection >= PERCENT * union; banding misses one at the threshold with at most this probability
 PERCENT, MISS = 85, 1e-6
 STARS = 3
-#: places that are compared before sets are
-COMPARED = 64
+#: places that are compared before sets are; nodes of a bucket of which all pairs are looked at
+COMPARED, SMALL = 64, 16
 Rules = tuple[tuple[int, int], ...]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -259,7 +259,7 @@ def links(members: DataFrame, facts: DataFrame, words: DataFrame, found: DataFra
             rest, pairs = met.select("bucket", "node", "n", "root"), alike(_star(met, rules), facts, rules)
         else:
             rest = _open(rest)
-            pairs = alike(_rare_pairs(rest, words, rules), facts, rules)
+            pairs = alike(_left_pairs(rest, words, rules), facts, rules)
         new = cut(verified(pairs, words, rules))
         release(words.sparkSession)
         if new.isEmpty():
@@ -297,10 +297,22 @@ def _star(met: DataFrame, rules: Rules) -> DataFrame:
     return _ordered(best.select("u", "h.v", "h.root_u", "h.root_v"))
 
 
-def _rare_pairs(rest: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct pairs of open nodes that some rule's rarest shingles bring together."""
-    found = [_prefix_pairs(rest.where(F.col("bucket").bitwiseAND(7) == r), words, *rule) for r, rule in enumerate(rules)]
-    return reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
+def _left_pairs(rest: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
+    """Distinct pairs of open nodes of two labels: all of a bucket of at most ``SMALL`` nodes, those that the rarest shingles
+    bring together in larger ones."""
+    sizes = cut(rest.groupBy("bucket").agg(F.count("*").alias("many")))
+    few = rest.join(sizes.where(F.col("many") <= SMALL).select("bucket"), "bucket", "left_semi")
+    u, v = (few.select("bucket", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}")) for s in "uv")
+    fits = 100 * F.least("n_u", "n_v") >= _percent(rules) * F.greatest("n_u", "n_v")
+    pairs = cut(_pairs(u.join(v, "bucket").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & fits).select("u", "v", "root_u", "root_v")))
+    hot = sizes.where(F.col("many") > SMALL).select("bucket")
+    if hot.isEmpty():
+        return pairs
+    many = cut(rest.join(hot, "bucket", "left_semi"))
+    for r, rule in enumerate(rules):
+        release(rest.sparkSession)
+        pairs = pairs.unionByName(cut(_prefix_pairs(many.where(F.col("bucket").bitwiseAND(7) == r), words, *rule)))
+    return pairs.distinct()
 
 
 def _prefix_pairs(rest: DataFrame, words: DataFrame, size: int, percent: int) -> DataFrame:
