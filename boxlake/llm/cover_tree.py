@@ -9,8 +9,10 @@ are exact, and only bounds save work.
 
 The upper levels are tables: a label's rows are cut into cells by their nearest centre, drawn from a bounded sample of
 the cell, again and again until a cell is small or lies within the reach as a whole. All rows go to a cell, the sample
-decides on shapes only, never on links. Cells are walked as pairs too, level by level; the pairs left are jobs on blocks
-of at most ``CELL`` rows, each with the lower levels of its tree.
+decides on shapes only, never on links. A centre that is nearest to most rows (a vector amid its near copies) would leave
+the cell as it was: its rows within half the reach become a cell of their own, the others are dealt out. So the levels
+are few. Cells are walked as pairs too, level by level; the pairs left are jobs on blocks of at most ``CELL`` rows, each
+with the lower levels of its tree.
 
 Equal vectors are one node with a count. No list of pairs exists: a job returns one row per vector that has links, with
 their number and one neighbour towards the job's smallest, which is enough for components.
@@ -38,7 +40,7 @@ from pyspark.sql.types import FloatType
 from boxlake.llm.common import NO_ID
 from boxlake.operators.components import connected
 from boxlake.operators.ranking import top_n
-from boxlake.session import cut
+from boxlake.session import cut, settled
 
 COSINE = 0.98
 #: rows of a block; rows of a cell that its centres are drawn from; most centres of a cell; rows of a leaf
@@ -249,25 +251,47 @@ def vectors(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame
     return rows.mapInArrow(run, "id long, key binary, g string, v binary")
 
 
-def _split(rows: DataFrame, sizes: DataFrame, kind: str, cell: int) -> DataFrame:
+def spread(x: np.ndarray, wanted: int, ball: float) -> tuple[np.ndarray, int, float]:
+    """(centres, the one that is nearest to most rows or -1, share of the rows that lie there beyond ``ball``).
+
+    Of the coarsest level that has as many centres as wanted (of a finer level the first ones) and leaves at most half of the
+    rows beyond the ball of one centre; if there is none, of the level that leaves the fewest."""
+    best: tuple[np.ndarray, int, float] | None = None
+    r, centres = float(distances(x, x[:1]).max()), np.array([0])
+    while True:
+        if len(centres) >= wanted or r <= SLACK:
+            if len(centres) < 2:  # nearer than rounding tells apart: any cut will do, bounds are measured
+                centres = np.arange(wanted)
+            own = centres[:wanted]
+            others = np.setdiff1d(np.arange(len(x)), own)
+            rows = others if len(others) else own
+            d = distances(x[rows], x[own])
+            to = d.argmin(axis=1)
+            shares = np.bincount(to, minlength=len(own)) / len(rows)
+            beyond = np.bincount(to[d[np.arange(len(rows)), to] > ball], minlength=len(own)) / len(rows)
+            if best is None or beyond.max() < best[2]:
+                hub = int(shares.argmax()) if beyond.max() <= 0.5 else int(beyond.argmax())
+                best = own, hub if shares[hub] > 0.5 else -1, float(beyond.max())
+        if best is not None and best[2] <= 0.5 or r <= SLACK or len(centres) == len(x):
+            return best[0], best[1], best[2]
+        r = radius_below(r)
+        centres, _ = net(x, r)
+
+
+def _split(rows: DataFrame, sizes: DataFrame, kind: str, cosine: float, cell: int) -> DataFrame:
     """Rows of large cells with the cell of their nearest centre, the centre and the distance."""
     some = top_n(rows.select("cell", "node", "v"), ["cell"], [F.xxhash64("node"), F.col("node")], SAMPLE)
+    ball = (reach(cosine) - SLACK) / 2
 
     def choose(t: pa.Table) -> pa.Table:
-        """Centres of the coarsest level that has as many as wanted; of a finer level the first ones."""
-        blobs = t.column("v").to_pylist()
-        x, wanted = load(blobs, kind), min(CENTRES, 2 * -(-t.column("size")[0].as_py() // cell))
-        r = float(distances(x, x[:1]).max())
-        centres = np.array([0])
-        while len(centres) < min(wanted, len(x)) and r > SLACK:
-            r = radius_below(r)
-            centres, _ = net(x, r)
-        if len(centres) < 2:  # nearer than rounding tells apart: any cut will do, bounds are measured
-            centres = np.arange(min(wanted, len(x)))
-        return pa.table({"cell": [t.column("cell")[0].as_py()], "centres": [b"".join(blobs[k] for k in centres[:wanted].tolist())],
-                         "count": [min(len(centres), wanted)]})
-
-    chosen = cut(some.join(sizes, "cell").groupBy("cell").applyInArrow(choose, "cell string, centres binary, count long"))
+        """Centres, and the pieces that the rows beyond the ball of the hub are dealt to."""
+        blobs, size = t.column("v").to_pylist(), t.column("size")[0].as_py()
+        centres, hub, beyond = spread(load(blobs, kind), min(CENTRES, 2 * -(-size // cell), len(blobs)), ball)
+        pieces = min(CENTRES, math.ceil(2 * beyond * size / cell)) if beyond > 0.5 else 1
+        return pa.table({"cell": [t.column("cell")[0].as_py()], "centres": [b"".join(blobs[k] for k in centres.tolist())],
+                         "count": [len(centres)], "hub": [hub], "pieces": [pieces]})
+
+    chosen = cut(some.join(sizes, "cell").groupBy("cell").applyInArrow(choose, "cell string, centres binary, count long, hub long, pieces long"))
     parts = F.ceil(F.col("size") / (8 * cell)).cast("int")
     dealt = rows.join(sizes.select("cell", parts.alias("parts")), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     sent = chosen.join(sizes.select("cell", parts.alias("parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -277,16 +301,15 @@ def _split(rows: DataFrame, sizes: DataFrame, kind: str, cell: int) -> DataFrame
             return a.select(["cell", "node", "id", "n", "v"]).slice(0, 0).append_column("parent", pa.array([], pa.string())).append_column(
                 "centre", pa.array([], pa.binary())).append_column("far", pa.array([], pa.float64()))
         name, count, blob = a.column("cell")[0].as_py(), b.column("count")[0].as_py(), b.column("centres")[0].as_py()
+        hub, pieces = b.column("hub")[0].as_py(), b.column("pieces")[0].as_py()
         blobs = [blob[k * len(blob) // count:(k + 1) * len(blob) // count] for k in range(count)]
         d = distances(load(a.column("v").to_pylist(), kind), load(blobs, kind))
         own = d.argmin(axis=1)
-        if count == len(np.unique(own)) or len(np.unique(own)) > 1 or a.num_rows < 2:
-            nth = own
-        else:  # all in one place: deal rows out, so that cells shrink
-            nth = np.arange(a.num_rows) % count
+        far, nth = d[np.arange(len(own)), own], own.copy()
+        out = np.flatnonzero((own == hub) & (far > ball))
+        nth[out[np.argsort(a.column("node").to_numpy()[out])]] = count + np.arange(len(out)) % pieces
         return pa.table({"cell": [f"{name}.{k}" for k in nth.tolist()], "node": a.column("node"), "id": a.column("id"), "n": a.column("n"),
-                         "v": a.column("v"), "parent": [name] * a.num_rows, "centre": [blobs[k] for k in nth.tolist()],
-                         "far": d[np.arange(len(nth)), nth]})
+                         "v": a.column("v"), "parent": [name] * a.num_rows, "centre": [blobs[k] for k in own.tolist()], "far": far})
 
     return dealt.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(
         assign, "cell string, node long, id long, n long, v binary, parent string, centre binary, far double")
@@ -303,7 +326,7 @@ def cells(nodes: DataFrame, kind: str, cosine: float, cell: int) -> tuple[DataFr
     done, levels = rows.join(sizes.where(F.col("size") <= cell), "cell", "left_semi"), 0
     large = sizes.where(F.col("size") > cell)
     while not large.isEmpty():
-        rows = cut(_split(rows.join(large, "cell", "left_semi"), large, kind, cell))
+        rows = settled(_split(rows.join(large, "cell", "left_semi"), large, kind, cosine, cell))
         found = cut(rows.groupBy("cell").agg(F.first("parent").alias("parent"), F.first("centre").alias("centre"), F.max("far").alias("far"),
                                              F.count("*").alias("size")))
         within = (F.col("size") <= cell) | (2 * F.col("far") <= t - SLACK)

@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut(df)`` without Spark's estimate of its size, for loops.
+
+    A checkpoint keeps the estimate of the plan it was made by, and that of a join is the product of its sides: where each round
+    joins what the last one left, the digits of the number multiply with every round, until it fills the driver."""
+    df = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), df.sparkSession)
+
+
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, upon which Spark deletes shuffle files and checkpoints that nothing refers to any more.
 

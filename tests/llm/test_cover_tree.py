@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxlake.llm import cover_tree
 
@@ -100,3 +101,34 @@ def test_walk_drops_and_accepts_pairs_by_bounds():
     for node in range(len(tree.lo)):  # the radius covers the rows, centres of children keep apart
         own = tree.x[tree.lo[node]:tree.hi[node]]
         assert cover_tree.distances(own, own[:1]).max() <= tree.radius[node] + 1e-7
+
+
+def test_hubs_leave_few_levels(spark):
+    """Vectors at all distances around one: the innermost centre is nearest to nearly all of them, level after level."""
+    r = np.random.default_rng(5)
+    e = r.normal(size=64)
+    e = e / np.linalg.norm(e) + r.exponential(0.06, (600, 1)) * r.normal(size=(600, 64))
+    df = table(spark, [(k, v, 1) for k, v in enumerate(e)])
+    rows = cover_tree.vectors(df, "vec_id", "embedding", "label")
+    nodes = rows.select(F.col("id").alias("node"), "id", F.lit(1).cast("long").alias("n"), "g", "v")
+    done, tree, levels = cover_tree.cells(nodes, "<f4", 0.98, 40)
+    assert levels <= 6
+    assert len(str(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 200  # digits: it fills the driver if levels multiply it
+    assert done.count() == done.select("node").distinct().count() == 600
+    assert tree.where("leaf").agg(F.sum("size")).first()[0] == 600
+    want = check(df, cell=40)
+    assert max(x[1] for x in want) > 100
+
+
+def test_centre_amid_its_copies():
+    """Rows that no level deals out are told apart by the ball of the hub; a tight cell and scattered rows need no hub."""
+    r = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(r.normal(size=(1, 64)))
+    ball = (cover_tree.reach(0.98) - cover_tree.SLACK) / 2
+    centres, hub, beyond = cover_tree.spread(unit(base + r.exponential(0.06, (256, 1)) * r.normal(size=(256, 64))), 8, ball)
+    assert len(centres) == 8 and hub >= 0 and beyond > 0.5
+    for x in (unit(r.normal(size=(256, 64))), unit(base + 0.035 * r.normal(size=(256, 64)))):
+        assert cover_tree.spread(x, 64, ball)[1] == -1
+    centres, hub, beyond = cover_tree.spread(np.repeat(base, 256, axis=0), 8, ball)
+    assert len(centres) == 8 and beyond == 0
